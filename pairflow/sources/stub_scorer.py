@@ -1,0 +1,54 @@
+"""Deterministic scorer for checks: answers from the digest of (pairID, strategy), no model involved."""
+
+from __future__ import annotations
+
+import hashlib
+import sys
+
+import pandas as pd
+from pyspark import cloudpickle
+
+from pairflow.operators.scoring import Answer
+from pairflow.sources.fixtures import STRATEGY_PROFILE
+
+# Ship this module's functions with the task, so workers need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+class StubScorer:
+    def __init__(self, profile: dict[str, tuple[int, int]]):
+        self.profile = profile
+
+    def answer(self, batch: pd.DataFrame) -> list[Answer]:
+        columns = (batch["pairID"], batch["strategy"], batch["label_id"], batch["premise"], batch["hypothesis"])
+        return [self._one(*row) for row in zip(*columns)]
+
+    def _one(self, pair_id: str, strategy: str, label_id: int, premise: str, hypothesis: str) -> Answer:
+        share, base = self.profile[strategy]
+        h = int(hashlib.md5(f"{pair_id}|{strategy}".encode()).hexdigest()[:8], 16) % 100
+        prompt_tokens = (len(premise) + len(hypothesis) + base) // 4 + 1
+        if h == 99:
+            return Answer("", prompt_tokens, 0, 50.0 + h, False, "Rate limit exceeded")
+        wanted = 1 if label_id < 0 else label_id if h < share else (label_id + 1) % 3
+        word = ("entailment", "neutral", "contradiction")[wanted]
+        if h >= 97:
+            text = "cannot decide"
+        elif strategy.endswith("cot"):
+            text = f"1. Compare the claims. Classification: {word}"
+        elif h % 10 == 0:
+            text = f"  {word.upper()} "
+        elif h % 10 == 1:
+            text = f"It is {word}."
+        else:
+            text = word
+        return Answer(text, prompt_tokens, len(text) // 4 + 1, 50.0 + h)
+
+
+def stub_factory():
+    """Factory for operators.scoring.score."""
+    profile = dict(STRATEGY_PROFILE)
+
+    def make() -> StubScorer:
+        return StubScorer(profile)
+
+    return make

@@ -26,14 +26,17 @@ def hard_target(label: Column, prediction: Column) -> Column:
 
 def training_rows(features: DataFrame, predictions: DataFrame, strategy: str = "zero-shot",
                   required: tuple[str, ...] = ("zero-shot", "cot")) -> DataFrame:
-    """Feature rows with their target; pairs without all required strategies are left out."""
-    bit = {s: F.max(F.when(F.col("strategy") == s, F.lit(1))).alias(f"has {s}") for s in required}
+    """Feature rows with their target; pairs without all required strategies are left out.
+
+    The target compares the prediction with the label stored next to it.
+    """
+    wrong = hard_target(F.col("label"), F.col("predicted_label"))
+    has = {s: F.max(F.when(F.col("strategy") == s, F.lit(1))).alias(f"has {s}") for s in required}
     per_pair = predictions.where(F.col("strategy").isin(list({strategy, *required}))).groupBy("pairID").agg(
-        F.max(F.when(F.col("strategy") == strategy, F.struct("predicted_label"))).alias("_p"), *bit.values())
+        F.max(F.when(F.col("strategy") == strategy, wrong)).alias("target"), *has.values())
     for s in required:
         per_pair = per_pair.where(F.col(f"`has {s}`").isNotNull())
-    joined = features.join(per_pair.select("pairID", F.col("_p.predicted_label").alias("_pred")), "pairID")
-    return joined.withColumn("target", hard_target(F.col("label"), F.col("_pred"))).drop("_pred")
+    return features.join(per_pair.select("pairID", "target"), "pairID")
 
 
 def require_strategies(predictions: DataFrame, required: tuple[str, ...] = ("zero-shot", "cot")) -> None:
@@ -139,14 +142,14 @@ def fit_logistic(scaled: DataFrame, columns: list[str], sizes: dict[int, int], m
     stages = [
         VectorAssembler(inputCols=columns, outputCol="_features"),
         LogisticRegression(featuresCol="_features", labelCol="target", weightCol="_w", regParam=1.0 / n,
-                           elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-8),
+                           elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-6),
     ]
     return Pipeline(stages=stages).fit(rows)
 
 
 def fit(df: DataFrame, names: list[str] | None = None) -> DifficultyModel:
     """Fit on rows with a target; needs both classes."""
-    rows = materialize(df.select("target", *require_features(df, names)))
+    rows = materialize(df.select("target", *require_features(df, names)), "training")
     sizes = class_sizes(rows)
     if len(sizes) < 2:
         raise ValueError("training needs both easy and hard rows")
@@ -170,7 +173,8 @@ def out_of_fold(df: DataFrame, n_folds: int = 5, seed: int = 42, by_genre: bool
     """
     names = require_features(df, names)
     keep = ["pairID", "genre", "target"]
-    table = materialize(with_folds(df.select(*keep, *names), n_folds, seed, by_genre))
+    rows = materialize(df.select(*keep, *names), "training")
+    table = materialize(with_folds(rows, n_folds, seed, by_genre), "folds")
     overall = None if scale_per_fold else fit_scaling(table, names)
     scored = None
     for fold in range(n_folds):

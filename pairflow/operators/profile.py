@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pairflow import domain
 from pairflow.functions.ordering import magnitude_bucket
 from pairflow.functions.text import blank_word_count
+from pairflow.workspace import literal_table, materialize
 
 LABEL_COLUMNS = domain.LABELS + [domain.UNKNOWN_LABEL]
 
@@ -92,29 +93,28 @@ def mean_by_genre(df: DataFrame, col: str = "total_negations", key: str = "genre
 def correlations(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Pearson correlation of every pair of features, both ways and with the diagonal.
 
-    All pairs are computed by one aggregate over the table.
+    The feature columns are written once, since the correlation reads them twice; only the matrix
+    (features x features) reaches the driver.
     """
     names = names or domain.MODEL_FEATURES
-    pairs = list(combinations(names, 2))
-    doubles = df.select(*[F.col(c).cast("double").alias(c) for c in names])
-    wide = doubles.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-
-    def cell(a: str, b: str, value: Column) -> Column:
-        return F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), value.alias("correlation"))
-
-    cells = [cell(c, c, F.lit(1.0)) for c in names]
-    for i, (a, b) in enumerate(pairs):
-        cells += [cell(a, b, F.col(f"c{i}")), cell(b, a, F.col(f"c{i}"))]
-    return wide.select(F.inline(F.array(*cells)))
+    rows = materialize(df.select(*[F.col(c).cast("double").alias(c) for c in names]), "features")
+    vectors = VectorAssembler(inputCols=names, outputCol="_v", handleInvalid="skip").transform(rows).select("_v")
+    matrix = Correlation.corr(vectors, "_v").head()[0].toArray()
+    cells = [(a, b, None if matrix[i, j] != matrix[i, j] else float(matrix[i, j]))
+             for i, a in enumerate(names) for j, b in enumerate(names)]
+    return literal_table(df.sparkSession, cells, {"feature_a": "string", "feature_b": "string", "correlation": "double"})
 
 
 # --- exact quantiles -------------------------------------------------------------------------
 
 def value_table(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
-    """(keys, feature, value, n): distinct values with their counts, combined before the shuffle."""
+    """(keys, feature, value, n): distinct values with their counts, combined before the shuffle.
+
+    Written once: quantiles and moments then read this small table and never the source again.
+    """
     entries = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])
     long = df.select(*keys, F.inline(entries)).where(F.col("value").isNotNull())
-    return long.groupBy(*keys, "feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    return materialize(long.groupBy(*keys, "feature", "value").agg(F.count(F.lit(1)).alias("n")), "values")
 
 
 def exact_quantiles(values: DataFrame, keys: list[str], probabilities: dict[str, float]) -> DataFrame:
@@ -155,17 +155,20 @@ def exact_quantiles(values: DataFrame, keys: list[str], probabilities: dict[str,
 
 
 def feature_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """count, mean, std, min, quartiles and max of each feature."""
+    """count, mean, std, min, quartiles and max of each feature, all from the table of distinct values."""
     columns = columns or domain.MODEL_FEATURES
     values = value_table(df, columns, [])
     quartiles = exact_quantiles(values, [], {"q25": 0.25, "q50": 0.5, "q75": 0.75})
-    wide = df.agg(*[e.alias(f"{c}__{s}") for c in columns for s, e in {
-        "count": F.count(c), "mean": F.avg(c), "std": F.stddev_samp(c),
-        "min": F.min(c).cast("double"), "max": F.max(c).cast("double")}.items()])
-    moments = wide.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), *[F.col(f"{c}__{s}").alias(s) for s in ("count", "mean", "std", "min", "max")])
-        for c in columns])))
-    return moments.join(quartiles, "feature", "left")
+    n, v = F.col("n"), F.col("value")
+    first = values.groupBy("feature").agg(
+        F.sum("n").alias("count"), F.try_divide(F.sum(n * v), F.sum("n")).alias("mean"),
+        F.min("value").alias("min"), F.max("value").alias("max"))
+    squares = values.join(first.select("feature", "mean"), "feature").groupBy("feature").agg(
+        F.sum(n * F.pow(v - F.col("mean"), 2)).alias("_ss"))
+    moments = first.join(squares, "feature").withColumn(
+        "std", F.sqrt(F.try_divide(F.col("_ss"), F.col("count") - 1))).drop("_ss")
+    return moments.join(quartiles, "feature", "left").select(
+        "feature", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def box_stats(df: DataFrame, column: str, key: str) -> DataFrame:

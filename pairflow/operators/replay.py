@@ -29,6 +29,15 @@ def common_rows(table: DataFrame, *others: DataFrame, key: str = "pairID") -> Da
     return table
 
 
+def keys_with_all(predictions: DataFrame, required: tuple[str, ...], key: str = "pairID") -> DataFrame:
+    """Keys that have a prediction of every required strategy, by one grouping of small integers."""
+    bit = F.lit(0)
+    for i, name in enumerate(required):
+        bit = F.when(F.col("strategy") == name, F.lit(1 << i)).otherwise(bit)
+    seen = predictions.where(F.col("strategy").isin(list(required))).groupBy(key).agg(F.bit_or(bit).alias("_seen"))
+    return seen.where(F.col("_seen") == (1 << len(required)) - 1).select(key)
+
+
 def alignment_report(table: DataFrame, other: DataFrame, key: str = "pairID") -> DataFrame:
     """How many rows an alignment keeps and loses: keys are tagged and grouped once."""
     tagged = (table.select(F.col(key).alias("_k"), F.lit(1).alias("_l"), F.lit(0).alias("_r"))
@@ -51,18 +60,21 @@ def common_accuracies(predictions: DataFrame, routed: DataFrame, required: tuple
     right = (F.col("label") == normalise_label("predicted_label"))
     flags = predictions.where(F.col("strategy").isin(names)).select(
         "pairID", "strategy", F.coalesce(right, F.lit(False)).cast("int").alias("_right"),
-        F.lit(None).cast("string").alias("_route"))
+        F.lit(None).cast("int").alias("_route"))
+    place = F.lit(None).cast("int")
+    for i, s in enumerate(names):
+        place = F.when(F.col("routed_strategy") == s, F.lit(i)).otherwise(place)
     routes = routed.select(
         "pairID", F.lit(None).cast("string").alias("strategy"), F.lit(None).cast("int").alias("_right"),
-        F.col("routed_strategy").alias("_route"))
+        place.alias("_route"))
     per_pair = flags.unionByName(routes).groupBy("pairID").agg(
         *[F.max(F.when(F.col("strategy") == s, F.col("_right"))).alias(s) for s in names],
         F.max("_route").alias("_route"))
     for s in required:
         per_pair = per_pair.where(F.col(f"`{s}`").isNotNull())
     adaptive = F.lit(None).cast("int")
-    for s in names:
-        adaptive = F.when(F.col("_route") == s, F.col(f"`{s}`")).otherwise(adaptive)
+    for i, s in enumerate(names):
+        adaptive = F.when(F.col("_route") == i, F.col(f"`{s}`")).otherwise(adaptive)
     per_pair = per_pair.withColumn("adaptive", adaptive)
     columns = [*names, "adaptive"]
     wide = per_pair.agg(*[e.alias(f"{s}|{m}") for s in columns for m, e in {

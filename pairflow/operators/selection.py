@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pairflow.functions.ordering import digest_bucket, shuffle_key
-from pairflow.workspace import broadcast_if_small
+from pairflow.workspace import broadcast_if_small, materialize
 
 # Above this Spark no longer plans the group limit (spark.sql.optimizer.windowGroupLimitThreshold).
 GROUP_LIMIT = 1000
@@ -45,7 +45,8 @@ def boundaries(df: DataFrame, keys: list[str], quotas: Callable[[DataFrame], Dat
     quotas maps a table (keys, n) to (keys, n, quota); a quota beyond n takes the whole group.
     """
     keyed = df.select(*keys, F.col(id_col).alias("_id"), shuffle_key(id_col, seed).alias("_k"))
-    keyed = keyed.withColumn("_b", digest_bucket(F.col("_k"), digits))
+    # Ids and digests only, written once: the three passes below do not repeat what produced df.
+    keyed = materialize(keyed.withColumn("_b", digest_bucket(F.col("_k"), digits)), "digests")
     histogram = keyed.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_nb"))
     quota = quotas(histogram.groupBy(*keys).agg(F.sum("_nb").alias("n")))
     quota = quota.withColumn("quota", F.least(F.col("quota"), F.col("n")))

@@ -11,8 +11,7 @@ from pairflow.operators import cost, replay
 
 def replayed(routed: DataFrame, predictions: DataFrame, required: tuple[str, ...] = ("zero-shot", "cot")) -> DataFrame:
     """Routed rows that have every required strategy, each with its strategy's stored prediction."""
-    have = [predictions.where(F.col("strategy") == s) for s in required]
-    return replay.replay(replay.common_rows(routed, *have), predictions)
+    return replay.replay(replay.common_rows(routed, replay.keys_with_all(predictions, required)), predictions)
 
 
 def accuracies(routed: DataFrame, predictions: DataFrame) -> DataFrame:

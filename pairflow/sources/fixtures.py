@@ -31,16 +31,21 @@ def document_pairs(documents: DataFrame) -> DataFrame:
     genres = F.array(*[F.lit(g) for g in domain.GENRES])
     source_no = F.substring("source", 4, 10).cast("int")
     arrays = documents.select("doc_id", F.get(genres, source_no % 10).alias("genre"), sentences.alias("s"))
+    # Ids and digests are made inside the generator: predicates above it cannot pull them down and
+    # evaluate them once more per reference.
+    pair_id = lambda i: F.concat(F.col("doc_id"), F.lit("-"), i)
     pair_rows = F.transform(
         F.sequence(F.lit(0), F.floor(F.size("s") / 2).cast("int") - 1),
         lambda i: F.struct(
-            F.concat(F.col("doc_id"), F.lit("-"), i).alias("pairID"),
-            F.get("s", i * 2).alias("premise"), F.get("s", i * 2 + 1).alias("hypothesis")))
+            pair_id(i).alias("pairID"), F.get("s", i * 2).alias("premise"), F.get("s", i * 2 + 1).alias("hypothesis"),
+            (digest_number(pair_id(i)) % 100).cast("int").alias("b")))
     # A guard inside the expression: as a filter it would be pushed below the repartition and split twice.
     rows = arrays.select("genre", F.inline(F.when(F.size("s") >= 2, pair_rows)))
-    bucket = digest_number(F.col("pairID")) % 100
-    label_id = (F.when(bucket < 33, 0).when(bucket < 66, 1).when(bucket < 97, 2).otherwise(-1))
-    return rows.select("pairID", "premise", "hypothesis", "genre", label_id.cast("int").alias("label_id"))
+    return rows.select("pairID", "premise", "hypothesis", "genre", _label_id(F.col("b")).alias("label_id"))
+
+
+def _label_id(bucket: Column) -> Column:
+    return F.when(bucket < 33, 0).when(bucket < 66, 1).when(bucket < 97, 2).otherwise(-1).cast("int")
 
 
 def raw_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,10 +63,9 @@ def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     following = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("hypothesis"))
     joined = turns.join(following, ["conv_id", "turn"])
     pair_id = F.concat_ws("-", F.lit("c"), "conv_id", "turn")
-    bucket = digest_number(F.col("pairID")) % 100
     return joined.select(
         pair_id.alias("pairID"), F.col("text").alias("premise"), "hypothesis", F.lit("facetoface").alias("genre"),
-    ).withColumn("label_id", F.when(bucket < 33, 0).when(bucket < 66, 1).when(bucket < 97, 2).otherwise(-1).cast("int"))
+    ).withColumn("label_id", _label_id(digest_number(F.col("pairID")) % 100))
 
 
 def row_digest(tag: Column | str) -> Column:
@@ -71,9 +75,10 @@ def row_digest(tag: Column | str) -> Column:
 
 
 def with_strategies(df: DataFrame, strategies: list[str], **columns: dict) -> DataFrame:
-    """Each row once per strategy; columns maps a name to {strategy: value}. No join involved."""
+    """Each row once per strategy; columns maps a name to {strategy: value or column}. No join involved."""
     entries = F.array(*[
-        F.struct(F.lit(s).alias("strategy"), *[F.lit(v[s]).alias(c) for c, v in columns.items()])
+        F.struct(F.lit(s).alias("strategy"), *[
+            (v[s] if isinstance(v[s], Column) else F.lit(v[s])).alias(c) for c, v in columns.items()])
         for s in strategies
     ])
     return df.select("*", F.inline(entries))
@@ -84,8 +89,8 @@ def scored(pairs_df: DataFrame, strategies: list[str] | None = None) -> DataFram
     names = strategies or domain.STRATEGIES
     rows = with_strategies(
         pairs_df, names,
-        _acc={s: STRATEGY_PROFILE[s][0] for s in names}, _base={s: STRATEGY_PROFILE[s][1] for s in names})
-    rows = rows.withColumn("_h", row_digest("strategy"))
+        _acc={s: STRATEGY_PROFILE[s][0] for s in names}, _base={s: STRATEGY_PROFILE[s][1] for s in names},
+        _h={s: row_digest(F.lit(s)).cast("int") for s in names})
     answer = (F.when(F.col("label_id") < 0, 1).when(F.col("_h") < F.col("_acc"), F.col("label_id"))
               .otherwise((F.col("label_id") + 1) % 3))
     word = F.when(answer == 0, F.lit("entailment")).when(answer == 1, F.lit("neutral")).otherwise(F.lit("contradiction"))

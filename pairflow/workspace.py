@@ -36,10 +36,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/pairflow/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder once and continue from there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write df to the shared folder once and continue from there: short lineage, true sizes, pruning."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -47,7 +49,7 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
 
     Without the hint the join stays a shuffle join, which AQE splits on skewed keys.
     """
-    small = materialize(df)
+    small = materialize(df, "small")
     return F.broadcast(small) if small.count() <= max_rows else small
 
 

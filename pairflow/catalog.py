@@ -341,11 +341,11 @@ def txt11_truncate(spark, d):
 @query
 def txt12_parse_label(spark, d):
     # Over the answers and over the free texts themselves.
-    answers = preds(spark, d).select(F.concat_ws("/", "pairID", "strategy").alias("id"), F.col("raw_response").alias("t"))
-    wordy = preds(spark, d).select(F.concat_ws("/", "pairID", "strategy", F.lit("wordy")).alias("id"), F.concat(
-        F.lit("Not ENTAILED by: "), "premise", F.lit("; rather "), "raw_response").alias("t"))
-    return answers.unionByName(wordy).select(
-        "id", X.parse_label("t").alias("label"), X.parse_label("t", "last_mention").alias("last_label"))
+    wordy = F.concat(F.lit("Not ENTAILED by: "), "premise", F.lit("; rather "), "raw_response")
+    rows = preds(spark, d).select(F.inline(F.array(
+        F.struct(F.concat_ws("/", "pairID", "strategy").alias("id"), F.col("raw_response").alias("t")),
+        F.struct(F.concat_ws("/", "pairID", "strategy", F.lit("wordy")).alias("id"), wordy.alias("t")))))
+    return rows.select("id", X.parse_label("t").alias("label"), X.parse_label("t", "last_mention").alias("last_label"))
 
 
 @query
@@ -357,9 +357,15 @@ def txt13_canonical_strategy(spark, d):
 
 
 def _prompt_digest(df: DataFrame, prompt: Column) -> DataFrame:
-    staged = df.withColumn("prompt", prompt)
-    return staged.select("pairID", F.md5("prompt").alias("prompt_md5"), F.length("prompt").alias("prompt_chars"),
-                         X.approx_tokens("prompt").alias("prompt_tokens"))
+    return _variant_digests(df, {"": prompt}).drop("variant")
+
+
+def _variant_digests(df: DataFrame, variants: dict[str, Column]) -> DataFrame:
+    """Digest and size of several prompts of each row, from one pass over the table."""
+    rows = df.select("pairID", F.inline(F.array(*[
+        F.struct(F.lit(v).alias("variant"), p.alias("prompt")) for v, p in variants.items()])))
+    return rows.select("pairID", F.md5("prompt").alias("prompt_md5"), F.length("prompt").alias("prompt_chars"),
+                       X.approx_tokens("prompt").alias("prompt_tokens"), "variant")
 
 
 def _ph() -> tuple[Column, Column]:
@@ -378,18 +384,15 @@ def txt15_one_shot_prompt(spark, d):
 
 @query
 def txt16_few_shot_prompt(spark, d):
-    five = _prompt_digest(pairs(spark, d), PR.few_shot(*_ph())).withColumn("variant", F.lit("five"))
-    six = _prompt_digest(pairs(spark, d), PR.few_shot(*_ph(), count=6)).withColumn("variant", F.lit("six"))
     own = F.array(F.struct(F.col("hypothesis").alias("premise"), F.col("premise").alias("hypothesis"), "label"))
-    custom = _prompt_digest(pairs(spark, d), PR.few_shot_from(*_ph(), own)).withColumn("variant", F.lit("custom"))
-    return five.unionByName(six).unionByName(custom)
+    return _variant_digests(pairs(spark, d), {
+        "five": PR.few_shot(*_ph()), "six": PR.few_shot(*_ph(), count=6), "custom": PR.few_shot_from(*_ph(), own)})
 
 
 @query
 def txt17_cot_prompt(spark, d):
-    with_ex = _prompt_digest(pairs(spark, d), PR.chain_of_thought(*_ph())).withColumn("variant", F.lit("example"))
-    plain = _prompt_digest(pairs(spark, d), PR.chain_of_thought(*_ph(), with_example=False)).withColumn("variant", F.lit("plain"))
-    return with_ex.unionByName(plain)
+    return _variant_digests(pairs(spark, d), {
+        "example": PR.chain_of_thought(*_ph()), "plain": PR.chain_of_thought(*_ph(), with_example=False)})
 
 
 @query

@@ -105,7 +105,8 @@ def with_pareto_flag(df: DataFrame, cost: str = "cost_usd", value: str = "accura
     every cost.
     """
     per_cost = df.groupBy(F.col(cost).alias("_c")).agg(F.max(value).alias("_at"))
-    per_cost = per_cost.withColumn("_b", magnitude_bucket(F.col("_c")))
+    # The filter the join below would infer, stated for both uses so that they share one shuffle.
+    per_cost = per_cost.withColumn("_b", magnitude_bucket(F.col("_c"))).where(F.col("_b").isNotNull())
     per_bucket = per_cost.groupBy("_b").agg(F.max("_at").alias("_m"))
     before = W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     floors = per_bucket.select("_b", F.max("_m").over(before).alias("_floor"))

@@ -17,9 +17,14 @@ LABEL_COLUMNS = domain.LABELS + [domain.UNKNOWN_LABEL]
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
-    """Counts and shares, most frequent first (the window sees one row per value)."""
+    """Counts and shares, most frequent first.
+
+    The column may have any number of values, so the total is a scalar subquery over the counts
+    rather than a window without partition.
+    """
     counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy())).orderBy(F.col("n").desc(), col)
+    total = counts.agg(F.sum("n")).scalar()
+    return counts.withColumn("share", F.col("n") / total).orderBy(F.col("n").desc(), col)
 
 
 def crosstab(df: DataFrame, row: str = "genre", col: str = "label", values: list[str] | None = None) -> DataFrame:

@@ -32,9 +32,10 @@ def write_predictions(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("strategy").parquet(path)
 
 
-def write_bucketed(df: DataFrame, table: str, buckets: int, key: str = "pairID") -> None:
-    """Bucketed table: later joins and groupings on the key need no shuffle."""
-    (df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).format("parquet").saveAsTable(table))
+def write_bucketed(df: DataFrame, table: str, path: str, buckets: int, key: str = "pairID") -> None:
+    """Bucketed table at path: later joins and groupings on the key need no shuffle."""
+    (df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+     .option("path", path).format("parquet").saveAsTable(table))
 
 
 def write_summary(summary: DataFrame, path: str) -> None:

@@ -1,4 +1,4 @@
-"""Shared folder, checkpoints and size-checked broadcasts."""
+"""Shared folder, stored intermediate tables and size-checked broadcasts."""
 
 from __future__ import annotations
 
@@ -18,10 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only a local session may fall back to a temporary folder; anything else must name one.
     """
-    configured = spark.conf.get(CHECKPOINT_CONF, None)
+    configured = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if configured:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(configured)
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
@@ -65,7 +63,9 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def literal_table(spark: SparkSession, rows: list[tuple], columns: dict[str, str]) -> DataFrame:
-    """A small constant table built inside the JVM (columns: name -> type)."""
+    """A small constant table (columns: name -> type)."""
+    if len(rows) > 20:  # as an expression it would outgrow one generated method
+        return spark.createDataFrame(rows, ", ".join(f"`{c}` {t}" for c, t in columns.items()))
     structs = [
         F.struct(*[F.lit(v).cast(t).alias(c) for v, (c, t) in zip(row, columns.items())])
         for row in rows

@@ -138,6 +138,20 @@ def test_missing_strategy_is_skipped(spark, predictions):
     assert "PartitionFilters: [(strategy" in plan.replace("isnotnull(strategy", "(strategy")
 
 
+def test_bucketed_tables_join_without_shuffle(spark, pairs, predictions):
+    for name, df in (("t_pairs", pairs), ("t_predictions", predictions)):
+        writers.write_bucketed(df, name, scratch_path(spark, name), 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = spark.table("t_pairs").join(spark.table("t_predictions").select("pairID", "strategy"), "pairID")
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == predictions.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name in ("t_pairs", "t_predictions"):
+            spark.sql(f"DROP TABLE {name}")
+
+
 def test_exact_quantiles_equal_numpy(spark):
     import numpy as np
     rng = np.random.default_rng(7)

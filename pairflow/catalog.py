@@ -19,7 +19,7 @@ from pairflow.sources import fixtures as FX
 from pairflow.sources import readers, writers
 from pairflow.sources.stub_scorer import stub_factory
 from pairflow.streaming import running
-from pairflow.workspace import materialize, scratch_path
+from pairflow.workspace import materialize, repartition_as, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1076,7 +1076,8 @@ def ml10_train_and_route(spark, d):
 def _pair_stream(spark, d):
     path = f"{d}/documents.parquet"
     # As a glob, because a stream reads folders or globs but not one named file.
-    stream = running.read_stream(spark, f"{path}*", spark.read.parquet(path).schema)
+    batch = spark.read.parquet(path)
+    stream = repartition_as(running.read_stream(spark, f"{path}*", batch.schema), batch, "doc_id")
     return readers.with_label(FX.document_pairs(stream.select("doc_id", "source", "text")))
 
 

@@ -56,10 +56,13 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
     A 100 TB scan has far more splits than cores and passes through without a shuffle.
     """
+    return repartition_as(df, df, *keys)
+
+
+def repartition_as(df: DataFrame, sized: DataFrame, *keys: str) -> DataFrame:
+    """As spread, judging by the partitions of `sized`: for a stream, a batch read of its source."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
+    return df if sized.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
 
 
 def literal_table(spark: SparkSession, rows: list[tuple], columns: dict[str, str]) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairflow.llm import bloom, textkit
+from pairflow.llm import bloom, keys, textkit
 from pairflow.llm.parity_join import node_key
 from pairflow.workspace import materialize
 
@@ -111,19 +111,19 @@ def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     sketched = materialize(
         items.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("t"))
         .distinct().mapInArrow(_sketches(percent), _ITEM), "items")
-    keys = sketched.select("item_key", "size_class", F.explode("sketch").alias("found"))
+    sketch_keys = sketched.select("item_key", "size_class", F.explode("sketch").alias("found"))
     # Unsigned comparison: shift the sign bit, as Spark has signed longs only.
     top = sketched.select(F.max(F.expr("element_at(sketch, -1) ^ (-9223372036854775807L - 1)"))).first()[0]
     if top is None:
         return spark.createDataFrame([], "doc_id long, item_id long, n_item long, n_shared long, containment double")
     highest = (top ^ -2**63) % 2**64
-    n_keys = keys.count()
-    held = spark.sparkContext.broadcast(bloom.build(keys, "found", bloom.bits_for(n_keys, 64)))
+    n_keys = sketch_keys.count()
+    held = spark.sparkContext.broadcast(bloom.build(sketch_keys, "found", bloom.bits_for(n_keys, 64)))
     hits = materialize(
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
         .mapInArrow(_lookups(held, highest), _HIT), "hits")
     pairs = (hits.select("doc_key", F.explode("found").alias("found")).distinct()
-             .join(keys.select("item_key", "found").distinct(), "found").select("doc_key", "item_key").distinct())
+             .join(sketch_keys.select("item_key", "found").distinct(), "found").select("doc_key", "item_key").distinct())
     checked = (pairs.join(hits.select("doc_key", "text").dropDuplicates(["doc_key"]), "doc_key")
                .join(sketched.select("item_key", "item_text").dropDuplicates(["item_key"]), "item_key")
                .select("doc_key", "item_key", "item_text", "text")
@@ -135,6 +135,5 @@ def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs without the rows whose text contains an item; rows with a null id are judged by text as well."""
-    leaks = search(docs, items, id_col=id_col, **options).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, F.col(id_col).cast("long").eqNullSafe(F.col("_leak")), "left_anti")
+    """docs without the rows whose id has a text that contains an item (rows with a null id share one id)."""
+    return keys.without(docs, search(docs, items, id_col=id_col, **options).select("doc_id"), id_col)

@@ -13,6 +13,13 @@ def _shingles(table: str, key: str, name: str) -> str:
    lambda i: array_to_string(w[i:i+4], ' '))) s FROM {name}_w WHERE len(w) > 0)"""
 
 
+def _fits(host: str, path: str) -> str:
+    return f"((host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}'))"
+
+
+_BLOCKED = " OR ".join(f"(host = '{n}.example.{e}' OR ends_with(host, '.{n}.example.{e}'))" for e in ("com", "net", "org")
+                       for n in ("ads-track", "free-bets", "cheap-pills", "spam-farm", "casino-win", "adult-x"))
+
 ORACLE: dict[str, str] = {
     "op1_decontamination": f"""WITH {_shingles('documents', 'doc_id', 'd')}, {_shingles('benchmark', 'item_id', 'b')},
  n AS (SELECT item_id, count(*) n_item FROM b GROUP BY 1),
@@ -26,4 +33,12 @@ FROM h JOIN n USING (item_id) WHERE 100 * n_shared >= 80 * n_item""",
  r(id, at) AS (SELECT doc_id, doc_id FROM documents UNION SELECT id, b FROM r JOIN e ON e.a = r.at)
 SELECT doc_id, coalesce(any_value(n.n), 0)::bigint AS n_shingles, min(r.at) AS component_id
 FROM documents LEFT JOIN n USING (doc_id) JOIN r ON r.id = documents.doc_id GROUP BY doc_id""",
+    "op5_url_filter": f"""WITH h AS (SELECT page_id,
+  coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') host,
+  coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') path FROM pages),
+ r AS (SELECT *, CASE WHEN {_fits('www.example.com', '/en/')} THEN 'www.example.com/en/' WHEN {_fits('example.com', '/en/')}
+  THEN 'example.com/en/' WHEN {_fits('net', '/es/')} THEN 'net/es/' WHEN {_fits('net', '/fr/')} THEN 'net/fr/'
+  WHEN {_fits('com', '/')} THEN 'com/' END AS "rule" FROM h)
+SELECT page_id, host, path, "rule", CASE WHEN "rule" IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN "rule" IS NOT NULL THEN 'block'
+  WHEN {_BLOCKED} THEN 'block' ELSE 'allow' END AS verdict FROM r""",
 }

@@ -31,7 +31,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairflow.llm import bloom, textkit
+from pairflow.llm import bloom, keys, textkit
 from pairflow.llm.graph import components
 from pairflow.workspace import materialize
 
@@ -41,7 +41,9 @@ FOLDS = 8
 FOLD_NAMES = [f"f{i}" for i in range(FOLDS)]
 # Keys that may be sent to every task (8 MB); more are matched by a shuffle join.
 BROADCAST_KEYS = 1_000_000
-PROFILE = "doc_id long, n_shingles long, node long, sigs array<long>, " + ", ".join(f"{f} long" for f in FOLD_NAMES)
+# Sets of this size on also have a sketch of 4096 bits, as 512 are too few to tell long texts apart.
+WIDE_FROM, WIDE_BITS = 512, 4096
+PROFILE = "doc_id long, n_shingles long, node long, sigs array<long>, wide array<long>, " + ", ".join(f"{f} long" for f in FOLD_NAMES)
 
 
 def max_difference(n: int, percent: int) -> int:
@@ -82,9 +84,11 @@ def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def folded_sketch(shingles: np.ndarray) -> np.ndarray:
-    """512 parity bits as 8 numbers; the Hamming distance of two is at most their sets' symmetric difference."""
-    bits = np.bincount((textkit.mix(shingles) >> np.uint64(55)).astype(np.int64), minlength=64 * FOLDS) & 1
+def folded_sketch(shingles: np.ndarray, size: int = 64 * FOLDS) -> np.ndarray:
+    """Parity bits (a power of two), 64 in a number; the Hamming distance of two sketches is at most their sets'
+    symmetric difference."""
+    place = textkit.mix(shingles) >> np.uint64(65 - size.bit_length())
+    bits = np.bincount(place.astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
 
 
@@ -98,25 +102,27 @@ def _profiles(percent: int):
         seen: set[int] = set()  # sets whose signatures this task has sent, so that copies send them once
         for batch in batches:
             ids, texts = batch.column(0), textkit.text_bytes(batch.column(1))
-            sizes, nodes, sigs, folds = [], [], [], []
+            sizes, nodes, sigs, folds, wide = [], [], [], [], []
             for shingles in textkit.shingle_sets(texts):
                 sizes.append(len(shingles))
                 if not len(shingles):
                     nodes.append(None)
                     sigs.append(None)
+                    wide.append(None)
                     folds.append(np.zeros(FOLDS, np.int64))
                     continue
                 key = node_key(shingles)
                 nodes.append(key)
                 folds.append(folded_sketch(shingles))
+                wide.append(folded_sketch(shingles, WIDE_BITS) if len(shingles) >= WIDE_FROM else None)
                 sigs.append(None if key in seen else signatures(shingles, percent).view(np.int64))
                 if len(seen) < 5_000_000:
                     seen.add(key)
             planes = np.array(folds, dtype=np.int64).reshape(len(sizes), FOLDS)
             yield pa.RecordBatch.from_arrays(
                 [ids.cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()),
-                 pa.array(sigs, pa.list_(pa.int64()))] + [pa.array(planes[:, i].copy()) for i in range(FOLDS)],
-                names=["doc_id", "n_shingles", "node", "sigs"] + FOLD_NAMES)
+                 pa.array(sigs, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64()))] + [pa.array(planes[:, i].copy()) for i in range(FOLDS)],
+                names=["doc_id", "n_shingles", "node", "sigs", "wide"] + FOLD_NAMES)
     return run
 
 
@@ -160,6 +166,14 @@ def _near(a: str, b: str, percent: int):
     return sizes & ((100 + percent) * hamming <= (100 - percent) * (na + nb))
 
 
+def _near_wide(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that the sketches of long texts allow as well."""
+    side = lambda p: classes.select(F.col("node").alias(p), F.col("n_shingles").alias(f"{p}_n"), F.col("wide").alias(f"{p}_w"))
+    hamming = F.aggregate(F.zip_with("a_w", "b_w", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    apart = (100 + percent) * hamming > (100 - percent) * (F.col("a_n") + F.col("b_n"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(~F.coalesce(apart, F.lit(False))).select("a", "b")
+
+
 def _prefixed(classes: DataFrame, p: str) -> DataFrame:
     return classes.select(F.col("node").alias(p), F.col("n_shingles").alias(f"{p}_n"),
                           *[F.col(f).alias(f"{p}_{f}") for f in FOLD_NAMES])
@@ -170,8 +184,7 @@ def _verified(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     spark = texts.sparkSession
     nodes = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "candidates")
     if nodes.count() <= BROADCAST_KEYS:
-        keys = nodes.toArrow().column(0).to_numpy()
-        wanted = spark.sparkContext.broadcast(np.sort(keys))
+        wanted = spark.sparkContext.broadcast(np.sort(textkit.numbers(nodes.toArrow().column(0))))
         sets = texts.mapInArrow(_sets_of(wanted), "node long, shingles array<long>")
     else:
         sets = texts.mapInArrow(_sets_of(None), "node long, shingles array<long>").join(nodes, "node", "left_semi")
@@ -192,9 +205,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     profiles = materialize(
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
         .mapInArrow(_profiles(percent), PROFILE), "profiles")
-    classes = profiles.filter("node IS NOT NULL").groupBy("node").agg(
-        F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"),
-        *[F.first(f).alias(f) for f in FOLD_NAMES])
+    classes = materialize(profiles.filter("node IS NOT NULL").groupBy("node").agg(
+        F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("wide").alias("wide"),
+        *[F.first(f).alias(f) for f in FOLD_NAMES]), "classes")
 
     rows = profiles.filter("sigs IS NOT NULL").select("node", F.explode("sigs").alias("sig"))
     # Minima combine before the shuffle, so a chunk value that a third of the sets have is a row per task.
@@ -207,9 +220,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
         .join(hubs, "sig"), "shared")
     stars = shared.select("node", F.explode(F.array("low", "high")).alias("hub")).filter("node <> hub").select(
         F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    candidates = materialize(
-        stars.join(_prefixed(classes, "a"), "a").join(_prefixed(classes, "b"), "b")
-        .filter(_near("a", "b", percent)).select("a", "b"), "pairs")
+    near = (stars.join(_prefixed(classes, "a"), "a").join(_prefixed(classes, "b"), "b")
+            .filter(_near("a", "b", percent)).select("a", "b"))
+    candidates = materialize(_near_wide(near, classes, percent), "pairs")
     links = materialize(_verified(texts, candidates, percent), "verified")
     found = components(links)
 
@@ -224,7 +237,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     rest = (side["a"].join(side["b"], (side["a"].sig == side["b"].sig) & (F.col("a") < F.col("b"))
                            & (F.col("a_c") != F.col("b_c")) & _near("a", "b", percent))
             .select("a", "b").distinct())
-    more = materialize(rest.join(candidates, ["a", "b"], "left_anti"), "rest")
+    more = materialize(_near_wide(rest, classes, percent).join(candidates, ["a", "b"], "left_anti"), "rest")
     links = links.unionByName(_verified(texts, more, percent))
     found = components(links)
 
@@ -235,3 +248,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     of_node = grouped.join(smallest, "component").select("node", "component_id")
     return (profiles.select("doc_id", "n_shingles", "node").join(of_node, "node", "left")
             .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+    """docs with the row of the smallest id of every component; rows without links and rows with a null id stay."""
+    dropped = join(docs, id_col, text_col, percent).filter("doc_id <> component_id").select("doc_id")
+    return keys.without(docs, dropped, id_col)

@@ -7,9 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pairflow.llm import byte_bpe, decontaminate, parity_join, token_counts
+from pairflow.llm import (byte_bpe, decontaminate, html_text, licenses, parity_join, secrets, token_counts, toxicity,
+                          url_filter, vector_graph)
 from pairflow.llm.oracle import ORACLE  # noqa: F401
 
+# The rules of the url filter's query: action, host, path.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+             ("block", "net", "/es/"), ("block", "net", "/fr/")]
+# Hosts that are blocked where no rule fits.
+URL_BLOCKLIST = [f"{name}.example.{end}" for end in ("com", "net", "org")
+                 for name in ("ads-track", "free-bets", "cheap-pills", "spam-farm", "casino-win", "adult-x")]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -27,6 +35,12 @@ def op1_decontamination(spark, d):
     return decontaminate.search(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
+@query
+def op2_toxicity(spark, d):
+    docs = table(spark, d, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, d, "labels")))
+
+
 @query
 def op3_ngram_jaccard_join(spark, d):
     return parity_join.join(table(spark, d, "documents"))
@@ -38,6 +52,31 @@ def op4_byte_bpe(spark, d):
     return byte_bpe.digests(table(spark, d, "documents"), path, public_tokenizers.PATTERN)
 
 
+@query
+def op5_url_filter(spark, d):
+    return url_filter.judge(table(spark, d, "pages"), URL_RULES, URL_BLOCKLIST)
+
+
+@query
+def op6_license_scan(spark, d):
+    return licenses.scan(table(spark, d, "documents"))
+
+
+@query
+def op7_secret_scan(spark, d):
+    return secrets.scan(table(spark, d, "documents"))
+
+
+@query
+def op8_vector_graph(spark, d):
+    return vector_graph.search(table(spark, d, "embeddings"))
+
+
 @query
 def op9_token_counts(spark, d):
     return token_counts.counts(table(spark, d, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op10_html_text(spark, d):
+    return html_text.extract(table(spark, d, "pages"))

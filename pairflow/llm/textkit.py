@@ -130,6 +130,13 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [b"" if t is None else t for t in column.cast(kind).to_pylist()]
 
 
+def numbers(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A column's values, also of a table without rows, which has no chunks."""
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    return column.to_numpy(zero_copy_only=False)
+
+
 def slices(sizes: list[int], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges whose sizes add up to limit at most; a larger row stands alone."""
     start, total = 0, 0

@@ -45,7 +45,7 @@ def main() -> None:
     line = {
         "metric": "headline_total", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds,
         "sf": os.path.basename(sf_dir.rstrip("/")), "warmup_sec": round(warmup, 3), "pairs": n_pairs,
-        "predictions": n_pairs * len(fixtures.STRATEGY_PROFILE),
+        "predictions": n_pairs * len(fixtures.THRESHOLDS),
         "cold_total": round(sum(cold.values()), 3), "cold": cold,
     }
     if "rte2_rule_distribution" in seconds:

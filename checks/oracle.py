@@ -61,8 +61,8 @@ def _parse(expr: str) -> str:
 def _pairs_from(arrays: str) -> str:
     genres = "[" + ", ".join(_q(g) for g in domain.GENRES) + "]"
     return f"""
- {arrays}_p AS (SELECT doc_id, source, arr, unnest(range(0, len(arr)//2)) i FROM {arrays}),
- {arrays}_q AS (SELECT concat(doc_id, '-', i) pairID, arr[2*i+1] premise, arr[2*i+2] hypothesis,
+ {arrays}_p AS (SELECT doc_id, source, arr, unnest(range(0, greatest(len(arr)-1, 1))) i FROM {arrays} WHERE len(arr) > 0),
+ {arrays}_q AS (SELECT concat(doc_id, '-', i) pairID, arr[i+1] premise, coalesce(arr[i+2], '') hypothesis,
    {genres}[cast(substr(source,4) AS int) % 10 + 1] genre FROM {arrays}_p)"""
 
 
@@ -87,7 +87,7 @@ def _features(source: str, name: str) -> str:
    sw::int shared_words FROM {name}_u)"""
 
 
-PROFILE = "VALUES ('zero-shot',70,600),('one-shot',75,880),('few-shot',80,1800),('cot',85,1400),('6-shot',82,2000),('6-shot-cot',78,1500)"
+PROFILE = "VALUES ('zero-shot',0.0,0.3,600),('one-shot',0.05,0.25,880),('few-shot',0.1,0.2,1800),('cot',0.1,0.3,1400),('6-shot',0.05,0.2,2000),('6-shot-cot',0.15,0.25,1500)"
 
 # name -> (needed parts, CTE text)
 PARTS: dict[str, tuple[list[str], str]] = {
@@ -122,17 +122,19 @@ PARTS: dict[str, tuple[list[str], str]] = {
     "tiers": (["sc"], f"""
  tiers AS (SELECT *, {_map('routed_strategy', domain.ROUTER_TOKENS)} est FROM sc)"""),
     "preds": (["pairs"], f"""
- s(strategy, acc, base) AS ({PROFILE}),
- p_h AS (SELECT pairs.*, length(premise)+length(hypothesis) chars, strategy, acc, base, {_hash("concat(pairID,'|',strategy)")} % 100 h FROM pairs CROSS JOIN s),
- p_l AS (SELECT *, CASE WHEN label_id < 0 THEN 1 WHEN h < acc THEN label_id ELSE (label_id+1) % 3 END pid FROM p_h),
- p_n AS (SELECT *, CASE pid WHEN 0 THEN 'entailment' WHEN 1 THEN 'neutral' ELSE 'contradiction' END w FROM p_l),
- p_t AS (SELECT *, CASE WHEN h = 99 THEN '' WHEN h >= 97 THEN 'cannot decide' WHEN strategy LIKE '%cot' THEN concat('1. Compare the claims. Classification: ', w)
-   WHEN h % 10 = 0 THEN concat('  ', upper(w), ' ') WHEN h % 10 = 1 THEN concat('It is ', w, '.') ELSE w END raw_response FROM p_n),
+ s(strategy, low, high, base) AS ({PROFILE}),
+ p_w AS (SELECT *, length(premise)+length(hypothesis) chars, list_distinct({_tok('premise')}) pw, list_distinct({_tok('hypothesis')}) hw FROM pairs),
+ p_o AS (SELECT * EXCLUDE (pw, hw), len(hw) words, len(list_intersect(pw, hw))::double / greatest(len(hw), 1) overlap FROM p_w),
+ p_h AS (SELECT * FROM p_o CROSS JOIN s),
+ p_n AS (SELECT *, CASE WHEN overlap >= high::double THEN 'entailment' WHEN overlap <= low::double THEN 'contradiction' ELSE 'neutral' END w,
+   CASE WHEN words = 0 THEN 'Nothing to judge' WHEN chars > 320 THEN 'Rate limit exceeded' END error FROM p_h),
+ p_t AS (SELECT *, CASE WHEN error IS NOT NULL THEN '' WHEN words = 1 THEN 'cannot decide' WHEN strategy LIKE '%cot' THEN concat('1. Compare the claims. Classification: ', w)
+   WHEN chars % 10 = 0 THEN concat('  ', upper(w), ' ') WHEN chars % 10 = 1 THEN concat('It is ', w, '.') ELSE w END raw_response FROM p_n),
  preds AS (SELECT pairID, premise, hypothesis, genre, label_id, label, strategy, raw_response,
    {_parse('lower(trim(raw_response))')} predicted_label,
    cast(floor((chars+base)/4) AS bigint)+1 prompt_tokens,
-   CASE WHEN h = 99 THEN cast(0 AS bigint) ELSE cast(floor(length(raw_response)/4) AS bigint)+1 END response_tokens,
-   cast(50 + h AS double) latency_ms, h <> 99 success, CASE WHEN h = 99 THEN 'Rate limit exceeded' END error FROM p_t)"""),
+   CASE WHEN error IS NOT NULL THEN cast(0 AS bigint) ELSE cast(floor(length(raw_response)/4) AS bigint)+1 END response_tokens,
+   cast(50 + chars % 100 AS double) latency_ms, error IS NULL success, error, chars, words FROM p_t)"""),
     "sample": (["clean"], """
  sample AS (SELECT * FROM clean QUALIFY row_number() OVER (PARTITION BY genre, label ORDER BY md5(concat(pairID,'|42')), pairID)
    <= CASE label WHEN 'contradiction' THEN 16 ELSE 17 END)"""),
@@ -266,7 +268,7 @@ PROMPTS = {
     "6-shot": _few(6), "6-shot-cot": _prompt(domain.SIX_SHOT_COT_TEXT), "cot": _prompt(domain.COT_WITH_EXAMPLE_TEXT),
 }
 PRED_COLS = "pairID, strategy, raw_response, predicted_label, prompt_tokens, response_tokens, latency_ms, success, error"
-ATTEMPTS = "(CASE WHEN success THEN 1 ELSE 3 END)::int attempts"
+ATTEMPTS = "(CASE WHEN error = 'Nothing to judge' THEN 1 WHEN chars > 320 THEN 3 WHEN chars > 240 AND words > 0 THEN 2 ELSE 1 END)::int attempts"
 
 
 def _quant(source: str, keys: str, col: str) -> str:
@@ -392,8 +394,10 @@ ORACLE: dict[str, str] = {
     "inf4_batch_summary": _sql("SELECT strategy, count(*) FILTER (success) successful, count(*) FILTER (NOT success) failed, sum(prompt_tokens+response_tokens)::bigint total_tokens, round(sum(latency_ms),6) total_time_ms, count(*) FILTER (lower(error) LIKE '%rate limit%') retryable_failures, round(count(*) FILTER (success)::double / count(*), 6) success_rate FROM preds GROUP BY ALL", "preds"),
     "inf5_several_strategies": _sql("SELECT pairID, strategy, predicted_label, prompt_tokens, response_tokens FROM preds", "preds"),
     "inf6_token_limits": _sql("SELECT strategy, (CASE WHEN strategy LIKE '%cot%' THEN 600 ELSE 20 END)::int study_limit, (CASE strategy WHEN '6-shot-cot' THEN 500 ELSE 20 END)::int adaptive_limit, count(*) n FROM preds GROUP BY ALL", "preds"),
-    "inf7_label_from_scores": "SELECT vec_id, CASE WHEN embedding[1] >= embedding[2] AND embedding[1] >= embedding[3] THEN 'contradiction' WHEN embedding[2] >= embedding[3] THEN 'entailment' ELSE 'neutral' END predicted_label FROM embeddings",
-    "inf8_resume": _sql("SELECT pairID, strategy, raw_response, predicted_label, (CASE WHEN success THEN 1 ELSE 3 END)::int attempts FROM preds WHERE strategy IN ('zero-shot','one-shot','few-shot','cot')", "preds"),
+    "inf7_label_from_scores": """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::double) v, len(embedding) // 3 t FROM embeddings),
+ s AS (SELECT vec_id, list_sum(v[1:t]) a, list_sum(v[t+1:2*t]) b, list_sum(v[2*t+1:]) c FROM e)
+SELECT vec_id, CASE WHEN a >= b AND a >= c THEN 'contradiction' WHEN b >= c THEN 'entailment' ELSE 'neutral' END predicted_label FROM s""",
+    "inf8_resume": _sql("SELECT pairID, strategy, raw_response, predicted_label, (CASE WHEN error = 'Nothing to judge' THEN 1 WHEN chars > 320 THEN 3 WHEN chars > 240 AND strategy NOT IN ('zero-shot','cot') THEN 2 ELSE 1 END)::int attempts FROM preds WHERE strategy IN ('zero-shot','one-shot','few-shot','cot')", "preds"),
     "inf9_score_routed": _sql("SELECT pairID, p.strategy, (CASE p.strategy WHEN '6-shot-cot' THEN 500 ELSE 20 END)::int max_tokens, predicted_label, prompt_tokens, coalesce(error,'') error FROM routed r JOIN preds p USING (pairID) WHERE p.strategy = r.routed_strategy", "routed", "preds"),
     # metrics
     "met1_accuracy": _sql("SELECT strategy, round(count(*) FILTER (label = predicted_label)::double / count(*), 6) accuracy, count(*) n FROM preds GROUP BY ALL", "preds"),
@@ -405,15 +409,15 @@ ORACLE: dict[str, str] = {
     "met7_full_report": _sql(f"SELECT {REPORT} FROM m_all", "m_all"),
     "met8_per_genre": _sql(f"SELECT genre, {REPORT} FROM m_genre", "m_genre"),
     "met9_strategy_comparison": _sql(f"SELECT strategy, {REPORT} FROM m_strategy", "m_strategy"),
-    "met11_top_confusions": _sql("SELECT strategy, confusion_pair, n FROM (SELECT strategy, concat(label, ' → ', predicted_label) confusion_pair, count(*) n FROM preds WHERE label <> predicted_label GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY strategy ORDER BY n DESC, confusion_pair) <= 6", "preds"),
+    "met11_top_confusions": _sql("SELECT strategy, confusion_pair, n FROM (SELECT strategy, concat(label, ' → ', predicted_label) confusion_pair, count(*) n FROM preds WHERE label <> predicted_label GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY strategy ORDER BY n DESC, confusion_pair) <= 2", "preds"),
     "met13_mcnemar": _sql(f"SELECT strategy_a, strategy_b, a_only_correct, b_only_correct, round({STAT}, 6) statistic, {STAT} > {CHI}::double significant FROM pc", "right"),
     "met13_mcnemar_quality_toxic": f"""WITH pc AS (SELECT 'zero-shot' strategy_a, 'cot' strategy_b, count(*) n_common, count(*) FILTER (quality = 1) a_correct, count(*) FILTER (toxic = 0) b_correct,
       count(*) FILTER (quality = 1 AND toxic = 1) a_only_correct, count(*) FILTER (quality = 0 AND toxic = 0) b_only_correct FROM labels)
       SELECT *, round({STAT}, 6) statistic, {STAT} > {CHI}::double significant FROM pc""",
     "met14_crosstab_margins": _sql("SELECT coalesce(genre, 'All') genre, " + ", ".join(f"count(*) FILTER (label = '{l}') {l}" for l in LABELS + ["unknown"]) + ", count(*) \"All\" FROM pairs GROUP BY ROLLUP (genre)", "pairs"),
     "met15_crosstab": _sql("SELECT genre, " + ", ".join(f"count(*) FILTER (label = '{l}') {l}" for l in LABELS) + " FROM clean GROUP BY genre", "clean"),
-    "met16_validation_report": _sql("SELECT count(*) total_samples, count(DISTINCT genre) unique_genres, (SELECT string_agg(genre, ',' ORDER BY genre) FROM (SELECT DISTINCT genre FROM pairs)) genres, count(*) FILTER (label = 'unknown') unknown_labels, " + ", ".join(f"count(*) - count({c}) null_{c}" for c in ("pairID", "premise", "hypothesis", "genre", "label")) + " FROM pairs", "pairs"),
-    "met17_sample_statistics": _sql(f"SELECT genre, count(*) total, (SELECT count(*) FROM clean) total_samples, (SELECT round(avg(len(regexp_extract_all(premise, '{VISIBLE}+'))), 6) FROM clean) avg_premise_words, (SELECT round(avg(len(regexp_extract_all(hypothesis, '{VISIBLE}+'))), 6) FROM clean) avg_hypothesis_words, " + ", ".join(f"count(*) FILTER (label = '{l}') {l}" for l in LABELS) + " FROM clean GROUP BY genre", "clean"),
+    "met16_validation_report": _sql("SELECT count(*) total_samples, count(DISTINCT genre) unique_genres, (SELECT string_agg(genre, ',' ORDER BY genre) FROM (SELECT DISTINCT genre FROM pairs)) genres, count(*) FILTER (label = 'unknown') unknown_labels, " + ", ".join(f"count(*) FILTER (label = '{l}') n_{l}" for l in LABELS) + ", " + ", ".join(f"count(*) - count({c}) null_{c}" for c in ("pairID", "premise", "hypothesis", "genre", "label")) + " FROM pairs", "pairs"),
+    "met17_sample_statistics": _sql(f"SELECT genre, count(*) total, (SELECT count(*) FROM clean) total_samples, (SELECT round(avg(len(regexp_extract_all(premise, '{VISIBLE}+'))), 6) FROM clean) avg_premise_words, (SELECT round(avg(len(regexp_extract_all(hypothesis, '{VISIBLE}+'))), 6) FROM clean) avg_hypothesis_words, " + ", ".join(f"(SELECT count(*) FILTER (label = '{l}') FROM clean) all_{l}" for l in LABELS) + ", " + ", ".join(f"count(*) FILTER (label = '{l}') {l}" for l in LABELS) + " FROM clean GROUP BY genre", "clean"),
     "met18_value_counts": _sql("SELECT 'genre' \"column\", genre \"value\", count(*) n, round(count(*)::double / sum(count(*)) OVER (), 6) share FROM pairs GROUP BY genre UNION ALL SELECT 'label', label, count(*), round(count(*)::double / sum(count(*)) OVER (), 6) FROM pairs GROUP BY label", "pairs"),
     "met19_accuracy_by_genre": _sql("SELECT strategy, genre, round(count(*) FILTER (label = predicted_label)::double / count(*), 6) accuracy, count(*) n FROM preds GROUP BY ALL", "preds"),
     "met20_normalised_by_genre": _sql("SELECT genre, round(accuracy,6) accuracy, round(macro_f1,6) macro_f1, n_samples FROM m_norm", "m_norm"),
@@ -469,7 +473,7 @@ ORACLE: dict[str, str] = {
     "win3_share_of_total": _sql("SELECT routed_strategy, count(*) n, round(count(*)::double / sum(count(*)) OVER (), 6) share FROM sc GROUP BY ALL", "sc"),
     "srt1_sort_by_metric": _sql("SELECT genre, round(accuracy,6) accuracy FROM m_genre", "m_genre"),
     "srt3_restore_order": _sql("SELECT pairID, routed_strategy FROM routed", "routed"),
-    "top1_top_error_pairs": _sql("SELECT concat(label, ' → ', predicted_label) confusion_pair, count(*) n FROM preds WHERE label <> predicted_label GROUP BY ALL ORDER BY n DESC, confusion_pair LIMIT 6", "preds"),
+    "top1_top_error_pairs": _sql("SELECT concat(label, ' → ', predicted_label) confusion_pair, count(*) n FROM preds WHERE label <> predicted_label GROUP BY ALL ORDER BY n DESC, confusion_pair LIMIT 2", "preds"),
     "top1_top_genres": _sql("SELECT x.genre, round(x.accuracy - y.accuracy, 6) improvement FROM gs x JOIN gs y USING (genre) WHERE x.strategy = 'cot' AND y.strategy = 'zero-shot' ORDER BY x.accuracy - y.accuracy DESC, genre LIMIT 3", "gs"),
     "top2_best_strategy_matrix": _sql(f"SELECT b.strategy, t.l \"true\", q.l pred, count(p.pairID) n FROM (SELECT strategy FROM m_strategy ORDER BY accuracy DESC, strategy LIMIT 1) b CROSS JOIN (SELECT unnest({LABELS}) l) t CROSS JOIN (SELECT unnest({LABELS}) l) q LEFT JOIN preds p ON p.strategy = b.strategy AND p.label = t.l AND p.predicted_label = q.l GROUP BY ALL", "m_strategy"),
     # difficulty model

@@ -17,7 +17,7 @@ from pairflow.operators import (cleaning, cost, difficulty, metrics, profile, re
 from pairflow.plans import adaptive, leaderboard, offline, study
 from pairflow.sources import fixtures as FX
 from pairflow.sources import readers, writers
-from pairflow.sources.stub_scorer import stub_factory
+from pairflow.sources.rule_scorer import rule_factory
 from pairflow.streaming import running
 from pairflow.workspace import materialize, repartition_as, scratch_path
 
@@ -484,7 +484,7 @@ SCORED_COLUMNS = ["pairID", "strategy", "raw_response", "predicted_label", "prom
 
 def _scored(spark, d, strategies=None, **options):
     rows = scoring.for_strategies(pairs(spark, d), strategies)
-    return scoring.score(rows, stub_factory(), NO_DELAY, **options)
+    return scoring.score(rows, rule_factory(), NO_DELAY, **options)
 
 
 @query
@@ -509,7 +509,7 @@ def inf4_batch_summary(spark, d):
 
 @query
 def inf5_several_strategies(spark, d):
-    return study.run_strategies(pairs(spark, d), stub_factory(), domain.STRATEGIES, max_concurrency=8).select(
+    return study.run_strategies(pairs(spark, d), rule_factory(), domain.STRATEGIES, max_concurrency=8).select(
         "pairID", "strategy", "predicted_label", "prompt_tokens", "response_tokens")
 
 
@@ -523,9 +523,11 @@ def inf6_token_limits(spark, d):
 
 @query
 def inf7_label_from_scores(spark, d):
-    # The first three components of a vector stand for the class scores.
-    vectors = FX.table(spark, d, "embeddings")
-    return vectors.select("vec_id", X.label_from_scores(F.slice("embedding", 1, 3)).alias("predicted_label"))
+    # Sums over three blocks that cover the whole vector stand for the class scores.
+    third = F.floor(F.size("embedding") / 3).cast("int")
+    total = lambda start, n: F.aggregate(F.slice("embedding", start, n), F.lit(0.0), lambda a, v: a + v.cast("double"))
+    scores = F.array(total(F.lit(1), third), total(third + 1, third), total(2 * third + 1, F.size("embedding")))
+    return FX.table(spark, d, "embeddings").select("vec_id", X.label_from_scores(scores).alias("predicted_label"))
 
 
 @query
@@ -533,13 +535,13 @@ def inf8_resume(spark, d):
     p = pairs(spark, d)
     stored = FX.scored(p, ["zero-shot", "cot"]).where("success").withColumn("attempts", F.lit(1))
     wanted = FX.with_strategies(p, domain.BASE_STRATEGIES)
-    done = scoring.resume(wanted, stored, lambda todo: scoring.score(PR.with_prompt(todo), stub_factory(), NO_DELAY))
+    done = scoring.resume(wanted, stored, lambda todo: scoring.score(PR.with_prompt(todo), rule_factory(), NO_DELAY))
     return done.select("pairID", "strategy", "raw_response", "predicted_label", "attempts")
 
 
 @query
 def inf9_score_routed(spark, d):
-    out = scoring.score(scoring.for_routed(rule_routed(spark, d)), stub_factory(), NO_DELAY, empty_error=True)
+    out = scoring.score(scoring.for_routed(rule_routed(spark, d)), rule_factory(), NO_DELAY, empty_error=True)
     return writers.in_display_order(out.select("pairID", "strategy", "max_tokens", "predicted_label", "prompt_tokens", "error"))
 
 
@@ -597,7 +599,7 @@ def met10_confusion_patterns(spark, d):
 
 @query
 def met11_top_confusions(spark, d):
-    return metrics.top_confusions(counts(spark, d, "strategy"), "strategy", k=6)
+    return metrics.top_confusions(counts(spark, d, "strategy"), "strategy", k=2)
 
 
 @query
@@ -652,15 +654,13 @@ def met16_validation_report(spark, d):
 def met17_sample_statistics(spark, d):
     s = profile.sample_statistics(cleaned(spark, d))
     return rounded(s.select("genre", "total", "total_samples", "avg_premise_words", "avg_hypothesis_words",
-                            *[F.coalesce(F.try_element_at("labels", F.lit(l)), F.lit(0)).cast("long").alias(l)
+                            *[f"all_{l}" for l in domain.LABELS], *[F.coalesce(F.try_element_at("labels", F.lit(l)), F.lit(0)).cast("long").alias(l)
                               for l in domain.LABELS]))
 
 
 @query
 def met18_value_counts(spark, d):
-    p = pairs(spark, d)
-    return rounded(profile.value_counts(p, "genre").select(F.lit("genre").alias("column"), F.col("genre").alias("value"), "n", "share").unionByName(
-        profile.value_counts(p, "label").select(F.lit("label").alias("column"), F.col("label").alias("value"), "n", "share")))
+    return rounded(profile.value_counts_of(pairs(spark, d), ["genre", "label"]))
 
 
 @query
@@ -983,7 +983,7 @@ def srt3_restore_order(spark, d):
 
 @query
 def top1_top_error_pairs(spark, d):
-    return metrics.top_confusions(counts(spark, d), k=6)
+    return metrics.top_confusions(counts(spark, d), k=2)
 
 
 @query
@@ -1074,11 +1074,13 @@ def ml10_train_and_route(spark, d):
 # --- streaming -------------------------------------------------------------------------------------------------------------
 
 def _pair_stream(spark, d):
-    path = f"{d}/documents.parquet"
-    # As a glob, because a stream reads folders or globs but not one named file.
-    batch = spark.read.parquet(path)
-    stream = repartition_as(running.read_stream(spark, f"{path}*", batch.schema), batch, "doc_id")
-    return readers.with_label(FX.document_pairs(stream.select("doc_id", "source", "text")))
+    # Several files in several triggers, so that state is carried from batch to batch.
+    batch = FX.table(spark, d, "documents").select("doc_id", "source", "text")
+    files = max(4, batch.rdd.getNumPartitions())
+    path = scratch_path(spark, "stream")
+    batch.repartition(files, "doc_id").write.parquet(path)
+    stream = running.read_stream(spark, path, batch.schema, files_per_trigger=-(-files // 4))
+    return readers.with_label(FX.document_pairs(repartition_as(stream, batch, "doc_id")))
 
 
 @query
@@ -1121,7 +1123,7 @@ def adaptive_summary(spark, d):
 
 @query
 def adaptive_run(spark, d):
-    scored = adaptive.run(FX.pairs(spark, d), stub_factory(), per_genre=None, **ROUTES)
+    scored = adaptive.run(FX.pairs(spark, d), rule_factory(), per_genre=None, **ROUTES)
     return rounded(adaptive.evaluate(scored, "genre"))
 
 

@@ -181,36 +181,26 @@ def correctness_profiles(df: DataFrame, strategies: list[str] | None = None, tru
                          pred: str = "predicted_label", id_col: str = "pairID") -> DataFrame:
     """(present, correct, n): how many pairs share the same set of answering and right strategies.
 
-    One shuffle on the pair id with two long buffers replaces a self-join per strategy pair; what
-    is left has at most one row per combination of strategies.
+    One shuffle on the pair id replaces a self-join per strategy pair; what is left has at most one row per
+    combination of strategies. Both columns are sorted arrays of strategy names, so any number of them fits.
     """
     names = strategies or domain.STRATEGIES
-    if len(names) > 60:
-        raise ValueError("at most 60 strategies fit one profile")
-    bit = F.lit(0).cast("long")
-    for i, name in enumerate(names):
-        bit = F.when(F.col("strategy") == name, F.lit(1 << i).cast("long")).otherwise(bit)
     right = F.coalesce(F.col(true) == F.col(pred), F.lit(False))
-    flagged = df.where(F.col("strategy").isin(names)).select(
-        F.col(id_col).alias("_id"), bit.alias("_bit"), right.alias("_right"))
-    per_pair = flagged.groupBy("_id").agg(
-        F.bit_or("_bit").alias("present"),
-        F.bit_or(F.when(F.col("_right"), F.col("_bit")).otherwise(F.lit(0).cast("long"))).alias("correct"))
+    flagged = df.where(F.col("strategy").isin(names)).select(F.col(id_col).alias("_id"), "strategy", right.alias("_right"))
+    per_pair = flagged.groupBy("_id").agg(  # a pair's rows: one per strategy
+        F.array_sort(F.collect_set("strategy")).alias("present"),
+        F.array_sort(F.collect_set(F.when(F.col("_right"), F.col("strategy")))).alias("correct"))
     return per_pair.groupBy("present", "correct").agg(F.count(F.lit(1)).alias("n"))
 
 
 def paired_counts(profiles: DataFrame, strategies: list[str] | None = None) -> DataFrame:
     """For each pair of strategies: rows in common and who was right on them."""
     names = strategies or domain.STRATEGIES
-    pairs = F.array(*[
-        F.struct(F.lit(names[i]).alias("strategy_a"), F.lit(names[j]).alias("strategy_b"),
-                 F.lit(1 << i).cast("long").alias("_a"), F.lit(1 << j).cast("long").alias("_b"))
-        for i, j in combinations(range(len(names)), 2)])
+    pairs = F.array(*[F.struct(F.lit(a).alias("strategy_a"), F.lit(b).alias("strategy_b")) for a, b in combinations(names, 2)])
     rows = profiles.select("*", F.inline(pairs))
-    both = F.col("_a").bitwiseOR(F.col("_b"))
-    rows = rows.where(F.col("present").bitwiseAND(both) == both)
-    a = F.col("correct").bitwiseAND(F.col("_a")) != 0
-    b = F.col("correct").bitwiseAND(F.col("_b")) != 0
+    rows = rows.where(F.array_contains("present", F.col("strategy_a")) & F.array_contains("present", F.col("strategy_b")))
+    a = F.array_contains("correct", F.col("strategy_a"))
+    b = F.array_contains("correct", F.col("strategy_b"))
 
     def total(cond: Column) -> Column:
         return F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)).cast("long")

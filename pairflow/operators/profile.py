@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,7 +9,7 @@ from pyspark.sql import functions as F
 from pairflow import domain
 from pairflow.functions.ordering import magnitude_bucket
 from pairflow.functions.text import blank_word_count
-from pairflow.workspace import literal_table, materialize
+from pairflow.workspace import materialize
 
 LABEL_COLUMNS = domain.LABELS + [domain.UNKNOWN_LABEL]
 
@@ -27,6 +25,16 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
     return counts.withColumn("share", F.col("n") / total).orderBy(F.col("n").desc(), col)
 
 
+def value_counts_of(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, value, n, share) of several columns from one pass over the source."""
+    cells = df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])))
+    counts = cells.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    # Every row counts once per column, so the total is the same for all of them.
+    total = counts.agg(F.sum("n") / len(columns)).scalar()
+    return counts.withColumn("share", F.col("n") / total)
+
+
 def crosstab(df: DataFrame, row: str = "genre", col: str = "label", values: list[str] | None = None) -> DataFrame:
     values = values or LABEL_COLUMNS
     return df.groupBy(row).pivot(col, values).count().fillna(0, values)
@@ -46,7 +54,7 @@ def crosstab_with_margins(df: DataFrame, row: str = "genre", col: str = "label",
 
 
 def validation_report(df: DataFrame) -> DataFrame:
-    """Rows, genres, nulls per column and unknown labels in one row."""
+    """Rows, genres, nulls per column, label counts and unknown labels in one row."""
     nulls = {f"null_{c}": F.count_if(F.col(c).isNull()) for c in df.columns}
     cells = df.groupBy("genre", "label").agg(
         F.count(F.lit(1)).alias("n"), *[e.alias(a) for a, e in nulls.items()])
@@ -57,11 +65,15 @@ def validation_report(df: DataFrame) -> DataFrame:
         F.count_distinct("genre").alias("unique_genres"),
         F.array_join(genres, ",").alias("genres"),
         F.coalesce(unknown, F.lit(0)).cast("long").alias("unknown_labels"),
+        *[F.coalesce(F.sum(F.when(F.col("label") == l, F.col("n"))), F.lit(0)).cast("long").alias(f"n_{l}") for l in domain.LABELS],
         *[F.sum(a).alias(a) for a in nulls])
 
 
 def sample_statistics(df: DataFrame) -> DataFrame:
-    """Per genre: total and a label -> count map; plus the table's mean word counts."""
+    """Per genre: total and a label -> count map; plus the whole table's size, label counts and mean word counts.
+
+    The whole table's figures are scalar subqueries, as genres may be of any number.
+    """
     cells = df.groupBy("genre", "label").agg(
         F.count(F.lit(1)).alias("n"), F.sum(blank_word_count("premise")).alias("_p"),
         F.sum(blank_word_count("hypothesis")).alias("_h"))
@@ -69,11 +81,12 @@ def sample_statistics(df: DataFrame) -> DataFrame:
         F.sum("n").alias("total"),
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", "n")))).alias("labels"),
         F.sum("_p").alias("_p"), F.sum("_h").alias("_h"))
-    everything = W.partitionBy()
+    whole = lambda value: cells.agg(value).scalar()
+    total = whole(F.sum("n"))
+    count_of = lambda l: F.coalesce(whole(F.sum(F.when(F.col("label") == l, F.col("n")))), F.lit(0))
     return per_genre.withColumns({
-        "total_samples": F.sum("total").over(everything),
-        "avg_premise_words": F.sum("_p").over(everything) / F.sum("total").over(everything),
-        "avg_hypothesis_words": F.sum("_h").over(everything) / F.sum("total").over(everything),
+        "total_samples": total, "avg_premise_words": whole(F.sum("_p")) / total, "avg_hypothesis_words": whole(F.sum("_h")) / total,
+        **{f"all_{l}": count_of(l).cast("long") for l in domain.LABELS},
     }).drop("_p", "_h")
 
 
@@ -98,16 +111,17 @@ def mean_by_genre(df: DataFrame, col: str = "total_negations", key: str = "genre
 def correlations(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Pearson correlation of every pair of features, both ways and with the diagonal.
 
-    The feature columns are written once, since the correlation reads them twice; only the matrix
-    (features x features) reaches the driver.
+    One aggregate over the source; each pair ignores only the rows in which one of its own two features is null,
+    and a feature without variance has no correlation.
     """
     names = names or domain.MODEL_FEATURES
-    rows = materialize(df.select(*[F.col(c).cast("double").alias(c) for c in names]), "features")
-    vectors = VectorAssembler(inputCols=names, outputCol="_v", handleInvalid="skip").transform(rows).select("_v")
-    matrix = Correlation.corr(vectors, "_v").head()[0].toArray()
-    cells = [(a, b, None if matrix[i, j] != matrix[i, j] else float(matrix[i, j]))
+    n = len(names)
+    value = lambda i: F.col(names[i]).cast("double")
+    wide = df.agg(*[F.corr(value(i), value(j)).alias(f"_{i}_{j}") for i in range(n) for j in range(i, n)])
+    cells = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
+                      F.nanvl(F.col(f"_{min(i, j)}_{max(i, j)}"), F.lit(None).cast("double")).alias("correlation"))
              for i, a in enumerate(names) for j, b in enumerate(names)]
-    return literal_table(df.sparkSession, cells, {"feature_a": "string", "feature_b": "string", "correlation": "double"})
+    return wide.select(F.inline(F.array(*cells)))
 
 
 # --- exact quantiles -------------------------------------------------------------------------

@@ -30,12 +30,13 @@ def common_rows(table: DataFrame, *others: DataFrame, key: str = "pairID") -> Da
 
 
 def keys_with_all(predictions: DataFrame, required: tuple[str, ...], key: str = "pairID") -> DataFrame:
-    """Keys that have a prediction of every required strategy, by one grouping of small integers."""
-    bit = F.lit(0)
-    for i, name in enumerate(required):
-        bit = F.when(F.col("strategy") == name, F.lit(1 << i)).otherwise(bit)
-    seen = predictions.where(F.col("strategy").isin(list(required))).groupBy(key).agg(F.bit_or(bit).alias("_seen"))
-    return seen.where(F.col("_seen") == (1 << len(required)) - 1).select(key)
+    """Keys that have a prediction of every required strategy, by one grouping with a flag per strategy."""
+    names = list(dict.fromkeys(required))
+    seen = predictions.where(F.col("strategy").isin(names)).groupBy(key).agg(
+        *[F.max(F.col("strategy") == name).alias(f"_{i}") for i, name in enumerate(names)])
+    for i in range(len(names)):
+        seen = seen.where(f"_{i}")
+    return seen.select(key)
 
 
 def alignment_report(table: DataFrame, other: DataFrame, key: str = "pairID") -> DataFrame:

@@ -61,30 +61,41 @@ RESULT_FIELDS = [
 ]
 
 
+def _one_each(answers: list[Answer], batch: pd.DataFrame) -> list[Answer]:
+    answers = list(answers)
+    if len(answers) != len(batch):
+        raise ValueError(f"the scorer gave {len(answers)} answers to {len(batch)} rows")
+    return answers
+
+
 def answer_with_retries(scorer, batch: pd.DataFrame, policy: RetryPolicy,
                         sleep: Callable[[float], None] = time.sleep) -> tuple[list[Answer], list[int]]:
     """Ask for the whole batch, then again for the rows whose failure may pass; delays double."""
-    answers = list(scorer.answer(batch))
+    answers = _one_each(scorer.answer(batch), batch)
     attempts = [1] * len(answers)
     for attempt in range(1, policy.attempts):
         again = [i for i, a in enumerate(answers) if policy.should_retry(a)]
         if not again:
             break
         sleep(policy.delay_s * 2 ** (attempt - 1))
-        for i, answer in zip(again, scorer.answer(batch.iloc[again])):
+        retried = batch.iloc[again]
+        for i, answer in zip(again, _one_each(scorer.answer(retried), retried)):
             answers[i] = answer
             attempts[i] += 1
     return answers, attempts
 
 
 def score(df: DataFrame, factory: Callable[[], object], policy: RetryPolicy = RetryPolicy(),
-          max_concurrency: int | None = None, empty_error: bool = False, keep_prompt: bool = False) -> DataFrame:
+          max_concurrency: int | None = None, empty_error: bool = False, keep_prompt: bool = False,
+          profile=None) -> DataFrame:
     """Add the result columns to a table that has prompt (and optionally max_tokens).
 
-    max_concurrency fixes the number of tasks, and so of scorers at work at one time.
+    max_concurrency bounds the scorers at work at one time: that many tasks read the partitions one after the
+    other, without a shuffle, and hold one batch each. On a cluster a resource profile (profile) bounds the task
+    slots of the scoring stage instead and leaves the table in its many partitions.
     empty_error reports "" instead of null for a success.
     """
-    rows = df.repartition(max_concurrency) if max_concurrency else df
+    rows = df.coalesce(max_concurrency) if max_concurrency else df
     names = [f.name for f in RESULT_FIELDS]
     schema = T.StructType([f for f in df.schema.fields if f.name not in names] + RESULT_FIELDS)
     inputs = [f.name for f in schema.fields if f.name not in names]
@@ -105,7 +116,7 @@ def score(df: DataFrame, factory: Callable[[], object], policy: RetryPolicy = Re
             out["attempts"] = attempts
             yield out
 
-    result = rows.mapInPandas(run, schema).withColumn("predicted_label", parse_label("raw_response"))
+    result = rows.mapInPandas(run, schema, profile=profile).withColumn("predicted_label", parse_label("raw_response"))
     if empty_error:
         result = result.withColumn("error", F.when(F.col("success"), F.lit("")).otherwise(F.col("error")))
     return result if keep_prompt else result.drop("prompt")

@@ -11,11 +11,16 @@ from pairflow.functions.ordering import digest_number
 from pairflow.sources.readers import with_label
 from pairflow.workspace import spread
 
-# strategy -> (share answered as labelled in percent, characters added by the prompt)
-STRATEGY_PROFILE = {
-    "zero-shot": (70, 600), "one-shot": (75, 880), "few-shot": (80, 1800),
-    "cot": (85, 1400), "6-shot": (82, 2000), "6-shot-cot": (78, 1500),
+# Settings of the rule scorer. strategy -> shares of hypothesis words in the premise: at most this for a
+# contradiction, at least that for an entailment.
+THRESHOLDS = {
+    "zero-shot": (0.0, 0.3), "one-shot": (0.05, 0.25), "few-shot": (0.1, 0.2),
+    "cot": (0.1, 0.3), "6-shot": (0.05, 0.2), "6-shot-cot": (0.15, 0.25),
 }
+# strategy -> characters added by the prompt
+PROMPT_CHARS = {"zero-shot": 600, "one-shot": 880, "few-shot": 1800, "cot": 1400, "6-shot": 2000, "6-shot-cot": 1500}
+# Pairs of more characters are refused at the first attempt, or at every attempt.
+LONG, TOO_LONG = 240, 320
 # Thresholds at which some rows of the fixture are routed to 6-shot (none is at the defaults).
 FIXTURE_THRESHOLDS = {"length": 100, "negations": 1, "overlap": 0.4}
 
@@ -25,7 +30,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def document_pairs(documents: DataFrame) -> DataFrame:
-    """Consecutive sentences of a document as (premise, hypothesis)."""
+    """Each sentence of a document with the one after it as (premise, hypothesis).
+
+    A document of one sentence gives one pair with an empty hypothesis, so every sentence is read.
+    """
     sentences = F.filter(
         F.transform(F.regexp_extract_all("text", F.lit(r"([^.\n]+)"), F.lit(1)), lambda s: F.trim(s)), lambda s: s != "")
     genres = F.array(*[F.lit(g) for g in domain.GENRES])
@@ -35,12 +43,12 @@ def document_pairs(documents: DataFrame) -> DataFrame:
     # evaluate them once more per reference.
     pair_id = lambda i: F.concat(F.col("doc_id"), F.lit("-"), i)
     pair_rows = F.transform(
-        F.sequence(F.lit(0), F.floor(F.size("s") / 2).cast("int") - 1),
+        F.sequence(F.lit(0), F.greatest(F.size("s") - 2, F.lit(0))),
         lambda i: F.struct(
-            pair_id(i).alias("pairID"), F.get("s", i * 2).alias("premise"), F.get("s", i * 2 + 1).alias("hypothesis"),
+            pair_id(i).alias("pairID"), F.get("s", i).alias("premise"), F.coalesce(F.get("s", i + 1), F.lit("")).alias("hypothesis"),
             (digest_number(pair_id(i)) % 100).cast("int").alias("b")))
     # A guard inside the expression: as a filter it would be pushed below the repartition and split twice.
-    rows = arrays.select("genre", F.inline(F.when(F.size("s") >= 2, pair_rows)))
+    rows = arrays.select("genre", F.inline(F.when(F.size("s") >= 1, pair_rows)))
     return rows.select("pairID", "premise", "hypothesis", "genre", _label_id(F.col("b")).alias("label_id"))
 
 
@@ -85,33 +93,35 @@ def with_strategies(df: DataFrame, strategies: list[str], **columns: dict) -> Da
 
 
 def scored(pairs_df: DataFrame, strategies: list[str] | None = None) -> DataFrame:
-    """Pair columns plus the deterministic stand-in answer of every strategy."""
+    """Pair columns plus the final answer of the rule scorer for every strategy, as column expressions."""
     names = strategies or domain.STRATEGIES
+    wanted = F.array_distinct(T.word_tokens("hypothesis"))
+    shared = F.size(F.array_intersect(F.array_distinct(T.word_tokens("premise")), wanted))
+    judged = pairs_df.select("*", F.struct(
+        (F.length("premise") + F.length("hypothesis")).alias("chars"), F.size(wanted).alias("words"),
+        (shared / F.greatest(F.size(wanted), F.lit(1))).alias("overlap")).alias("_j"))
     rows = with_strategies(
-        pairs_df, names,
-        _acc={s: STRATEGY_PROFILE[s][0] for s in names}, _base={s: STRATEGY_PROFILE[s][1] for s in names},
-        _h={s: row_digest(F.lit(s)).cast("int") for s in names})
-    answer = (F.when(F.col("label_id") < 0, 1).when(F.col("_h") < F.col("_acc"), F.col("label_id"))
-              .otherwise((F.col("label_id") + 1) % 3))
-    word = F.when(answer == 0, F.lit("entailment")).when(answer == 1, F.lit("neutral")).otherwise(F.lit("contradiction"))
-    h = F.col("_h")
+        judged, names, _low={s: THRESHOLDS[s][0] for s in names}, _high={s: THRESHOLDS[s][1] for s in names},
+        _base={s: PROMPT_CHARS[s] for s in names})
+    chars, overlap = F.col("_j.chars"), F.col("_j.overlap")
+    word = (F.when(overlap >= F.col("_high"), F.lit("entailment")).when(overlap <= F.col("_low"), F.lit("contradiction"))
+            .otherwise(F.lit("neutral")))
+    error = F.when(F.col("_j.words") == 0, F.lit("Nothing to judge")).when(chars > TOO_LONG, F.lit("Rate limit exceeded"))
     response = (
-        F.when(h == 99, F.lit(""))
-        .when(h >= 97, F.lit("cannot decide"))
+        F.when(error.isNotNull(), F.lit(""))
+        .when(F.col("_j.words") == 1, F.lit("cannot decide"))
         .when(F.col("strategy").endswith("cot"), F.concat(F.lit("1. Compare the claims. Classification: "), word))
-        .when(h % 10 == 0, F.concat(F.lit("  "), F.upper(word), F.lit(" ")))
-        .when(h % 10 == 1, F.concat(F.lit("It is "), word, F.lit(".")))
+        .when(chars % 10 == 0, F.concat(F.lit("  "), F.upper(word), F.lit(" ")))
+        .when(chars % 10 == 1, F.concat(F.lit("It is "), word, F.lit(".")))
         .otherwise(word))
-    chars = F.length("premise") + F.length("hypothesis")
-    rows = rows.withColumn("raw_response", response)
+    rows = rows.withColumns({"raw_response": response, "error": error})
     return rows.withColumns({
         "predicted_label": T.parse_label("raw_response"),
         "prompt_tokens": F.floor((chars + F.col("_base")) / 4).cast("long") + 1,
-        "response_tokens": F.when(h == 99, F.lit(0).cast("long")).otherwise(T.approx_tokens("raw_response")),
-        "latency_ms": (F.lit(50) + h).cast("double"),
-        "success": h != 99,
-        "error": F.when(h == 99, F.lit("Rate limit exceeded")),
-    }).drop("_acc", "_base", "_h")
+        "response_tokens": F.when(F.col("error").isNotNull(), F.lit(0).cast("long")).otherwise(T.approx_tokens("raw_response")),
+        "latency_ms": (F.lit(50) + chars % 100).cast("double"),
+        "success": F.col("error").isNull(),
+    }).drop("_low", "_high", "_base", "_j")
 
 
 def predictions(spark: SparkSession, sf_dir: str, strategies: list[str] | None = None) -> DataFrame:

@@ -53,27 +53,33 @@ def call_history(calls: DataFrame, limit: int = 100) -> DataFrame:
         F.col("raw_response").alias("response"), "prompt_tokens", "response_tokens")
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def run_to_table(stream: DataFrame, name: str, mode: str = "append", root: str | None = None) -> DataFrame:
     """Process what is available, then return the result as a batch table.
 
-    "append" writes rows through the file sink (exactly once). "complete" writes the small result
-    table of each trigger to its own folder, so a repeated trigger overwrites only itself, and
-    returns the folder of the last trigger.
+    "append" writes rows through the file sink (exactly once). "complete" writes the small result table of each
+    trigger to its own folder, so a repeated trigger overwrites only itself, and returns that of the last one.
+    "update" is refused: a trigger's changes alone are not the table. With the same root a later call resumes where
+    the last one stopped. A source without rows gives an empty table.
     """
+    if mode not in ("append", "complete"):
+        raise ValueError(f"mode {mode} does not give a whole table; use append or complete")
     spark = stream.sparkSession
-    root = scratch_path(spark, name)
+    root = root or scratch_path(spark, name)
     writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{root}/checkpoint")
     if mode == "append":
         query = writer.outputMode("append").format("parquet").option("path", f"{root}/rows").start()
     else:
-        done: list[int] = []
-
         def store(batch: DataFrame, batch_id: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{root}/state/{batch_id}")
-            done.append(batch_id)
+            batch.write.mode("overwrite").parquet(f"{root}/state/batch={batch_id}")
 
-        query = writer.outputMode(mode).foreachBatch(store).start()
+        query = writer.outputMode("complete").foreachBatch(store).start()
     query.awaitTermination()
+    path = f"{root}/rows" if mode == "append" else f"{root}/state"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], stream.schema)
     if mode == "append":
-        return spark.read.schema(stream.schema).parquet(f"{root}/rows")
-    return spark.read.schema(stream.schema).parquet(f"{root}/state/{max(done)}")
+        return spark.read.schema(stream.schema).parquet(path)
+    states = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
+    last = states.agg(F.max("batch")).first()[0]
+    return states.where(F.col("batch") == last).drop("batch")

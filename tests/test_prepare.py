@@ -182,3 +182,20 @@ def test_sample_statistics_nested(spark):
     out = {r.genre: r for r in profile.sample_statistics(df).collect()}
     assert out["g"].labels == {"neutral": 1, "entailment": 1} and out["g"].total == 2
     assert out["h"].total_samples == 3 and out["h"].avg_premise_words == pytest.approx(4 / 3)
+
+
+def test_pairs_use_every_sentence_and_document(spark):
+    docs = spark.createDataFrame([(1, "src0", "A b. C d. E f."), (2, "src1", "Only one"), (3, "src2", " . "), (4, "src3", None)], "doc_id long, source string, text string")
+    got = sorted((r.pairID, r.premise, r.hypothesis) for r in fixtures.document_pairs(docs).collect())
+    assert got == [("1-0", "A b", "C d"), ("1-1", "C d", "E f"), ("2-0", "Only one", "")]
+
+
+def test_correlations_ignore_nulls_pair_by_pair(spark):
+    rows = [(1.0, 1.0, None), (2.0, 3.0, 1.0), (3.0, 2.0, 2.0), (4.0, 5.0, None), (5.0, 4.0, 5.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double").withColumn("k", F.lit(1.0))
+    got = {(r.feature_a, r.feature_b): r.correlation for r in profile.correlations(df, ["a", "b", "c", "k"]).collect()}
+    want = pd.DataFrame(rows, columns=list("abc")).corr()
+    for x in "abc":
+        for y in "abc":
+            assert abs(got[x, y] - want.loc[x, y]) < 1e-12
+    assert got["a", "k"] is None and got["k", "k"] is None

@@ -12,7 +12,7 @@ from pairflow.operators import difficulty as D
 from pairflow.operators import routing, scoring
 from pairflow.plans import adaptive, study
 from pairflow.sources import fixtures, readers
-from pairflow.sources.stub_scorer import stub_factory
+from pairflow.sources.rule_scorer import rule_factory
 from pairflow.streaming import running
 from pairflow.workspace import materialize, scratch_path
 
@@ -47,21 +47,21 @@ def test_retry_policy(failures, error, ok, attempts, slept):
 
 def test_scoring_matches_stored_answers(spark, pairs, predictions):
     rows = scoring.for_strategies(pairs, domain.STRATEGIES)
-    got = scoring.score(rows, stub_factory(), FAST, max_concurrency=3).select(*RESULT)
+    got = scoring.score(rows, rule_factory(), FAST, max_concurrency=3).select(*RESULT)
     want = predictions.select(*RESULT)
     assert got.exceptAll(want).count() == 0 and got.count() == want.count()
 
 
 def test_resume_scores_only_what_is_missing(spark, pairs, predictions):
     stored = predictions.where("strategy = 'cot' AND success").withColumn("attempts", F.lit(0))
-    done = study.run_strategies(pairs, stub_factory(), ["cot", "zero-shot"], stored=stored)
+    done = study.run_strategies(pairs, rule_factory(), ["cot", "zero-shot"], stored=stored)
     n = pairs.count()
     assert done.count() == 2 * n == done.select("pairID", "strategy").distinct().count()
     assert done.where("attempts = 0").count() == stored.count()
 
 
 def test_adaptive_run_answers_every_row(spark, pairs):
-    out = adaptive.run(pairs, stub_factory(), per_genre=5, length=100, negations=1)
+    out = adaptive.run(pairs, rule_factory(), per_genre=5, length=100, negations=1)
     assert out.where("error IS NULL").count() == 0
     assert out.where("strategy <> routed_strategy").count() == 0
     assert out.groupBy("genre").count().where("count > 5").count() == 0
@@ -81,10 +81,10 @@ def test_scorer_reaches_workers_without_the_package(tmp_path):
 import sys; sys.path.insert(0, sys.argv[1])
 from pairflow.session import local_session
 from pairflow.operators import scoring
-from pairflow.sources.stub_scorer import stub_factory
+from pairflow.sources.rule_scorer import rule_factory
 spark = local_session("elsewhere", cpus=1, memory="1g")
 df = spark.createDataFrame([("1", "p", "h", 0, "cot", "x")], "pairID string, premise string, hypothesis string, label_id int, strategy string, prompt string")
-print("answered", scoring.score(df, stub_factory()).count())
+print("answered", scoring.score(df, rule_factory()).count())
 """
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
@@ -183,8 +183,50 @@ def test_running_counters(spark, pairs, pair_files):
     want = routing.routing_counters(routing.route_by_score(pairs, fixtures.difficulty_score()))
     assert same(got, want)
     calls = fixtures.scored(running.read_stream(spark, pair_files, pairs.schema, 1)).withColumn("model", F.lit("m"))
-    got = running.run_to_table(running.call_totals(calls), "t2", "update")
+    got = running.run_to_table(running.call_totals(calls), "t2", "complete")
     assert got.count() == 1
+    with pytest.raises(ValueError):
+        running.run_to_table(running.call_totals(calls), "t2", "update")
+
+
+def test_state_of_every_trigger_and_resumption(spark):
+    schema = "model string, success boolean, prompt_tokens long, response_tokens long"
+    path, root = scratch_path(spark, "calls"), scratch_path(spark, "calls-root")
+    write = lambda model: spark.createDataFrame([(model, True, 1, 2)], schema).coalesce(1).write.mode("append").parquet(path)
+    write("m1")
+    write("m2")
+    from pyspark.sql.types import StructType
+    run = lambda: {r.model: r.total_calls for r in running.run_to_table(running.call_totals(
+        running.read_stream(spark, path, StructType.fromDDL(schema), 1)), "calls", "complete", root).collect()}
+    assert run() == {"m1": 1, "m2": 1}
+    assert run() == {"m1": 1, "m2": 1}
+    write("m1")
+    assert run() == {"m1": 2, "m2": 1}
+
+
+def test_stream_without_rows(spark):
+    path = scratch_path(spark, "no-files")
+    spark.createDataFrame([], "model string, success boolean, prompt_tokens long, response_tokens long").write.parquet(path)
+    schema = spark.read.parquet(path).schema
+    for mode in ("append", "complete"):
+        stream = running.read_stream(spark, path, schema)
+        table = running.run_to_table(running.call_totals(stream) if mode == "complete" else stream, "none", mode)
+        assert table.count() == 0
+
+
+def test_scorer_must_answer_every_row():
+    class Short:
+        def answer(self, batch):
+            return [scoring.Answer("x", 1, 1, 1.0)] * (len(batch) - 1)
+
+    with pytest.raises(ValueError):
+        scoring.answer_with_retries(Short(), pd.DataFrame({"id": [1, 2]}), scoring.RetryPolicy(), lambda s: None)
+
+
+def test_some_failures_pass_at_the_second_try(spark, pairs):
+    rows = scoring.for_strategies(pairs.where("length(premise) + length(hypothesis) > 230"), ["cot"])
+    tries = {(r.success, r.attempts) for r in scoring.score(rows, rule_factory(), FAST).select("success", "attempts").collect()}
+    assert {(True, 1), (True, 2), (False, 3)} <= tries
 
 
 def test_stateless_stream(spark, pairs, pair_files):

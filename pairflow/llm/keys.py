@@ -20,4 +20,4 @@ def sized(df: DataFrame, name: str, limit: int = BROADCAST_KEYS) -> DataFrame:
 def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """Rows of docs whose id is not among ids (one long column); a null id counts as a value."""
     dropped = sized(ids.toDF("_dropped_id").distinct(), "dropped")
-    return docs.join(dropped, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_dropped_id")), "left_anti")
+    return docs.join(dropped, docs[id_col].cast("long").eqNullSafe(dropped["_dropped_id"]), "left_anti")

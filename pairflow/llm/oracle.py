@@ -30,8 +30,8 @@ FROM h JOIN n USING (item_id) WHERE 100 * n_shared >= 80 * n_item""",
  n AS (SELECT doc_id, count(*) n FROM d GROUP BY 1),
  p AS (SELECT x.doc_id a, y.doc_id b, count(*) c FROM d x JOIN d y USING (s) WHERE x.doc_id <> y.doc_id GROUP BY 1, 2),
  e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
- r(id, at) AS (SELECT doc_id, doc_id FROM documents UNION SELECT id, b FROM r JOIN e ON e.a = r.at)
-SELECT doc_id, coalesce(any_value(n.n), 0)::bigint AS n_shingles, min(r.at) AS component_id
+ r(id, node) AS (SELECT doc_id, doc_id FROM documents UNION SELECT id, b FROM r JOIN e ON e.a = r.node)
+SELECT doc_id, coalesce(any_value(n.n), 0)::bigint AS n_shingles, min(r.node) AS component_id
 FROM documents LEFT JOIN n USING (doc_id) JOIN r ON r.id = documents.doc_id GROUP BY doc_id""",
     "op5_url_filter": f"""WITH h AS (SELECT page_id,
   coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') host,

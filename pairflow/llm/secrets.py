@@ -135,11 +135,11 @@ def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
     rows = materialize(found(docs, id_col, text_col, owner_col).filter(F.size("_spans") > 0), "spans")
     changes = keys.sized(judged(rows).filter("n_live > 0").select(
         F.col("_id").alias("_secret_id"), F.col("_key").alias("_secret_key"), F.col("live_spans").alias("_secret_spans")), "live", 100_000)
-    text = F.col(f"`{text_col}`").cast("string")
-    joined = docs.join(changes, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_secret_id"))
-                       & (F.md5(F.coalesce(text, F.lit("")).cast("binary")) == F.col("_secret_key")), "left")
+    text, spans = docs[text_col].cast("string"), changes["_secret_spans"]
+    joined = docs.join(changes, docs[id_col].cast("long").eqNullSafe(changes["_secret_id"])
+                       & (F.md5(F.coalesce(text, F.lit("")).cast("binary")) == changes["_secret_key"]), "left")
     # Overlapping spans (a hex value inside an assignment) are cut once: each starts where the last has ended.
-    ordered = F.array_sort(F.transform("_secret_spans", lambda s: F.struct(s["start"], s["end"])))
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], s["end"])))
     cut = F.aggregate(
         ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(
@@ -147,5 +147,5 @@ def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
             F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(
                 acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("<secret>"))).alias("out"))),
         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    changed = F.when(F.col("_secret_spans").isNotNull(), cut).otherwise(text)
-    return joined.select(*[changed.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    changed = F.when(spans.isNotNull(), cut).otherwise(text)
+    return joined.select(*[changed.alias(c) if c == text_col else docs[c] for c in docs.columns])

@@ -410,6 +410,11 @@ SELECT vec_id, CASE WHEN a >= b AND a >= c THEN 'contradiction' WHEN b >= c THEN
     "met8_per_genre": _sql(f"SELECT genre, {REPORT} FROM m_genre", "m_genre"),
     "met9_strategy_comparison": _sql(f"SELECT strategy, {REPORT} FROM m_strategy", "m_strategy"),
     "met11_top_confusions": _sql("SELECT strategy, confusion_pair, n FROM (SELECT strategy, concat(label, ' → ', predicted_label) confusion_pair, count(*) n FROM preds WHERE label <> predicted_label GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY strategy ORDER BY n DESC, confusion_pair) <= 2", "preds"),
+    # erfc(sqrt(s/2)) by the series of positive terms of erf, which is enough for six digits up to x = 5.5.
+    "met13_mcnemar_p_value": _sql(f"""SELECT strategy_a, strategy_b, round(s, 6) AS statistic, round(CASE WHEN s = 0 THEN 1.0::double WHEN s > 60 THEN 0.0::double
+  ELSE 1 - 2 / sqrt(pi()) * exp(-s / 2) * list_sum(list_transform(range(0, 250), lambda k:
+   exp(2 * k * ln(2) + (2 * k + 1) * ln(sqrt(s / 2)) - lgamma(2 * k + 2) + lgamma(k + 1)))) END, 6) AS p_value
+  FROM (SELECT strategy_a, strategy_b, {STAT} s FROM pc)""", "right"),
     "met13_mcnemar": _sql(f"SELECT strategy_a, strategy_b, a_only_correct, b_only_correct, round({STAT}, 6) statistic, {STAT} > {CHI}::double significant FROM pc", "right"),
     "met13_mcnemar_quality_toxic": f"""WITH pc AS (SELECT 'zero-shot' strategy_a, 'cot' strategy_b, count(*) n_common, count(*) FILTER (quality = 1) a_correct, count(*) FILTER (toxic = 0) b_correct,
       count(*) FILTER (quality = 1 AND toxic = 1) a_only_correct, count(*) FILTER (quality = 0 AND toxic = 0) b_only_correct FROM labels)

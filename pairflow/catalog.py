@@ -124,7 +124,7 @@ def snk2_write_csv(spark, d):
     path = scratch_path(spark, "features-csv")
     out = rounded(featured(spark, d).select("pairID", "label", *domain.FEATURES))
     writers.write_csv(out, path)
-    return spark.read.schema(out.schema).options(**readers.CSV_OPTIONS).csv(path)
+    return writers.many_lines(spark.read.schema(out.schema).options(**readers.CSV_OPTIONS).csv(path))
 
 
 @query
@@ -151,7 +151,8 @@ def snk4_write_summary(spark, d):
 def snk5_model_round_trip(spark, d):
     path = scratch_path(spark, "model")
     f = clean_features(spark, d)
-    difficulty.fit(difficulty.training_rows(f, preds(spark, d))).save(spark, path)
+    rows = difficulty.training_rows(f, preds(spark, d))
+    difficulty.fit(rows).save(spark, path)
     loaded = difficulty.DifficultyModel.load(spark, path)
     return rounded(loaded.score(f).select("pairID", "predicted_difficulty", "difficulty_score"))
 
@@ -619,7 +620,7 @@ def met13_mcnemar(spark, d):
 
 @query
 def met13_mcnemar_p_value(spark, d):
-    return metrics.with_p_value(metrics.mcnemar(_paired(spark, d))).select("strategy_a", "strategy_b", "statistic", "p_value")
+    return rounded(metrics.with_p_value(metrics.mcnemar(_paired(spark, d))).select("strategy_a", "strategy_b", "statistic", "p_value"))
 
 
 @query

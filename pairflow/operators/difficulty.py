@@ -117,9 +117,15 @@ class DifficultyModel:
         ordered = table.orderBy(F.abs("importance").desc(), "feature")
         return ordered.limit(k) if k else ordered
 
-    def save(self, spark: SparkSession, path: str) -> None:
+    def save(self, spark: SparkSession, path: str, cv: DataFrame | None = None) -> None:
+        """The fitted model, its scaling, class sizes, settings and coefficients; cv: a cross-validation report."""
         self.model.write().overwrite().save(f"{path}/model")
-        meta = json.dumps({"scaling": asdict(self.scaling), "sizes": {str(k): v for k, v in self.sizes.items()}})
+        if cv is not None:
+            cv.write.mode("overwrite").parquet(f"{path}/cv")
+        meta = json.dumps({
+            "scaling": asdict(self.scaling), "sizes": {str(k): v for k, v in self.sizes.items()},
+            "settings": {"penalty": "l2", "inverse_strength": 1.0, "class_weight": "balanced", "max_iter": 1000, "tol": 1e-6},
+            "importance": dict(zip(self.scaling.names, map(float, self.coefficients))), "intercept": self.intercept})
         spark.range(1).select(F.lit(meta).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
 
     @classmethod

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -117,9 +117,16 @@ def correlations(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     names = names or domain.MODEL_FEATURES
     n = len(names)
     value = lambda i: F.col(names[i]).cast("double")
-    wide = df.agg(*[F.corr(value(i), value(j)).alias(f"_{i}_{j}") for i in range(n) for j in range(i, n)])
+
+    def correlation(i: int, j: int) -> Column:
+        # The built-in corr divides by a variance of zero, which is an error in ANSI mode.
+        x = F.when(value(j).isNotNull(), value(i))
+        y = F.when(value(i).isNotNull(), value(j))
+        return F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x)) * F.sqrt(F.var_pop(y)))
+
+    wide = df.agg(*[correlation(i, j).alias(f"_{i}_{j}") for i in range(n) for j in range(i, n)])
     cells = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
-                      F.nanvl(F.col(f"_{min(i, j)}_{max(i, j)}"), F.lit(None).cast("double")).alias("correlation"))
+                      F.col(f"_{min(i, j)}_{max(i, j)}").alias("correlation"))
              for i, a in enumerate(names) for j, b in enumerate(names)]
     return wide.select(F.inline(F.array(*cells)))
 

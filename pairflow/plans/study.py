@@ -44,13 +44,16 @@ def apply_router(model: difficulty.DifficultyModel, features: DataFrame, tiered:
 
 
 def final_record(comparison: DataFrame, savings: DataFrame, cv: DataFrame) -> DataFrame:
-    """One row: best strategy and accuracy, savings, cross-validation accuracy.
+    """One row: best strategy and accuracy, savings, cross-validation accuracy, and the comparison of strategies.
 
-    The three inputs are reports of at most a few rows; they are stacked and folded, not joined.
+    The inputs are reports of at most a few rows; they are stacked and folded, not joined.
     """
     best = metrics.best_strategy(comparison).select(
         F.col("strategy").alias("best_strategy"), F.col("accuracy").alias("best_accuracy"))
     parts = best.unionByName(
         savings.select("cost_savings_pct", "token_savings_pct"), allowMissingColumns=True).unionByName(
         cv.select(F.col("accuracy").alias("gatekeeper_cv_accuracy")), allowMissingColumns=True)
-    return parts.agg(*[F.max(c).alias(c) for c in parts.columns])
+    scores = [c for c in ("accuracy", "macro_f1", "n_samples") if c in comparison.columns]
+    parts = parts.unionByName(comparison.select(F.struct("strategy", *scores).alias("_row")), allowMissingColumns=True)
+    names = [c for c in parts.columns if c != "_row"]
+    return parts.agg(*[F.max(c).alias(c) for c in names], F.sort_array(F.collect_list("_row")).alias("comparison"))

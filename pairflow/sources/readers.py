@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairflow.sources.writers import many_lines
 from pairflow.functions.text import decode_label
 
 RAW_PAIR_SCHEMA = T.StructType([
@@ -34,7 +35,7 @@ RESULT_FIELDS = [
 PREDICTION_SCHEMA = T.StructType(PAIR_SCHEMA.fields + RESULT_FIELDS)
 
 CSV_OPTIONS = {
-    "header": "true", "multiLine": "true", "escape": '"', "quote": '"', "emptyValue": "", "nullValue": "\\N",
+    "header": "true", "escape": '"', "quote": '"', "emptyValue": "", "nullValue": "\\N",
     "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
 }
 
@@ -76,18 +77,22 @@ def combine_validation(matched: DataFrame, mismatched: DataFrame) -> DataFrame:
         mismatched.withColumn("source", F.lit("mismatched")))
 
 
-def read_pairs_csv(spark: SparkSession, path: str, schema: T.StructType = PAIR_SCHEMA) -> DataFrame:
-    return spark.read.schema(schema).options(**CSV_OPTIONS).csv(path)
+def read_pairs_csv(spark: SparkSession, path: str, schema: T.StructType = PAIR_SCHEMA, foreign: bool = False) -> DataFrame:
+    """Pairs of write_csv, whose files any number of tasks can share. foreign: files with line breaks inside
+    values, which are one task each."""
+    rows = spark.read.schema(schema).options(**CSV_OPTIONS, multiLine=foreign).csv(path)
+    return rows if foreign else many_lines(rows)
 
 
 def read_predictions_csv(spark: SparkSession, root: str, strategies: list[str] | None = None,
-                         schema: T.StructType = PREDICTION_SCHEMA) -> DataFrame:
+                         schema: T.StructType = PREDICTION_SCHEMA, foreign: bool = False) -> DataFrame:
     """Predictions stored as <root>/strategy=<name>/*.csv; a strategy without files yields no rows.
 
     The strategy comes from the folder, so choosing strategies prunes files before any is opened.
     """
     full = T.StructType(schema.fields + [T.StructField("strategy", T.StringType())])
-    df = spark.read.schema(full).options(**CSV_OPTIONS).csv(root)
+    df = spark.read.schema(full).options(**CSV_OPTIONS, multiLine=foreign).csv(root)
+    df = df if foreign else many_lines(df)
     return df.where(F.col("strategy").isin(strategies)) if strategies else df
 
 

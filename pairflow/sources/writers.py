@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CSV_OPTIONS = {
     "header": "true", "escape": '"', "quote": '"', "emptyValue": '""', "nullValue": "\\N",
@@ -16,8 +17,27 @@ def write_splits(df: DataFrame, path: str, split_col: str = "split") -> None:
     df.write.mode("overwrite").partitionBy(split_col).parquet(path)
 
 
+def one_line(df: DataFrame) -> DataFrame:
+    """Line breaks in strings as \\n and \\r, backslashes doubled, so that a CSV file can be split anywhere."""
+    def escaped(c: str) -> Column:
+        text = F.replace(F.col(f"`{c}`"), F.lit("\\"), F.lit("\\\\"))
+        return F.replace(F.replace(text, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")).alias(c)
+    return df.select(*[escaped(f.name) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`") for f in df.schema.fields])
+
+
+def many_lines(df: DataFrame) -> DataFrame:
+    """The reverse of one_line."""
+    def plain(c: str) -> Column:
+        # A doubled backslash is set aside first, so that it does not eat a following n.
+        text = F.replace(F.col(f"`{c}`"), F.lit("\\\\"), F.lit("\x00"))
+        text = F.replace(F.replace(text, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r"))
+        return F.replace(text, F.lit("\x00"), F.lit("\\")).alias(c)
+    return df.select(*[plain(f.name) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`") for f in df.schema.fields])
+
+
 def write_csv(df: DataFrame, path: str, *partition_by: str) -> None:
-    writer = df.write.mode("overwrite").options(**CSV_OPTIONS)
+    """CSV with one line per row (see one_line)."""
+    writer = one_line(df).write.mode("overwrite").options(**CSV_OPTIONS)
     (writer.partitionBy(*partition_by) if partition_by else writer).csv(path)
 
 

@@ -30,8 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/pairflow/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, below a folder of this run that can be removed with it."""
+    return f"{shared_dir(spark)}/pairflow/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:

@@ -1,9 +1,10 @@
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from pairflow import domain
 from pairflow.operators import cleaning, profile, sampling, selection
-from pairflow.sources import readers, writers
+from pairflow.sources import fixtures, readers, writers
 from pairflow.workspace import materialize, scratch_path
 
 
@@ -199,3 +200,20 @@ def test_correlations_ignore_nulls_pair_by_pair(spark):
         for y in "abc":
             assert abs(got[x, y] - want.loc[x, y]) < 1e-12
     assert got["a", "k"] is None and got["k", "k"] is None
+
+
+def test_csv_keeps_line_breaks_and_splits(spark):
+    rows = [(f"p{i}", 'a\nb "c", \\n \r\\', "", "g", "neutral") for i in range(3000)] + [("q", "\\\\n", None, "g", "neutral")]
+    names = ["pairID", "premise", "hypothesis", "genre", "label"]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in names)).select(*[f.name for f in readers.PAIR_SCHEMA.fields])
+    path = scratch_path(spark, "csv-lines")
+    writers.write_csv(df.coalesce(1), path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1000")
+    try:
+        back = readers.read_pairs_csv(spark, path)
+        assert back.rdd.getNumPartitions() > 1
+        assert back.exceptAll(df).count() == 0 and back.count() == df.count()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")

@@ -111,10 +111,12 @@ def mean_by_genre(df: DataFrame, col: str = "total_negations", key: str = "genre
 def correlations(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Pearson correlation of every pair of features, both ways and with the diagonal.
 
-    One aggregate over the source; each pair ignores only the rows in which one of its own two features is null,
-    and a feature without variance has no correlation.
+    One aggregate; each pair ignores only the rows in which one of its own two features is null, and a feature
+    without variance has no correlation. The columns are written once, as the aggregate names each of them many
+    times and would otherwise work out the features anew for every mention.
     """
     names = names or domain.MODEL_FEATURES
+    df = materialize(df.select(*[F.col(c).cast("double").alias(c) for c in names]), "features")
     n = len(names)
     value = lambda i: F.col(names[i]).cast("double")
 

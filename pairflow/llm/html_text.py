@@ -74,6 +74,10 @@ _OTHER = {
     "share", "sharing", "social", "related", "recommended", "recommendations", "pagination", "pager", "search", "widget",
     "toolbar", "complementary", "contentinfo", "skip", "paywall", "disclaimer"}
 
+# An article of this name is a reader's; a name with one of these words says that something is absent or beside.
+_REMARKS = {"comment", "comments", "reply", "replies"}
+_UNLESS = {"no", "not", "without", "with", "has", "free"}
+
 
 @dataclass
 class Block:
@@ -86,12 +90,15 @@ class Block:
 def _is_other(tag: str, attributes: str, inside_region: bool) -> bool:
     if tag in _NEVER or tag == "header" and not inside_region:
         return True
-    if tag in _REGIONS or tag in ("body", "html") or not attributes:
+    if tag in ("body", "html") or not attributes:
         return False
     for m in _NAMES.finditer(attributes):
-        words = _WORD.findall((m[1] or m[2] or m[3] or "").lower())
-        if any(w in _OTHER for w in words) or tag != "header" and "header" in words and not inside_region:
-            return True
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            words = set(_WORD.findall(name))
+            if words & _UNLESS:
+                continue
+            if words & (_REMARKS if tag in _REGIONS else _OTHER) or tag not in ("header", *_REGIONS) and "header" in words and not inside_region:
+                return True
     return "hidden" in attributes.lower().split()
 
 

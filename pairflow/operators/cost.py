@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pairflow import domain
 from pairflow.functions.lookup import lookup
 from pairflow.functions.ordering import magnitude_bucket
-from pairflow.workspace import literal_table
+from pairflow.workspace import broadcast_if_small, literal_table
 
 Tokens = dict[str, tuple[int, int]]
 
@@ -102,7 +102,8 @@ def with_pareto_flag(df: DataFrame, cost: str = "cost_usd", value: str = "accura
 
     Suits tables of strategies and tables of many items alike: only the best value per distinct cost
     is ordered, and that in two levels (cost buckets, then within a bucket), so no single task sees
-    every cost.
+    every cost. The table of costs is written once; if it is small (counted), the rows meet it without a shuffle,
+    so a cost that very many rows share is no hot key.
     """
     per_cost = df.groupBy(F.col(cost).alias("_c")).agg(F.max(value).alias("_at"))
     # The filter the join below would infer, stated for both uses so that they share one shuffle.
@@ -113,7 +114,7 @@ def with_pareto_flag(df: DataFrame, cost: str = "cost_usd", value: str = "accura
     inside = W.partitionBy("_b").orderBy("_c").rowsBetween(W.unboundedPreceding, -1)
     best = per_cost.join(floors, "_b").select(
         "_c", "_at", F.greatest(F.max("_at").over(inside), F.col("_floor")).alias("_below"))
-    joined = df.join(best, F.col(cost) == F.col("_c"), "left")
+    joined = df.join(broadcast_if_small(best), F.col(cost) == F.col("_c"), "left")
     dominated = F.coalesce(F.col("_below") >= F.col(value), F.lit(False)) | F.coalesce(
         F.col("_at") > F.col(value), F.lit(False))
     return joined.withColumn(output, ~dominated).drop("_c", "_at", "_below")

@@ -236,3 +236,15 @@ def test_shapes(spark, predictions):
 def test_paired_comparison_shuffles_once(spark, predictions):
     plan = metrics.correctness_profiles(predictions)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Exchange") == 2
+
+
+def test_pareto_flag_does_not_shuffle_the_rows(spark):
+    rows = spark.range(5000).select((F.col("id") % 7).cast("double").alias("cost_usd"), (F.col("id") * 37 % 101).cast("double").alias("accuracy"), "id")
+    flagged = cost.with_pareto_flag(rows)
+    assert "Exchange hashpartitioning" not in flagged._jdf.queryExecution().executedPlan().toString()
+    best = {}
+    for r in rows.collect():
+        best[r.cost_usd] = max(best.get(r.cost_usd, -1), r.accuracy)
+    for r in flagged.collect():
+        better = r.accuracy < best[r.cost_usd] or any(v >= r.accuracy for c, v in best.items() if c < r.cost_usd)
+        assert r.pareto_optimal == (not better)

@@ -3,14 +3,20 @@
 Spans come from Java regular expressions: a text's matches and the pieces between them give the positions as
 running sums of lengths, in code points. Candidates are then judged by corpus-wide ownership: the hash of every
 candidate value is aggregated to the number of distinct owners and of distinct repositories it occurs in. A
-value that several owners hold is a copied example; a value of one owner and few repositories that looks
-random is a live-looking credential.
+live-looking credential is a value that looks random and is specific to its owners: one owner holds it, in
+however many documents, or up to MAX_OWNERS owners that are at most MAX_OWNER_SHARE of all. Any other value is a
+copied example or a plain word.
+
+A value looks random by its letters and digits (of a key block: of its body). They carry at least RANDOM_BITS,
+which is their length times their entropy, and CHARACTER_BITS each; and they mix letters with digits, or are
+digits alone, or are letters that change case as no camel-case name does, or hold five consonants in a row.
 
 Kinds: assign, access and hex are the base kinds, whose spans always stay. The method adds provider (prefixed
 provider tokens), pem (private key blocks) and entropy (long mixed strings, kept only if ownership makes them
 live-looking).
 
-Owners are the source column, repositories the id column; null owners count as one owner. Counts per value
+Owners are the source column, repositories the id column; the owner of a row without one is unknown, so each such
+document counts as an owner of its own. Counts per value
 combine before they are shuffled, so a value in a third of all rows is no hot group.
 
 Results for odd input: null and empty texts have zero counts, empty spans and the digest of the empty string;
@@ -42,13 +48,29 @@ _NEEDS = {
     "assign": r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]", "access": "AKIA", "hex": "[0-9a-f]{24}",
     "provider": r"gh[pousr]_|xox[abprs]-|sk_live_|AIza|eyJ", "pem": "PRIVATE KEY-----", "entropy": "[A-Za-z0-9+/_-]{32}",
 }
-SPAN = "array<struct<start:int,end:int,kind:int,value:bigint>>"
+SPAN = "array<struct<start:int,end:int,kind:int,value:bigint,random:boolean>>"
+MAX_OWNERS = 3
+MAX_OWNER_SHARE = 0.001
+RANDOM_BITS = 20.0
+CHARACTER_BITS = 2.0
 
 
 def _value(kind: str, match: Column) -> Column:
     return F.regexp_extract(match, _ASSIGN, 1) if kind == "assign" else match
 
 
+def looks_random(kind: str, match: Column) -> Column:
+    value = F.regexp_replace(match, "-----(?:BEGIN|END) [A-Z ]*PRIVATE KEY-----", "") if kind == "pem" else _value(kind, match)
+    plain = F.regexp_replace(value, "[^A-Za-z0-9]", "")
+    # length x entropy = n log n - sum of k log k over the characters, k times each
+    spent = F.aggregate(F.array_distinct(F.split(plain, "")), F.lit(0.0), lambda acc, c: acc + F.when(c == "", 0.0).otherwise(
+        (F.length(plain) - F.length(F.replace(plain, c, F.lit("")))) * F.log2(F.length(plain) - F.length(F.replace(plain, c, F.lit(""))))))
+    bits = F.length(plain) * F.log2(F.length(plain)) - spent
+    changes = F.size(F.regexp_extract_all(plain, F.lit("[a-z](?=[A-Z])|[A-Z](?=[a-z])"), F.lit(0)))
+    mixed = (plain.rlike("[0-9]") | (3 * changes >= F.length(plain)) | plain.rlike("(?i)[bcdfghjklmnpqrstvwxz]{5}"))
+    return F.coalesce((bits >= RANDOM_BITS) & (bits >= CHARACTER_BITS * F.length(plain)) & mixed, F.lit(False))
+
+
 def _spans(kind: str) -> Column:
     """Spans of a kind in `_t`, leftmost and not overlapping."""
     pattern = F.lit(_PATTERNS[kind])
@@ -63,6 +85,7 @@ def _spans(kind: str) -> Column:
                 (acc["at"] + F.length(x["gap"])).alias("start"),
                 (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("end"),
                 F.lit(KINDS.index(kind)).alias("kind"), F.xxhash64(_value(kind, x["hit"])).alias("value"),
+                looks_random(kind, x["hit"]).alias("random"),
             ))).alias("out")),
         lambda acc: acc["out"])
     if kind == "assign":  # the whole match is consumed, then short values are dropped
@@ -86,24 +109,35 @@ def found(docs: DataFrame, id_col: str, text_col: str, owner_col: str) -> DataFr
     """_id, owner, _spans (of all kinds) and _key (digest of the text, null without spans) of every row."""
     rows = docs.select(
         F.col(f"`{id_col}`").cast("long").alias("_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_t"),
-        F.coalesce(F.col(f"`{owner_col}`").cast("string"), F.lit("")).alias("owner"))
+        F.col(f"`{owner_col}`").cast("string").alias("owner"))
     spans = rows.withColumn("_spans", F.concat(*[_spans(k) for k in KINDS]))
     return spans.select("_id", "owner", "_spans", F.when(F.size("_spans") > 0, F.md5(F.col("_t").cast("binary"))).alias("_key"))
 
 
-def ownership(spans: DataFrame, max_owners: int = 1, max_repositories: int = 3) -> DataFrame:
-    """value, n_owners, n_repositories, live; from (owner, repository, value) of every candidate."""
-    # Two distinct counts would copy every row: repositories are first counted within their owner.
-    owned = spans.distinct().groupBy("value", "owner").agg(F.count(F.lit(1)).alias("n"))
-    return owned.groupBy("value").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_repositories")).withColumn(
-        "live", (F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories))
+def n_owners(docs: DataFrame, owner_col: str = "source") -> DataFrame:
+    """One row: n_all, the number of owners; rows without one are not counted."""
+    return docs.select(F.col(f"`{owner_col}`").cast("string").alias("owner")).agg(F.count_distinct("owner").alias("n_all"))
 
 
-def judged(spans: DataFrame) -> DataFrame:
-    """n_live, n_copied and live_spans of each distinct (_id, _key) that has candidates; from found()."""
+def ownership(spans: DataFrame, owners: DataFrame) -> DataFrame:
+    """value, n_owners, n_repositories, live; from (owner, repository, value, random) of every candidate and n_owners()."""
+    # Two distinct counts would copy every row: repositories are first counted within their owner.
+    known = spans.select("value", "random", "repository", F.struct(
+        "owner", F.when(F.col("owner").isNull(), F.col("repository")).alias("alone")).alias("owner")).groupBy("value", "owner", "repository").agg(F.max("random").alias("random"))
+    owned = known.groupBy("value", "owner").agg(F.count(F.lit(1)).alias("n"), F.max("random").alias("random"))
+    counts = owned.groupBy("value").agg(
+        F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_repositories"), F.max("random").alias("random"))
+    few = (F.col("n_owners") <= MAX_OWNERS) & (F.col("n_owners") <= MAX_OWNER_SHARE * F.col("n_all"))
+    return counts.crossJoin(F.broadcast(owners)).select(
+        "value", "n_owners", "n_repositories", (F.col("random") & ((F.col("n_owners") == 1) | few)).alias("live"))
+
+
+def judged(spans: DataFrame, owners: DataFrame) -> DataFrame:
+    """n_live, n_copied and live_spans of each distinct (_id, _key) that has candidates; from found() and n_owners()."""
     candidates = spans.filter(F.size("_spans") > 0).select("_id", "_key", "owner", F.explode("_spans").alias("s")).select(
-        "_id", "_key", "owner", "s", F.col("s.value").alias("value"))
-    values = ownership(candidates.select("owner", F.coalesce(F.col("_id"), F.xxhash64("_key")).alias("repository"), "value"))
+        "_id", "_key", "owner", "s", F.col("s.value").alias("value"), F.col("s.random").alias("random"))
+    values = ownership(candidates.select(
+        "owner", F.coalesce(F.col("_id"), F.xxhash64("_key")).alias("repository"), "value", "random"), owners)
     marked = candidates.select("_id", "_key", "s", "value").distinct().join(values, "value")
     return marked.groupBy("_id", "_key").agg(
         F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_copied"),
@@ -114,7 +148,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied of every row."""
     # Positions and digests are written once; texts are read once and never shuffled.
     rows = materialize(found(docs, id_col, text_col, owner_col), "spans")
-    verdicts = judged(rows).withColumnsRenamed({"_id": "_vid", "_key": "_vkey"})
+    verdicts = judged(rows, n_owners(docs, owner_col)).withColumnsRenamed({"_id": "_vid", "_key": "_vkey"})
     joined = rows.join(verdicts, F.col("_id").eqNullSafe(F.col("_vid")) & (F.col("_key") == F.col("_vkey")), "left")
     entropy = KINDS.index("entropy")
     live = F.coalesce("live_spans", F.expr(f"cast(array() AS {SPAN})"))
@@ -133,7 +167,7 @@ def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
     Rows to change meet the documents as a broadcast if they are few (checked), else in a shuffle join.
     """
     rows = materialize(found(docs, id_col, text_col, owner_col).filter(F.size("_spans") > 0), "spans")
-    changes = keys.sized(judged(rows).filter("n_live > 0").select(
+    changes = keys.sized(judged(rows, n_owners(docs, owner_col)).filter("n_live > 0").select(
         F.col("_id").alias("_secret_id"), F.col("_key").alias("_secret_key"), F.col("live_spans").alias("_secret_spans")), "live", 100_000)
     text, spans = docs[text_col].cast("string"), changes["_secret_spans"]
     joined = docs.join(changes, docs[id_col].cast("long").eqNullSafe(changes["_secret_id"])

@@ -143,6 +143,29 @@ def test_ownership_tells_copies_from_live(spark, odd_docs, odd_rows, empty_docs)
     assert sorted((tuple(r) for r in kept.collect()), key=str) == sorted(odd_rows, key=str)
 
 
+def test_live_values_look_random_and_are_specific(spark):
+    values = {"required": 0, "function": 0, "getAccessToken": 0, "aaaaaaaaaaaa1": 0, "2026-12-01": 0, "hunter22": 1, "kQzXvWpTbRmL": 1,
+              "xkqjzvwpfh": 1, "84736251": 1, HEX: 1, "0" * 32: 0}
+    rows = [(i, f"password: {v} end", "a") for i, v in enumerate(values)]
+    rows += [(100 + i, f"row {i} api_key=q7Zp0Xw3Lk9V", "hot") for i in range(40)]
+    rows += [(200 + i, "token=n0wn3rT0k3n", None) for i in range(2)] + [(300, "token=al0neT0k3nX", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in secrets.scan(docs).collect()}
+    for i, (v, live) in enumerate(values.items()):
+        assert (got[i].n_live > 0) == bool(live) and got[i].n_live + got[i].n_copied > 0, v
+    assert all(got[100 + i].n_live == 1 for i in range(40))
+    assert got[200].n_live == got[201].n_live == 0 and got[300].n_live == 1
+    texts = {r.doc_id: r.text for r in secrets.masked(docs).collect()}
+    assert texts[0] == rows[0][1] and texts[139] == "row 39 <secret>" and texts[200] == "token=n0wn3rT0k3n"
+
+
+def test_few_of_very_many_owners(spark):
+    candidates = spark.createDataFrame([(o, 1, v, True) for v, n in ((1, 3), (2, 4)) for o in map(str, range(n))],
+                                       "owner string, repository long, value long, random boolean")
+    live = lambda n: {r.value: r.live for r in secrets.ownership(candidates, spark.createDataFrame([(n,)], "n_all long")).collect()}
+    assert live(3000) == {1: True, 2: False} and live(2999) == {1: False, 2: False}
+
+
 def test_secret_scan_is_native(spark, odd_docs):
     plan = secrets.scan(odd_docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

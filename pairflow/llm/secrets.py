@@ -40,8 +40,9 @@ _PATTERNS = {
     "access": r"AKIA[A-Z0-9]{16,}",
     "hex": r"[0-9a-f]{24,}",
     "provider": r"(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})",
-    "pem": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,8000}-----END [A-Z ]{0,20}PRIVATE KEY-----",
-    "entropy": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{0,200}[0-9])(?=[A-Za-z0-9+/_-]{0,200}[a-z])(?=[A-Za-z0-9+/_-]{0,200}[A-Z])[A-Za-z0-9+/_-]{32,200}(?![A-Za-z0-9+/_-])",
+    # Possessive, so that a run of any length is read once and without recursion. A key block may begin with header lines.
+    "pem": r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:\s|\\[nr])*+[A-Za-z][A-Za-z0-9-]*+:[^\r\n\\]*+)*+[A-Za-z0-9+/=\s\\]*+-----END [A-Z ]*PRIVATE KEY-----",
+    "entropy": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[A-Z0-9+/_-]*+[a-z])(?=[a-z0-9+/_-]*+[A-Z])[A-Za-z0-9+/_-]{32,}+",
 }
 # A text without such a part has no match of the kind.
 _NEEDS = {
@@ -61,14 +62,17 @@ def _value(kind: str, match: Column) -> Column:
 
 def looks_random(kind: str, match: Column) -> Column:
     value = F.regexp_replace(match, "-----(?:BEGIN|END) [A-Z ]*PRIVATE KEY-----", "") if kind == "pem" else _value(kind, match)
-    plain = F.regexp_replace(value, "[^A-Za-z0-9]", "")
+    times = lambda v: F.transform(
+        F.filter(F.array_distinct(F.split(v, "")), lambda c: c != ""), lambda c: F.length(v) - F.length(F.replace(v, c, F.lit(""))))
     # length x entropy = n log n - sum of k log k over the characters, k times each
-    spent = F.aggregate(F.array_distinct(F.split(plain, "")), F.lit(0.0), lambda acc, c: acc + F.when(c == "", 0.0).otherwise(
-        (F.length(plain) - F.length(F.replace(plain, c, F.lit("")))) * F.log2(F.length(plain) - F.length(F.replace(plain, c, F.lit(""))))))
-    bits = F.length(plain) * F.log2(F.length(plain)) - spent
-    changes = F.size(F.regexp_extract_all(plain, F.lit("[a-z](?=[A-Z])|[A-Z](?=[a-z])"), F.lit(0)))
-    mixed = (plain.rlike("[0-9]") | (3 * changes >= F.length(plain)) | plain.rlike("(?i)[bcdfghjklmnpqrstvwxz]{5}"))
-    return F.coalesce((bits >= RANDOM_BITS) & (bits >= CHARACTER_BITS * F.length(plain)) & mixed, F.lit(False))
+    bits = lambda v: F.length(v) * F.log2(F.length(v)) - F.aggregate(
+        times(v), F.lit(0.0), lambda acc, k: acc + k * F.log2(k))
+    changes = lambda v: F.size(F.regexp_extract_all(v, F.lit("[a-z](?=[A-Z])|[A-Z](?=[a-z])"), F.lit(0)))
+    mixed = lambda v: v.rlike("[0-9]") | (3 * changes(v) >= F.length(v)) | v.rlike("(?i)[bcdfghjklmnpqrstvwxz]{5}")
+    # In lambdas, so that each step is computed once.
+    dense = lambda v, b: (b >= RANDOM_BITS) & (b >= CHARACTER_BITS * F.length(v))
+    plain = F.array(F.regexp_replace(value, "[^A-Za-z0-9]", ""))
+    return F.exists(plain, lambda v: (F.length(v) > 0) & mixed(v) & F.exists(F.array(bits(v)), lambda b: dense(v, b)))
 
 
 def _spans(kind: str) -> Column:

@@ -159,6 +159,24 @@ def test_live_values_look_random_and_are_specific(spark):
     assert texts[0] == rows[0][1] and texts[139] == "row 39 <secret>" and texts[200] == "token=n0wn3rT0k3n"
 
 
+def test_long_keys_and_key_headers(spark):
+    body = "".join(hashlib.sha256(str(i).encode()).hexdigest() + "Qz\n" for i in range(3000))
+    block = lambda head, text, kind="RSA ": f"-----BEGIN {kind}PRIVATE KEY-----\n{head}{text}-----END {kind}PRIVATE KEY-----"
+    headers = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123ABCD0123ABCD\n\n"
+    run = body.replace("\n", "")
+    whole = {block("", body[:8041]): "pem", block("", body): "pem", block(headers, body[:670]): "pem", block(headers, body): "pem",
+             block("", body[:670].replace("\n", "\\n")): "pem", block("", body[:670], "ENCRYPTED "): "pem",
+             run[:200]: "entropy", run[:201]: "entropy", run: "entropy"}
+    broken = ["-----BEGIN RSA PRIVATE KEY-----\n" * 5000, ("-----BEGIN RSA PRIVATE KEY-----\n" + "a-b: c\n" * 20000), "A-" * 100_000]
+    rows = [(i, f"x {t} y", f"s{i}") for i, t in enumerate([*whole, *broken])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.spans.split(",") for r in secrets.scan(docs).collect()}
+    texts = {r.doc_id: r.text for r in secrets.masked(docs).collect()}
+    for i, (text, kind) in enumerate(whole.items()):
+        assert f"{kind}:2:{2 + len(text)}" in got[i] and texts[i] == "x <secret> y", (i, kind)
+    assert all("pem" not in s and "entropy" not in s for i in range(len(whole), len(rows)) for s in got[i])
+
+
 def test_few_of_very_many_owners(spark):
     candidates = spark.createDataFrame([(o, 1, v, True) for v, n in ((1, 3), (2, 4)) for o in map(str, range(n))],
                                        "owner string, repository long, value long, random boolean")

@@ -4,9 +4,10 @@ A page becomes a sequence of text blocks, each with its path of tags from the ro
 punctuation are summed over the path's blocks and divided by their number; both ratios are smoothed along the
 page with a Gaussian, fused by multiplication, and paths whose mean fused value reaches a share of the page's
 standard deviation are content. Blocks in regions that are named as something else (navigation, page header
-and footer, asides, forms, adverts, notices, comments) carry no weight and are never content. The content
-blocks' common region then gives the article: every block of it that is not excluded belongs to the text, so
-that short paragraphs, headings and lists inside an article stay.
+and footer, asides, forms, adverts, notices, comments) carry no weight and are never content. The smallest
+element that holds all content blocks (the whole article or main element, if they lie in one) then gives the
+article: every block of it that is not excluded belongs to the text, so that short paragraphs, headings and lists
+inside an article stay, and so do a headline (h1) before it and what lies between.
 
 White space (as Python's str.split takes it, no-break spaces included) inside a block is one space, <br> too;
 blocks are joined by a line feed. Character references are decoded once, in text only.
@@ -221,23 +222,25 @@ def main_text(page: str) -> str:
     chosen = [b for b in found if b.path in paths and not b.other]
     if not chosen:
         return ""
-    # The smallest element that holds nearly all content: text outside of it (a line below the article) goes.
-    weight: dict[int, int] = {}
-    for b in chosen:
-        for r in b.regions:
-            weight[r] = weight.get(r, 0) + len(b.text)
-    total = sum(len(b.text) for b in chosen)
-    named = [b for b in chosen if any(t in _REGIONS for t in b.path.split(">"))]
-    if named and 2 * sum(len(b.text) for b in named) >= total:
-        kept = [b for b in found if not b.other and any(t in _REGIONS for t in b.path.split(">"))]
-    else:
-        region = max((r for r, w in weight.items() if 10 * w >= 9 * total), default=None)
-        kept = [b for b in found if not b.other and (region is None or region in b.regions)]
-        if len({b.regions for b in chosen}) == 1 and region is not None:
-            # One block holds nearly everything; its neighbours below the same parent are the article's other blocks.
-            parent = chosen[0].regions[-2] if len(chosen[0].regions) > 1 else None
-            kept = [b for b in found if not b.other and (parent is None or parent in b.regions)]
-    return "\n".join(b.text for b in kept)
+    # The smallest element that holds all content blocks, article and main elements of their own included.
+    region = chosen[0].regions
+    for b in chosen[1:]:
+        n = next((i for i, (x, y) in enumerate(zip(region, b.regions)) if x != y), min(len(region), len(b.regions)))
+        region = region[:n]
+    tags = chosen[0].path.split(">")[:len(region)]
+    whole = next((i for i, t in enumerate(tags) if t in _REGIONS), None)
+    if whole is not None:
+        region = region[:whole + 1]
+    elif region and len({b.regions for b in chosen}) == 1:
+        # One block is all content; its neighbours below the same parent are the article's other blocks.
+        region = region[:-1]
+    inside = [b.regions[:len(region)] == region for b in found]
+    first = start = inside.index(True)
+    headline = [i for i, b in enumerate(found) if "h1" in b.path.split(">") and not b.other]
+    if headline and headline[0] < first and not any(inside[i] for i in headline):
+        # The headline stands before the element: it belongs to the text, with what lies between.
+        start = max(i for i in headline if i < first)
+    return "\n".join(b.text for i, b in enumerate(found) if not b.other and (inside[i] or start <= i < first))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -217,6 +217,24 @@ def test_main_text():
     assert html_text.main_text("<nav>menu</nav>") == "" and html_text.main_text("") == ""
 
 
+def test_content_outside_the_largest_element_stays():
+    lead, end = "The lead says, in short, what is to come: much, and more of it.", "The closing paragraph, set apart, sums up: all is said, and well."
+    body = "".join(f"<p>Paragraph {i}, of the body, is long: it has words, marks, and more words than the others have.</p>" for i in range(60))
+    texts = [f"Paragraph {i}, of the body, is long: it has words, marks, and more words than the others have." for i in range(60)]
+    wanted = "\n".join(["Headline", lead, *texts, end])
+    nav, foot = "<nav><a>Home</a></nav>", "<div class=ad>Buy now, buy here.</div><footer>All of us, 2020.</footer>"
+    for top, bottom in (("<div class=content>", "</div>"), ("", "")):
+        got = html_text.main_text(f"<body>{nav}{top}<h1>Headline</h1><div class=lead><p>{lead}</p></div><div class=body>{body}</div>"
+                                  f"<div class=end><p>{end}</p></div>{bottom}{foot}</body>")
+        assert got == wanted
+    long = f"<div class=content><h1>Headline</h1><div class=lead><p>{lead}</p></div><div class=body>{'Long, and long again. ' * 200}</div></div>"
+    assert html_text.main_text(f"<body>{nav}{long}{foot}</body>").split("\n")[:2] == ["Headline", lead]
+    half = f"<body>{nav}<article>{body}</article><div class=more>{body.replace('Paragraph', 'Part')}</div>{foot}</body>"
+    assert html_text.main_text(half).split("\n") == texts + [t.replace("Paragraph", "Part") for t in texts]
+    inner = f"<article><h2>Head</h2><div class=body>{body}</div><ul><li>End</ul></article><div><span>Below</span></div>"
+    assert html_text.main_text(f"<body>{nav}{inner}{foot}</body>") == "\n".join(["Head", *texts, "End"])
+
+
 def test_page_rows(spark):
     rows = [(1, "u", page("<article>", "</article>"), "x"), (1, "u", page("<article>", "</article>"), "x"), (2, None, None, "x"),
             (None, "v", "", "x"), (3, "w", "<article><p>" + "word " * 200_000 + "</article>", "x"), (4, "z", "<div" * 5000, "x")]

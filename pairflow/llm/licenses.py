@@ -6,6 +6,10 @@ rules in one pass of an Aho-Corasick automaton. Detections are resolved from the
 that lies inside the interval of an accepted detection is suppressed, as "gpl" inside "lgpl 2.1" is. The score
 is the confidence of the best detection that stays.
 
+WORDING are signatures of the licence texts themselves, which usually do not name themselves: grants and conditions
+rank above all names; PARTS (single conditions and disclaimers, which families share) count only in texts without
+another licence. "All rights reserved" is a copyright notice and no licence where a licence is stated.
+
 Beside the rules stand base phrases, whose places are counted on words: A-Z lower-cased,
 `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`. Base labels always stay.
 
@@ -122,6 +126,52 @@ FORMS = [
     ("sentence", r"(?:permission|subject to|see|read|under|comply with) (?:the )?(?:terms (?:of )?the )?(?:{name})", 0.85),
     ("name", r"(?<![\w-])(?:{name})(?![\w-])", 0.7),
 ]
+_NEXT = r"[^a-z]+(?:(?:[a-d]|i{1,3}|iv)[^a-z]+)?"  # between clauses: their numbers or letters
+
+
+def wording(*clauses: str) -> str:
+    """The words of the clauses, whatever stands between them (line breaks, comment marks, quotes, numbers)."""
+    return r"(?<![a-z])" + _NEXT.join(r"[^a-z]+".join(c.split()) for c in clauses) + r"(?![a-z])"
+
+
+_MIT = "permission is hereby granted free of charge to any person obtaining a copy of this software"
+_MIT_DOCS = _MIT + " and associated documentation files the software to deal"
+_MIT_RIGHTS = (" in the software without restriction including without limitation the rights to use copy modify merge publish "
+               "distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so")
+_ISC = "permission to use copy modify and(?:[^a-z]+or)? distribute this software for any purpose with or without fee is hereby granted"
+_BSD = "redistribution and use in source and binary forms with or without modification are permitted"
+_BSD_SOURCE = "redistributions of source code must retain the(?:[^a-z]+above)? copyright notice this list of conditions and the following disclaimer"
+_BSD_BINARY = ("redistributions in binary form must reproduce the above copyright notice this list of conditions and the following "
+               "disclaimer in the documentation and or other materials provided with the distribution")
+_BSD_BOTH = (_BSD + " provided that the following conditions are met", _BSD_SOURCE, _BSD_BINARY)
+# (label, gate, pattern, confidence), what is more specific first.
+WORDING = [
+    ("mit-0", "hereby", wording(_MIT_DOCS + _MIT_RIGHTS, "the software is provided as is"), 0.95),
+    ("ncsa", "hereby", wording(_MIT_DOCS + " with the software without restriction"), 0.95),
+    ("mit", "hereby", wording(_MIT), 0.95),
+    ("bsl-1.0", "hereby", wording("permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"), 0.95),
+    ("ofl-1.1", "hereby", wording("permission is hereby granted free of charge to any person obtaining a copy of the font software"), 0.95),
+    ("0bsd", "hereby", wording(_ISC, "the software is provided as is"), 0.95),
+    ("isc", "hereby", wording(_ISC), 0.95),
+    ("postgresql", "hereby", wording("permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"), 0.95),
+    ("hpnd", "hereby", wording("permission to use copy modify(?:[^a-z]+and)? distribute(?:[^a-z]+and[^a-z]+sell)? this software and its documentation for any purpose(?:[^a-z]+and)?(?:[^a-z]+without[^a-z]+fee)? is hereby granted"), 0.95),
+    ("bsd-4-clause", "redistribution", wording(*_BSD_BOTH, "all advertising materials mentioning features or use of this software must display"), 0.95),
+    ("apache-1.1", "redistribution", wording(*_BSD_BOTH, "the end user documentation included with the redistribution"), 0.95),
+    ("bsd-3-clause", "redistribution", wording(*_BSD_BOTH, "(?:neither[^a-z]+)?the names?"), 0.95),
+    ("bsd-2-clause", "redistribution", wording(*_BSD_BOTH, "this software is provided"), 0.95),
+    ("bsd", "redistribution", wording(_BSD), 0.9),
+    ("zlib", "redistribute", wording("permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"), 0.95),
+    ("unlicense", "unencumbered", wording("this is free and unencumbered software released into the public domain"), 0.95),
+]
+PARTS = [
+    ("mit", "substantial", wording("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"), 0.8),
+    ("mit", "merchantability", wording("the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability"), 0.8),
+    ("isc", "disclaims", wording("the software is provided as is and the author disclaims all warranties with regard to this software"), 0.8),
+    ("bsd", "redistributions", wording(_BSD_SOURCE), 0.8),
+    ("bsd", "redistributions", wording(_BSD_BINARY), 0.8),
+    ("bsd", "merchantability", wording("this software is provided by the (?:copyright[^a-z]+holders?|authors?|regents|regents[^a-z]+and|copyright[^a-z]+holders?[^a-z]+and|authors?[^a-z]+and)(?:[^a-z]+contributors)? as is and any express or implied warranties including but not limited to the implied warranties of merchantability"), 0.8),
+]
+_FIRST, _LAST = -10_000, 100_000  # priorities of WORDING and PARTS: before and behind those of the families
 # A text without any of these holds none of the names, identifiers and addresses above.
 _KEYWORD = re.compile(r"[a-z0-9]{3,}")
 _COMMON = {"license", "public", "general", "version", "software", "open", "the", "and", "terms", "https", "www", "org",
@@ -131,6 +181,8 @@ _COMMON = {"license", "public", "general", "version", "software", "open", "the",
 def rules() -> list[tuple[int, str, str, float, re.Pattern]]:
     """(priority, label, keyword gate, confidence, pattern), highest priority (smallest number) first."""
     out = []
+    for first, texts in ((_FIRST, WORDING), (_LAST, PARTS)):
+        out += [(first + i, label, gate, confidence, re.compile(text)) for i, (label, gate, text, confidence) in enumerate(texts)]
     for family, (label, name, identifier, url) in enumerate(FAMILIES):
         for form, (kind, pattern, confidence) in enumerate(FORMS):
             if kind == "address" and url is None:
@@ -163,8 +215,7 @@ class Scanner:
         self.rules = rules()
         by_gate: dict[str, set[int]] = {}
         for i, (priority, _, gate, _, _) in enumerate(self.rules):
-            name = FAMILIES[priority // 10][1]
-            for g in [gate] if gate else gates(name):
+            for g in [gate] if gate else gates(FAMILIES[priority // 10][1]):
                 by_gate.setdefault(g, set()).add(i)
         self.automaton = ahocorasick.Automaton()
         for gate, chosen in by_gate.items():
@@ -185,10 +236,14 @@ class Scanner:
                  for priority, label, _, confidence, pattern in (self.rules[i] for i in sorted(wanted))
                  for m in pattern.finditer(text)]
         kept: list[tuple[int, int, str, float]] = []
-        for _, _, start, end, label, confidence in sorted(found):
+        named = any(priority < _LAST and label != "proprietary" for priority, _, _, _, label, _ in found)
+        for priority, _, start, end, label, confidence in sorted(found):
+            if priority >= _LAST and named:
+                continue
             if not any(a <= start and end <= b for a, b, _, _ in kept):
                 kept.append((start, end, label, confidence))
-        return kept
+        stated = any(label != "proprietary" and confidence >= 0.8 for _, _, label, confidence in kept)
+        return [k for k in kept if not (stated and k[2] == "proprietary" and text[k[0]:k[1]].endswith("all rights reserved"))]
 
     def word_starts(self, data: np.ndarray) -> np.ndarray:
         inside = self.word[data]

@@ -96,6 +96,38 @@ def test_license_gates_hold_every_name():
         assert gated and gated == whole.detections(text), text
 
 
+MIT = """Copyright (c) 2020 A. All rights reserved.
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
+(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge,
+publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"""
+MIT_END = """The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY"""
+ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+BSD = """Copyright (c) 1990 B. All rights reserved.
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions
+are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+(b) Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in
+the documentation and/or other materials provided with the distribution. """
+BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING,
+BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY"""
+UNNAMED = [
+    (MIT + ", subject to the following conditions: " + MIT_END, "mit"), (MIT + ". The software is provided as is", "mit-0"), (MIT_END, "mit"), (MIT_END + " " + BSD_END, "bsd,mit"),
+    (ISC + ", provided that the above copyright notice appears", "isc"), (ISC + ". The software is provided as is", "0bsd"),
+    (BSD + BSD_END, "bsd-2-clause"), (BSD + "3. Neither the name of B nor the names of its contributors may be used. " + BSD_END, "bsd-3-clause"),
+    (BSD + "3. All advertising materials mentioning features or use of this software must display this. " + BSD_END, "bsd-4-clause"),
+    (BSD_END, "bsd"), ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted. All rights reserved.", "bsd"),
+    ("This is free and unencumbered software released into the public domain.", "unlicense"), ("All rights reserved.", "proprietary"),
+    (BSD + BSD_END + " Proprietary and confidential.", "bsd-2-clause,proprietary"), ("The permission is granted hereby; redistribution is not.", "")]
+
+
+def test_license_wording_without_names(spark):
+    marked = lambda text: "/*\n * " + text.replace("\n", "\n * ") + "\n */"
+    rows = [(i, f(t)) for i, t in enumerate(t for t, _ in UNNAMED) for f in (str, marked)]
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert r.labels == UNNAMED[r.doc_id][1], (r.doc_id, r.labels)
+
+
 PATTERNS = {
     "assign": re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A),
     "access": re.compile(r"AKIA[A-Z0-9]+"), "hex": re.compile(r"[0-9a-f]+")}

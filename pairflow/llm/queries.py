@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pairflow.llm import (byte_bpe, decontaminate, html_text, licenses, parity_join, prefix_trie, secrets, token_counts,
-                          toxicity, url_filter, vector_graph)
+from pairflow.llm import (byte_bpe, decontaminate, html_text, lattice_lm, licenses, parity_join, prefix_trie, secrets,
+                          token_counts, toxicity, url_filter, vector_graph)
 from pairflow.llm.oracle import ORACLE  # noqa: F401
 
 # The rules of the url filter's query: action, host, path.
@@ -85,3 +85,8 @@ def op10_html_text(spark, d):
 @query
 def op11_prefix_trie(spark, d):
     return prefix_trie.build(table(spark, d, "conversations"))
+
+
+@query
+def op12_lattice_lm(spark, d):
+    return lattice_lm.score(table(spark, d, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

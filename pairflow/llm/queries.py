@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pairflow.llm import (byte_bpe, decontaminate, html_text, lattice_lm, licenses, parity_join, prefix_trie, secrets,
+from pairflow.llm import (align, byte_bpe, decontaminate, html_text, lattice_lm, licenses, parity_join, prefix_trie, secrets,
                           token_counts, toxicity, url_filter, vector_graph)
 from pairflow.llm.oracle import ORACLE  # noqa: F401
 
@@ -90,3 +90,9 @@ def op11_prefix_trie(spark, d):
 @query
 def op12_lattice_lm(spark, d):
     return lattice_lm.score(table(spark, d, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op13_token_alignment(spark, d):
+    paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return align.align(table(spark, d, "documents"), *paths)

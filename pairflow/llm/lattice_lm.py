@@ -271,12 +271,12 @@ def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     def table() -> tuple:
         held = sent.value
         c = textkit.numbers(held.column("c"))
-        places = dict(zip(textkit.text_bytes(held.column("word")), range(held.num_rows)))
+        places = dict(zip(held.column("word").cast(pa.binary()).to_pylist(), range(held.num_rows)))
         # A last row for words that are not sent: they add nothing here.
         return places, *(np.append(x, 0.0) for x in (np.log10(c + 0.5) - smallest, textkit.numbers(held.column("log_p")), c > 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, base, log_p, known = worker.kept(("lattice_lm", name), table)
+        places, base, log_p, known = worker.latest("lattice_lm", name, table)
         other = len(places)
         rare_type = pa.list_(pa.struct([("word", pa.string()), ("k", pa.int64())]))
         for batch in batches:
@@ -302,6 +302,7 @@ def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
         rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text").mapInArrow(
             run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, "
                  "score double, rare array<struct<word: string, k: long>>"), "scores")
+    sent.destroy()  # the scores are written
     met = part.select("row", F.inline("rare")).join(rare, "word")
     none = lambda kind: F.lit(None).cast(kind)
     more = met.select(

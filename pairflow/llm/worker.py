@@ -20,3 +20,13 @@ def kept(key: tuple, make: Callable[[], object]) -> object:
     if key not in holder.__dict__:
         holder.__dict__[key] = make()
     return holder.__dict__[key]
+
+
+def latest(kind: str, name: str, make: Callable[[], object]) -> object:
+    """As kept, for objects that belong to one run: the worker holds one of a kind, the last run's."""
+    holder = sys.modules.setdefault(_HOLDER, types.ModuleType(_HOLDER))
+    own = holder.__dict__.get(kind)
+    if own is None or own[0] != name:
+        holder.__dict__.pop(kind, None)
+        own = holder.__dict__[kind] = (name, make())
+    return own[1]

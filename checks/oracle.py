@@ -226,6 +226,50 @@ PARTS["train"] = (["cfeats", "preds"], """
    JOIN preds z ON z.pairID = c.pairID AND z.strategy = 'zero-shot' WHERE EXISTS (SELECT 1 FROM preds k WHERE k.pairID = c.pairID AND k.strategy = 'cot'))""")
 
 
+def _newton(source: str, name: str, folds: list[int]) -> str:
+    """Coefficients b of the balanced L2 logistic regression on the standardised model features, by twelve Newton
+    steps of a recursive query with Gauss-Jordan elimination. Model g leaves out fold g; fold -1 is none."""
+    n = len(MODEL) + 1
+    scale = ", ".join(f"avg({c}::double) m{i}, coalesce(nullif(stddev_pop({c}::double), 0), 1) s{i}" for i, c in enumerate(MODEL))
+    x = "[1.0::double, " + ", ".join(f"({c}::double - m{i}) / s{i}" for i, c in enumerate(MODEL)) + "]"
+    sums = ", ".join([f"sum(w * p * (1 - p) * x[{i}] * x[{j}]) h{i}_{j}" for i in range(1, n + 1) for j in range(i, n + 1)]
+                     + [f"sum(w * (target - p) * x[{i}]) g{i}" for i in range(1, n + 1)])
+    matrix = ", ".join("[" + ", ".join(f"h{min(i, j)}_{max(i, j)}" + " + 1" * (i == j > 1) for j in range(1, n + 1))
+                       + f", g{i} - {'0' if i == 1 else f'b[{i}]'}]" for i in range(1, n + 1))
+    solved = f"""SELECT s, g, b, [{matrix}] a FROM (SELECT s, g, b, {sums} FROM (SELECT s, g, b, x, target, w,
+      1 / (1 + exp(-list_dot_product(b, x))) p FROM {name}_n JOIN {name}_t USING (g) WHERE s < 12) GROUP BY s, g, b)"""
+    for k in range(1, n + 1):
+        solved = f"""SELECT s, g, b, list_transform(a, lambda r, i: CASE WHEN i = {k} THEN list_transform(r, lambda v: v / a[{k}][{k}])
+      ELSE list_transform(r, lambda v, j: v - r[{k}] * a[{k}][j] / a[{k}][{k}]) END) a FROM ({solved})"""
+    zeros = "[" + ", ".join(["0.0::double"] * n) + "]"
+    return f"""
+ {name}_m AS (SELECT {scale} FROM {source}),
+ {name}_x AS MATERIALIZED (SELECT t.*, {x} x, (row_number() OVER (PARTITION BY target ORDER BY md5(concat(pairID,'|42')), pairID) % 5)::int fold
+   FROM {source} t CROSS JOIN {name}_m),
+ {name}_t AS MATERIALIZED (SELECT g, x, target, (count(*) OVER (PARTITION BY g))::double / (2 * count(*) OVER (PARTITION BY g, target)) w
+   FROM {name}_x JOIN (SELECT unnest({folds}) g) ON fold <> g),
+ {name}_n(s, g, b) AS (SELECT 0, g, {zeros} FROM (SELECT unnest({folds}) g) UNION ALL
+   SELECT s + 1, g, list_transform(b, lambda v, i: v + a[i][{n + 1}]) FROM ({solved})),
+ {name}_b AS MATERIALIZED (SELECT g, b FROM {name}_n WHERE s = 12)"""
+
+
+PARTS["model"] = (["train"], _newton("train", "lr", [-1]))
+PARTS["fold_models"] = (["train"], _newton("train", "cv", [0, 1, 2, 3, 4]))
+_SCORE = "1 / (1 + exp(-list_dot_product(b, x)))"
+_X = "[1.0::double, " + ", ".join(f"({c}::double - m{i}) / s{i}" for i, c in enumerate(MODEL)) + "]"
+PARTS["scored"] = (["model"], f" scored AS (SELECT *, (p > 0.5)::int q FROM (SELECT f.*, 1 / (1 + exp(-list_dot_product(b, {_X}))) p FROM cfeats f CROSS JOIN lr_m CROSS JOIN lr_b))")
+PARTS["oof"] = (["fold_models"], f" oof AS (SELECT *, (p > 0.5)::int q FROM (SELECT x.*, {_SCORE} p FROM cv_x x JOIN cv_b ON g = fold))")
+PARTS["weights"] = (["model"], f" weights AS (SELECT unnest([{', '.join(_q(c) for c in MODEL)}]) feature, unnest(b[2:]) importance FROM lr_b)")
+PARTS["oof_labels"] = (["oof"], " oof_labels AS (SELECT target::varchar l, q::varchar r FROM oof)")
+PARTS["train_split"] = (["train", "split_clean"], " train_split AS (SELECT t.* FROM train t JOIN (SELECT pairID FROM splits WHERE split = 'train') USING (pairID))")
+PARTS["split_model"] = (["train_split"], _newton("train_split", "ts", [-1]))
+PARTS["model_tiers"] = (["split_model", "cfeats"], f"""
+ mt_p AS (SELECT 1 / (1 + exp(-list_dot_product(b, {_X}))) p FROM cfeats JOIN splits USING (pairID) CROSS JOIN ts_m CROSS JOIN ts_b WHERE split = 'test'),
+ mt_s AS (SELECT CASE WHEN p < 0.3::double AND greatest(p, 1 - p) > 0.7::double THEN 'zero-shot' WHEN p > 0.6::double THEN 'cot' ELSE 'few-shot' END routed_strategy FROM mt_p),
+ model_tiers AS (SELECT *, {_map('routed_strategy', domain.ROUTER_TOKENS)} est FROM mt_s)""")
+PARTS["m_oof"] = (["oof_labels"], _metrics("oof_labels", [], "m_oof", "l", "r"))
+
+
 def _sql(body: str, *parts: str) -> str:
     order: list[str] = []
 
@@ -237,7 +281,8 @@ def _sql(body: str, *parts: str) -> str:
 
     for part in parts:
         need(part)
-    return "WITH" + ",".join(PARTS[p][1] for p in order) + "\n" + body if order else body
+    ctes = ",".join(PARTS[p][1] for p in order)
+    return ("WITH RECURSIVE" if "_n(s, g, b)" in ctes else "WITH") + ctes + "\n" + body if order else body
 
 
 def _prompt(template: str) -> str:
@@ -308,6 +353,13 @@ REASON = ("CASE routed_strategy WHEN 'zero-shot' THEN printf('Easy query (score=
 STRATS = domain.STRATEGIES
 _us = lambda s: s.replace("-", "_")
 
+
+
+def _savings(source: str) -> str:
+    return f"""SELECT routed_strategy, n, nq n_queries, atk adaptive_tokens, nq*500 baseline_tokens, nq*500 - atk tokens_saved, round((nq*500 - atk) * 100.0::double / (nq*500), 6) savings_pct, round(n * 100.0::double / nq, 6) strategy_pct
+      FROM (SELECT routed_strategy, count(*) n, (SELECT count(*) FROM {source}) nq, (SELECT sum(est)::bigint FROM {source}) atk FROM {source} GROUP BY ALL)"""
+
+
 ORACLE: dict[str, str] = {
     # sources and sinks
     "src1_read_split": _sql("SELECT pairID, premise, hypothesis, genre, label_id, label FROM pairs", "pairs"),
@@ -382,8 +434,7 @@ ORACLE: dict[str, str] = {
     "rte5_no_model": _sql("SELECT pairID, 'few-shot' routed_strategy, 0.5::double difficulty_score, 0.5::double routing_confidence, 'No classifier available, using default strategy' routing_reasoning, 465::int estimated_tokens, false has_model FROM pairs", "pairs"),
     "rte6_confidence": _sql("SELECT pairID, round(routing_confidence,6) confidence FROM sc", "sc"),
     "rte7_batch_routing": _sql("SELECT pairID, routed_strategy, round(difficulty_score,6) difficulty_score, round(routing_confidence,6) routing_confidence, est::int estimated_tokens FROM tiers", "tiers"),
-    "rte8_savings_estimate": _sql("""SELECT routed_strategy, n, nq n_queries, atk adaptive_tokens, nq*500 baseline_tokens, nq*500 - atk tokens_saved, round((nq*500 - atk) * 100.0::double / (nq*500), 6) savings_pct, round(n * 100.0::double / nq, 6) strategy_pct
-      FROM (SELECT routed_strategy, count(*) n, (SELECT count(*) FROM tiers) nq, (SELECT sum(est)::bigint FROM tiers) atk FROM tiers GROUP BY ALL)""", "tiers"),
+    "rte8_savings_estimate": _sql(_savings("tiers"), "tiers"),
     "rte9_routing_summary": _sql("""SELECT routed_strategy, n, tq total_queries, ts total_spent, tv total_saved, round(n::double / greatest(tq,1), 6) share, round(tv::double / greatest(ts+tv,1), 6) savings_ratio
       FROM (SELECT routed_strategy, count(*) n, (SELECT count(*) FROM tiers) tq, (SELECT sum(est)::bigint FROM tiers) ts, (SELECT sum(greatest(0, 500-est))::bigint FROM tiers) tv FROM tiers GROUP BY ALL)""", "tiers"),
     "rte10_share_within_genre": _sql("SELECT genre, " + ", ".join(f"round(count(*) FILTER (routed_strategy = '{s}')::double / count(*), 6) \"{_us(s)}\"" for s in STRATS) + " FROM routed GROUP BY genre", "routed"),
@@ -485,6 +536,21 @@ SELECT vec_id, CASE WHEN a >= b AND a >= c THEN 'contradiction' WHEN b >= c THEN
     "ml1_hard_target": _sql("SELECT pairID, target FROM train", "train"),
     "ml2_standardise": _sql("SELECT pairID, " + ", ".join(f"round(({c} - avg({c}) OVER ()) / coalesce(nullif(stddev_pop({c}) OVER (), 0), 1), 6) {c}_z" for c in MODEL) + " FROM cfeats", "cfeats"),
     "ml6_training_summary": _sql("SELECT count(*) n_samples, sum(target)::bigint n_hard, sum(1-target)::bigint n_easy FROM train", "train"),
+    "snk4_write_summary": _sql("""SELECT best_strategy, round(best_accuracy,6) best_accuracy, round(cost_savings_pct,6) cost_savings_pct, round(token_savings_pct,6) token_savings_pct,
+      round(gatekeeper_cv_accuracy,6) gatekeeper_cv_accuracy, strategy, round(accuracy,6) accuracy, round(macro_f1,6) macro_f1, n_samples
+      FROM m_strategy, (SELECT strategy best_strategy, accuracy best_accuracy FROM m_strategy ORDER BY accuracy DESC, strategy LIMIT 1), (SELECT accuracy gatekeeper_cv_accuracy FROM m_oof),
+      (SELECT (bc-ac)/bc*100 cost_savings_pct, (n*500-atk)::double/(n*500)*100 token_savings_pct FROM (SELECT sum(n)::bigint n, sum(cost_usd) ac, sum(total_tokens)::bigint atk,
+        (350*sum(n))::double/1000*0.000075::double + (150*sum(n))::double/1000*0.0003::double bc FROM cost_routed))""", "m_strategy", "m_oof", "cost_routed"),
+    "snk5_model_round_trip": _sql("SELECT pairID, q predicted_difficulty, round(p,4) difficulty_score, (SELECT round(accuracy,4) FROM m_oof) cv_accuracy FROM scored", "scored", "m_oof"),
+    "srt2_sort_by_absolute": _sql("SELECT feature, round(importance,6) importance FROM weights", "weights"),
+    "ml3_coefficients": _sql("SELECT feature, round(importance,6) importance FROM weights", "weights"),
+    "ml4_out_of_fold": _sql("SELECT pairID, genre, target, fold, q predicted_difficulty, round(1-p,4) p_easy, round(p,4) p_hard FROM oof", "oof"),
+    "ml5_cv_report": _sql("SELECT label, round(prec,6) AS precision, round(rec,6) recall, round(f1,6) f1, support FROM m_oof_f", "m_oof"),
+    "ml7_top_importance": _sql("SELECT feature, round(importance,6) importance FROM weights ORDER BY abs(importance) DESC LIMIT 5", "weights"),
+    "ml8_predict": _sql("SELECT pairID, q predicted_difficulty, round(1-p,4) p_easy, round(p,4) p_hard, round(p,4) difficulty_score FROM scored SEMI JOIN train USING (pairID)", "scored"),
+    "ml9_difficulty_by_genre": _sql("""SELECT genre, round_even(avg(q),3) hard_ratio, sum(q)::bigint hard_count, count(*) total, round_even(avg(p),3) avg_score, round_even(stddev_samp(p),3) std_score, round_even(min(p),3) min_score, round_even(max(p),3) max_score
+      FROM scored SEMI JOIN train USING (pairID) GROUP BY genre""", "scored"),
+    "ml10_train_and_route": _sql(_savings("model_tiers"), "model_tiers"),
     "ml9_score_spread_by_genre": _sql("""SELECT genre, round_even(avg(pd),3) hard_ratio, sum(pd)::bigint hard_count, count(*) total, round_even(avg(difficulty_score),3) avg_score, round_even(stddev_samp(difficulty_score),3) std_score, round_even(min(difficulty_score),3) min_score, round_even(max(difficulty_score),3) max_score
       FROM (SELECT *, (difficulty_score > 0.5::double)::int pd FROM sc) GROUP BY genre""", "sc"),
     # streaming: the final state equals the batch result

@@ -144,17 +144,20 @@ def snk4_write_summary(spark, d):
     counts_ = routing.distribution(score_routed(spark, d)).select(F.col("routed_strategy").alias("strategy"), "n")
     record = study.final_record(study.compare(p), cost.adaptive_savings(counts_), cv)
     writers.write_summary(record, path)
-    return rounded(spark.read.schema(record.schema).json(path))
+    stored = spark.read.schema(record.schema).json(path)
+    return rounded(stored.select(*[c for c in stored.columns if c != "comparison"], F.inline("comparison")))
 
 
 @query
 def snk5_model_round_trip(spark, d):
     path = scratch_path(spark, "model")
     f = clean_features(spark, d)
-    rows = difficulty.training_rows(f, preds(spark, d))
-    difficulty.fit(rows).save(spark, path)
+    rows = materialize(difficulty.training_rows(f, preds(spark, d)), "training")
+    difficulty.fit(rows).save(spark, path, difficulty.cv_report(difficulty.out_of_fold(rows)))
     loaded = difficulty.DifficultyModel.load(spark, path)
-    return rounded(loaded.score(f).select("pairID", "predicted_difficulty", "difficulty_score"))
+    accuracy = spark.read.parquet(f"{path}/cv").first().accuracy
+    return rounded(loaded.score(f).select(
+        "pairID", "predicted_difficulty", "difficulty_score", F.lit(accuracy).alias("cv_accuracy")), 4)
 
 
 @query
@@ -1024,7 +1027,7 @@ def ml3_coefficients(spark, d):
 
 @query
 def ml4_out_of_fold(spark, d):
-    return rounded(difficulty.out_of_fold(_training(spark, d)))
+    return rounded(difficulty.out_of_fold(_training(spark, d)), 4)
 
 
 @query
@@ -1046,7 +1049,7 @@ def ml7_top_importance(spark, d):
 def ml8_predict(spark, d):
     rows = _training(spark, d)
     return rounded(difficulty.fit(rows).score(rows).select(
-        "pairID", "predicted_difficulty", "p_easy", "p_hard", "difficulty_score"))
+        "pairID", "predicted_difficulty", "p_easy", "p_hard", "difficulty_score"), 4)
 
 
 @query

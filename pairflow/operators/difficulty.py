@@ -3,17 +3,14 @@
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairflow import domain
 from pairflow.functions.features import require_features
+from pairflow.operators import logistic
 from pairflow.operators import metrics as M
 from pairflow.operators.selection import with_group_rank
 from pairflow.workspace import literal_table, materialize
@@ -84,83 +81,84 @@ def standardised(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     return fit_scaling(df, names).apply(df)
 
 
-def class_sizes(df: DataFrame, target: str = "target") -> dict[int, int]:
-    return {r[target]: r.n for r in df.groupBy(target).agg(F.count(F.lit(1)).alias("n")).collect()}
+INTERCEPT = "(intercept)"
+MODEL_SCHEMA = "position int, feature string, mean double, std double, weight double"
 
 
 @dataclass
 class DifficultyModel:
     scaling: Scaling
-    model: PipelineModel
+    coefficients: list[float]
+    intercept: float
     sizes: dict[int, int]
 
-    @property
-    def coefficients(self) -> list[float]:
-        return [float(x) for x in self.model.stages[-1].coefficients]
+    def p_hard(self) -> Column:
+        """The score as one column expression over the features."""
+        terms = [(F.col(c).cast("double") - m) / s * w
+                 for c, m, s, w in zip(self.scaling.names, self.scaling.mean, self.scaling.std, self.coefficients)]
+        return 1 / (1 + F.exp(-sum(terms, F.lit(self.intercept))))
 
-    @property
-    def intercept(self) -> float:
-        return float(self.model.stages[-1].intercept)
+    def slopes(self) -> list[float]:
+        """Intercept and weights for features as they are."""
+        s = self.scaling
+        own = [w / d for w, d in zip(self.coefficients, s.std)]
+        return [self.intercept - sum(w * m for w, m in zip(own, s.mean)), *own]
 
     def score(self, df: DataFrame) -> DataFrame:
         """Adds predicted_difficulty (0 or 1), p_easy, p_hard and difficulty_score, in one pass."""
         require_features(df, self.scaling.names)
-        out = self.model.transform(self.scaling.apply(df)).withColumn("_p", vector_to_array("probability"))
-        return out.select(
-            *df.columns, F.col("prediction").cast("int").alias("predicted_difficulty"),
-            F.col("_p")[0].alias("p_easy"), F.col("_p")[1].alias("p_hard"), F.col("_p")[1].alias("difficulty_score"))
+        return df.select("*", self.p_hard().alias("_p")).select(*df.columns, *_scores())
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """The model as rows: position, feature, mean, std, weight; the intercept comes first."""
+        s = self.scaling
+        return literal_table(spark, [(0, INTERCEPT, 0.0, 1.0, self.intercept), *zip(
+            range(1, len(s.names) + 1), s.names, s.mean, s.std, self.coefficients)],
+            dict(f.split() for f in MODEL_SCHEMA.split(", ")))
 
     def importance(self, spark: SparkSession, k: int | None = None) -> DataFrame:
         """Signed coefficients, by absolute value; the first k if given."""
-        table = literal_table(spark, list(zip(self.scaling.names, self.coefficients)), {
-            "feature": "string", "importance": "double"})
+        table = self.table(spark).where(F.col("position") > 0).select("feature", F.col("weight").alias("importance"))
         ordered = table.orderBy(F.abs("importance").desc(), "feature")
         return ordered.limit(k) if k else ordered
 
     def save(self, spark: SparkSession, path: str, cv: DataFrame | None = None) -> None:
-        """The fitted model, its scaling, class sizes, settings and coefficients; cv: a cross-validation report."""
-        self.model.write().overwrite().save(f"{path}/model")
+        """Tables anyone can read: coefficients with the scaling, class sizes, settings; cv: a cross-validation report."""
+        self.table(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/coefficients")
+        literal_table(spark, sorted(self.sizes.items()), {"target": "int", "n": "long"}).coalesce(1).write.mode(
+            "overwrite").parquet(f"{path}/classes")
+        meta = json.dumps({"penalty": "l2", "inverse_strength": 1.0, "class_weight": "balanced", "solver": "newton"})
+        spark.range(1).select(F.lit(meta).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/settings")
         if cv is not None:
             cv.write.mode("overwrite").parquet(f"{path}/cv")
-        meta = json.dumps({
-            "scaling": asdict(self.scaling), "sizes": {str(k): v for k, v in self.sizes.items()},
-            "settings": {"penalty": "l2", "inverse_strength": 1.0, "class_weight": "balanced", "max_iter": 1000, "tol": 1e-6},
-            "importance": dict(zip(self.scaling.names, map(float, self.coefficients))), "intercept": self.intercept})
-        spark.range(1).select(F.lit(meta).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "DifficultyModel":
-        meta = json.loads(spark.read.text(f"{path}/metadata").first().value)
-        return cls(Scaling(**meta["scaling"]), PipelineModel.load(f"{path}/model"),
-                   {int(k): v for k, v in meta["sizes"].items()})
+        rows = spark.read.schema(MODEL_SCHEMA).parquet(f"{path}/coefficients").orderBy("position").collect()
+        features = rows[1:]
+        scaling = Scaling([r.feature for r in features], [r.mean for r in features], [r.std for r in features])
+        sizes = {r.target: r.n for r in spark.read.parquet(f"{path}/classes").collect()}
+        return cls(scaling, [r.weight for r in features], rows[0].weight, sizes)
 
 
-def fit_logistic(scaled: DataFrame, columns: list[str], sizes: dict[int, int], max_iter: int = 1000) -> PipelineModel:
-    """L2 logistic regression with balanced class weights and unit inverse strength.
+def _scores() -> list[Column]:
+    """Score columns from _p."""
+    p = F.col("_p")
+    return [(p > 0.5).cast("int").alias("predicted_difficulty"), (1 - p).alias("p_easy"), p.alias("p_hard"),
+            p.alias("difficulty_score")]
 
-    The penalty is stated per row, hence 1/n; features are standardised by the caller.
-    """
-    n = sum(sizes.values())
-    weight = F.lit(None).cast("double")
-    for value, size in sizes.items():
-        weight = F.when(F.col("target") == value, F.lit(n / (len(sizes) * size))).otherwise(weight)
-    rows = scaled.select(*columns, F.col("target").cast("double").alias("target"), weight.alias("_w"))
-    stages = [
-        VectorAssembler(inputCols=columns, outputCol="_features"),
-        LogisticRegression(featuresCol="_features", labelCol="target", weightCol="_w", regParam=1.0 / n,
-                           elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-6),
-    ]
-    return Pipeline(stages=stages).fit(rows)
+
+def _model(names: list[str], fitted: logistic.Fit) -> DifficultyModel:
+    numbers = lambda values: [float(v) for v in values]
+    return DifficultyModel(Scaling(names, numbers(fitted.mean), numbers(fitted.std)), numbers(fitted.beta[1:]),
+                           float(fitted.beta[0]), dict(fitted.sizes))
 
 
 def fit(df: DataFrame, names: list[str] | None = None) -> DifficultyModel:
-    """Fit on rows with a target; needs both classes."""
-    rows = materialize(df.select("target", *require_features(df, names)), "training")
-    sizes = class_sizes(rows)
-    if len(sizes) < 2:
-        raise ValueError("training needs both easy and hard rows")
-    scaling = fit_scaling(rows, names)
-    return DifficultyModel(scaling, fit_logistic(scaling.apply(rows), scaling.columns, sizes), sizes)
+    """L2 logistic regression with balanced class weights, on rows with a target; needs both classes."""
+    names = require_features(df, names)
+    rows = materialize(df.select("target", *names), "training")
+    return _model(names, logistic.fit_all(rows, names, [None])[0])
 
 
 def with_folds(df: DataFrame, n_folds: int = 5, seed: int = 42, by_genre: bool = False) -> DataFrame:
@@ -174,24 +172,20 @@ def out_of_fold(df: DataFrame, n_folds: int = 5, seed: int = 42, by_genre: bool
                 scale_per_fold: bool = False, names: list[str] | None = None) -> DataFrame:
     """Each row scored by the model fitted on the other folds.
 
-    The narrow training table (id, target, features, fold) is written once and read by every fit.
-    By default features are scaled over all rows before folding; scale_per_fold avoids that leak.
+    The narrow training table (id, target, features, fold) is written once; all folds are fitted in the same passes
+    over it and one more pass scores every row by its own fold's model. By default features are scaled over all rows
+    before folding; scale_per_fold avoids that leak.
     """
     names = require_features(df, names)
     keep = ["pairID", "genre", "target"]
     rows = materialize(df.select(*keep, *names), "training")
     table = materialize(with_folds(rows, n_folds, seed, by_genre), "folds")
-    overall = None if scale_per_fold else fit_scaling(table, names)
-    scored = None
-    for fold in range(n_folds):
-        train = table.where(F.col("fold") != fold)
-        scaling = overall or fit_scaling(train, names)
-        sizes = class_sizes(train)
-        model = DifficultyModel(scaling, fit_logistic(scaling.apply(train), scaling.columns, sizes), sizes)
-        part = model.score(table.where(F.col("fold") == fold)).select(
-            *keep, "fold", "predicted_difficulty", "p_easy", "p_hard")
-        scored = part if scored is None else scored.unionByName(part)
-    return scored
+    models = [_model(names, m) for m in logistic.fit_all(
+        table, names, list(range(n_folds)), "fold", own_scaling=scale_per_fold)]
+    weights = F.get(F.array(*[F.array(*[F.lit(x) for x in m.slopes()]) for m in models]), F.col("fold"))
+    margin = sum((F.col(c).cast("double") * F.get("_m", F.lit(j)) for j, c in enumerate(names, 1)), F.get("_m", F.lit(0)))
+    return (table.select("*", weights.alias("_m")).select(*keep, "fold", (1 / (1 + F.exp(-margin))).alias("_p"))
+            .select(*keep, "fold", *_scores()).drop("difficulty_score"))
 
 
 def cv_report(oof: DataFrame) -> DataFrame:

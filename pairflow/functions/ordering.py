@@ -1,4 +1,4 @@
-"""Deterministic pseudo-random order and order-preserving buckets."""
+"""Deterministic pseudo-random order."""
 
 from __future__ import annotations
 
@@ -19,10 +19,3 @@ def digest_number(text: Column) -> Column:
 def digest_bucket(hex_key: Column, digits: int) -> Column:
     """Leading hex digits as a number: grows with the key."""
     return F.conv(F.substring(hex_key, 1, digits), 16, 10).cast("int")
-
-
-def magnitude_bucket(value: Column, per_octave: int = 64) -> Column:
-    """Order-preserving int bucket of any finite double, per_octave buckets for each power of two."""
-    v = value.cast("double")
-    scaled = (F.floor(F.log2(F.abs(v)) * per_octave) + per_octave * 1100).cast("int")
-    return F.when(v == 0, F.lit(0)).when(v > 0, scaled).otherwise(-scaled)

@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 
 from pairflow import domain
 from pairflow.functions.lookup import lookup
-from pairflow.functions.ordering import magnitude_bucket
-from pairflow.workspace import broadcast_if_small, literal_table
+from pairflow.operators.ranges import rising_steps
+from pairflow.workspace import literal_table, materialize
 
 Tokens = dict[str, tuple[int, int]]
 
+# Steps of a frontier that are sent to every task: blocks of some 30 MB.
+STEP_BLOCK, STEP_BLOCKS = 1_000_000, 4
+
 
 def token_price(input_tokens: Column, output_tokens: Column, model: str | Column = domain.DEFAULT_MODEL) -> Column:
     """USD for a number of input and output tokens; model may be a column."""
@@ -100,24 +103,26 @@ def with_pareto_flag(df: DataFrame, cost: str = "cost_usd", value: str = "accura
                      output: str = "pareto_optimal") -> DataFrame:
     """False where another row is at least as good on both counts and better on one; ties all stay.
 
-    Suits tables of strategies and tables of many items alike: only the best value per distinct cost
-    is ordered, and that in two levels (cost buckets, then within a bucket), so no single task sees
-    every cost. The table of costs is written once; if it is small (counted), the rows meet it without a shuffle,
-    so a cost that very many rows share is no hot key.
+    Suits tables of strategies and tables of many items alike. The rows that stay are those at a step of the running
+    maximum of the best value per cost; the steps are found over ranges of the costs and the rows look themselves up
+    among them. Up to STEP_BLOCKS blocks of STEP_BLOCK steps are sent to the tasks, after a count, so the rows are
+    not shuffled; more steps than that meet the rows in a shuffle join. A row without a cost or value stays.
     """
-    per_cost = df.groupBy(F.col(cost).alias("_c")).agg(F.max(value).alias("_at"))
-    # The filter the join below would infer, stated for both uses so that they share one shuffle.
-    per_cost = per_cost.withColumn("_b", magnitude_bucket(F.col("_c"))).where(F.col("_b").isNotNull())
-    per_bucket = per_cost.groupBy("_b").agg(F.max("_at").alias("_m"))
-    before = W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    floors = per_bucket.select("_b", F.max("_m").over(before).alias("_floor"))
-    inside = W.partitionBy("_b").orderBy("_c").rowsBetween(W.unboundedPreceding, -1)
-    best = per_cost.join(floors, "_b").select(
-        "_c", "_at", F.greatest(F.max("_at").over(inside), F.col("_floor")).alias("_below"))
-    joined = df.join(broadcast_if_small(best), F.col(cost) == F.col("_c"), "left")
-    dominated = F.coalesce(F.col("_below") >= F.col(value), F.lit(False)) | F.coalesce(
-        F.col("_at") > F.col(value), F.lit(False))
-    return joined.withColumn(output, ~dominated).drop("_c", "_at", "_below")
+    points = df.groupBy(F.col(cost).alias("_c")).agg(F.max(value).alias("_v")).where(
+        F.col("_c").isNotNull() & ~F.isnan(F.col("_c").cast("double")) & F.col("_v").isNotNull())
+    steps = materialize(rising_steps(points, "_c", "_v"), "steps")
+    own = (F.col(cost) == F.col("_c")) & (F.col(value) == F.col("_v"))
+    free = F.col(cost).isNull() | F.isnan(F.col(cost).cast("double")) | F.col(value).isNull()
+    n = steps.count()
+    blocks = -(-n // STEP_BLOCK)
+    if blocks > STEP_BLOCKS:
+        return df.join(steps, own, "left").withColumn(output, free | F.col("_c").isNotNull()).drop("_c", "_v")
+    out, kept = df, free
+    for k in range(blocks):
+        block = steps.where(F.pmod(F.xxhash64("_c"), F.lit(blocks)) == k).select("_c", "_v", F.lit(True).alias(f"_at{k}"))
+        out = out.join(F.broadcast(block), own, "left").drop("_c", "_v")
+        kept = kept | F.col(f"_at{k}").isNotNull()
+    return out.withColumn(output, kept).drop(*[f"_at{k}" for k in range(blocks)])
 
 
 def undominated(df: DataFrame, cost: str = "cost_usd", value: str = "accuracy") -> DataFrame:

@@ -7,9 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pairflow import domain
-from pairflow.functions.ordering import magnitude_bucket
 from pairflow.functions.text import blank_word_count
-from pairflow.workspace import materialize
+from pairflow.operators.ranges import carried_in, inside, ranged
+from pairflow.workspace import broadcast_if_small, materialize
 
 LABEL_COLUMNS = domain.LABELS + [domain.UNKNOWN_LABEL]
 
@@ -148,30 +148,27 @@ def value_table(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame
 def exact_quantiles(values: DataFrame, keys: list[str], probabilities: dict[str, float]) -> DataFrame:
     """Linearly interpolated quantiles (one column each) of (keys, feature, value, n).
 
-    The built-in exact percentile gathers a group's values in one buffer. Here counts per
-    order-preserving bucket tell in which buckets the wanted positions lie, and only the values of
-    those buckets are ranked.
+    The built-in exact percentile gathers a group's values in one buffer. Here the distinct values are written in
+    ranges of equal shares; counts per range tell which ranges hold the wanted positions, and only those are ranked.
     """
     group = [*keys, "feature"]
-    bucketed = values.withColumn("_b", magnitude_bucket(F.col("value")))
-    histogram = bucketed.groupBy(*group, "_b").agg(F.sum("n").alias("_nb"))
-    running = W.partitionBy(*group).orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)
-    whole = W.partitionBy(*group)
-    cumulative = histogram.withColumns({
-        "_end": F.sum("_nb").over(running), "_total": F.sum("_nb").over(whole)})
-    cumulative = cumulative.withColumn("_start", F.col("_end") - F.col("_nb"))
+    cut = ranged(values, *group, "value")
+    parts = cut.groupBy(*group, "_range").agg(F.sum("n").alias("_n"))
+    cumulative = parts.join(carried_in(parts, group, _start=F.sum("_n")), [*group, "_range"]).withColumns({
+        "_start": F.coalesce("_start", F.lit(0)), "_total": F.sum("_n").over(W.partitionBy(*group))})
+    cumulative = cumulative.withColumn("_end", F.col("_start") + F.col("_n"))
     positions = F.array(*[
         F.struct(F.lit(name).alias("_q"), ((F.col("_total") - 1) * F.lit(float(p))).alias("_pos"))
         for name, p in probabilities.items()])
-    # Position p needs the values at floor(p) and ceil(p), which may lie in different buckets.
-    wanted = cumulative.select(*group, "_b", "_start", "_end", F.inline(positions))
-    wanted = wanted.select(*group, "_b", "_start", "_end", "_q", "_pos", F.explode(
+    # Position p needs the values at floor(p) and ceil(p), which may lie in different ranges.
+    wanted = cumulative.select(*group, "_range", "_start", "_end", F.inline(positions))
+    wanted = wanted.select(*group, "_range", "_start", "_end", "_q", "_pos", F.explode(
         F.array(F.floor("_pos"), F.ceil("_pos"))).alias("_at"))
     wanted = wanted.where((F.col("_at") >= F.col("_start")) & (F.col("_at") < F.col("_end")))
-    inside = W.partitionBy(*group, "_b").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
-    needed = wanted.groupBy(*group, "_b").agg(
+    needed = wanted.groupBy(*group, "_range").agg(
         F.max("_start").alias("_start"), F.collect_set(F.struct("_q", "_pos", "_at")).alias("_wants"))
-    ranked = bucketed.join(needed, [*group, "_b"]).withColumn("_hi", F.col("_start") + F.sum("n").over(inside))
+    ranked = cut.join(broadcast_if_small(needed), [*group, "_range"]).withColumn(
+        "_hi", F.col("_start") + F.sum("n").over(inside(group, "value")))
     hits = ranked.select(*group, "value", "n", "_hi", F.inline("_wants")).where(
         (F.col("_at") < F.col("_hi")) & (F.col("_at") >= F.col("_hi") - F.col("n")))
     low = F.max(F.when(F.col("_at") == F.floor("_pos"), F.col("value")))

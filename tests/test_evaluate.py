@@ -248,3 +248,33 @@ def test_pareto_flag_does_not_shuffle_the_rows(spark):
     for r in flagged.collect():
         better = r.accuracy < best[r.cost_usd] or any(v >= r.accuracy for c, v in best.items() if c < r.cost_usd)
         assert r.pareto_optimal == (not better)
+
+
+@pytest.mark.parametrize("block,blocks", [(1_000_000, 4), (20, 100), (20, 1)])
+def test_frontier_of_many_steps(spark, monkeypatch, block, blocks):
+    """Costs and values that rise together are all steps; sent whole, in blocks, or met in a shuffle join."""
+    monkeypatch.setattr(cost, "STEP_BLOCK", block)
+    monkeypatch.setattr(cost, "STEP_BLOCKS", blocks)
+    rng = random.Random(2)
+    rows = [(i, i / 2, float(i // 3)) for i in range(300)] + [(1000 + i, rng.randint(0, 300) / 2, float(rng.randint(0, 100))) for i in range(300)]
+    rows += [(5000, None, 1.0), (5001, 3.0, None), (5002, float("nan"), 0.0), (5003, float("inf"), 1e9), (5004, -1.0, -5.0), (5005, -1.0, -5.0)]
+    df = spark.createDataFrame(rows, "id int, cost_usd double, accuracy double").repartition(7)
+    real = [(i, c, a) for i, c, a in rows if c is not None and c == c and a is not None]
+    want = {i for i, c, a in real if not any((a2 > a and c2 <= c) or (c2 < c and a2 >= a) for _, c2, a2 in real)} | {5000, 5001, 5002}
+    flagged = cost.with_pareto_flag(df)
+    assert flagged.columns == ["id", "cost_usd", "accuracy", "pareto_optimal"] and flagged.count() == len(rows)
+    assert {r.id for r in flagged.where("pareto_optimal").collect()} == want
+    assert cost.with_pareto_flag(df.limit(0)).collect() == []
+
+
+def test_a_million_costs_do_not_shuffle_the_rows(spark):
+    import numpy as np
+    rows = spark.range(1_000_000).select(
+        "id", (F.lit(1.0) + F.col("id") / 1e6).alias("cost_usd"), (F.col("id") * 48271 % 999_983 + F.col("id") / 2).cast("double").alias("accuracy"))
+    flagged = cost.with_pareto_flag(rows)
+    plan = flagged._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Exchange rangepartitioning" not in plan
+    ids = np.arange(1_000_000)
+    value = (ids * 48271 % 999_983) + ids / 2
+    want = ids[value > np.concatenate(([-1], np.maximum.accumulate(value)[:-1]))]
+    assert sorted(r.id for r in flagged.where("pareto_optimal").select("id").collect()) == want.tolist()

@@ -165,6 +165,18 @@ def test_exact_quantiles_equal_numpy(spark):
         assert np.allclose([r.q10, r.q25, r.q50, r.q99], want)
 
 
+def test_quantiles_of_close_values_are_spread_over_tasks(spark):
+    """A million distinct values between 1 and 2."""
+    import numpy as np
+    from pairflow.operators import ranges
+    df = spark.range(1_000_000).select(F.lit("g").alias("g"), (1 + F.col("id") * 7919 % 1_000_000 / 1e6).alias("v"))
+    values = profile.value_table(df, ["v"], ["g"])
+    sizes = [r["count"] for r in ranges.ranged(values, "g", "feature", "value").groupBy("_range").count().collect()]
+    assert len(sizes) >= 4 and max(sizes) < 3 * sum(sizes) / len(sizes)
+    r = profile.exact_quantiles(values, ["g"], {"q25": 0.25, "q50": 0.5, "q999": 0.999}).first()
+    assert np.allclose([r.q25, r.q50, r.q999], np.quantile(1 + np.arange(1_000_000) / 1e6, [0.25, 0.5, 0.999]), atol=1e-12)
+
+
 def test_feature_summary_equals_pandas(spark, pairs):
     from pairflow.functions.features import with_features
     f = with_features(pairs)

@@ -66,7 +66,9 @@ def _pairs_from(arrays: str) -> str:
    {genres}[cast(substr(source,4) AS int) % 10 + 1] genre FROM {arrays}_p)"""
 
 
-LABEL_ID = "(CASE WHEN b<33 THEN 0 WHEN b<66 THEN 1 WHEN b<97 THEN 2 ELSE -1 END)::int"
+_SHARE = "length(hypothesis) * 100"
+_WHOLE = "(length(premise) + length(hypothesis))"
+LABEL_ID = f"(CASE WHEN hypothesis = '' THEN -1 WHEN {_SHARE} < 42 * {_WHOLE} THEN 2 WHEN {_SHARE} < 58 * {_WHOLE} THEN 1 ELSE 0 END)::int"
 LABEL = _map("label_id", domain.LABEL_BY_ID, "'unknown'")
 EST = _map("strategy", domain.ROUTER_TOKENS)
 
@@ -87,21 +89,40 @@ def _features(source: str, name: str) -> str:
    sw::int shared_words FROM {name}_u)"""
 
 
-PROFILE = "VALUES ('zero-shot',0.0,0.3,600),('one-shot',0.05,0.25,880),('few-shot',0.1,0.2,1800),('cot',0.1,0.3,1400),('6-shot',0.05,0.2,2000),('6-shot-cot',0.15,0.25,1500)"
+PROFILE = "VALUES ('zero-shot',0.0,0.3),('one-shot',0.05,0.25),('few-shot',0.1,0.2),('cot',0.1,0.3),('6-shot',0.05,0.2),('6-shot-cot',0.15,0.25)"
+
+
+def _prompt(template: str) -> str:
+    """SQL concatenation of a prompt text with its slots."""
+    text = template.replace("{system_instruction}", domain.SYSTEM_INSTRUCTION)
+    text = _q(text)
+    for slot in ("premise", "hypothesis"):
+        text = text.replace("{" + slot + "}", f"' || {slot} || '")
+    return "(" + text + ")"
+
+
+def _few(k: int) -> str:
+    block = "".join(domain.FEW_SHOT_EXAMPLE.format(premise=p, hypothesis=h, label=l) for p, h, l in domain.FEW_SHOT_EXAMPLES[:k])
+    return _prompt(domain.FEW_SHOT_HEADER + block + domain.FEW_SHOT_FOOTER)
+
+
+PROMPTS = {
+    "zero-shot": _prompt(domain.ZERO_SHOT_TEXT), "one-shot": _prompt(domain.ONE_SHOT_TEXT), "few-shot": _few(5),
+    "6-shot": _few(6), "6-shot-cot": _prompt(domain.SIX_SHOT_COT_TEXT), "cot": _prompt(domain.COT_WITH_EXAMPLE_TEXT),
+}
+PROMPT_LENGTH = "CASE strategy " + " ".join(f"WHEN '{n}' THEN length({t})" for n, t in PROMPTS.items()) + " END"
 
 # name -> (needed parts, CTE text)
 PARTS: dict[str, tuple[list[str], str]] = {
     "pairs": ([], """
  a AS (SELECT doc_id, source, list_filter(list_transform(regexp_extract_all(text, '[^.\\n]+'), lambda x: trim(x)), lambda x: x <> '') arr FROM documents),"""
               + _pairs_from("a") + f""",
- a_r AS (SELECT *, {_hash('pairID')} % 100 b FROM a_q),
- raw AS (SELECT pairID, premise, hypothesis, genre, {LABEL_ID} label_id FROM a_r),
+ raw AS (SELECT pairID, premise, hypothesis, genre, {LABEL_ID} label_id FROM a_q),
  pairs AS (SELECT *, {LABEL} AS label FROM raw)"""),
     "turns": ([], f"""
  t_j AS (SELECT concat('c-', x.conv_id, '-', x.turn) pairID, x.text premise, y.text hypothesis, 'facetoface' genre
    FROM conversations x JOIN conversations y ON x.conv_id = y.conv_id AND y.turn = x.turn + 1),
- t_r AS (SELECT *, {_hash('pairID')} % 100 b FROM t_j),
- turns AS (SELECT pairID, premise, hypothesis, genre, {LABEL_ID} label_id FROM t_r)"""),
+ turns AS (SELECT pairID, premise, hypothesis, genre, {LABEL_ID} label_id FROM t_j)"""),
     "clean": (["pairs"], f"""
  clean AS (SELECT * FROM pairs WHERE label IN {_in(LABELS)} AND regexp_matches(premise, '{VISIBLE}') AND regexp_matches(hypothesis, '{VISIBLE}')
    QUALIFY row_number() OVER (PARTITION BY premise, hypothesis ORDER BY pairID) = 1)"""),
@@ -122,19 +143,19 @@ PARTS: dict[str, tuple[list[str], str]] = {
     "tiers": (["sc"], f"""
  tiers AS (SELECT *, {_map('routed_strategy', domain.ROUTER_TOKENS)} est FROM sc)"""),
     "preds": (["pairs"], f"""
- s(strategy, low, high, base) AS ({PROFILE}),
- p_w AS (SELECT *, length(premise)+length(hypothesis) chars, list_distinct({_tok('premise')}) pw, list_distinct({_tok('hypothesis')}) hw FROM pairs),
- p_o AS (SELECT * EXCLUDE (pw, hw), len(hw) words, len(list_intersect(pw, hw))::double / greatest(len(hw), 1) overlap FROM p_w),
- p_h AS (SELECT * FROM p_o CROSS JOIN s),
+ s(strategy, low, high) AS ({PROFILE}),
+ p_w AS (SELECT *, list_distinct({_tok('premise')}) pw, list_distinct({_tok('hypothesis')}) hw FROM pairs),
+ p_o AS (SELECT * EXCLUDE (pw, hw), len(hw) words, len(list_intersect(pw, hw)) shared FROM p_w),
+ p_h AS (SELECT *, shared::double / greatest(words, 1) overlap FROM p_o CROSS JOIN s),
  p_n AS (SELECT *, CASE WHEN overlap >= high::double THEN 'entailment' WHEN overlap <= low::double THEN 'contradiction' ELSE 'neutral' END w,
-   CASE WHEN words = 0 THEN 'Nothing to judge' WHEN chars > 320 THEN 'Rate limit exceeded' END error FROM p_h),
- p_t AS (SELECT *, CASE WHEN error IS NOT NULL THEN '' WHEN words = 1 THEN 'cannot decide' WHEN strategy LIKE '%cot' THEN concat('1. Compare the claims. Classification: ', w)
-   WHEN chars % 10 = 0 THEN concat('  ', upper(w), ' ') WHEN chars % 10 = 1 THEN concat('It is ', w, '.') ELSE w END raw_response FROM p_n),
+   CASE WHEN words = 0 THEN 'Nothing to judge' END error FROM p_h),
+ p_t AS (SELECT *, CASE WHEN error IS NOT NULL THEN '' WHEN words = 1 THEN 'cannot decide'
+   WHEN strategy LIKE '%cot' THEN concat('Shared words: ', shared, ' of ', words, '. Classification: ', w) ELSE w END raw_response FROM p_n),
  preds AS (SELECT pairID, premise, hypothesis, genre, label_id, label, strategy, raw_response,
    {_parse('lower(trim(raw_response))')} predicted_label,
-   cast(floor((chars+base)/4) AS bigint)+1 prompt_tokens,
+   cast({PROMPT_LENGTH} // 4 AS bigint)+1 prompt_tokens,
    CASE WHEN error IS NOT NULL THEN cast(0 AS bigint) ELSE cast(floor(length(raw_response)/4) AS bigint)+1 END response_tokens,
-   cast(50 + chars % 100 AS double) latency_ms, error IS NULL success, error, chars, words FROM p_t)"""),
+   NULL::double latency_ms, error IS NULL success, error FROM p_t)"""),
     "sample": (["clean"], """
  sample AS (SELECT * FROM clean QUALIFY row_number() OVER (PARTITION BY genre, label ORDER BY md5(concat(pairID,'|42')), pairID)
    <= CASE label WHEN 'contradiction' THEN 16 ELSE 17 END)"""),
@@ -285,20 +306,6 @@ def _sql(body: str, *parts: str) -> str:
     return ("WITH RECURSIVE" if "_n(s, g, b)" in ctes else "WITH") + ctes + "\n" + body if order else body
 
 
-def _prompt(template: str) -> str:
-    """SQL concatenation of a prompt text with its slots."""
-    text = template.replace("{system_instruction}", domain.SYSTEM_INSTRUCTION)
-    text = _q(text)
-    for slot in ("premise", "hypothesis"):
-        text = text.replace("{" + slot + "}", f"' || {slot} || '")
-    return "(" + text + ")"
-
-
-def _few(k: int) -> str:
-    block = "".join(domain.FEW_SHOT_EXAMPLE.format(premise=p, hypothesis=h, label=l) for p, h, l in domain.FEW_SHOT_EXAMPLES[:k])
-    return _prompt(domain.FEW_SHOT_HEADER + block + domain.FEW_SHOT_FOOTER)
-
-
 FEW_OWN = (_prompt(domain.FEW_SHOT_HEADER)[:-1] + " || 'Premise: ' || hypothesis || '\nHypothesis: ' || premise || '\nClassification: ' || label || '\n\n' || "
            + _prompt(domain.FEW_SHOT_FOOTER)[1:])
 
@@ -308,12 +315,9 @@ def _digest(prompt: str, extra: str = "") -> str:
             f"(length({prompt})//4 + 1)::bigint prompt_tokens{extra} FROM pairs")
 
 
-PROMPTS = {
-    "zero-shot": _prompt(domain.ZERO_SHOT_TEXT), "one-shot": _prompt(domain.ONE_SHOT_TEXT), "few-shot": _few(5),
-    "6-shot": _few(6), "6-shot-cot": _prompt(domain.SIX_SHOT_COT_TEXT), "cot": _prompt(domain.COT_WITH_EXAMPLE_TEXT),
-}
 PRED_COLS = "pairID, strategy, raw_response, predicted_label, prompt_tokens, response_tokens, latency_ms, success, error"
-ATTEMPTS = "(CASE WHEN error = 'Nothing to judge' THEN 1 WHEN chars > 320 THEN 3 WHEN chars > 240 AND words > 0 THEN 2 ELSE 1 END)::int attempts"
+ATTEMPTS = "1::int attempts"
+SCORED_COLS = PRED_COLS.replace("latency_ms, ", "")
 
 
 def _quant(source: str, keys: str, col: str) -> str:
@@ -439,8 +443,8 @@ ORACLE: dict[str, str] = {
       FROM (SELECT routed_strategy, count(*) n, (SELECT count(*) FROM tiers) tq, (SELECT sum(est)::bigint FROM tiers) ts, (SELECT sum(greatest(0, 500-est))::bigint FROM tiers) tv FROM tiers GROUP BY ALL)""", "tiers"),
     "rte10_share_within_genre": _sql("SELECT genre, " + ", ".join(f"round(count(*) FILTER (routed_strategy = '{s}')::double / count(*), 6) \"{_us(s)}\"" for s in STRATS) + " FROM routed GROUP BY genre", "routed"),
     # scoring
-    "inf1_score_table": _sql(f"SELECT {PRED_COLS}, {ATTEMPTS} FROM preds WHERE strategy = 'zero-shot'", "preds"),
-    "inf2_bounded_concurrency": _sql(f"SELECT {PRED_COLS.replace(', error', '')}, coalesce(error, '') error, {ATTEMPTS} FROM preds WHERE strategy = 'few-shot'", "preds"),
+    "inf1_score_table": _sql(f"SELECT {SCORED_COLS}, {ATTEMPTS}, true timed FROM preds WHERE strategy = 'zero-shot'", "preds"),
+    "inf2_bounded_concurrency": _sql(f"SELECT {SCORED_COLS.replace(', error', '')}, coalesce(error, '') error, {ATTEMPTS} FROM preds WHERE strategy = 'few-shot'", "preds"),
     "inf3_retries": _sql(f"SELECT success, error, {ATTEMPTS}, count(*) n FROM preds WHERE strategy = 'cot' GROUP BY ALL", "preds"),
     "inf4_batch_summary": _sql("SELECT strategy, count(*) FILTER (success) successful, count(*) FILTER (NOT success) failed, sum(prompt_tokens+response_tokens)::bigint total_tokens, round(sum(latency_ms),6) total_time_ms, count(*) FILTER (lower(error) LIKE '%rate limit%') retryable_failures, round(count(*) FILTER (success)::double / count(*), 6) success_rate FROM preds GROUP BY ALL", "preds"),
     "inf5_several_strategies": _sql("SELECT pairID, strategy, predicted_label, prompt_tokens, response_tokens FROM preds", "preds"),
@@ -448,7 +452,7 @@ ORACLE: dict[str, str] = {
     "inf7_label_from_scores": """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::double) v, len(embedding) // 3 t FROM embeddings),
  s AS (SELECT vec_id, list_sum(v[1:t]) a, list_sum(v[t+1:2*t]) b, list_sum(v[2*t+1:]) c FROM e)
 SELECT vec_id, CASE WHEN a >= b AND a >= c THEN 'contradiction' WHEN b >= c THEN 'entailment' ELSE 'neutral' END predicted_label FROM s""",
-    "inf8_resume": _sql("SELECT pairID, strategy, raw_response, predicted_label, (CASE WHEN error = 'Nothing to judge' THEN 1 WHEN chars > 320 THEN 3 WHEN chars > 240 AND strategy NOT IN ('zero-shot','cot') THEN 2 ELSE 1 END)::int attempts FROM preds WHERE strategy IN ('zero-shot','one-shot','few-shot','cot')", "preds"),
+    "inf8_resume": _sql(f"SELECT pairID, strategy, raw_response, predicted_label, {ATTEMPTS} FROM preds WHERE strategy IN ('zero-shot','one-shot','few-shot','cot')", "preds"),
     "inf9_score_routed": _sql("SELECT pairID, p.strategy, (CASE p.strategy WHEN '6-shot-cot' THEN 500 ELSE 20 END)::int max_tokens, predicted_label, prompt_tokens, coalesce(error,'') error FROM routed r JOIN preds p USING (pairID) WHERE p.strategy = r.routed_strategy", "routed", "preds"),
     # metrics
     "met1_accuracy": _sql("SELECT strategy, round(count(*) FILTER (label = predicted_label)::double / count(*), 6) accuracy, count(*) n FROM preds GROUP BY ALL", "preds"),
@@ -578,7 +582,7 @@ def _items_sql(items: str, body: str, *parts: str) -> str:
 
 
 ORACLE["cst6_pareto"] = _items_sql(
-    "SELECT pairID, strategy, prompt_tokens::double cost_usd, latency_ms accuracy FROM preds",
+    "SELECT pairID, strategy, prompt_tokens::double cost_usd, response_tokens::double accuracy FROM preds",
     "SELECT items.*, dom.c IS NULL pareto_optimal FROM items LEFT JOIN dom ON dom.c = cost_usd AND dom.v = accuracy", "preds")
 ORACLE["jon6_undominated"] = _items_sql(
     "SELECT pairID, char_length::double cost_usd, hypothesis_length::double accuracy FROM feats",

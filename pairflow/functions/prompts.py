@@ -80,6 +80,16 @@ def with_prompt(df: DataFrame, strategy: str = "strategy", output: str = "prompt
     return df.withColumn(output, prompt(strategy, examples=examples, allowed=allowed))
 
 
+def fixed_chars(strategy: str) -> int:
+    """Characters of a strategy's prompt besides the pair's two texts."""
+    examples = domain.FEW_SHOT_EXAMPLES[:6 if strategy == "6-shot" else domain.FEW_SHOT_DEFAULT_COUNT]
+    block = "".join(domain.FEW_SHOT_EXAMPLE.format(premise=p, hypothesis=h, label=l) for p, h, l in examples)
+    several = domain.FEW_SHOT_HEADER + block + domain.FEW_SHOT_FOOTER
+    template = {"zero-shot": domain.ZERO_SHOT_TEXT, "one-shot": domain.ONE_SHOT_TEXT, "few-shot": several, "6-shot": several,
+                "6-shot-cot": domain.SIX_SHOT_COT_TEXT, "cot": domain.COT_WITH_EXAMPLE_TEXT}[strategy]
+    return len(re.sub(r"\{(premise|hypothesis)\}", "", _with_instruction(template)))
+
+
 def managed_prompt(strategy: Column | str, premise: str = "premise", hypothesis: str = "hypothesis",
                    examples: list[Example] | None = None) -> Column:
     """The narrower surface that accepts the four base strategies only."""

@@ -4,20 +4,29 @@ A scorer is built once per task by a factory and answers a batch of prompts:
 
     factory() -> object with answer(batch: pandas.DataFrame) -> list[Answer]
 
-The batch holds the columns of the table plus `prompt` and `max_tokens`. Spark spreads the rows;
-the number of partitions bounds how many scorers run at once.
+The batch holds the columns of the table plus `prompt` and `max_tokens`. Spark spreads the rows over the task slots;
+what a service allows (requests a second, requests in flight) is shared out among the slots, and the table keeps its
+partitions. Answers cost money and cannot be repeated, so `score_stored` scores in waves, each of them written and
+logged: a run that breaks off goes on after the last wave in the log.
 """
 
 from __future__ import annotations
 
+import contextlib
+import fcntl
+import math
+import os
 import sys
+import tempfile
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.resource import ResourceProfileBuilder, TaskResourceRequests
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,7 +43,7 @@ class Answer:
     text: str
     prompt_tokens: int
     response_tokens: int
-    latency_ms: float
+    latency_ms: float | None = None  # measured around the call if the scorer doesn't say
     success: bool = True
     error: str | None = None
 
@@ -50,6 +59,60 @@ class RetryPolicy:
         return not answer.success and any(r in message for r in self.retryable)
 
 
+@dataclass(frozen=True)
+class Limits:
+    """What a service allows the whole job."""
+
+    per_second: float | None = None
+    in_flight: int | None = None
+
+    def share(self, slots: int) -> "Limits":
+        """One task slot's part; at least one request in flight."""
+        return Limits(self.per_second / slots if self.per_second else None,
+                      max(1, self.in_flight // slots) if self.in_flight else None)
+
+
+class TokenBucket:
+    """Lets `rate` requests a second pass, and at most a second's worth at once."""
+
+    def __init__(self, rate: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.rate, self.clock, self.sleep = rate, clock, sleep
+        self.room, self.at = max(1.0, rate), clock()
+
+    def take(self, n: int) -> None:
+        """Waits until n requests may go; more than there is room for are paid by waiting."""
+        now = self.clock()
+        self.room, self.at = min(max(1.0, self.rate), self.room + (now - self.at) * self.rate), now
+        self.room -= n
+        if self.room < 0:
+            self.sleep(-self.room / self.rate)
+
+
+@contextlib.contextmanager
+def _one_of(folder: str | None, n: int, sleep: Callable[[float], None] = time.sleep) -> Iterator[None]:
+    """Holds one of n locks in a local session's folder; a lock goes with its process."""
+    if folder is None:
+        yield
+        return
+    files = [os.open(os.path.join(folder, str(i)), os.O_CREAT | os.O_RDWR) for i in range(n)]
+    try:
+        held = False
+        while not held:
+            for f in files:
+                try:
+                    fcntl.flock(f, fcntl.LOCK_EX | fcntl.LOCK_NB)
+                    held = True
+                    break
+                except BlockingIOError:
+                    continue
+            else:
+                sleep(0.001)
+        yield
+    finally:
+        for f in files:
+            os.close(f)
+
+
 RESULT_FIELDS = [
     T.StructField("raw_response", T.StringType()),
     T.StructField("prompt_tokens", T.LongType()),
@@ -68,10 +131,24 @@ def _one_each(answers: list[Answer], batch: pd.DataFrame) -> list[Answer]:
     return answers
 
 
-def answer_with_retries(scorer, batch: pd.DataFrame, policy: RetryPolicy,
-                        sleep: Callable[[float], None] = time.sleep) -> tuple[list[Answer], list[int]]:
-    """Ask for the whole batch, then again for the rows whose failure may pass; delays double."""
+def _asked(scorer, batch: pd.DataFrame, bucket: TokenBucket | None) -> list[Answer]:
+    """The scorer's answers; an answer without a latency gets its share of the measured time."""
+    if bucket:
+        bucket.take(len(batch))
+    begun = time.perf_counter()
     answers = _one_each(scorer.answer(batch), batch)
+    each = (time.perf_counter() - begun) * 1000 / max(1, len(batch))
+    for answer in answers:
+        if answer.latency_ms is None:
+            answer.latency_ms = each
+    return answers
+
+
+def answer_with_retries(scorer, batch: pd.DataFrame, policy: RetryPolicy, sleep: Callable[[float], None] = time.sleep,
+                        bucket: TokenBucket | None = None) -> tuple[list[Answer], list[int]]:
+    """Ask for the whole batch, then again for the rows whose failure may pass; delays double. Repeated requests
+    count against the rate as well."""
+    answers = _asked(scorer, batch, bucket)
     attempts = [1] * len(answers)
     for attempt in range(1, policy.attempts):
         again = [i for i, a in enumerate(answers) if policy.should_retry(a)]
@@ -79,49 +156,108 @@ def answer_with_retries(scorer, batch: pd.DataFrame, policy: RetryPolicy,
             break
         sleep(policy.delay_s * 2 ** (attempt - 1))
         retried = batch.iloc[again]
-        for i, answer in zip(again, _one_each(scorer.answer(retried), retried)):
+        for i, answer in zip(again, _asked(scorer, retried, bucket)):
             answers[i] = answer
             attempts[i] += 1
     return answers, attempts
 
 
+def _few_tasks(spark: SparkSession, slots: int, in_flight: int):
+    """A resource profile that gives a task so many cores that at most in_flight run at one time."""
+    cores = int(spark.conf.get("spark.task.cpus", "1")) * math.ceil(slots / in_flight)
+    return ResourceProfileBuilder().require(TaskResourceRequests().cpus(cores)).build
+
+
 def score(df: DataFrame, factory: Callable[[], object], policy: RetryPolicy = RetryPolicy(),
-          max_concurrency: int | None = None, empty_error: bool = False, keep_prompt: bool = False,
-          profile=None) -> DataFrame:
+          limits: Limits = Limits(), empty_error: bool = False, keep_prompt: bool = False, profile=None) -> DataFrame:
     """Add the result columns to a table that has prompt (and optionally max_tokens).
 
-    max_concurrency bounds the scorers at work at one time: that many tasks read the partitions one after the
-    other, without a shuffle, and hold one batch each. On a cluster a resource profile (profile) bounds the task
-    slots of the scoring stage instead and leaves the table in its many partitions.
-    empty_error reports "" instead of null for a success.
+    Each task slot gets its share of limits: a token bucket for the rate, and chunks of rows for what is in flight. If
+    less may be in flight than there are slots, a resource profile widens the tasks; a local session, which has none,
+    lets its tasks take turns. The table keeps its partitions. empty_error reports "" instead of null for a success.
     """
-    rows = df.coalesce(max_concurrency) if max_concurrency else df
+    spark = df.sparkSession
+    slots = max(1, spark.sparkContext.defaultParallelism)
+    share, turns = limits.share(slots), None
+    if limits.in_flight and limits.in_flight < slots:
+        if spark.sparkContext.master.startswith("local["):
+            turns = tempfile.mkdtemp(prefix="pairflow-turns-")
+        else:
+            profile = profile or _few_tasks(spark, slots, limits.in_flight)
+    most = limits.in_flight or 0
     names = [f.name for f in RESULT_FIELDS]
     schema = T.StructType([f for f in df.schema.fields if f.name not in names] + RESULT_FIELDS)
     inputs = [f.name for f in schema.fields if f.name not in names]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = factory()
+        bucket = TokenBucket(share.per_second) if share.per_second else None
         for batch in batches:
-            if not len(batch):
-                continue
-            answers, attempts = answer_with_retries(scorer, batch, policy)
-            out = batch[inputs].copy()
-            out["raw_response"] = [a.text for a in answers]
-            out["prompt_tokens"] = [a.prompt_tokens for a in answers]
-            out["response_tokens"] = [a.response_tokens for a in answers]
-            out["latency_ms"] = [a.latency_ms for a in answers]
-            out["success"] = [a.success for a in answers]
-            out["error"] = [a.error for a in answers]
-            out["attempts"] = attempts
-            yield out
-
-    result = rows.mapInPandas(run, schema, profile=profile).withColumn("predicted_label", parse_label("raw_response"))
+            size = share.in_flight or len(batch)
+            for start in range(0, len(batch), max(1, size)):
+                part = batch.iloc[start:start + size]
+                with _one_of(turns, most):
+                    answers, attempts = answer_with_retries(scorer, part, policy, bucket=bucket)
+                out = part[inputs].copy()
+                out["raw_response"] = [a.text for a in answers]
+                out["prompt_tokens"] = [a.prompt_tokens for a in answers]
+                out["response_tokens"] = [a.response_tokens for a in answers]
+                out["latency_ms"] = [a.latency_ms for a in answers]
+                out["success"] = [a.success for a in answers]
+                out["error"] = [a.error for a in answers]
+                out["attempts"] = attempts
+                yield out
+
+    result = df.mapInPandas(run, schema, profile=profile).withColumn("predicted_label", parse_label("raw_response"))
     if empty_error:
         result = result.withColumn("error", F.when(F.col("success"), F.lit("")).otherwise(F.col("error")))
     return result if keep_prompt else result.drop("prompt")
 
 
+# --- waves with a log ------------------------------------------------------------------------
+
+LOG_SCHEMA = "wave int, waves int, n_rows long, n_failed long"
+
+
+def _log(spark: SparkSession, path: str) -> dict[int, int]:
+    """Wave -> number of waves of the run that committed it."""
+    try:
+        rows = spark.read.schema(LOG_SCHEMA).json(f"{path}/log").collect()  # one row per wave
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return {}
+    return {r.wave: r.waves for r in rows}
+
+
+def score_stored(df: DataFrame, path: str, factory: Callable[[], object], waves: int = 16,
+                 keys: tuple[str, ...] = ("pairID", "strategy"), **options) -> DataFrame:
+    """Score df into path, wave by wave, and return what is stored there.
+
+    A row's wave follows from its keys. A wave is written as a whole and then logged; a wave that was written but not
+    logged is written anew. Called again with the same path, e.g. after the driver was lost, waves in the log are read
+    and not scored; inside a wave Spark repeats only the tasks of a lost executor.
+    """
+    spark = df.sparkSession
+    wave = F.pmod(F.xxhash64(*keys), F.lit(waves)).cast("int")
+    done = _log(spark, path)
+    if any(n != waves for n in done.values()):
+        raise ValueError(f"{path} was begun with {next(iter(done.values()))} waves")
+    if len(done) < waves:
+        todo = f"{path}/todo"
+        df.withColumn("_wave", wave).where(~F.col("_wave").isin(list(done))).write.mode("overwrite").partitionBy("_wave").parquet(todo)
+        rows = spark.read.schema(df.withColumn("_wave", wave).schema).parquet(todo)
+        for k in range(waves):
+            if k not in done:
+                folder = f"{path}/wave-{k}"
+                score(rows.where(F.col("_wave") == k).drop("_wave"), factory, **options).write.mode("overwrite").parquet(folder)
+                told = spark.read.parquet(folder).agg(
+                    F.lit(k).alias("wave"), F.lit(waves).alias("waves"), F.count(F.lit(1)).alias("n_rows"),
+                    F.count_if(~F.col("success")).alias("n_failed"))
+                told.coalesce(1).write.mode("append").json(f"{path}/log")
+    return spark.read.parquet(*[f"{path}/wave-{k}" for k in range(waves)])
+
+
 # --- strategies as rows ----------------------------------------------------------------------
 
 def study_limit(strategy: Column) -> Column:

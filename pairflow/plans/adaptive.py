@@ -20,10 +20,10 @@ def routed_pairs(pairs: DataFrame, per_genre: int | None = None, seed: int = 42,
 
 
 def run(pairs: DataFrame, factory: Callable[[], object], per_genre: int | None = 50, seed: int = 42,
-        max_concurrency: int | None = None, **thresholds) -> DataFrame:
+        limits: scoring.Limits = scoring.Limits(), **thresholds) -> DataFrame:
     """One lazy plan up to the scored rows; the scorer is the only Python in it."""
     rows = scoring.for_routed(routed_pairs(pairs, per_genre, seed, **thresholds))
-    return scoring.score(rows, factory, max_concurrency=max_concurrency, empty_error=True)
+    return scoring.score(rows, factory, limits=limits, empty_error=True)
 
 
 def evaluate(scored: DataFrame, *keys: str) -> DataFrame:

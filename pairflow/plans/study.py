@@ -11,12 +11,12 @@ from pairflow.operators import cost, difficulty, metrics, routing, scoring
 
 
 def run_strategies(pairs: DataFrame, factory: Callable[[], object], strategies: list[str] | None = None,
-                   stored: DataFrame | None = None, max_concurrency: int | None = None) -> DataFrame:
+                   stored: DataFrame | None = None, limits: scoring.Limits = scoring.Limits()) -> DataFrame:
     """All strategies in one pass; rows with a stored prediction are not scored again."""
     rows = scoring.for_strategies(pairs, strategies)
 
     def score(todo: DataFrame) -> DataFrame:
-        return scoring.score(todo, factory, max_concurrency=max_concurrency)
+        return scoring.score(todo, factory, limits=limits)
 
     return score(rows) if stored is None else scoring.resume(rows, stored, score)
 

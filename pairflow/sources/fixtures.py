@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pairflow import domain
 from pairflow.functions import text as T
 from pairflow.functions.ordering import digest_number
+from pairflow.functions.prompts import fixed_chars
 from pairflow.sources.readers import with_label
 from pairflow.workspace import spread
 
@@ -17,10 +18,6 @@ THRESHOLDS = {
     "zero-shot": (0.0, 0.3), "one-shot": (0.05, 0.25), "few-shot": (0.1, 0.2),
     "cot": (0.1, 0.3), "6-shot": (0.05, 0.2), "6-shot-cot": (0.15, 0.25),
 }
-# strategy -> characters added by the prompt
-PROMPT_CHARS = {"zero-shot": 600, "one-shot": 880, "few-shot": 1800, "cot": 1400, "6-shot": 2000, "6-shot-cot": 1500}
-# Pairs of more characters are refused at the first attempt, or at every attempt.
-LONG, TOO_LONG = 240, 320
 # Thresholds at which some rows of the fixture are routed to 6-shot (none is at the defaults).
 FIXTURE_THRESHOLDS = {"length": 100, "negations": 1, "overlap": 0.4}
 
@@ -45,15 +42,18 @@ def document_pairs(documents: DataFrame) -> DataFrame:
     pair_rows = F.transform(
         F.sequence(F.lit(0), F.greatest(F.size("s") - 2, F.lit(0))),
         lambda i: F.struct(
-            pair_id(i).alias("pairID"), F.get("s", i).alias("premise"), F.coalesce(F.get("s", i + 1), F.lit("")).alias("hypothesis"),
-            (digest_number(pair_id(i)) % 100).cast("int").alias("b")))
+            pair_id(i).alias("pairID"), F.get("s", i).alias("premise"), F.coalesce(F.get("s", i + 1), F.lit("")).alias("hypothesis")))
     # A guard inside the expression: as a filter it would be pushed below the repartition and split twice.
     rows = arrays.select("genre", F.inline(F.when(F.size("s") >= 1, pair_rows)))
-    return rows.select("pairID", "premise", "hypothesis", "genre", _label_id(F.col("b")).alias("label_id"))
+    return rows.select("pairID", "premise", "hypothesis", "genre", _label_id().alias("label_id"))
 
 
-def _label_id(bucket: Column) -> Column:
-    return F.when(bucket < 33, 0).when(bucket < 66, 1).when(bucket < 97, 2).otherwise(-1).cast("int")
+def _label_id() -> Column:
+    """The tables hold no judged pairs: the label follows from the texts, by the hypothesis' share of their characters.
+    A pair without a hypothesis has none."""
+    own = F.length("hypothesis")
+    share = own * 100 / F.greatest(F.length("premise") + own, F.lit(1))
+    return F.when(own == 0, -1).when(share < 42, 2).when(share < 58, 1).otherwise(0).cast("int")
 
 
 def raw_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +73,7 @@ def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pair_id = F.concat_ws("-", F.lit("c"), "conv_id", "turn")
     return joined.select(
         pair_id.alias("pairID"), F.col("text").alias("premise"), "hypothesis", F.lit("facetoface").alias("genre"),
-    ).withColumn("label_id", _label_id(digest_number(F.col("pairID")) % 100))
+    ).withColumn("label_id", _label_id())
 
 
 def row_digest(tag: Column | str) -> Column:
@@ -93,33 +93,35 @@ def with_strategies(df: DataFrame, strategies: list[str], **columns: dict) -> Da
 
 
 def scored(pairs_df: DataFrame, strategies: list[str] | None = None) -> DataFrame:
-    """Pair columns plus the final answer of the rule scorer for every strategy, as column expressions."""
+    """Pair columns plus the answer of the rule scorer for every strategy, as column expressions.
+
+    No call is made, so there is no latency.
+    """
     names = strategies or domain.STRATEGIES
     wanted = F.array_distinct(T.word_tokens("hypothesis"))
     shared = F.size(F.array_intersect(F.array_distinct(T.word_tokens("premise")), wanted))
     judged = pairs_df.select("*", F.struct(
         (F.length("premise") + F.length("hypothesis")).alias("chars"), F.size(wanted).alias("words"),
-        (shared / F.greatest(F.size(wanted), F.lit(1))).alias("overlap")).alias("_j"))
+        shared.alias("shared")).alias("_j"))
     rows = with_strategies(
         judged, names, _low={s: THRESHOLDS[s][0] for s in names}, _high={s: THRESHOLDS[s][1] for s in names},
-        _base={s: PROMPT_CHARS[s] for s in names})
-    chars, overlap = F.col("_j.chars"), F.col("_j.overlap")
+        _base={s: fixed_chars(s) for s in names})
+    words = F.col("_j.words")
+    overlap = F.col("_j.shared") / F.greatest(words, F.lit(1))
     word = (F.when(overlap >= F.col("_high"), F.lit("entailment")).when(overlap <= F.col("_low"), F.lit("contradiction"))
             .otherwise(F.lit("neutral")))
-    error = F.when(F.col("_j.words") == 0, F.lit("Nothing to judge")).when(chars > TOO_LONG, F.lit("Rate limit exceeded"))
+    error = F.when(words == 0, F.lit("Nothing to judge"))
     response = (
-        F.when(error.isNotNull(), F.lit(""))
-        .when(F.col("_j.words") == 1, F.lit("cannot decide"))
-        .when(F.col("strategy").endswith("cot"), F.concat(F.lit("1. Compare the claims. Classification: "), word))
-        .when(chars % 10 == 0, F.concat(F.lit("  "), F.upper(word), F.lit(" ")))
-        .when(chars % 10 == 1, F.concat(F.lit("It is "), word, F.lit(".")))
+        F.when(error.isNotNull(), F.lit("")).when(words == 1, F.lit("cannot decide"))
+        .when(F.col("strategy").endswith("cot"), F.concat(
+            F.lit("Shared words: "), F.col("_j.shared"), F.lit(" of "), words, F.lit(". Classification: "), word))
         .otherwise(word))
     rows = rows.withColumns({"raw_response": response, "error": error})
     return rows.withColumns({
         "predicted_label": T.parse_label("raw_response"),
-        "prompt_tokens": F.floor((chars + F.col("_base")) / 4).cast("long") + 1,
+        "prompt_tokens": F.floor((F.col("_j.chars") + F.col("_base")) / 4).cast("long") + 1,
         "response_tokens": F.when(F.col("error").isNotNull(), F.lit(0).cast("long")).otherwise(T.approx_tokens("raw_response")),
-        "latency_ms": (F.lit(50) + chars % 100).cast("double"),
+        "latency_ms": F.lit(None).cast("double"),
         "success": F.col("error").isNull(),
     }).drop("_low", "_high", "_base", "_j")
 

@@ -1,7 +1,7 @@
-"""A small scorer for checks and demos: labels a pair by the share of hypothesis words that its premise has.
+"""A small scorer: labels a pair by the share of hypothesis words that its premise has.
 
-It reads the two texts only. Strategies differ in their thresholds; failures come from the texts: an empty
-hypothesis cannot be judged, and long pairs hit the rate limit, once or for good.
+It reads the two texts and the prompt only. Strategies differ in their thresholds; a hypothesis without words can't be
+judged, one of a single word is not decided.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import regex
 from pyspark import cloudpickle
 
 from pairflow.operators.scoring import Answer
-from pairflow.sources.fixtures import LONG, PROMPT_CHARS, THRESHOLDS, TOO_LONG
+from pairflow.sources.fixtures import THRESHOLDS
 
 # Ship this module's functions with the task, so workers need not have the package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -22,45 +22,35 @@ WORD = regex.compile(r"[\p{L}\p{N}_]+")
 
 
 class RuleScorer:
-    def __init__(self, thresholds: dict[str, tuple[float, float]], prompt_chars: dict[str, int], long: int, too_long: int):
-        self.thresholds, self.prompt_chars, self.long, self.too_long = thresholds, prompt_chars, long, too_long
-        self.refused: set[tuple[str, str]] = set()
+    def __init__(self, thresholds: dict[str, tuple[float, float]]):
+        self.thresholds = thresholds
 
     def answer(self, batch: pd.DataFrame) -> list[Answer]:
-        columns = (batch["pairID"], batch["strategy"], batch["premise"], batch["hypothesis"])
-        return [self._one(*row) for row in zip(*columns)]
+        return [self._one(*row) for row in zip(batch["strategy"], batch["premise"], batch["hypothesis"], batch["prompt"])]
 
-    def _one(self, pair_id: str, strategy: str, premise: str, hypothesis: str) -> Answer:
-        chars = len(premise) + len(hypothesis)
-        tokens, latency = (chars + self.prompt_chars[strategy]) // 4 + 1, 50.0 + chars % 100
+    def _one(self, strategy: str, premise: str, hypothesis: str, prompt: str) -> Answer:
+        tokens = len(prompt) // 4 + 1
         have, wanted = set(WORD.findall(premise.lower())), set(WORD.findall(hypothesis.lower()))
         if not wanted:
-            return Answer("", tokens, 0, latency, False, "Nothing to judge")
-        if chars > self.long and (chars > self.too_long or (pair_id, strategy) not in self.refused):
-            self.refused.add((pair_id, strategy))
-            return Answer("", tokens, 0, latency, False, "Rate limit exceeded")
-        self.refused.discard((pair_id, strategy))
+            return Answer("", tokens, 0, success=False, error="Nothing to judge")
         low, high = self.thresholds[strategy]
-        overlap = len(have & wanted) / len(wanted)
+        shared = len(have & wanted)
+        overlap = shared / len(wanted)
         word = "entailment" if overlap >= high else "contradiction" if overlap <= low else "neutral"
         if len(wanted) == 1:
             text = "cannot decide"
         elif strategy.endswith("cot"):
-            text = f"1. Compare the claims. Classification: {word}"
-        elif chars % 10 == 0:
-            text = f"  {word.upper()} "
-        elif chars % 10 == 1:
-            text = f"It is {word}."
+            text = f"Shared words: {shared} of {len(wanted)}. Classification: {word}"
         else:
             text = word
-        return Answer(text, tokens, len(text) // 4 + 1, latency)
+        return Answer(text, tokens, len(text) // 4 + 1)
 
 
 def rule_factory():
     """Factory for operators.scoring.score."""
-    settings = (dict(THRESHOLDS), dict(PROMPT_CHARS), LONG, TOO_LONG)
+    settings = dict(THRESHOLDS)
 
     def make() -> RuleScorer:
-        return RuleScorer(*settings)
+        return RuleScorer(settings)
 
     return make

@@ -47,7 +47,7 @@ def test_retry_policy(failures, error, ok, attempts, slept):
 
 def test_scoring_matches_stored_answers(spark, pairs, predictions):
     rows = scoring.for_strategies(pairs, domain.STRATEGIES)
-    got = scoring.score(rows, rule_factory(), FAST, max_concurrency=3).select(*RESULT)
+    got = scoring.score(rows, rule_factory(), FAST, scoring.Limits(in_flight=3)).select(*RESULT)
     want = predictions.select(*RESULT)
     assert got.exceptAll(want).count() == 0 and got.count() == want.count()
 
@@ -288,9 +288,130 @@ def test_scorer_must_answer_every_row():
 
 
 def test_some_failures_pass_at_the_second_try(spark, pairs):
-    rows = scoring.for_strategies(pairs.where("length(premise) + length(hypothesis) > 230"), ["cot"])
-    tries = {(r.success, r.attempts) for r in scoring.score(rows, rule_factory(), FAST).select("success", "attempts").collect()}
-    assert {(True, 1), (True, 2), (False, 3)} <= tries
+    def factory():
+        class Once:
+            """Refuses every second row once."""
+
+            def __init__(self):
+                self.seen = set()
+
+            def answer(self, batch):
+                out = []
+                for i in batch["pairID"]:
+                    refused = len(i) % 2 and i not in self.seen
+                    self.seen.add(i)
+                    out.append(scoring.Answer("", 1, 0, success=False, error="Rate limit") if refused else scoring.Answer("neutral", 1, 1))
+                return out
+        return Once()
+
+    rows = scoring.for_strategies(pairs.limit(200), ["cot"])
+    out = scoring.score(rows, factory, FAST).selectExpr("pairID", "success", "attempts", "latency_ms").collect()
+    assert all(r.success and r.attempts == 1 + len(r.pairID) % 2 and r.latency_ms >= 0 for r in out) and len(out) == 200
+
+
+def test_token_bucket():
+    now, naps = [0.0], []
+
+    def sleep(s):
+        naps.append(s)
+        now[0] += s
+
+    bucket = scoring.TokenBucket(5, lambda: now[0], sleep)
+    for _ in range(4):
+        bucket.take(5)
+    assert naps == [1.0, 1.0, 1.0]  # the first second's worth goes at once
+    now[0] += 10
+    bucket.take(5)
+    assert len(naps) == 3
+    bucket.take(20)  # more than a second's worth is paid by waiting
+    assert naps[-1] == 4.0
+
+
+def test_shares_of_limits():
+    assert scoring.Limits(80, 16).share(8) == scoring.Limits(10, 2)
+    assert scoring.Limits(None, 3).share(8) == scoring.Limits(None, 1) and scoring.Limits().share(8) == scoring.Limits()
+
+
+def _counting(folder):
+    def factory():
+        class Slow:
+            """Leaves a file for every call at work and notes how many there are."""
+
+            def answer(self, batch):
+                import time
+                import uuid
+                name = os.path.join(folder, "now", uuid.uuid4().hex)
+                open(name, "w").close()
+                n = len(os.listdir(os.path.join(folder, "now")))
+                open(os.path.join(folder, "seen", f"{n}-{len(batch)}"), "w").close()
+                time.sleep(0.02)
+                os.remove(name)
+                return [scoring.Answer("neutral", 1, 1) for _ in range(len(batch))]
+        return Slow()
+    return factory
+
+
+@pytest.mark.parametrize("in_flight,chunk", [(2, 1), (32, 4)])
+def test_requests_in_flight(spark, tmp_path, in_flight, chunk):
+    for name in ("now", "seen"):
+        (tmp_path / name).mkdir()
+    rows = spark.range(0, 96, 1, 12).select(F.col("id").cast("string").alias("pairID"), F.lit("p").alias("prompt"))
+    out = scoring.score(rows, _counting(str(tmp_path)), limits=scoring.Limits(in_flight=in_flight))
+    assert out.rdd.getNumPartitions() == 12 and out.count() == 96
+    seen = [tuple(map(int, f.split("-"))) for f in os.listdir(tmp_path / "seen")]
+    assert max(n for n, _ in seen) * chunk <= in_flight and {c for _, c in seen} == {chunk}
+
+
+def test_rate_is_shared_out(spark):
+    import time
+    rows = spark.range(0, 40, 1, 8).select(F.col("id").cast("string").alias("pairID"), F.lit("p").alias("prompt"))
+
+    def factory():
+        class Quick:
+            def answer(self, batch):
+                return [scoring.Answer("neutral", 1, 1) for _ in range(len(batch))]
+        return Quick()
+
+    begun = time.time()
+    assert scoring.score(rows, factory, limits=scoring.Limits(per_second=16)).count() == 40
+    assert time.time() - begun >= 1.4  # five rows a task at two a second, two of them at once
+
+
+def test_waves_are_resumed_from_the_log(spark, tmp_path):
+    calls, path = str(tmp_path / "calls"), f"{scratch_path(spark, 'waves')}"
+    os.mkdir(calls)
+
+    def factory(broken):
+        def make():
+            class Scorer:
+                def answer(self, batch):
+                    if (batch["pairID"] == broken).any():
+                        raise RuntimeError("the service is gone")
+                    for i in batch["pairID"]:
+                        open(os.path.join(calls, i), "a").write("x")
+                    return [scoring.Answer("neutral", 1, 1) for _ in range(len(batch))]
+            return Scorer()
+        return make
+
+    df = spark.range(60).select(F.col("id").cast("string").alias("pairID"), F.lit("cot").alias("strategy"), F.lit("p").alias("prompt"))
+    wave = {r.pairID: r.w for r in df.select("pairID", F.pmod(F.xxhash64("pairID", "strategy"), F.lit(5)).alias("w")).collect()}
+    broken = next(i for i, w in wave.items() if w == 3)
+    with pytest.raises(Exception, match="gone"):
+        scoring.score_stored(df, path, factory(broken), waves=5)
+    done = scoring.score_stored(df, path, factory(None), waves=5)
+    assert sorted(int(r.pairID) for r in done.collect()) == list(range(60)) and "_wave" not in done.columns
+    times = {i: os.path.getsize(os.path.join(calls, i)) for i in wave}
+    assert all(times[i] == 1 for i, w in wave.items() if w != 3)
+    assert scoring.score_stored(df, path, factory("0"), waves=5).count() == 60  # all from the log
+    with pytest.raises(ValueError, match="5 waves"):
+        scoring.score_stored(df, path, factory(None), waves=6)
+
+
+def test_prompt_lengths(spark, pairs):
+    from pairflow.functions.prompts import fixed_chars, with_prompt
+    for s in domain.STRATEGIES:
+        rows = with_prompt(pairs.limit(20).withColumn("strategy", F.lit(s)))
+        assert rows.where(F.length("prompt") != fixed_chars(s) + F.length("premise") + F.length("hypothesis")).count() == 0
 
 
 def test_stateless_stream(spark, pairs, pair_files):

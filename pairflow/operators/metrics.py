@@ -7,12 +7,12 @@ from __future__ import annotations
 
 from itertools import combinations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pairflow import domain
+from pairflow.functions.tails import chi_square_tail
 from pairflow.functions.text import confusion_key
 
 
@@ -220,13 +220,8 @@ def mcnemar(pair_counts: DataFrame) -> DataFrame:
 
 
 def with_p_value(df: DataFrame, statistic: str = "statistic") -> DataFrame:
-    """Chi-square (1 df) p-value; Spark has no erfc, and there is one row per strategy pair."""
-    @F.pandas_udf("double")
-    def tail(stat: pd.Series) -> pd.Series:
-        import math
-        return stat.map(lambda s: math.erfc(math.sqrt(s / 2)))
-
-    return df.withColumn("p_value", tail(F.col(statistic)))
+    """Chi-square (1 df) p-value."""
+    return df.withColumn("p_value", chi_square_tail(F.col(statistic)))
 
 
 # --- relative improvement, best strategy -----------------------------------------------------------

@@ -38,15 +38,14 @@ def group_sizes(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
-def boundaries(df: DataFrame, keys: list[str], quotas: Callable[[DataFrame], DataFrame],
-               id_col: str = "pairID", seed: int = 42, digits: int = DIGEST_DIGITS) -> DataFrame:
+def boundaries(rows: DataFrame, keys: list[str], quotas: Callable[[DataFrame], DataFrame],
+               id_col: str = "pairID", digits: int = DIGEST_DIGITS) -> DataFrame:
     """Per group: quota and the (digest, id) of its quota-th row, null for a quota of 0.
 
-    quotas maps a table (keys, n) to (keys, n, quota); a quota beyond n takes the whole group.
+    rows is a stored table with its digests in _k, of which only keys, ids and digests are read. quotas maps a table
+    (keys, n) to (keys, n, quota); a quota beyond n takes the whole group.
     """
-    keyed = df.select(*keys, F.col(id_col).alias("_id"), shuffle_key(id_col, seed).alias("_k"))
-    # Ids and digests only, written once: the three passes below do not repeat what produced df.
-    keyed = materialize(keyed.withColumn("_b", digest_bucket(F.col("_k"), digits)), "digests")
+    keyed = rows.select(*keys, F.col(id_col).alias("_id"), "_k", digest_bucket(F.col("_k"), digits).alias("_b"))
     histogram = keyed.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_nb"))
     quota = quotas(histogram.groupBy(*keys).agg(F.sum("_nb").alias("n")))
     quota = quota.withColumn("quota", F.least(F.col("quota"), F.col("n")))
@@ -69,11 +68,14 @@ def with_first_flag(df: DataFrame, keys: list[str], quotas: Callable[[DataFrame]
                     flag: str, id_col: str = "pairID", seed: int = 42) -> DataFrame:
     """Mark exactly quota rows of each group, the first in hash order.
 
-    The wide rows are never shuffled while the groups are few enough to broadcast.
+    The rows are written once with their digests, so what produced df (a scan, the shuffle that drops duplicates) runs
+    once; boundaries come from a few narrow columns of that table, and the wide rows are read once more and never
+    shuffled while the groups are few enough to broadcast.
     """
-    limits = broadcast_if_small(boundaries(df, keys, quotas, id_col, seed).drop("n"))
-    joined = _null_safe_join(df, limits, keys, "left")
-    own = F.struct(shuffle_key(id_col, seed).alias("_k"), F.col(id_col).alias("_id"))
+    rows = materialize(df.withColumn("_k", shuffle_key(id_col, seed)), "rows")
+    limits = broadcast_if_small(boundaries(rows, keys, quotas, id_col).drop("n"))
+    joined = _null_safe_join(rows, limits, keys, "left")
+    own = F.struct(F.col("_k"), F.col(id_col).alias("_id"))
     taken = F.coalesce(own <= F.col("_cut"), F.lit(False)) & (F.col("quota") > 0)
     return joined.withColumn(flag, taken).select(*df.columns, flag)
 

@@ -17,21 +17,30 @@ def write_splits(df: DataFrame, path: str, split_col: str = "split") -> None:
     df.write.mode("overwrite").partitionBy(split_col).parquet(path)
 
 
+# Characters a line of CSV can't hold, and the letters that stand for them behind a backslash.
+_ESCAPES = {"\n": "n", "\r": "r", "\x00": "0"}
+
+
 def one_line(df: DataFrame) -> DataFrame:
-    """Line breaks in strings as \\n and \\r, backslashes doubled, so that a CSV file can be split anywhere."""
+    """Line breaks and NUL in strings as \\n, \\r and \\0, backslashes doubled, so that a CSV file can be split anywhere."""
     def escaped(c: str) -> Column:
         text = F.replace(F.col(f"`{c}`"), F.lit("\\"), F.lit("\\\\"))
-        return F.replace(F.replace(text, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")).alias(c)
+        for char, letter in _ESCAPES.items():
+            text = F.replace(text, F.lit(char), F.lit("\\" + letter))
+        return text.alias(c)
     return df.select(*[escaped(f.name) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`") for f in df.schema.fields])
 
 
 def many_lines(df: DataFrame) -> DataFrame:
-    """The reverse of one_line."""
+    """The reverse of one_line, for every string."""
+    def part(text: Column) -> Column:
+        for char, letter in _ESCAPES.items():
+            text = F.replace(text, F.lit("\\" + letter), F.lit(char))
+        return text
+
     def plain(c: str) -> Column:
-        # A doubled backslash is set aside first, so that it does not eat a following n.
-        text = F.replace(F.col(f"`{c}`"), F.lit("\\\\"), F.lit("\x00"))
-        text = F.replace(F.replace(text, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r"))
-        return F.replace(text, F.lit("\x00"), F.lit("\\")).alias(c)
+        # Between doubled backslashes, taken from the left, any other backslash belongs to the letter behind it.
+        return F.array_join(F.transform(F.split(F.col(f"`{c}`"), r"\\\\", -1), part), "\\").alias(c)
     return df.select(*[plain(f.name) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`") for f in df.schema.fields])
 
 

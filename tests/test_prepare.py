@@ -229,3 +229,51 @@ def test_csv_keeps_line_breaks_and_splits(spark):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_csv_keeps_every_string(spark):
+    """Strings of separators, quotes, escapes and line ends, each in a line of its own."""
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+    awkward = st.text(alphabet="\x00\n\r\\\"nr0N,#' \t\x01\x1c\x85\u2028ab\ufeff", max_size=12)
+    drawn = []
+    settings(max_examples=300, database=None, deadline=None)(given(awkward, st.one_of(st.none(), awkward))(lambda a, b: drawn.append((a, b))))()
+    drawn += [("\\\n", "a\x00b"), ("\\n", "\\\\n"), ("\\N", '""'), ("", None), ("\x00", "\\0"), ("#x", " lead"), ("\\", "\\\\")]
+    rows = [(i, a, b) for i, (a, b) in enumerate(drawn)]
+    df = spark.createDataFrame(rows, "i int, a string, b string")
+    path = scratch_path(spark, "awkward-csv")
+    writers.write_csv(df, path)
+    back = writers.many_lines(spark.read.schema(df.schema).options(**readers.CSV_OPTIONS).csv(path))
+    assert sorted(tuple(r) for r in back.collect()) == rows
+    assert spark.read.text(path).count() >= len(rows)
+
+
+def test_a_split_runs_its_input_once(spark, pairs):
+    """One scan and one duplicate shuffle: the rows that reach the input's last step are counted."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    rows = cleaning.clean(pairs)
+    n = rows.count()
+    split = sampling.train_test_split(rows.mapInPandas(count, rows.schema))
+    assert split.groupBy("split").count().count() == 2 and seen.value == n
+    plan = split._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "MapInPandas" not in plan
+
+
+def test_split_then_save_runs_its_input_once(spark, pairs):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    n = pairs.count()
+    path = scratch_path(spark, "splits")
+    writers.write_splits(sampling.with_full_split(sampling.prepare(pairs.mapInPandas(count, pairs.schema), per_genre=5000)), path)
+    assert seen.value == n and spark.read.parquet(path).where("split = 'full'").count() > 0

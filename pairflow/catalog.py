@@ -16,7 +16,7 @@ from pairflow.operators import (cleaning, cost, difficulty, metrics, profile, re
                                 scoring)
 from pairflow.plans import adaptive, leaderboard, offline, study
 from pairflow.sources import fixtures as FX
-from pairflow.sources import readers, writers
+from pairflow.sources import prediction_store, readers, writers
 from pairflow.sources.rule_scorer import rule_factory
 from pairflow.streaming import running
 from pairflow.workspace import materialize, repartition_as, scratch_path
@@ -835,32 +835,33 @@ def jon1_append_features(spark, d):
     return rounded(FT.with_features(pairs(spark, d)).select("pairID", "premise", "hypothesis", "jaccard_similarity", "shared_words"))
 
 
-@query
-def jon2_replay(spark, d):
-    return rounded(offline.replayed(score_routed(spark, d), FX.prediction_table(spark, d, domain.BASE_STRATEGIES)))
+def _stored(spark, d, *strategies, partial=False):
+    """Predictions of these strategies alone, bucketed by pair; partial: failed calls were never stored."""
+    p = FX.predictions(spark, d, list(strategies) or domain.BASE_STRATEGIES).drop("premise", "hypothesis", "genre")
+    return prediction_store.read(spark, prediction_store.write(p.where("success") if partial else p))
 
 
-def _partial(spark, d):
-    """Predictions of which failed calls were never stored."""
-    return FX.predictions(spark, d, domain.BASE_STRATEGIES).where("success")
+@query
+def jon2_replay(spark, d):
+    return rounded(offline.replayed(score_routed(spark, d), _stored(spark, d)))
 
 
 @query
 def jon3_common_rows(spark, d):
-    p = _partial(spark, d)
+    p = _stored(spark, d, "zero-shot", "cot", partial=True)
     zero, cot = p.where("strategy = 'zero-shot'"), p.where("strategy = 'cot'")
     return replay.common_rows(zero, cot).select("pairID", "label", "predicted_label")
 
 
 @query
 def jon3_alignment_report(spark, d):
-    p = _partial(spark, d)
+    p = _stored(spark, d, "zero-shot", "cot", partial=True)
     return replay.alignment_report(p.where("strategy = 'zero-shot'"), p.where("strategy = 'cot'"))
 
 
 @query
 def jon4_common_accuracies(spark, d):
-    return rounded(offline.accuracies(score_routed(spark, d), _partial(spark, d)))
+    return rounded(offline.accuracies(score_routed(spark, d), _stored(spark, d, partial=True)))
 
 
 @query
@@ -879,11 +880,7 @@ def jon6_undominated(spark, d):
 
 @query
 def jon7_paired_correctness(spark, d):
-    p = preds(spark, d)
-    right = F.coalesce(F.col("label") == F.col("predicted_label"), F.lit(False))
-    a = p.where("strategy = 'zero-shot'").select("pairID", right.alias("a_correct"))
-    b = p.where("strategy = 'cot'").select("pairID", right.alias("b_correct"))
-    return a.join(b, "pairID").groupBy("a_correct", "b_correct").agg(F.count(F.lit(1)).alias("n"))
+    return replay.paired_correctness(_stored(spark, d, "zero-shot", "cot"), "zero-shot", "cot")
 
 
 @query
@@ -1094,19 +1091,19 @@ def _pair_stream(spark, d):
 def str1_running_routing(spark, d):
     routed = routing.route_by_score(_pair_stream(spark, d), FX.difficulty_score())
     totals = running.routing_totals(routed, domain.ROUTER_TOKENS, 0)
-    return running.run_to_table(totals, "str1", "complete")
+    return running.run_to_table(totals, "str1", "update", keys=["routed_strategy"])
 
 
 @query
 def str2_running_usage(spark, d):
-    return running.run_to_table(running.usage_totals(FX.scored(_pair_stream(spark, d))), "str2", "complete")
+    return running.run_to_table(running.usage_totals(FX.scored(_pair_stream(spark, d))), "str2", "update", keys=["strategy"])
 
 
 @query
 def str3_running_calls(spark, d):
     calls = FX.scored(_pair_stream(spark, d)).withColumn("model", F.when(
         F.col("strategy").endswith("cot"), F.lit("gpt-4o")).otherwise(F.lit("gpt-4o-mini")))
-    return running.run_to_table(running.call_totals(calls), "str3", "complete")
+    return running.run_to_table(running.call_totals(calls), "str3", "update", keys=["model"])
 
 
 @query
@@ -1136,5 +1133,5 @@ def adaptive_run(spark, d):
 
 @query
 def offline_savings(spark, d):
-    p = FX.prediction_table(spark, d, domain.BASE_STRATEGIES)
+    p = _stored(spark, d)
     return rounded(offline.savings(offline.replayed(score_routed(spark, d), p), p))

@@ -10,16 +10,40 @@ from pairflow.functions.lookup import lookup
 from pairflow.functions.text import normalise_label
 
 
-def replay(routed: DataFrame, predictions: DataFrame, keep: tuple[str, ...] = ("difficulty_score",)) -> DataFrame:
-    """For each routed row the stored prediction of the strategy it was routed to.
+def answers_by_pair(predictions: DataFrame, required: tuple[str, ...] = (), key: str = "pairID") -> DataFrame:
+    """(key, answers): each pair's stored predictions side by side, for pairs that have all required strategies.
 
-    Both sides are unique on (pairID, strategy). Tables bucketed by pairID join without a shuffle.
+    One grouping on the key, which a table bucketed by it (sources.prediction_store) does without a shuffle.
     """
-    left = routed.select(
-        "pairID", F.col("label").alias("true_label"), F.col("routed_strategy").alias("strategy"),
-        *[c for c in keep if c in routed.columns])
-    right = predictions.select("pairID", "strategy", normalise_label("predicted_label").alias("predicted_label"))
-    return left.join(right, ["pairID", "strategy"]).withColumnRenamed("strategy", "strategy_used")
+    given = F.collect_list(F.struct("strategy", normalise_label("predicted_label").alias("predicted_label")))
+    out = predictions.groupBy(key).agg(given.alias("answers"))
+    for name in dict.fromkeys(required):
+        out = out.where(F.array_contains(F.col("answers.strategy"), name))
+    return out
+
+
+def replay(routed: DataFrame, predictions: DataFrame, keep: tuple[str, ...] = ("difficulty_score",),
+           required: tuple[str, ...] = ()) -> DataFrame:
+    """For each routed row the stored prediction of the strategy it was routed to, on pairs that have all required ones.
+
+    The only join is by pair id; the strategy is picked from the pair's answers, so a table bucketed by pair id is
+    neither expanded nor shuffled.
+    """
+    left = routed.select("pairID", F.col("label").alias("true_label"), F.col("routed_strategy").alias("_strategy"),
+                         *[c for c in keep if c in routed.columns])
+    both = left.join(answers_by_pair(predictions, required), "pairID")
+    picked = F.filter("answers", lambda a: a["strategy"] == F.col("_strategy"))
+    return both.select(*[c for c in left.columns if c != "_strategy"], F.inline(picked)).withColumnRenamed(
+        "strategy", "strategy_used")
+
+
+def paired_correctness(predictions: DataFrame, a: str, b: str, key: str = "pairID") -> DataFrame:
+    """(a_correct, b_correct, n) over the pairs that both strategies answered, by one grouping on the key."""
+    right = F.coalesce(F.col("label") == F.col("predicted_label"), F.lit(False))
+    per_pair = predictions.where(F.col("strategy").isin(a, b)).groupBy(key).agg(
+        *[F.max(F.when(F.col("strategy") == s, right)).alias(f"{n}_correct") for n, s in (("a", a), ("b", b))])
+    both = per_pair.where(F.col("a_correct").isNotNull() & F.col("b_correct").isNotNull())
+    return both.groupBy("a_correct", "b_correct").agg(F.count(F.lit(1)).alias("n"))
 
 
 def common_rows(table: DataFrame, *others: DataFrame, key: str = "pairID") -> DataFrame:

@@ -11,7 +11,7 @@ from pairflow.operators import cost, replay
 
 def replayed(routed: DataFrame, predictions: DataFrame, required: tuple[str, ...] = ("zero-shot", "cot")) -> DataFrame:
     """Routed rows that have every required strategy, each with its strategy's stored prediction."""
-    return replay.replay(replay.common_rows(routed, replay.keys_with_all(predictions, required)), predictions)
+    return replay.replay(routed, predictions, required=required)
 
 
 def accuracies(routed: DataFrame, predictions: DataFrame) -> DataFrame:

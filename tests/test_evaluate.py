@@ -278,3 +278,56 @@ def test_a_million_costs_do_not_shuffle_the_rows(spark):
     value = (ids * 48271 % 999_983) + ids / 2
     want = ids[value > np.concatenate(([-1], np.maximum.accumulate(value)[:-1]))]
     assert sorted(r.id for r in flagged.where("pareto_optimal").select("id").collect()) == want.tolist()
+
+
+def test_chi_square_tail(spark):
+    from pairflow.functions.tails import chi_square_tail
+    values = [0.0, 1e-12, 0.01, 0.5, 1.0, 3.841, 6.6, 12.4999, 12.5, 12.5001, 40.0, 300.0, 1400.0, 1e5]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "statistic double").coalesce(1)
+    out = metrics.with_p_value(df)
+    got = [r.p_value for r in out.collect()]
+    assert got[-1] is None
+    for v, p in zip(values, got):
+        assert math.isclose(p, math.erfc(math.sqrt(v / 2)), rel_tol=1e-11, abs_tol=1e-300), v
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_stored_predictions_are_not_shuffled(spark, pairs, predictions):
+    from pyspark.sql import functions as F
+
+    from pairflow.sources import prediction_store
+    name = prediction_store.write(predictions.drop("premise", "hypothesis", "genre"), 4)
+    stored = prediction_store.read(spark, name)
+    routed = routing.route_by_score(pairs, (F.length("premise") % 100) / 100)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = replay.replay(routed, stored, required=("zero-shot", "cot"))
+        side = replay.answers_by_pair(stored, ("zero-shot", "cot"))
+        assert _exchanges(side) == 0 and _exchanges(joined) == 1
+        plain = routed.select("pairID", F.col("routed_strategy").alias("strategy_used")).join(
+            predictions.select("pairID", F.col("strategy").alias("strategy_used"), "predicted_label"), ["pairID", "strategy_used"])
+        got = joined.select("pairID", "strategy_used", "predicted_label")
+        assert got.exceptAll(plain).count() == 0 and got.count() == plain.count() > 0
+        few = prediction_store.read(spark, name, "zero-shot", "cot")
+        assert few.select("strategy").distinct().count() == 2
+        mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        assert "PartitionFilters: [strategy" in few._jdf.queryExecution().explainString(mode)
+        assert _exchanges(replay.common_rows(few.where("strategy = 'zero-shot'"), few.where("strategy = 'cot'"))) == 0
+        assert _exchanges(replay.paired_correctness(few, "zero-shot", "cot")) == 1  # the four counts
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql(f"DROP TABLE {name}")
+
+
+def test_replay_of_missing_and_repeated_answers(spark):
+    routed = spark.createDataFrame([("1", "neutral", "cot", 0.5), ("2", "neutral", "zero-shot", 0.1), ("3", "neutral", "cot", 0.2)],
+                                   "pairID string, label string, routed_strategy string, difficulty_score double")
+    stored = spark.createDataFrame([("1", "cot", "Neutral"), ("1", "zero-shot", None), ("2", "zero-shot", None), ("3", "zero-shot", "neutral")],
+                                   "pairID string, strategy string, predicted_label string")
+    got = {r.pairID: (r.true_label, r.difficulty_score, r.strategy_used, r.predicted_label) for r in replay.replay(routed, stored).collect()}
+    assert got == {"1": ("neutral", 0.5, "cot", "neutral"), "2": ("neutral", 0.1, "zero-shot", None)}
+    assert [r.pairID for r in replay.replay(routed, stored, required=("cot",)).collect()] == ["1"]

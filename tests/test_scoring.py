@@ -253,6 +253,43 @@ def test_running_counters(spark, pairs, pair_files):
         running.run_to_table(running.call_totals(calls), "t2", "update")
 
 
+@pytest.mark.parametrize("every", [50, 2])
+def test_changes_are_merged_by_key_and_trigger(spark, pairs, pair_files, monkeypatch, every):
+    plain = running.Changes.__init__
+    monkeypatch.setattr(running.Changes, "__init__", lambda self, root, schema, keys: plain(self, root, schema, keys, every))
+    root = scratch_path(spark, "update")
+    routed = routing.route_by_score(running.read_stream(spark, pair_files, pairs.schema, 1), fixtures.difficulty_score())
+    totals = running.routing_totals(routed, domain.ROUTER_TOKENS, 0)
+    got = running.run_to_table(totals, "t4", "update", root, ["routed_strategy"])
+    want = materialize(routing.routing_counters(routing.route_by_score(pairs, fixtures.difficulty_score())))
+    assert same(got, want)
+    triggers = spark.read.parquet(f"{root}/changes").select("batch").distinct().count()
+    assert triggers >= 4
+    # A trigger that runs again writes what it wrote, and the table stays.
+    changes = running.Changes(root, totals.schema, ["routed_strategy"])
+    for k in (1, triggers - 1):
+        again = materialize(spark.read.parquet(f"{root}/changes").where(f"batch = {k}").drop("batch"))
+        changes.store(again, k)
+        assert same(changes.table(spark), want)
+    assert same(running.run_to_table(totals, "t4", "update", root, ["routed_strategy"]), want)
+
+
+def test_a_trigger_writes_only_what_it_changed(spark):
+    schema = "model string, success boolean, prompt_tokens long, response_tokens long"
+    path, root = scratch_path(spark, "calls"), scratch_path(spark, "calls-root")
+    from pyspark.sql.types import StructType
+
+    def run(model):
+        spark.createDataFrame([(model, True, 1, 2)], schema).coalesce(1).write.mode("append").parquet(path)
+        stream = running.read_stream(spark, path, StructType.fromDDL(schema), 1)
+        table = running.run_to_table(running.call_totals(stream), "calls", "update", root, ["model"])
+        return {r.model: r.total_calls for r in table.collect()}
+
+    assert run("m1") == {"m1": 1} and run("m2") == {"m1": 1, "m2": 1} and run("m1") == {"m1": 2, "m2": 1}
+    written = {r.batch: r["count"] for r in spark.read.parquet(f"{root}/changes").groupBy("batch").count().collect()}
+    assert written == {0: 1, 1: 1, 2: 1}
+
+
 def test_state_of_every_trigger_and_resumption(spark):
     schema = "model string, success boolean, prompt_tokens long, response_tokens long"
     path, root = scratch_path(spark, "calls"), scratch_path(spark, "calls-root")
@@ -272,9 +309,10 @@ def test_stream_without_rows(spark):
     path = scratch_path(spark, "no-files")
     spark.createDataFrame([], "model string, success boolean, prompt_tokens long, response_tokens long").write.parquet(path)
     schema = spark.read.parquet(path).schema
-    for mode in ("append", "complete"):
+    for mode in ("append", "complete", "update"):
         stream = running.read_stream(spark, path, schema)
-        table = running.run_to_table(running.call_totals(stream) if mode == "complete" else stream, "none", mode)
+        table = running.run_to_table(stream if mode == "append" else running.call_totals(stream), "none", mode,
+                                     keys=["model"] if mode == "update" else None)
         assert table.count() == 0
 
 

@@ -7,6 +7,7 @@ self-joins where it uses bit masks, nested loops where it uses running maxima.
 from __future__ import annotations
 
 from pairflow import domain
+from pairflow.functions.text import FULL_STEPS
 
 LABELS = domain.LABELS
 MODEL = domain.MODEL_FEATURES
@@ -40,15 +41,11 @@ def _tok(text: str) -> str:
 
 
 def _full_tokens(text: str) -> str:
+    """The rules of the full tokeniser, in the other engine's dialect; tests hold them against goldens."""
     out = f"lower({text})"
-    for pattern, repl in [
-        (r"[«“”„]", r' " '), (r"\.\.+", " ... "), (r"([:,])([^0-9])", r" \1 \2"), (r"([:,])$", r" \1"),
-        (r"([;@#$%&?!*\[\](){}<>]|--)", r" \1 "), (r'"', ' " '), (r"([^.\s])\.(\s|$)", r"\1 . \2"),
-        (r"([^' ])('s|'m|'d|'ll|'re|'ve|n't|')(\s|$)", r"\1 \2 \3"), (r"(^|\s)can(not)(\s|$)", r"\1can \2\3"),
-        (r"(^|\s)(gim|lem)(me)(\s|$)", r"\1\2 \3\4"), (r"(^|\s)(gon|wan)(na)(\s|$)", r"\1\2 \3\4"),
-        (r"(^|\s)got(ta)(\s|$)", r"\1got \2\3"), (r"(^|\s)'t(is|was)(\s|$)", r"\1't \2\3"),
-    ]:
-        out = f"regexp_replace({out}, {_q(pattern)}, {_q(repl)}, 'g')"
+    for rules in FULL_STEPS.values():
+        for pattern, replacement in rules:
+            out = f"regexp_replace({out}, {_q(pattern)}, {_q(replacement.replace('$', chr(92)))}, 'g')"
     return f"regexp_extract_all({out}, '\\S+')"
 
 

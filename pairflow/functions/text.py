@@ -23,30 +23,42 @@ def word_tokens(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(_c(text)), F.lit(f"({WORD}+)"), F.lit(1))
 
 
-# (pattern, replacement) applied in turn to the lower-cased text; blanks then separate tokens.
-# Approximates the Treebank conventions: punctuation stands alone, clitics split off.
-FULL_SPLITS = [
-    (r"[«“”„]", r' " '),
-    (r"\.\.+", r" ... "),
-    (r"([:,])([^0-9])", r" $1 $2"),
-    (r"([:,])$", r" $1"),
-    (r"([;@#$%&?!*\[\](){}<>]|--)", r" $1 "),
-    (r'"', r' " '),
-    (r"([^.\s])\.(\s|$)", r"$1 . $2"),
-    (r"([^' ])('s|'m|'d|'ll|'re|'ve|n't|')(\s|$)", r"$1 $2 $3"),
-    (r"(^|\s)can(not)(\s|$)", r"$1can $2$3"),
-    (r"(^|\s)(gim|lem)(me)(\s|$)", r"$1$2 $3$4"),
-    (r"(^|\s)(gon|wan)(na)(\s|$)", r"$1$2 $3$4"),
-    (r"(^|\s)got(ta)(\s|$)", r"$1got $2$3"),
-    (r"(^|\s)'t(is|was)(\s|$)", r"$1't $2$3"),
-]
+# Rules of the full tokeniser, by step; every step rewrites the whole lower-cased text, and blanks then separate tokens.
+# The conventions of the Penn Treebank (quotes as `` and '', clitics split off, brackets and marks alone).
+# A period ends a sentence before a blank, but not behind an initial or one of ABBREVIATIONS; KEPT stands for it there.
+ABBREVIATIONS = ["mr", "mrs", "ms", "dr", "prof", "st", "vs", "jr", "sr", "inc", "ltd", "co", "corp", "e.g", "i.e", "u.s", "u.k", "no"]
+KEPT = "\x01"
+_ABBREVIATED = "|".join(["[a-z]", *(a.replace(".", r"\.") for a in ABBREVIATIONS)])
+FULL_STEPS: dict[str, list[tuple[str, str]]] = {
+    "abbreviations": [(rf"(^|[\s(])({_ABBREVIATED})\.(\s+\S)", "$1$2" + KEPT + "$3")] * 2,
+    "opening quotes": [
+        (r"([«“‘„]|`+)", r" $1 "), (r'^"', "``"), ("(``)", r" $1 "), (r"([ (\[{<])(\"|\'\')", r"$1 `` "),
+        (r"\'([0-9_a-ce-lo-ru-z]|[^\x00-\x7f])([^\p{L}\p{N}_]|$)", r"' $1$2")],
+    "sentence ends": [(r"([^.\s])(\.)([\])}>\"\'»”’]*)(\s+)", r"$1 $2 $3 ")],
+    "marks": [
+        (r"([^.])(\.)([\])}>\"\'»”’ ]*)\s*$", r"$1 $2 $3 "), (r"([:,])([^0-9])", r" $1 $2"), (r"([:,])$", r" $1 "),
+        (r"(\.\.+)", r" $1 "), (r"([;@#$%&])", r" $1 "), (r"([?!])", r" $1 "), (r"([^\'])\' ", r"$1 ' "), (r"([*])", r" $1 ")],
+    "brackets": [(r"([\]\[(){}<>])", r" $1 ")],
+    "dashes": [("--", " -- ")],
+    "room": [("^", " "), ("$", " ")],
+    "closing quotes": [(r"([»”’])", r" $1 "), (r"(\'\')", r" $1 "), (r'"', r" '' "), (r"\s+", " ")],
+    "clitics": [(r"([^\' ])(\'[smd]|\') ", r"$1 $2 "), (r"([^\' ])(\'ll|\'re|\'ve|n\'t) ", r"$1 $2 ")],
+    "contractions": [
+        (r"(^|[^\p{L}\p{N}_])(can)(not)([^\p{L}\p{N}_]|$)", r"$1$2 $3$4"), (r"(^|[^\p{L}\p{N}_])(d)(\'ye)([^\p{L}\p{N}_]|$)", r"$1$2 $3$4"),
+        (r"(^|[^\p{L}\p{N}_])(gim|lem)(me)([^\p{L}\p{N}_]|$)", r"$1$2 $3$4"), (r"(^|[^\p{L}\p{N}_])(gon|wan)(na)([^\p{L}\p{N}_]|$)", r"$1$2 $3$4"),
+        (r"(^|[^\p{L}\p{N}_])(got)(ta)([^\p{L}\p{N}_]|$)", r"$1$2 $3$4"), (r"(^|[^\p{L}\p{N}_])(more)(\'n)([^\p{L}\p{N}_]|$)", r"$1$2 $3$4"),
+        (r" (\'t)(is|was)([^\p{L}\p{N}_]|$)", r" $1 $2$3")],
+    "kept periods": [(KEPT, ".")],
+}
 
 
 def full_tokens(text: Column | str) -> Column:
-    """Second tokeniser: keeps punctuation as tokens and splits clitics (approximate Treebank)."""
+    """Second tokeniser, by the conventions of the Penn Treebank: punctuation as tokens, clitics split off, quotes by
+    their side."""
     spaced = F.lower(_c(text))
-    for pattern, replacement in FULL_SPLITS:
-        spaced = F.regexp_replace(spaced, pattern, replacement)
+    for rules in FULL_STEPS.values():
+        for pattern, replacement in rules:
+            spaced = F.regexp_replace(spaced, pattern, replacement)
     return F.regexp_extract_all(spaced, F.lit(r"(\S+)"), F.lit(1))
 
 

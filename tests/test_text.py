@@ -73,10 +73,43 @@ def test_parse_label(spark, text, label, last):
 def test_full_tokens(spark):
     r = rows(spark, [("He didn't say \"No!\" (really), it's $5... Can't we? We cannot.",)], ["t"]).select(
         X.full_tokens("t").alias("w")).first()
-    assert r.w == ["he", "did", "n't", "say", '"', "no", "!", '"', "(", "really", ")", ",", "it", "'s", "$", "5", "...",
+    assert r.w == ["he", "did", "n't", "say", "``", "no", "!", "''", "(", "really", ")", ",", "it", "'s", "$", "5", "...",
                    "ca", "n't", "we", "?", "we", "can", "not", "."]
 
 
+# text -> tokens, blank-separated, written by hand from the Treebank conventions.
+GOLDENS = {
+    "": "", "   ": "", "hello": "hello", "Good Muffins cost $3.88": "good muffins cost $ 3.88",
+    "they'll save and invest more.": "they 'll save and invest more .", "hi, my name can't hello,": "hi , my name ca n't hello ,",
+    "I don't know.": "i do n't know .", "it's fine": "it 's fine", "we've gone": "we 've gone", "you're right!": "you 're right !",
+    "I'm here": "i 'm here", "he'd left": "he 'd left", "the dogs' bones": "the dogs ' bones", "John's book": "john 's book",
+    "I cannot go": "i can not go", "gonna leave": "gon na leave", "wanna go": "wan na go", "gimme that": "gim me that",
+    "lemme see": "lem me see", "you gotta run": "you got ta run", "'tis late": "'t is late", "'twas late": "'t was late",
+    "d'ye know": "d 'ye know", "more'n enough": "more 'n enough", "no--never": "no -- never", "(yes)": "( yes )",
+    "[1] {2} <3>": "[ 1 ] { 2 } < 3 >", "at 10:30 sharp": "at 10:30 sharp", "1,000 men": "1,000 men", "yes, no": "yes , no",
+    "note: this": "note : this", "the end:": "the end :", "wait... what": "wait ... what", "what?!": "what ? !", "50% off": "50 % off",
+    "me@home": "me @ home", "a;b": "a ; b", "#tag": "# tag", "r&d": "r & d", "a*b": "a * b", "well-known fact": "well-known fact",
+    '"hello," she said.': "`` hello , '' she said .", 'she said "hello"': "she said `` hello ''", 'he ("x") left': "he ( `` x '' ) left",
+    "“so” he said": "“ so ” he said", "«oui» dit-il": "« oui » dit-il", "first. second.": "first . second .",
+    "Dr. Smith left. He ran.": "dr. smith left . he ran .", "J. Smith saw Mr. Jones.": "j. smith saw mr. jones .",
+    "in the U.S. today": "in the u.s. today", "o'clock": "o'clock", "'90s music": "'90s music", "he is 5'x": "he is 5 ' x",
+    "cannot, gonna": "can not , gon na", "scanned cannots": "scanned cannots", "e.g. this": "e.g. this", "a.b.c": "a.b.c",
+    "wait.": "wait .", "(see below.)": "( see below . )", "mustn't've": "mustn't 've", "déjà-vu, ça va?": "déjà-vu , ça va ?",
+}
+
+
+def test_full_tokens_of_goldens(spark):
+    assert len(GOLDENS) >= 50
+    import duckdb
+
+    from checks.oracle import _full_tokens
+    got = {r.t: " ".join(r.w) for r in rows(spark, [(t,) for t in GOLDENS], ["t"]).select("t", X.full_tokens("t").alias("w")).collect()}
+    assert {t: (got[t], w) for t, w in GOLDENS.items() if got[t] != w} == {}
+    con = duckdb.connect()
+    for t, w in GOLDENS.items():
+        assert " ".join(con.execute(f"SELECT {_full_tokens('t')} FROM (SELECT ?::varchar t)", [t]).fetchone()[0]) == w, t
+
+
 def test_stopwords_only_matter_in_full_mode(spark):
     df = rows(spark, [("the cat is here", "the dog is here")], ["premise", "hypothesis"])
     assert with_features(df).first().shared_words == 3

@@ -27,7 +27,7 @@ from pairflow.llm import textkit, worker
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-WORDS_KEPT = 500_000  # of each of two generations, about 80 MB
+WORDS_KEPT, WORD_CHARS = 500_000, 64  # of each of two generations, about 80 MB; longer words are never kept
 BATCH_BYTES = 1 << 20
 MARK = "▁"
 RESULT = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -66,13 +66,16 @@ class Counter:
                 out += line[1:].split(" ")
         return out
 
-    def learn(self, keys: list[str]) -> None:
-        """Counts of new keys, in batches of about BATCH_BYTES."""
+    def learn(self, keys: list[str]) -> dict[str, int]:
+        """Counts of new keys, in batches of about BATCH_BYTES; those of long keys are given back, the others kept."""
+        long: dict[str, int] = {}
         for a, b in textkit.slices([len(k) for k in keys], BATCH_BYTES):
             part = keys[a:b]
             for key, ids in zip(part, self.model.encode(part, num_threads=1)):
                 # Behind a line feed: without the mark in front and the line feed. An empty key is a lone mark.
-                self.counts[key] = 1 if key == "" else len(ids) - 2 if key[0] == "\n" else len(ids)
+                kept = self.counts if len(key) <= WORD_CHARS else long
+                kept[key] = 1 if key == "" else len(ids) - 2 if key[0] == "\n" else len(ids)
+        return long
 
     def count(self, texts: list[str]) -> list[int]:
         if not self.splits:
@@ -85,7 +88,9 @@ class Counter:
         new = set().union(*keyed) - known.keys()
         again = new & older.keys()
         known.update((k, older[k]) for k in again)
-        self.learn(list(new - again))
+        long = self.learn(list(new - again))
+        if long:
+            return [sum(long[k] if k in long else known[k] for k in keys) + t.count("\n") for keys, t in zip(keyed, texts)]
         return [sum(map(known.__getitem__, keys)) + t.count("\n") for keys, t in zip(keyed, texts)]
 
 

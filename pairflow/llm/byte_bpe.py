@@ -34,8 +34,9 @@ from pairflow.llm import worker
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Entries of a worker's memos: two generations of pieces (about 200 MB), one of pairs (about 80 MB).
-PIECES_KEPT = 500_000
+# A worker's memos: two generations of pieces, by number and by bytes of pieces and ids (about 200 MB in all; longer
+# pieces are never kept), and one of pairs (about 80 MB).
+PIECES_KEPT, PIECES_BYTES, PIECE_CHARS = 500_000, 16 << 20, 256
 PAIRS_KEPT = 1_000_000
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -94,6 +95,7 @@ class ByteBPE:
         self.pairs: dict[int, bool] = {}
         self.pieces: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.held = 0  # bytes of the pieces kept, and of their ids
         self.halves_of: dict[int, tuple[int, int] | None] = {}
         self.edge_of: dict[int, list[tuple[bytes, int]] | None] = {}
         self.shorter_of: dict[int, int | None] = {}
@@ -170,10 +172,11 @@ class ByteBPE:
         if whole is not None:
             return [whole]
         text, n = piece.decode("latin-1"), len(piece)
-        length, pairs, matches = self.length, self.pairs, self.automaton.iter_long
+        length, pairs, matches, longest = self.length, self.pairs, self.automaton.iter_long, self.longest
         out: list[int] = []
         closed: set[int] = set()
-        at, last, token = 0, None, next(matches(text))[1]
+        # Each search sees no more of the piece than a token can hold, as a call takes time for all that it is given.
+        at, last, token = 0, None, next(matches(text[:longest]))[1]
         while True:
             while token is not None:
                 end = at + length[token]
@@ -191,21 +194,27 @@ class ByteBPE:
             out.append(token)
             if end == n:
                 return out
-            at, last, token = end, token, next(matches(text, end))[1]
+            at, last, token = end, token, next(matches(text[end:end + longest]))[1]
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
         pattern = self.latin if self.latin and not _BEYOND_LATIN.search(text) else self.pattern
         pieces, memo = pattern.findall(text), self.pieces
         new = [p for p in set(pieces) if p not in memo]
-        if new:
-            if len(memo) + len(new) > PIECES_KEPT:
-                self.older, self.pieces = memo, {}
-                memo, new = self.pieces, set(pieces)
-            older = self.older
-            for p in new:
-                memo[p] = older.get(p) or array("I", self.encode_piece(p.encode())).tobytes()
-        return b"".join(map(memo.__getitem__, pieces))
+        if not new:
+            return b"".join(map(memo.__getitem__, pieces))
+        if len(memo) + len(new) > PIECES_KEPT or self.held > PIECES_BYTES:
+            self.older, self.pieces, self.held = memo, {}, 0
+            memo, new = self.pieces, set(pieces)
+        older, long = self.older, {}
+        for p in new:
+            ids = older.get(p) or array("I", self.encode_piece(p.encode())).tobytes()
+            if len(p) > PIECE_CHARS:
+                long[p] = ids
+            else:
+                memo[p] = ids
+                self.held += len(p) + len(ids)
+        return b"".join([long[p] if p in long else memo[p] for p in pieces] if long else map(memo.__getitem__, pieces))
 
     def decode(self, ids: bytes) -> bytes:
         tokens = np.frombuffer(ids, dtype="<u4")

@@ -70,6 +70,28 @@ def test_long_pieces_take_linear_time(own, library):
         assert ids(own.encode(text)) == library.encode_ordinary(text)
 
 
+def test_time_grows_with_the_piece(own, library):
+    import time
+    r = random.Random(5)
+    took = {}
+    for n in (100_000, 800_000):
+        piece = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+        begun = time.process_time()
+        got = own.encode(piece)
+        took[n] = time.process_time() - begun
+        assert own.decode(got) == piece.encode() and piece not in own.pieces
+        if n == 100_000:
+            assert ids(got) == library.encode_ordinary(piece)
+    assert took[800_000] < 16 * took[100_000]
+
+
+def test_memo_is_bounded_by_bytes(own, library, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "PIECES_BYTES", 2000)
+    for text in texts(200, 12) + ["y" * 300 + " z" * 40, "y" * 300]:
+        assert ids(own.encode(text)) == library.encode_ordinary(text)
+        assert own.held < 2000 + 20_000 and not any(len(p) > byte_bpe.PIECE_CHARS for p in own.pieces)
+
+
 def test_memo_generations(own, library, monkeypatch):
     monkeypatch.setattr(byte_bpe, "PIECES_KEPT", 50)
     monkeypatch.setattr(byte_bpe, "PAIRS_KEPT", 50)
@@ -96,6 +118,7 @@ def test_counts_equal_library(odd_docs, odd_rows, empty_docs, monkeypatch):
     assert counter.splits
     cases = texts() + ["", " ", "\n", "\n\n", " \n ", "a\n", "\na", "a \nb", "▁", "▁▁ a", "a" * 9000]
     assert counter.count(cases) == [len(model.encode(t)) for t in cases]
+    assert not any(len(w) > token_counts.WORD_CHARS for w in counter.counts)
     monkeypatch.setattr(token_counts, "WORDS_KEPT", 20)
     assert [counter.count([t])[0] for t in cases[:300]] == [len(model.encode(t)) for t in cases[:300]]
     counter.splits = False

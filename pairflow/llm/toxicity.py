@@ -3,24 +3,30 @@
 Two bigram models, of toxic and of ordinary texts, are counted over all labelled rows. Each class has its own
 counts at both orders and backs off, at both orders, to counts that the classes share:
 
-    shared(w)    = (N(w) + K) / (N + K V)                              N: distinct words before w
-    q_c(w)       = (max(N_c(w) - D, 0) + B_c shared(w)) / (N_c + M N_c)
+    shared(w)    = (N(w) + K) / (N + K V)                              N: distinct words before w, at least 1
+    q_c(w)       = max(N_c(w) - D, 0) / W_c + B shared(w)
     b_c(w | h)   = (max(c(h w) - D, 0) + B(h) q_c(w)) / (c(h) + T)      c: texts with the bigram, of both classes
     p_c(w | h)   = (max(c_c(h w) - D, 0) + B_c(h) b_c(w | h)) / (c_c(h) + T_c)
 
-The B are what makes each sum to 1; T_c is in proportion to the class. A passage that many texts repeat has
-few distinct words before each of its words and is covered by the shared bigrams, and a rare expression has
-little more than shared mass, so neither speaks for a class.
-A word's evidence is log p_toxic - log p_ordinary. Length-normalised comparisons describe a text: the mean
-evidence over all its words, and the mean over the WINDOWS consecutive words where it is largest, as a long text
-can be toxic in one place. A logistic function of them, fitted on labelled rows that were not counted, gives
-the score.
+The B are what makes each sum to 1; W_c is such that B is the same for both classes, so that unknown words speak for
+neither; T_c is in proportion to the class; the discount D grows with the count, for counts
+1, 2, 3 and more, and takes the whole of a count of 1. A passage that many texts
+repeat has few distinct words before each of its words and is covered by the shared bigrams, and an expression of one
+text has shared mass alone, so neither speaks for a class.
 
-Ids decide the folds by crc32(id as text) mod 5: 0 is held out, 1 to 3 are counted, 4 fits the logistic
-function. Bounds, all parameters of the model: at most MAX_WORDS words and MAX_BIGRAMS bigrams, the most frequent,
-are kept after counting all (the model is sent to every task, some 100 MB at most); at most CALIBRATION_ROWS rows fit the
-weights of the logistic function. Labels are sent to the tasks if there are at most BROADCAST_LABELS,
-else texts meet them in a shuffle join.
+A word's evidence is log p_toxic - log p_ordinary. It is a sum of what its own counts, the word before it and the
+bigram say, and each of these is the same constant wherever no class counts two texts, so the model is a table of key
+and value that holds every entry with something to say, whatever its size. The entries that the most texts hold, at
+most SENT of them, are sent to the tasks; text positions that may hold one of the others (a Bloom filter tells) meet
+them in a join and the values are added at their places.
+
+Length-normalised comparisons describe a text: the mean evidence over all its words, and the mean over the WINDOWS
+consecutive words where it is largest, as a long text can be toxic in one place. A logistic function of them, fitted
+on labelled rows that were not counted, gives the score.
+
+Ids decide the folds by crc32(id as text) mod 5: 0 is held out, 1 to 3 are counted, 4 fits the logistic function, on at
+most CALIBRATION_ROWS rows. Labels are sent to the tasks if there are at most BROADCAST_LABELS, else texts meet them in a
+shuffle join. Words are compared by hashes of 32 bits.
 
 Results for odd input: null and empty texts have no evidence and get the score of a text whose two means are 0;
 a null id counts as held out; repeated rows get a row each; an id with several labels counts as toxic if one
@@ -29,6 +35,7 @@ is; null labels are ignored; without labels of both classes every score is 0.
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,21 +46,21 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairflow.llm import textkit
+from pairflow.llm import bloom, textkit, worker
 from pairflow.workspace import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-DISCOUNT = 2.0
+DISCOUNTS = (1.0, 1.75, 2.0)  # of counts 1, 2, 3 and more
 SHARED_FLOOR = 10.0
-CLASS_MASS = 0.25
+CLASS_MASS = 0.1
 CONTEXT_MASS = 5.0
 WINDOWS = (1, 4)
-MAX_WORDS = 2_000_000
-MAX_BIGRAMS = 4_000_000
+SENT = 6_000_000  # entries of 12 bytes
 CALIBRATION_ROWS = 50_000
 BROADCAST_LABELS = 2_000_000
-LOW = np.uint64(0xFFFFFFFF)
+SLICE = 1 << 20
+LOW = 0xFFFFFFFF
 
 
 def fold(id_col: Column) -> Column:
@@ -62,88 +69,73 @@ def fold(id_col: Column) -> Column:
 
 @dataclass
 class Model:
-    """Arrays sorted by word and by bigram; weights: bias, mean, windows."""
-    words: np.ndarray
-    q: np.ndarray          # words x 2 (toxic, ordinary)
-    back: np.ndarray       # words x 3 (and shared): weight of the backoff behind this word
-    scale: np.ndarray      # words x 3: 1 / (c(h) + T)
-    bigrams: np.ndarray
-    extra: np.ndarray      # bigrams x 3: max(c - D, 0)
-    weights: np.ndarray
-
-    def arrays(self) -> tuple[np.ndarray, ...]:
+    """Evidence is `base` plus the values of a position's three keys; `rare` holds the entries that are not sent."""
+    keys: np.ndarray       # sorted
+    values: np.ndarray
+    base: float
+    weights: np.ndarray    # bias, mean, windows
+    rare: DataFrame | None = None
+    filter: np.ndarray | None = None  # of the rare keys
+
+    def sent(self) -> tuple:
         """What is sent to the tasks: plain arrays, which need no import there."""
-        return self.words, self.q, self.back, self.scale, self.bigrams, self.extra, self.weights
-
-    def evidence(self, tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """log p_toxic - log p_ordinary of every word (32-bit hashes, texts in a row)."""
-        if not len(tokens) or not len(self.words):
-            return np.zeros(len(tokens))
-        at = np.minimum(np.searchsorted(self.words, tokens), len(self.words) - 1)
-        at[self.words[at] != tokens] = len(self.words)  # the row of unknown words
-        before = np.empty_like(at)
-        before[1:] = at[:-1]
-        first = (np.cumsum(counts) - counts)[counts > 0]
-        before[first] = len(self.words)
-        p = self.back[before, 2:] * self.q[at]
-        if len(self.bigrams):
-            left = np.empty_like(tokens)
-            left[1:] = tokens[:-1]
-            left[first] = 0
-            known = np.flatnonzero((before < len(self.words)) & (at < len(self.words)))
-            keys = left[known] << np.uint64(32) | tokens[known]
-            place = np.minimum(np.searchsorted(self.bigrams, keys), len(self.bigrams) - 1)
-            same = self.bigrams[place] == keys
-            rows, own = known[same], self.extra[place[same]] * self.scale[before[known[same]]]
-            p[rows] += own[:, 2:]
-            p *= self.back[before, :2]
-            p[rows] += own[:, :2]
-        return np.log(p[:, 0]) - np.log(p[:, 1])
-
-    def features(self, texts: list[bytes]) -> np.ndarray:
-        """texts x 3: mean evidence, and for each window width the largest mean evidence of a window."""
-        out = np.zeros((len(texts), 1 + len(WINDOWS)))
-        for a, b in textkit.slices([len(t) for t in texts]):
-            tokens, counts = words32(texts[a:b])
-            sums = np.concatenate(([0.0], np.cumsum(self.evidence(tokens, counts))))
-            ends = np.cumsum(counts)
-            for i in np.flatnonzero(counts):
-                e, n = int(ends[i]), int(counts[i])
-                own = sums[e - n:e + 1]
-                out[a + i, 0] = (own[-1] - own[0]) / n
-                for j, width in enumerate(WINDOWS, 1):
-                    w = min(width, n)
-                    out[a + i, j] = (own[w:] - own[:-w]).max() / width
-        return out
-
-    def scores(self, features: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.zeros(len(features))
-        z = self.weights[0] + features @ self.weights[1:]
-        return 1.0 / (1.0 + np.exp(-np.clip(z, -500, 500)))
+        return self.keys, self.values, self.base, self.filter
 
 
 def words32(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes cut to 32 bits and word counts; words are cleared of the punctuation that ends them."""
+    """Word hashes cut to 32 bits, never 0, and word counts; words are cleared of the punctuation that ends them."""
     hashes, counts = textkit.word_hashes([t.translate(_PLAIN) for t in texts])
-    return hashes >> np.uint64(32), counts
+    return np.maximum(hashes >> np.uint64(32), np.uint64(1)), counts
 
 
 # ASCII marks become blanks, so that "word," and "word" are one word.
 _PLAIN = bytes(32 if chr(i) in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~" else i for i in range(256))
 
 
+def _lefts(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The word before each word; 0 at the start of a text."""
+    left = np.zeros_like(tokens)
+    left[1:] = tokens[:-1]
+    left[(np.cumsum(counts) - counts)[counts > 0]] = 0
+    return left
+
+
+def position_keys(tokens: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """Of every position: the keys of its word, of the word before it and of the bigram; 0 where there is none."""
+    before = _lefts(tokens, counts) << np.uint64(32)
+    return [tokens, before, np.where(before > 0, before | tokens, np.uint64(0))]
+
+
+def evidence(sent: tuple, keys: list[np.ndarray]) -> np.ndarray:
+    """log p_toxic - log p_ordinary of every position, without what rare entries add."""
+    known, values, base, _ = sent
+    out = np.full(len(keys[0]), base)
+    if len(known):
+        for k in keys:
+            at = np.minimum(np.searchsorted(known, k), len(known) - 1)
+            hit = np.flatnonzero(known[at] == k)
+            out[hit] += values[at[hit]]
+    return out
+
+
+def described(values: np.ndarray) -> list[float]:
+    """A text's mean evidence, and for each window width the largest mean evidence of a window."""
+    n = len(values)
+    if not n:
+        return [0.0] * (1 + len(WINDOWS))
+    sums = np.concatenate(([0.0], np.cumsum(values)))
+    widths = [(w, min(w, n)) for w in WINDOWS]
+    return [float(sums[-1] / n), *(float((sums[w:] - sums[:-w]).max() / full) for full, w in widths)]
+
+
 def _bigram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         toxic = batch.column(1).to_numpy(zero_copy_only=False) == 1
         texts = textkit.text_bytes(batch.column(0))
         for a, b in textkit.slices([len(t) for t in texts]):
             tokens, counts = words32(texts[a:b])
-            left = np.zeros_like(tokens)  # 0: the start of a text
-            left[1:] = tokens[:-1]
-            left[(np.cumsum(counts) - counts)[counts > 0]] = 0
             texts_of = np.repeat(np.arange(b - a), counts)
-            bigrams = left << np.uint64(32) | tokens
+            bigrams = _lefts(tokens, counts) << np.uint64(32) | tokens
             order = np.lexsort((bigrams, texts_of))
             bigrams, texts_of = bigrams[order], texts_of[order]
             once = np.ones(len(order), dtype=bool)  # a bigram counts once per text
@@ -155,6 +147,7 @@ def _bigram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys.view(np.int64)), pa.array(t.astype(np.int64)), pa.array(o.astype(np.int64))],
                 names=["bigram", "t", "o"])
+    worker.trim()
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
@@ -167,15 +160,63 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
     return rows.filter(fold(F.col("_id")) != 0).join(side, "_id")
 
 
-def _largest(df: DataFrame, weight: str, limit: int) -> DataFrame:
-    """df, or its rows above the smallest weight at which at most limit rows are left."""
-    n = df.count()
-    if n <= limit:
-        return df
-    steps = df.groupBy(weight).count().orderBy(F.desc(weight)).limit(100_000).toArrow()
-    totals = np.cumsum(textkit.numbers(steps.column("count")))
-    fits = np.flatnonzero(totals <= limit)
-    return df.filter(F.col(weight) >= int(steps.column(weight)[int(fits[-1])].as_py())) if len(fits) else df.limit(0)
+def _above(c: str | Column) -> Column:
+    """A count less its discount."""
+    c = F.col(c) if isinstance(c, str) else c
+    once, twice, more = DISCOUNTS
+    return F.when(c >= 3, c - more).when(c == 2, c - twice).when(c == 1, c - once).otherwise(F.lit(0.0))
+
+
+def _entries(counted: DataFrame) -> tuple[DataFrame, float] | None:
+    """All entries (key, value, n: texts or contexts that hold it) and the evidence of an unknown word, from bigram
+    counts; None if a class has no text."""
+    left, right = F.shiftrightunsigned("bigram", 32), F.col("bigram").bitwiseAND(F.lit(LOW))
+    words = counted.groupBy(right.alias("word")).agg(
+        F.count_if(F.col("t") > 0).alias("nt"), F.count_if(F.col("o") > 0).alias("no"), F.count(F.lit(1)).alias("n"))
+    words = materialize(words, "words")
+    total = words.agg(F.sum("nt"), F.sum("no"), F.sum("n"), F.count(F.lit(1)), F.sum(_above("nt")), F.sum(_above("no"))).first()
+    if not total[0] or not total[1]:
+        return None
+    n_class, n_all, n_types = (float(total[0]), float(total[1])), float(total[2]), float(total[3])
+    # The same share of free mass in both classes, so that unknown words speak for neither.
+    known = [spent / n for n, spent in zip(n_class, total[4:6])]
+    whole_of = [n * (1.0 + CLASS_MASS) * (k / max(known) if k else 1.0) for n, k in zip(n_class, known)]
+    free = [1.0 - k * n / w for k, n, w in zip(known, n_class, whole_of)]
+    # A larger class needs more mass for what it lacks, else that would be evidence for the smaller one.
+    mass = [CONTEXT_MASS * n / min(n_class) for n in n_class]
+
+    def q(own: Column, k: int) -> Column:
+        shared = (F.greatest(F.coalesce("n", F.lit(1)), F.lit(1)) + SHARED_FLOOR) / (n_all + SHARED_FLOOR * n_types)
+        return _above(F.coalesce(own, F.lit(0))) / whole_of[k] + free[k] * shared
+
+    base = math.log(free[0]) - math.log(free[1])  # 0, but where a class has no word above its discount
+    of_word = F.log(q(F.col("nt"), 0)) - F.log(q(F.col("no"), 1))
+    for_words = words.filter(F.greatest("nt", "no") > 1).select(
+        F.col("word").alias("key"), (of_word - base).alias("value"), "n")
+    both = F.col("t") + F.col("o")
+    contexts = counted.filter(left != 0).groupBy(left.alias("word")).agg(
+        F.sum("t").alias("ct"), F.sum("o").alias("co"), F.sum(_above("t")).alias("st"), F.sum(_above("o")).alias("so"),
+        F.sum(_above(both)).alias("sc")).filter("sc > 0")
+    contexts = materialize(contexts, "contexts")
+
+    def back(c: Column, spent: Column, m: float) -> Column:
+        return (c + m - spent) / (c + m)
+
+    back_t, back_o = (back(F.col(f"c{c}"), F.col(f"s{c}"), m) for c, m in zip("to", mass))
+    of_context = F.log(back_t) - F.log(back_o)
+    for_contexts = contexts.select(F.shiftleft("word", 32).alias("key"), of_context.alias("value"), (F.col("ct") + F.col("co")).alias("n"))
+    # A bigram of two texts or more has a context with spent mass; its word may have nothing to say by itself.
+    seen = counted.filter((both > 1) & (left != 0)).select("bigram", "t", "o", left.alias("h"), right.alias("w"))
+    seen = seen.join(contexts.withColumnRenamed("word", "h"), "h").join(words.withColumnRenamed("word", "w"), "w")
+    every = F.col("ct") + F.col("co")
+
+    def p(c: str, k: int, back_c: Column) -> Column:
+        b = (_above(both) + (every + CONTEXT_MASS - F.col("sc")) * q(F.col(f"n{c}"), k)) / (every + CONTEXT_MASS)
+        return _above(c) / (F.col(f"c{c}") + mass[k]) + back_c * b
+
+    whole = F.log(p("t", 0, back_t)) - F.log(p("o", 1, back_o))
+    for_bigrams = seen.select(F.col("bigram").alias("key"), (whole - of_context - of_word).alias("value"), both.alias("n"))
+    return for_words.unionByName(for_contexts).unionByName(for_bigrams), base
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -183,61 +224,89 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     counted = materialize(
         rows.filter(fold(F.col("_id")) != 4).select("text", "toxic").mapInArrow(_bigram_counts, "bigram long, t long, o long")
         .groupBy("bigram").agg(F.sum("t").cast("int").alias("t"), F.sum("o").cast("int").alias("o")), "bigrams")
-    right = F.col("bigram").bitwiseAND(F.lit(0xFFFFFFFF))
-    vocabulary = materialize(counted.groupBy(right.alias("word")).agg(
-        F.count_if(F.col("t") > 0).alias("nt"), F.count_if(F.col("o") > 0).alias("no"), F.count(F.lit(1)).alias("n"),
-        F.sum("t").alias("ct"), F.sum("o").alias("co")), "vocabulary")
-    total = vocabulary.agg(F.sum("nt"), F.sum("no"), F.sum("n"), F.count(F.lit(1))).first()
-    n_class, n_all, n_types = np.array([total[0] or 0, total[1] or 0], float), float(total[2] or 0), float(total[3] or 0)
-    empty = Model(*[np.zeros(0, np.uint64), np.ones((1, 2)), np.ones((1, 3)), np.ones((1, 3)), np.zeros(0, np.uint64),
-                    np.zeros((0, 3))], weights=np.array([-1000.0] + [0.0] * (1 + len(WINDOWS))))
-    if not n_class.all():
-        return empty
-    # A larger class needs more mass for what it lacks, else that would be evidence for the smaller one.
-    context_mass = CONTEXT_MASS * np.append(n_class / n_class.min(), 1.0)
-    above = lambda c: F.sum(F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)))
-    sums = vocabulary.agg(above("nt"), above("no")).first()
-    # Words at or below the discount have shared mass only, as unknown ones.
-    kept = _largest(vocabulary.filter(F.col("n") > DISCOUNT), "n", MAX_WORDS).toArrow().sort_by("word")
-    bigrams = _largest(
-        counted.withColumn("c", F.col("t") + F.col("o")).filter(F.col("c") > DISCOUNT), "c", MAX_BIGRAMS)
-    left = F.shiftrightunsigned("bigram", 32)
-    contexts = bigrams.groupBy(left.alias("word")).agg(*[
-        above(c).alias(f"s{c}") for c in "toc"]).toArrow().sort_by("word")
-    pairs = bigrams.select("bigram", "t", "o", "c").toArrow()
-    words = textkit.numbers(kept.column("word")).astype(np.uint64)
-    numbers = lambda t, *names: np.column_stack([textkit.numbers(t.column(n)).astype(float) for n in names])
-    continuation = numbers(kept, "nt", "no")
-    shared = np.append((textkit.numbers(kept.column("n")) + SHARED_FLOOR), 1.0 + SHARED_FLOOR) / (n_all + SHARED_FLOOR * n_types)
-    back = (1.0 + CLASS_MASS) * n_class - np.array([sums[0], sums[1]])
-    q = (np.maximum(np.vstack([continuation, np.zeros(2)]) - DISCOUNT, 0) + back * shared[:, None]) / ((1.0 + CLASS_MASS) * n_class)
-    seen = numbers(kept, "ct", "co")
-    seen = np.vstack([np.column_stack([seen, seen.sum(axis=1)]), np.zeros(3)])
-    spent = np.zeros_like(seen)
-    context_words = textkit.numbers(contexts.column("word")).astype(np.uint64)
-    if len(words) and len(context_words):
-        at = np.minimum(np.searchsorted(words, context_words), len(words) - 1)
-        same = words[at] == context_words
-        spent[at[same]] = numbers(contexts, "st", "so", "sc")[same]
-    scale = 1.0 / (seen + context_mass)
-    order = np.argsort(textkit.numbers(pairs.column("bigram")).view(np.uint64))
-    model = Model(words, q, (seen + context_mass - spent) * scale, scale,
-                  textkit.numbers(pairs.column("bigram")).view(np.uint64)[order],
-                  np.maximum(numbers(pairs, "t", "o", "c")[order] - DISCOUNT, 0), empty.weights)
+    found = _entries(counted)
+    if found is None:
+        return Model(np.zeros(0, np.uint64), np.zeros(0, np.float32), 0.0, np.array([-1000.0] + [0.0] * (1 + len(WINDOWS))))
+    entries, base = materialize(found[0].select("key", F.col("value").cast("float").alias("value"), "n"), "entries"), found[1]
+    level = F.floor(F.log2("n") * 8)  # at most some 500 values
+    total, least = 0, math.inf
+    for row in entries.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        if total + row["count"] > SENT:
+            break
+        total, least = total + row["count"], row["level"]
+    often = entries.filter(level >= F.lit(float(least))).select("key", "value").toArrow()
+    keys = textkit.numbers(often.column("key")).view(np.uint64)
+    order = np.argsort(keys)
+    rare = bits = None
+    if math.isinf(least) or total < entries.count():
+        rare = entries.filter(level < F.lit(float(least))).select("key", "value")
+        bits = bloom.build(rare, "key", bloom.bits_for(rare.count()))
+    model = Model(keys[order], textkit.numbers(often.column("value")).astype(np.float32)[order], base, np.zeros(0), rare, bits)
     return _calibrated(model, rows)
 
 
-def _calibrated(model: Model, rows: DataFrame) -> Model:
-    held = rows.sparkSession.sparkContext.broadcast(model.arrays())
+def _features(rows: DataFrame, model: Model) -> DataFrame:
+    """row, features of rows of (row, text)."""
+    held = rows.sparkSession.sparkContext.broadcast(model.sent())
+    width = pa.list_(pa.float64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(*held.value)
+        sent = held.value
+        places = pa.list_(pa.struct([("at", pa.int32()), ("key", pa.int64())]))
         for batch in batches:
-            f = own.features(textkit.text_bytes(batch.column(0)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(1), batch.column(2), pa.array(f.tolist(), pa.list_(pa.float64()))], names=["id", "toxic", "features"])
-    sample = (rows.filter(fold(F.col("_id")) == 4).select("text", "_id", "toxic").mapInArrow(
-        run, "id long, toxic int, features array<double>").orderBy(F.xxhash64("id"), "features").limit(CALIBRATION_ROWS).toArrow())
+            texts = textkit.text_bytes(batch.column(1))
+            for a, b in textkit.slices([len(t) for t in texts], SLICE):
+                tokens, counts = words32(texts[a:b])
+                keys = position_keys(tokens, counts)
+                values = evidence(sent, keys)
+                ends = np.cumsum(counts).tolist()
+                features, open_values, open_at = [], [], []
+                maybe = None if sent[3] is None else [bloom.contains(sent[3], k) & (k > 0) for k in keys]
+                for n, e in zip(counts.tolist(), ends):
+                    asked = []
+                    if maybe is not None:
+                        for k, m in zip(keys, maybe):
+                            at = np.flatnonzero(m[e - n:e])
+                            asked += [{"at": int(i), "key": int(x)} for i, x in zip(at, k[e - n:e][at].view(np.int64))]
+                    features.append(None if asked else described(values[e - n:e]))
+                    open_values.append(values[e - n:e] if asked else None)
+                    open_at.append(asked or None)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), pa.array(features, width), pa.array(open_values, width), pa.array(open_at, places)],
+                    names=["row", "features", "values", "asked"])
+        worker.trim()
+
+    found = rows.mapInArrow(run, "row long, features array<double>, values array<double>, asked array<struct<at: int, key: long>>")
+    if model.rare is None:
+        return found.select("row", "features")
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            features = []
+            for values, more in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                own = np.array(values)
+                for x in more or []:
+                    own[x["at"]] += x["value"]
+                features.append(described(own))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(features, width)], names=["row", "features"])
+
+    found = materialize(found, "evidence")
+    met = (found.select("row", F.inline("asked")).join(model.rare, "key").groupBy("row")
+           .agg(F.collect_list(F.struct("at", "value")).alias("more")))
+    rest = found.filter("features IS NULL").select("row", "values").join(met, "row", "left").select("row", "values", "more")
+    return found.filter("features IS NOT NULL").select("row", "features").unionByName(
+        rest.mapInArrow(add, "row long, features array<double>"))
+
+
+def _score(weights: np.ndarray) -> Column:
+    z = sum((F.get("features", F.lit(i)) * float(w) for i, w in enumerate(weights[1:])), F.lit(float(weights[0])))
+    return 1.0 / (1.0 + F.exp(-z))
+
+
+def _calibrated(model: Model, rows: DataFrame) -> Model:
+    own = rows.filter(fold(F.col("_id")) == 4).select(F.monotonically_increasing_id().alias("row"), "text", "_id", "toxic")
+    own = materialize(own.orderBy(F.xxhash64("_id"), "text").limit(CALIBRATION_ROWS), "calibration")
+    sample = _features(own.select("row", "text"), model).join(own.select("row", "toxic"), "row").toArrow()
     y = textkit.numbers(sample.column("toxic")).astype(float)
     if len(y) and 0 < y.sum() < len(y):
         x = np.column_stack([np.ones(len(y)), np.array(sample.column("features").to_pylist())])
@@ -266,28 +335,44 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 60)
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
-    held = docs.sparkSession.sparkContext.broadcast(model.arrays())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(*held.value)
-        for batch in batches:
-            s = own.scores(own.features(textkit.text_bytes(batch.column(2))))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))],
-                names=["doc_id", "held_out", "score", "predicted"])
     doc_id = docs[id_col].cast("long")
-    return docs.select(doc_id.alias("doc_id"), F.coalesce(fold(doc_id) == 0, F.lit(True)).alias("held_out"),
-                       docs[text_col].cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, held_out boolean, score double, predicted int")
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), doc_id.alias("doc_id"),
+                                   docs[text_col].cast("string").alias("text")), "texts") if model.rare is not None else None
+    if rows is None:  # nothing meets in a join: ids pass through
+        return _scored_in_place(docs.select(doc_id.alias("doc_id"), docs[text_col].cast("string").alias("text")), model).select(
+            "doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(True)).alias("held_out"), "score", _called(F.col("score")))
+    scored = _features(rows.select("row", "text"), model).select("row", _score(model.weights).alias("score"))
+    return rows.select("row", "doc_id").join(scored, "row").select(
+        "doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(True)).alias("held_out"), "score", _called(F.col("score")))
+
+
+def _called(score: Column) -> Column:
+    return (score >= 0.5).cast("int").alias("predicted")
+
+
+def _scored_in_place(rows: DataFrame, model: Model) -> DataFrame:
+    """doc_id, score of (doc_id, text): _features() carries any long through, null too."""
+    return _features(rows.select(F.col("doc_id").alias("row"), "text"), model).select(
+        F.col("row").alias("doc_id"), _score(model.weights).alias("score"))
 
 
 def keep_ordinary(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs without the rows that the model predicts to be toxic; all columns stay as they are."""
-    held = docs.sparkSession.sparkContext.broadcast(model.arrays())
+    if model.rare is not None:
+        rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "texts")
+        kept = _features(rows.select(F.col("_row").alias("row"), F.col(text_col).cast("string").alias("text")), model).filter(
+            _score(model.weights) < 0.5).select(F.col("row").alias("_row"))
+        return rows.join(kept, "_row", "left_semi").select(docs.columns)
+    held = docs.sparkSession.sparkContext.broadcast((model.sent(), model.weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(*held.value)
+        sent, weights = held.value
         for batch in batches:
             texts = textkit.text_bytes(batch.column(batch.schema.get_field_index(text_col)))
-            yield batch.filter(pa.array(own.scores(own.features(texts)) < 0.5))
+            for a, b in textkit.slices([len(t) for t in texts], SLICE):
+                tokens, counts = words32(texts[a:b])
+                values, ends = evidence(sent, position_keys(tokens, counts)), np.cumsum(counts)
+                z = [weights[0] + np.dot(described(values[e - n:e]), weights[1:]) for n, e in zip(counts, ends)]
+                yield batch.slice(a, b - a).filter(pa.array(np.array(z) < 0))
+        worker.trim()
     return docs.mapInArrow(run, docs.schema)

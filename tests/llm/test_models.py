@@ -38,7 +38,7 @@ def test_held_out_accuracy(spark):
 
 
 def test_evidence_equals_the_formula(spark):
-    """The arrays against the formulas, computed with dictionaries."""
+    """The entries against the formulas, computed with dictionaries."""
     docs, labels = labelled(2, 300)
     truth = {i: t for i, _, t in labels}
     d = spark.createDataFrame(docs, "doc_id long, text string")
@@ -50,40 +50,62 @@ def test_evidence_equals_the_formula(spark):
             c[1 - truth[i]].update(set(zip(["<s>"] + words[:-1], words)))
     both = c[0] + c[1]
     n = [Counter(w for _, w in x) for x in (*c, both)]
-    seen = [Counter() for _ in range(3)]
-    for k, x in enumerate((*c, both)):
-        for (_, w), v in x.items():
-            seen[k][w] += v
-    D, K, M, T = toxicity.DISCOUNT, toxicity.SHARED_FLOOR, toxicity.CLASS_MASS, toxicity.CONTEXT_MASS
+    K, M, T = toxicity.SHARED_FLOOR, toxicity.CLASS_MASS, toxicity.CONTEXT_MASS
     total = [sum(x.values()) for x in n]
-    excess = lambda v: max(v - D, 0)
-
-    def q(k, w):
-        known = n[2][w] > D
-        shared = ((n[2][w] if known else 1) + K) / (total[2] + K * len(n[2]))
-        back = (1 + M) * total[k] - sum(map(excess, n[k].values()))
-        return ((excess(n[k][w]) if known else 0) + back * shared) / ((1 + M) * total[k])
-
-    spent = [Counter() for _ in range(3)]
+    excess = lambda v: v and v - toxicity.DISCOUNTS[min(v, 3) - 1]
+    known = [sum(map(excess, n[k].values())) / total[k] for k in (0, 1)]
+    whole = [total[k] * (1 + M) * known[k] / max(known) for k in (0, 1)]
+    seen, spent = [Counter() for _ in range(3)], [Counter() for _ in range(3)]
     for k, x in enumerate((*c, both)):
         for (h, w), v in x.items():
-            if both[h, w] > D:
+            if h != "<s>":
+                seen[k][h] += v
                 spent[k][h] += excess(v)
 
+    def q(k, w):
+        shared = (max(n[2][w], 1) + K) / (total[2] + K * len(n[2]))
+        free = 1 - known[k] * total[k] / whole[k]
+        return excess(n[k][w]) / whole[k] + free * shared
+
     def p(k, h, w):
-        known = n[2][h] > D and h != "<s>"
         mass = [T * total[i] / min(total[:2]) for i in (0, 1)] + [T]
-        count = [seen[i][h] if known else 0 for i in range(3)]
-        gone = [spent[i][h] if known else 0 for i in range(3)]
-        pair = known and n[2][w] > D and both[h, w] > D
-        b = (count[2] + mass[2] - gone[2]) / (count[2] + mass[2]) * q(k, w) + (excess(both[h, w]) / (count[2] + mass[2]) if pair else 0)
-        return (count[k] + mass[k] - gone[k]) / (count[k] + mass[k]) * b + (excess(c[k][h, w]) / (count[k] + mass[k]) if pair else 0)
+        own = lambda x: 0 if h == "<s>" else excess(x[h, w])
+        b = (own(both) + (seen[2][h] + mass[2] - spent[2][h]) * q(k, w)) / (seen[2][h] + mass[2])
+        return (own(c[k]) + (seen[k][h] + mass[k] - spent[k][h]) * b) / (seen[k][h] + mass[k])
 
     words = docs[0][1].split()[:60] + ["dolt", "w1", "oaf", "never-seen"]
-    got = model.evidence(*toxicity.words32([" ".join(w.replace("-", "") for w in words).encode()]))
     words = [w.replace("-", "") for w in words]
+    got = toxicity.evidence(model.sent(), toxicity.position_keys(*toxicity.words32([" ".join(words).encode()])))
     want = [math.log(p(0, h, w) / p(1, h, w)) for h, w in zip(["<s>"] + words[:-1], words)]
-    assert np.allclose(got, want, atol=1e-9)
+    assert np.allclose(got, want, atol=1e-5)
+    assert len({round(x, 3) for x in want}) > 10
+
+
+def test_entries_that_are_not_sent_meet_the_rows_in_a_join(spark, monkeypatch):
+    docs, labels = labelled(5, 500)
+    d, y = spark.createDataFrame(docs + [(9000, None), (None, "dolt oaf")], "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    whole = {r.doc_id: r for r in toxicity.score(d, toxicity.fit(d, y)).collect()}
+    for sent in (0, 60):
+        monkeypatch.setattr(toxicity, "SENT", sent)
+        model = toxicity.fit(d, y)
+        assert model.rare is not None and len(model.keys) <= sent
+        got = {r.doc_id: r for r in toxicity.score(d, model).collect()}
+        assert got.keys() == whole.keys()
+        assert all(abs(r.score - whole[i].score) < 1e-4 and r.held_out == whole[i].held_out for i, r in got.items())
+        kept = toxicity.keep_ordinary(d, model)
+        assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.predicted}
+
+
+def test_a_bigram_of_two_toxic_texts_is_evidence(spark):
+    docs, labels = labelled(6, 400)
+    counted = [i for i, _ in docs if zlib.crc32(str(i).encode()) % 5 in (1, 2, 3)]
+    toxic = [i for i in counted if labels[i][2] == 1][:2]
+    docs = [(i, t + (" strange pairing" if i in toxic else "")) for i, t in docs]
+    model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"),
+                         spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    value = lambda text: float(toxicity.evidence(model.sent(), toxicity.position_keys(*toxicity.words32([text])))[-1])
+    assert value(b"strange pairing") > value(b"strange unseen") + 0.1
+    assert abs(value(b"unseen unknown")) < 1e-9
 
 
 def test_toxicity_of_odd_rows(spark, odd_docs, odd_rows, empty_docs):
@@ -97,7 +119,7 @@ def test_toxicity_of_odd_rows(spark, odd_docs, odd_rows, empty_docs):
     assert toxicity.score(empty_docs, model).collect() == []
     none = toxicity.fit(odd_docs, y.limit(0))
     assert {r.score for r in toxicity.score(odd_docs, none).collect()} == {0.0}
-    assert toxicity.fit(empty_docs, y).words.size == 0
+    assert toxicity.fit(empty_docs, y).keys.size == 0
 
 
 def test_labels_beyond_the_broadcast_bound(spark, monkeypatch):
@@ -106,9 +128,7 @@ def test_labels_beyond_the_broadcast_bound(spark, monkeypatch):
     first = toxicity.fit(d, y)
     monkeypatch.setattr(toxicity, "BROADCAST_LABELS", 0)
     second = toxicity.fit(d, y)
-    assert all(np.allclose(a, b) for a, b in zip(first.arrays(), second.arrays()))
-    monkeypatch.setattr(toxicity, "MAX_WORDS", 50)
-    assert len(toxicity.fit(d, y).words) <= 50
+    assert (first.keys == second.keys).all() and np.allclose(first.values, second.values) and np.allclose(first.weights, second.weights)
 
 
 def brute(rows, every, k):

@@ -15,7 +15,7 @@ def con(sf):
 
 
 def test_one_query_per_operator():
-    assert sorted(int(q.split("_")[0][2:]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(q.split("_")[0][2:]) for q in QUERIES) == list(range(1, 14))
     assert set(ORACLE) <= set(QUERIES) <= set(entry.queries()) and "pipeline" in entry.queries()
     for sql in ORACLE.values():
         assert duckdb.extract_statements(sql)

@@ -1,15 +1,18 @@
 """Approximate nearest neighbours by inner product, with a robust-pruned directed graph per shard.
 
 Equal vectors are first gathered to one node that knows its smallest ids, so copies neither clog the graph nor
-one task. Nodes are dealt to shards by hash, about SHARD_ROWS each. Within a shard vectors get one more component
-that gives all the same length, so that the nearest by distance is the largest by inner product. The graph
-grows in batches: a greedy beam search from the entry proposes neighbours for every new node, robust pruning
-keeps those that no kept neighbour is ALPHA times nearer to, links are made in both directions, and nodes with
-too many links are pruned again. Shards are stored as one row each, with vectors, links and ids.
-
-Queries go to every shard in blocks of QUERY_BLOCK; a beam search finds each shard's best nodes, these are
-scored in double precision on the original vectors, and the best k of all shards are kept. Memory per task is
-one shard and one block. Nothing but counts passes the driver.
+one task. Nodes are dealt to shards by hash, about SHARD_ROWS each. A shard's vectors fall into bands of length (a
+band's longest is BAND_RATIO times its shortest at most), each with a graph of its own, in which the nearest by distance
+are nearly the largest by inner product: one more component gives all the same length, and it is short. A graph
+grows in batches: a greedy beam search from a few entries, which lie far apart, proposes neighbours for every new node,
+robust pruning keeps those that no kept neighbour is ALPHA times nearer to, links are made in both directions, and
+nodes with too many links are pruned again. Shards are stored as one row each, with vectors, links and ids.
+
+Queries go to every shard in blocks of QUERY_BLOCK. Bands are searched from the longest vectors down; one whose longest
+vector times the query's length is below the query's k-th score so far holds none of its nearest and is skipped, and
+one of at most SCANNED vectors is scanned. A beam search finds the others' best nodes, these are scored in double
+precision on the original vectors, and the best k of all shards are kept. Memory per task is one shard and one block.
+Nothing but counts passes the driver.
 
 Results for odd input: rows with a null id, and vectors that are null, empty, zero or hold null, NaN or
 infinite components, take no part; vectors of another length than the query's are not its candidates; repeated
@@ -39,15 +42,19 @@ DEGREE = 32
 BUILD_BEAM = 48
 SEARCH_BEAM = 96
 ALPHA = 1.2
-_SHARD = "shard int, dim int, n int, vectors binary, links binary, entry int, ids array<long>, id_counts array<int>"
+BAND_RATIO = 1.1
+SCANNED = 256
+ENTRIES = 48
+_SHARD = ("shard int, dim int, n int, vectors binary, bands array<int>, links binary, entries array<int>, entry_counts array<int>, "
+          "ids array<long>, id_counts array<int>")
 _FOUND = "query_id long, vec_id long, score double"
 
 
 class Graph:
     """links: n x DEGREE node numbers, -1 where there is none."""
 
-    def __init__(self, points: np.ndarray, links: np.ndarray, entry: int):
-        self.points, self.links, self.entry = points, links, entry
+    def __init__(self, points: np.ndarray, links: np.ndarray, entries: np.ndarray):
+        self.points, self.links, self.entries = points, links, entries
 
     def beam_search(self, targets: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """Nodes nearest to each target, nearest first, and their squared distances (-1 and inf where none)."""
@@ -59,9 +66,10 @@ class Graph:
         done = np.zeros((b, beam), dtype=bool)
         seen = np.zeros((b, n + 1), dtype=bool)
         seen[:, n] = True  # where links are -1
-        ids[:, 0] = self.entry
-        far[:, 0] = norms[self.entry] - 2 * targets @ self.points[self.entry]
-        seen[:, self.entry] = True
+        first = self.entries[:beam]
+        ids[:, :len(first)] = first
+        far[:, :len(first)] = norms[first] - 2 * targets @ self.points[first].T
+        seen[:, first] = True
         while True:
             open_ = np.where(done | (ids < 0), np.inf, far)
             pick = open_.argmin(axis=1)
@@ -115,16 +123,32 @@ def robust_prune(points: np.ndarray, nodes: np.ndarray, candidates: np.ndarray)
     return links
 
 
-def build_graph(vectors: np.ndarray, seed: int = 7) -> Graph:
-    """The graph over vectors (n x d, original scale)."""
-    n = len(vectors)
+def levelled(vectors: np.ndarray) -> np.ndarray:
+    """Points of equal length: the vectors with one more component."""
     norms = np.einsum("ij,ij->i", vectors, vectors)
-    points = np.hstack([vectors, np.sqrt(np.maximum(norms.max() - norms, 0))[:, None]]).astype(np.float32)
+    return np.hstack([vectors, np.sqrt(np.maximum(norms.max() - norms, 0))[:, None]]).astype(np.float32)
+
+
+def far_apart(points: np.ndarray, count: int) -> np.ndarray:
+    """The most central point, then each time the one farthest from those taken."""
     away = points - points.mean(axis=0)
-    entry = int(np.einsum("ij,ij->i", away, away).argmin())
-    graph = Graph(points, np.full((n, DEGREE), -1, dtype=np.int32), entry)
-    order = np.random.default_rng(seed).permutation(n)
-    order = np.concatenate([[entry], order[order != entry]])
+    taken = [int(np.einsum("ij,ij->i", away, away).argmin())]
+    nearest = np.full(len(points), np.inf)
+    while len(taken) < min(count, len(points)):
+        step = points - points[taken[-1]]
+        np.minimum(nearest, np.einsum("ij,ij->i", step, step), out=nearest)
+        taken.append(int(nearest.argmax()))
+    return np.array(taken)
+
+
+def build_graph(vectors: np.ndarray, seed: int = 7) -> Graph:
+    """The graph over distinct vectors (n x d, original scale)."""
+    n = len(vectors)
+    points = levelled(vectors)
+    entries = far_apart(points, ENTRIES)
+    rest = np.random.default_rng(seed).permutation(n)
+    order = np.concatenate([entries, rest[~np.isin(rest, entries)]])
+    graph = Graph(points, np.full((n, DEGREE), -1, dtype=np.int32), entries[:1])
     at = 1
     while at < n:
         batch = order[at:at + max(1, min(at, 256))]
@@ -135,6 +159,7 @@ def build_graph(vectors: np.ndarray, seed: int = 7) -> Graph:
         graph.links[batch] = robust_prune(points, batch, np.concatenate([found, mates], axis=1))
         _link_back(graph, batch)
         at += len(batch)
+        graph.entries = entries[:min(at, len(entries))]
     return graph
 
 
@@ -160,42 +185,87 @@ def _link_back(graph: Graph, batch: np.ndarray) -> None:
                 graph.points, own[part], np.concatenate([graph.links[own[part]].astype(np.int64), new[part]], axis=1))
 
 
+def _bands(lengths: np.ndarray) -> list[int]:
+    """Sizes of the bands of lengths that fall."""
+    out, start = [], 0
+    while start < len(lengths):
+        end = int(np.searchsorted(-lengths, -lengths[start] / BAND_RATIO, side="right"))
+        out.append(end - start)
+        start = end
+    return out
+
+
 def _index_shard(rows: pd.DataFrame) -> pd.DataFrame:
     vectors = np.array(rows["embedding"].tolist(), dtype=np.float64)
-    graph = build_graph(vectors)
-    ids = [np.sort(np.asarray(x, dtype=np.int64)) for x in rows["ids"]]
+    lengths = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
+    order = np.argsort(-lengths, kind="stable")
+    vectors, bands = vectors[order], _bands(lengths[order])
+    ids = [np.sort(np.asarray(rows["ids"].iloc[i], dtype=np.int64)) for i in order]
+    links, entries, at = [], [], 0
+    for size in bands:
+        graph = build_graph(vectors[at:at + size]) if size > SCANNED else None
+        links.append(graph.links.tobytes() if graph else b"")
+        entries.append(graph.entries if graph else np.zeros(0, np.int64))
+        at += size
     return pd.DataFrame([{
         "shard": int(rows["shard"].iloc[0]), "dim": vectors.shape[1], "n": len(vectors), "vectors": vectors.tobytes(),
-        "links": graph.links.tobytes(), "entry": graph.entry, "ids": np.concatenate(ids), "id_counts": np.array([len(x) for x in ids], np.int32)}])
+        "bands": np.array(bands, np.int32), "links": b"".join(links), "entries": np.concatenate(entries).astype(np.int32),
+        "entry_counts": np.array([len(e) for e in entries], np.int32), "ids": np.concatenate(ids),
+        "id_counts": np.array([len(x) for x in ids], np.int32)}])
+
+
+class Best:
+    """The best k ids of one query so far."""
+
+    def __init__(self, query: int, k: int):
+        self.query, self.k, self.ids, self.scores = query, k, np.zeros(0, np.int64), np.zeros(0)
+
+    def reaches(self, bound: float) -> bool:
+        """A node of that score would be among the best."""
+        return len(self.ids) < self.k or bound >= self.scores[-1]
+
+    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
+        keep = ids != self.query
+        ids, scores = np.concatenate([self.ids, ids[keep]]), np.concatenate([self.scores, scores[keep]])
+        top = np.lexsort((ids, -scores))[:self.k]
+        self.ids, self.scores = ids[top], scores[top]
 
 
 def search_shard(shard: dict, query_ids: np.ndarray, queries: np.ndarray, k: int) -> pd.DataFrame:
     """The shard's best k for each query, with exact scores."""
     vectors = np.frombuffer(shard["vectors"], dtype=np.float64).reshape(shard["n"], shard["dim"])
-    norms = np.einsum("ij,ij->i", vectors, vectors)
-    points = np.hstack([vectors, np.sqrt(np.maximum(norms.max() - norms, 0))[:, None]]).astype(np.float32)
-    graph = Graph(points, np.frombuffer(shard["links"], dtype=np.int32).reshape(shard["n"], DEGREE), shard["entry"])
     counts = np.asarray(shard["id_counts"], dtype=np.int64)
     ids, begins = np.asarray(shard["ids"], dtype=np.int64), np.cumsum(counts) - counts
-    # Scaled to the points' length, a query ranks points by distance as by inner product.
     size = np.sqrt(np.einsum("ij,ij->i", queries, queries))
-    targets = np.hstack([queries / size[:, None] * np.sqrt(norms.max()), np.zeros((len(queries), 1))]).astype(np.float32)
-    found, _ = graph.beam_search(targets, max(SEARCH_BEAM, 2 * k))
-    out = []
-    for i, query in enumerate(query_ids):
-        nodes = found[i][found[i] >= 0]
-        score = (vectors[nodes] * queries[i]).sum(axis=1)
-        best = np.argsort(-score, kind="stable")
-        best = best[score[best] >= score[best[min(k, len(best) - 1)]]]  # k + 1 and ties: one may be the query itself
-        nodes, score = nodes[best], score[best]
-        each = counts[nodes]
-        members = ids[np.repeat(begins[nodes], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)]
-        scores = np.repeat(score, each)
-        keep = members != query
-        members, scores = members[keep], scores[keep]
-        top = np.lexsort((members, -scores))[:k]
-        out.append(pd.DataFrame({"query_id": query, "vec_id": members[top], "score": scores[top]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+    best = [Best(int(q), k) for q in query_ids]
+    at = links_at = entries_at = 0
+    for rows, n_entries in zip(shard["bands"], shard["entry_counts"]):
+        own = vectors[at:at + rows]
+        longest = float(np.sqrt(np.einsum("ij,ij->i", own[:1], own[:1])[0]))
+        # A little above the bound, as the scores themselves are rounded.
+        live = np.flatnonzero([b.reaches(longest * s * (1 + 1e-9)) for b, s in zip(best, size)])
+        if n_entries:
+            links = np.frombuffer(shard["links"], dtype=np.int32, count=rows * DEGREE, offset=4 * links_at).reshape(rows, DEGREE)
+            graph = Graph(levelled(own), links, np.asarray(shard["entries"][entries_at:entries_at + n_entries], dtype=np.int64))
+            # Scaled to the points' length, a query ranks points by distance as by inner product.
+            targets = np.hstack([queries[live] / size[live, None] * longest, np.zeros((len(live), 1))]).astype(np.float32)
+            found = graph.beam_search(targets, max(SEARCH_BEAM, 2 * k))[0] if len(live) else []
+            links_at, entries_at = links_at + rows * DEGREE, entries_at + n_entries
+        else:
+            found = np.broadcast_to(np.arange(rows), (len(live), rows))
+        for i, nodes in zip(live, found):
+            nodes = nodes[nodes >= 0]
+            score = (own[nodes] * queries[i]).sum(axis=1)
+            order = np.argsort(-score, kind="stable")
+            order = order[score[order] >= score[order[min(k, len(order) - 1)]]]  # k + 1 and ties: one may be the query itself
+            nodes, score = nodes[order] + at, score[order]
+            each = counts[nodes]
+            members = ids[np.repeat(begins[nodes], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)]
+            best[i].add(members, np.repeat(score, each))
+        at += rows
+    return pd.DataFrame({"query_id": np.repeat(query_ids, [len(b.ids) for b in best]),
+                         "vec_id": np.concatenate([b.ids for b in best] or [np.zeros(0, np.int64)]),
+                         "score": np.concatenate([b.scores for b in best] or [np.zeros(0)])})
 
 
 def _searched(k: int):
@@ -246,7 +316,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_
     # Every block meets every shard, as the search asks: both sides are a row per block and per shard.
     tasks = grouped.join(places, "dim").repartition("block", "shard").join(index, ["shard", "dim"])
     found = tasks.select(
-        "shard", "dim", "n", "vectors", "links", "entry", "ids", "id_counts",
+        "shard", "dim", "n", "vectors", "bands", "links", "entries", "entry_counts", "ids", "id_counts",
         F.col("q.vec_id").alias("query_ids"), F.col("q.embedding").alias("queries")).mapInArrow(_searched(k), _FOUND)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)

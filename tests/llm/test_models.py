@@ -155,6 +155,31 @@ def test_recall_against_brute_force(spark, monkeypatch):
         assert abs(g.score - np.dot(np.float64(vectors[g.query_id]), np.float64(vectors[g.vec_id]))) < 1e-9
 
 
+def test_recall_whatever_the_lengths():
+    """One full shard: random, of spread lengths, and in far clusters; ranks by inner product on the vectors as given."""
+    import pandas as pd
+    r = np.random.default_rng(11)
+    n, d = 4096, 48
+    x = r.normal(size=(n, d))
+    centres = 10 * r.normal(size=(20, d))
+    for name, vectors in {"normal": x, "unit": x / np.linalg.norm(x, axis=1, keepdims=True), "spread": x * np.exp(r.normal(size=(n, 1))),
+                          "clusters": centres[r.integers(0, 20, n)] + r.normal(size=(n, d))}.items():
+        rows = pd.DataFrame({"shard": 0, "embedding": list(vectors), "ids": [[i] for i in range(n)]})
+        shard = vector_graph._index_shard(rows).iloc[0].to_dict()
+        asked = np.arange(0, n, 20)
+        got = vector_graph.search_shard(shard, asked, vectors[asked], 20).groupby("query_id")["vec_id"].apply(set)
+        scores = vectors[asked] @ vectors.T
+        scores[np.arange(len(asked)), asked] = -np.inf
+        want = np.argsort(-scores, axis=1)[:, :20]
+        recall = np.mean([len(got[i] & set(w.tolist())) / 20 for i, w in zip(asked, want)])
+        assert recall >= 0.95, (name, recall)
+
+
+def test_bands_of_length():
+    lengths = np.array([11.0, 10.5, 10.0, 9.9, 1.0, 1.0, 0.5])
+    assert vector_graph._bands(lengths) == [3, 1, 2, 1] and vector_graph._bands(lengths[:0]) == []
+
+
 def test_copies_and_odd_vectors(spark):
     same, other = [1.0, 2.0, 3.0], [3.0, 2.0, 1.0]
     rows = [(i, same, "x") for i in range(300)] + [(i, other, "x") for i in range(300, 330)] + [

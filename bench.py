@@ -18,7 +18,8 @@ HEADLINE = [
     "smp1_stratified_sample", "smp5_train_test_split", "txt19_prompt_by_strategy", "inf1_score_table",
     "inf4_batch_summary", "met9_strategy_comparison", "met8_per_genre", "met13_mcnemar", "met14_crosstab_margins",
     "met24_feature_summary", "met25_correlations", "cst6_pareto", "cst8_token_roi", "jon2_replay",
-    "jon4_common_accuracies", "str5_streaming_features", "ml3_coefficients", "adaptive_summary",
+    "jon4_common_accuracies", "str5_streaming_features", "ml3_coefficients", "ml4_out_of_fold", "snk2_write_csv",
+    "adaptive_summary",
 ]
 
 

@@ -250,6 +250,11 @@ def _frequent(weights: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
 
 def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities) of every row."""
+    with worker.batches_of(docs.sparkSession):  # what runs later needs no Python
+        return _scored(docs, path, id_col, text_col)
+
+
+def _scored(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     ident = docs[id_col].cast("long")
     remainder = F.crc32(ident.cast("string").cast("binary")) % FOLDS

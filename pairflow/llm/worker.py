@@ -6,10 +6,11 @@ import contextlib
 import ctypes
 import sys
 import types
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
+from pyspark.sql import SparkSession
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -40,3 +41,15 @@ def trim() -> None:
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
         ctypes.CDLL(None).malloc_trim(0)
+
+
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int = 1024) -> Iterator[None]:
+    """Jobs run inside hand texts to Python in batches of so many rows, which bounds the buffers on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

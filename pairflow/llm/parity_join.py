@@ -2,11 +2,15 @@
 
 A text's shingles fall by hash into the chunks of a sketch; a chunk holds the XOR of its shingles' hashes, so
 a shingle that one of two sets lacks changes one chunk at most. Two sets of sizes a <= b and Jaccard
-similarity t or more differ in at most (a + b)(1 - t)/(1 + t) shingles, which is at most a(1 - t)/t as b <= a/t;
-every set emits its first D + 1 chunks that are not empty (D: that bound for its own size), and by the
-pigeonhole a linked pair has one of them in common. The number of chunks belongs to a size band; a set near
+similarity t or more differ in at most (a + b)(1 - t)/(1 + t) shingles, which is at most a(1 - t)/t as b <= a/t.
+Of any order of all chunk values, the same for all sets, a set's first D + 1 (D: that bound for its own size)
+hold one in common with each linked set, by the pigeonhole. The number of chunks belongs to a size band; a set near
 the lower end of its band also enters the band below, where its smaller partners are.
 
+The order is that of rarity: chunk values are counted, and a set looks for partners under its D + 1 rarest. There are
+half as many chunks again as needed or so, so a set whose greater part is found nowhere else sends nothing, and a passage
+that very many otherwise different texts share makes no candidates.
+
 Pairs are searched in two steps. First every chunk value links its sets to two of them (smallest and largest
 key), which is linear; what is left are sets of different components that share a chunk value, and these are
 compared all with all under the Hamming test of a folded 512-bit parity sketch. No link that joins two
@@ -27,11 +31,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairflow.llm import bloom, keys, textkit
+from pairflow.llm import bloom, keys, textkit, worker
 from pairflow.llm.graph import components
 from pairflow.workspace import materialize
 
@@ -43,7 +48,7 @@ FOLD_NAMES = [f"f{i}" for i in range(FOLDS)]
 BROADCAST_KEYS = 1_000_000
 # Sets of this size on also have a sketch of 4096 bits, as 512 are too few to tell long texts apart.
 WIDE_FROM, WIDE_BITS = 512, 4096
-PROFILE = "doc_id long, n_shingles long, node long, sigs array<long>, wide array<long>, " + ", ".join(f"{f} long" for f in FOLD_NAMES)
+PROFILE = "doc_id long, n_shingles long, node long, sigs array<long>, sizes array<long>, needs array<long>, wide array<long>, " + ", ".join(f"{f} long" for f in FOLD_NAMES)
 
 
 def max_difference(n: int, percent: int) -> int:
@@ -52,16 +57,17 @@ def max_difference(n: int, percent: int) -> int:
 
 
 def chunk_count(band: int, percent: int) -> int:
-    """Chunks of a band's sketches: enough for its largest sets to fill max_difference + 1 of them.
+    """Chunks of a band's sketches: enough for its largest sets to fill half as many again as max_difference + 1 or so.
 
-    A set of n shingles leaves a share exp(-n / chunks) of the chunks empty, so the count starts a fifth above
-    the bound; sets that still fill too few chunks emit all of them and their single shingles.
+    A set of n shingles leaves a share exp(-n / chunks) of the chunks empty; sets that fill too few chunks look under
+    all of them and under their single shingles.
     """
-    return max(4, int(1.2 * (max_difference(2 ** (band + 1), percent) + 1)))
+    return max(8, int(1.7 * (max_difference(2 ** (band + 1), percent) + 1)))
 
 
-def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
-    """Chunk values under which a set looks for partners; shingles are sorted and distinct."""
+def signatures(shingles: np.ndarray, percent: int) -> list[tuple[np.ndarray, int]]:
+    """Lists of chunk values, and of how many of each list, the rarest, a set looks for partners under; shingles are
+    sorted and distinct."""
     n = len(shingles)
     band = n.bit_length() - 1
     bands = [band]
@@ -77,11 +83,10 @@ def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
         used, first = np.unique(place[order], return_index=True)
         values = np.bitwise_xor.reduceat(mixed[order], first)
         keys = textkit.mix(values + (used.astype(np.uint64) << np.uint64(8)) + np.uint64(b))
-        # Chunks are taken in one fixed order by all sets of the band.
-        out.append(keys[:need])
+        out.append((keys, min(need, len(keys))))
         if len(keys) < need:
-            out.append(textkit.mix(mixed + np.uint64(0x2545F4914F6CDD1D))[np.argsort(mixed)][:need])
-    return np.concatenate(out)
+            out.append((textkit.mix(mixed + np.uint64(0x2545F4914F6CDD1D)), min(need, n)))
+    return out
 
 
 def folded_sketch(shingles: np.ndarray, size: int = 64 * FOLDS) -> np.ndarray:
@@ -100,41 +105,59 @@ def node_key(shingles: np.ndarray) -> int:
 def _profiles(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # sets whose signatures this task has sent, so that copies send them once
-        for batch in batches:
-            ids, texts = batch.column(0), textkit.text_bytes(batch.column(1))
-            sizes, nodes, sigs, folds, wide = [], [], [], [], []
-            for shingles in textkit.shingle_sets(texts):
-                sizes.append(len(shingles))
-                if not len(shingles):
-                    nodes.append(None)
-                    sigs.append(None)
-                    wide.append(None)
-                    folds.append(np.zeros(FOLDS, np.int64))
-                    continue
-                key = node_key(shingles)
-                nodes.append(key)
-                folds.append(folded_sketch(shingles))
-                wide.append(folded_sketch(shingles, WIDE_BITS) if len(shingles) >= WIDE_FROM else None)
-                sigs.append(None if key in seen else signatures(shingles, percent).view(np.int64))
-                if len(seen) < 5_000_000:
-                    seen.add(key)
-            planes = np.array(folds, dtype=np.int64).reshape(len(sizes), FOLDS)
-            yield pa.RecordBatch.from_arrays(
-                [ids.cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()),
-                 pa.array(sigs, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64()))] + [pa.array(planes[:, i].copy()) for i in range(FOLDS)],
-                names=["doc_id", "n_shingles", "node", "sigs", "wide"] + FOLD_NAMES)
+        for whole in batches:
+            lengths = [0 if n is None else n for n in pa.compute.binary_length(whole.column(1)).to_pylist()]
+            for a, b in textkit.slices(lengths):
+                yield profiled(whole.slice(a, b - a), seen)
+        worker.trim()
+
+    def profiled(batch: pa.RecordBatch, seen: set[int]) -> pa.RecordBatch:
+        ids, texts = batch.column(0), textkit.text_bytes(batch.column(1))
+        sizes, nodes, sigs, lists, needs, folds, wide = [], [], [], [], [], [], []
+        for shingles in textkit.shingle_sets(texts):
+            sizes.append(len(shingles))
+            if not len(shingles):
+                for column in (nodes, sigs, lists, needs, wide):
+                    column.append(None)
+                folds.append(np.zeros(FOLDS, np.int64))
+                continue
+            key = node_key(shingles)
+            nodes.append(key)
+            folds.append(folded_sketch(shingles))
+            wide.append(folded_sketch(shingles, WIDE_BITS) if len(shingles) >= WIDE_FROM else None)
+            own = None if key in seen else signatures(shingles, percent)
+            sigs.append(None if own is None else np.concatenate([k for k, _ in own]).view(np.int64))
+            lists.append(None if own is None else [len(k) for k, _ in own])
+            needs.append(None if own is None else [need for _, need in own])
+            if len(seen) < 5_000_000:
+                seen.add(key)
+        planes = np.array(folds, dtype=np.int64).reshape(len(sizes), FOLDS)
+        return pa.RecordBatch.from_arrays(
+            [ids.cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()),
+             pa.array(sigs, pa.list_(pa.int64())), pa.array(lists, pa.list_(pa.int64())),
+             pa.array(needs, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64()))] + [pa.array(planes[:, i].copy()) for i in range(FOLDS)],
+            names=["doc_id", "n_shingles", "node", "sigs", "sizes", "needs", "wide"] + FOLD_NAMES)
     return run
 
 
 def _held_by(held):
-    """(node, sig) of the signatures that a Bloom filter may hold."""
+    """(node, list, spare, sig): the chunk values that a Bloom filter of shared ones may hold, of lists that can't make
+    do with the others; spare: how many of a list are not needed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sigs = batch.column(1)
-            values = sigs.flatten().to_numpy(zero_copy_only=False)
-            nodes = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), sigs.value_lengths().to_numpy(zero_copy_only=False))
-            keep = bloom.contains(held.value, values.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(values[keep])], names=["node", "sig"])
+            values = textkit.numbers(batch.column(1).flatten())
+            sizes, needs = (textkit.numbers(batch.column(i).flatten()).astype(np.int64) for i in (2, 3))
+            lists = textkit.numbers(batch.column(2).value_lengths()).astype(np.int64)
+            node = np.repeat(textkit.numbers(batch.column(0)), lists)
+            number = np.arange(len(node)) - np.repeat(np.cumsum(lists) - lists, lists)
+            own = np.repeat(np.arange(len(sizes)), sizes)
+            maybe = bloom.contains(held.value, values.view(np.uint64))
+            spare = sizes - needs
+            keep = np.flatnonzero(maybe & (np.bincount(own[maybe], minlength=len(sizes)) > spare)[own])
+            own = own[keep]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(node[own]), pa.array(number[own]), pa.array(spare[own]), pa.array(values[keep])],
+                names=["node", "list", "spare", "sig"])
     return run
 
 
@@ -143,18 +166,21 @@ def _sets_of(wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = None if wanted is None else set(wanted.value.tolist())
         seen: set[int] = set()
-        for batch in batches:
-            nodes, sets = [], []
-            for shingles in textkit.shingle_sets(textkit.text_bytes(batch.column(0))):
-                key = node_key(shingles) if len(shingles) else None
-                if key is None or key in seen or (keys is not None and key not in keys):
-                    continue
-                if len(seen) < 5_000_000:
-                    seen.add(key)
-                nodes.append(key)
-                sets.append(shingles.view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+        for whole in batches:
+            lengths = [0 if n is None else n for n in pa.compute.binary_length(whole.column(0)).to_pylist()]
+            for a, b in textkit.slices(lengths):
+                nodes, sets = [], []
+                for shingles in textkit.shingle_sets(textkit.text_bytes(whole.column(0).slice(a, b - a))):
+                    key = node_key(shingles) if len(shingles) else None
+                    if key is None or key in seen or (keys is not None and key not in keys):
+                        continue
+                    if len(seen) < 5_000_000:
+                        seen.add(key)
+                    nodes.append(key)
+                    sets.append(shingles.view(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+        worker.trim()
     return run
 
 
@@ -200,6 +226,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     """doc_id, n_shingles, component_id of every row of docs; see the module's text."""
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50 and at most 100")
+    with worker.batches_of(docs.sparkSession):  # what runs later needs no Python
+        return _joined(docs, id_col, text_col, percent)
+
+
+def _joined(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     profiles = materialize(
@@ -209,15 +240,22 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
         F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("wide").alias("wide"),
         *[F.first(f).alias(f) for f in FOLD_NAMES]), "classes")
 
-    rows = profiles.filter("sigs IS NOT NULL").select("node", F.explode("sigs").alias("sig"))
-    # Minima combine before the shuffle, so a chunk value that a third of the sets have is a row per task.
-    hubs = materialize(rows.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-                       .filter("low <> high"), "hubs")
-    # Most chunk values belong to one set; a filter of the others keeps them out of the second shuffle.
-    held = spark.sparkContext.broadcast(bloom.build(hubs, "sig", bloom.bits_for(hubs.count())))
-    shared = materialize(
-        profiles.filter("sigs IS NOT NULL").select("node", "sigs").mapInArrow(_held_by(held), "node long, sig long")
-        .join(hubs, "sig"), "shared")
+    # Counts combine before the shuffle, so a chunk value that a third of the sets have is a row per task.
+    counts = materialize(profiles.filter("sigs IS NOT NULL").select(F.explode("sigs").alias("sig")).groupBy("sig").agg(
+        F.count(F.lit(1)).alias("n")).filter("n > 1"), "counts")
+    # Most chunk values belong to one set; a filter of the others keeps them out of the next shuffle.
+    held = spark.sparkContext.broadcast(bloom.build(counts, "sig", bloom.bits_for(counts.count())))
+    found_in = (profiles.filter("sigs IS NOT NULL").select("node", "sigs", "sizes", "needs")
+                .mapInArrow(_held_by(held), "node long, list long, spare long, sig long"))
+    # A set's shared values, rarest first, without as many of the commonest as it can spare.
+    looked = (found_in.join(counts, "sig").groupBy("node", "list").agg(
+        F.sort_array(F.collect_set(F.struct("n", "sig"))).alias("s"), F.first("spare").alias("spare"))
+        .filter(F.size("s") > F.col("spare"))
+        .select("node", F.explode(F.slice("s", F.lit(1), (F.size("s") - F.col("spare")).cast("int"))).alias("s"))
+        .select("node", "s.sig").distinct())
+    looked = materialize(looked, "looked")
+    hubs = looked.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
+    shared = materialize(looked.join(hubs, "sig"), "shared")
     stars = shared.select("node", F.explode(F.array("low", "high")).alias("hub")).filter("node <> hub").select(
         F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     near = (stars.join(_prefixed(classes, "a"), "a").join(_prefixed(classes, "b"), "b")

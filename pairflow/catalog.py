@@ -489,7 +489,7 @@ SCORED_COLUMNS = ["pairID", "strategy", "raw_response", "predicted_label", "prom
 
 def _scored(spark, d, strategies=None, **options):
     rows = scoring.for_strategies(pairs(spark, d), strategies)
-    return scoring.score(rows, rule_factory(), NO_DELAY, **options)
+    return scoring.score(rows, rule_factory(), NO_DELAY, keep=("pairID", "strategy"), **options)
 
 
 @query
@@ -514,7 +514,8 @@ def inf4_batch_summary(spark, d):
 
 @query
 def inf5_several_strategies(spark, d):
-    return study.run_strategies(pairs(spark, d), rule_factory(), domain.STRATEGIES, limits=scoring.Limits(in_flight=8000)).select(
+    return study.run_strategies(pairs(spark, d), rule_factory(), domain.STRATEGIES, limits=scoring.Limits(in_flight=8000),
+                                keep=("pairID", "strategy")).select(
         "pairID", "strategy", "predicted_label", "prompt_tokens", "response_tokens")
 
 
@@ -539,16 +540,19 @@ def inf7_label_from_scores(spark, d):
 def inf8_resume(spark, d):
     p = pairs(spark, d)
     stored = FX.scored(p, ["zero-shot", "cot"]).where("success").withColumn("attempts", F.lit(1))
-    wanted = FX.with_strategies(p, domain.BASE_STRATEGIES)
-    path = scratch_path(spark, "scored")
-    done = scoring.resume(wanted, stored, lambda todo: scoring.score_stored(
-        PR.with_prompt(todo), path, rule_factory(), waves=4, policy=NO_DELAY))
+    wanted = scoring.missing_strategies(p.select("pairID", "premise", "hypothesis"), stored, domain.BASE_STRATEGIES)
+    # Waves store a pair's texts once; its rows and their prompts are made when a wave is read.
+    fresh = scoring.score_stored(
+        wanted, scratch_path(spark, "scored"), rule_factory(), waves=4, keys=("pairID",), policy=NO_DELAY, keep=("pairID", "strategy"),
+        ready=lambda rows: PR.with_prompt(rows.withColumn("strategy", F.explode("missing")).drop("missing")))
+    done = stored.unionByName(fresh, allowMissingColumns=True)
     return done.select("pairID", "strategy", "raw_response", "predicted_label", "attempts")
 
 
 @query
 def inf9_score_routed(spark, d):
-    out = scoring.score(scoring.for_routed(rule_routed(spark, d)), rule_factory(), NO_DELAY, empty_error=True)
+    out = scoring.score(scoring.for_routed(rule_routed(spark, d)), rule_factory(), NO_DELAY, empty_error=True,
+                        keep=("pairID", "strategy", "max_tokens"))
     return writers.in_display_order(out.select("pairID", "strategy", "max_tokens", "predicted_label", "prompt_tokens", "error"))
 
 

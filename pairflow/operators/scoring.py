@@ -23,12 +23,14 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
 from pyspark.resource import ResourceProfileBuilder, TaskResourceRequests
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from pairflow import domain
 from pairflow.functions import prompts as P
@@ -169,12 +171,14 @@ def _few_tasks(spark: SparkSession, slots: int, in_flight: int):
 
 
 def score(df: DataFrame, factory: Callable[[], object], policy: RetryPolicy = RetryPolicy(),
-          limits: Limits = Limits(), empty_error: bool = False, keep_prompt: bool = False, profile=None) -> DataFrame:
+          limits: Limits = Limits(), empty_error: bool = False, keep_prompt: bool = False, profile=None,
+          keep: tuple[str, ...] | None = None) -> DataFrame:
     """Add the result columns to a table that has prompt (and optionally max_tokens).
 
     Each task slot gets its share of limits: a token bucket for the rate, and chunks of rows for what is in flight. If
     less may be in flight than there are slots, a resource profile widens the tasks; a local session, which has none,
     lets its tasks take turns. The table keeps its partitions. empty_error reports "" instead of null for a success.
+    keep: the columns besides the answers that come back from the scorer; all but the prompt if not given.
     """
     spark = df.sparkSession
     slots = max(1, spark.sparkContext.defaultParallelism)
@@ -186,32 +190,35 @@ def score(df: DataFrame, factory: Callable[[], object], policy: RetryPolicy = Re
             profile = profile or _few_tasks(spark, slots, limits.in_flight)
     most = limits.in_flight or 0
     names = [f.name for f in RESULT_FIELDS]
-    schema = T.StructType([f for f in df.schema.fields if f.name not in names] + RESULT_FIELDS)
-    inputs = [f.name for f in schema.fields if f.name not in names]
+    kept = [f for f in df.schema.fields if f.name not in names and (keep is None or f.name in keep)
+            and (keep_prompt or f.name != "prompt")]
+    schema = T.StructType(kept + RESULT_FIELDS)
+    inputs = [f.name for f in kept]
+    types = to_arrow_schema(T.StructType(RESULT_FIELDS))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = factory()
         bucket = TokenBucket(share.per_second) if share.per_second else None
         for batch in batches:
-            size = share.in_flight or len(batch)
-            for start in range(0, len(batch), max(1, size)):
-                part = batch.iloc[start:start + size]
+            rows = batch.to_pandas(date_as_object=True)
+            size = share.in_flight or len(rows)
+            answers, attempts = [], []
+            for start in range(0, len(rows), max(1, size)):
                 with _one_of(turns, most):
-                    answers, attempts = answer_with_retries(scorer, part, policy, bucket=bucket)
-                out = part[inputs].copy()
-                out["raw_response"] = [a.text for a in answers]
-                out["prompt_tokens"] = [a.prompt_tokens for a in answers]
-                out["response_tokens"] = [a.response_tokens for a in answers]
-                out["latency_ms"] = [a.latency_ms for a in answers]
-                out["success"] = [a.success for a in answers]
-                out["error"] = [a.error for a in answers]
-                out["attempts"] = attempts
-                yield out
-
-    result = df.mapInPandas(run, schema, profile=profile).withColumn("predicted_label", parse_label("raw_response"))
+                    part = answer_with_retries(scorer, rows.iloc[start:start + size], policy, bucket=bucket)
+                answers += part[0]
+                attempts += part[1]
+            # What the scorer was given goes back as it came; chunks are joined to one batch again.
+            results = [[a.text for a in answers], [a.prompt_tokens for a in answers], [a.response_tokens for a in answers],
+                       [a.latency_ms for a in answers], [a.success for a in answers], [a.error for a in answers], attempts]
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(batch.schema.get_field_index(c)) for c in inputs],
+                 *[pa.array(values, f.type) for values, f in zip(results, types)]], names=[*inputs, *names])
+
+    result = df.mapInArrow(run, schema, profile=profile).withColumn("predicted_label", parse_label("raw_response"))
     if empty_error:
         result = result.withColumn("error", F.when(F.col("success"), F.lit("")).otherwise(F.col("error")))
-    return result if keep_prompt else result.drop("prompt")
+    return result
 
 
 # --- waves with a log ------------------------------------------------------------------------
@@ -231,9 +238,13 @@ def _log(spark: SparkSession, path: str) -> dict[int, int]:
 
 
 def score_stored(df: DataFrame, path: str, factory: Callable[[], object], waves: int = 16,
-                 keys: tuple[str, ...] = ("pairID", "strategy"), **options) -> DataFrame:
+                 keys: tuple[str, ...] = ("pairID", "strategy"), ready: Callable[[DataFrame], DataFrame] | None = None,
+                 **options) -> DataFrame:
     """Score df into path, wave by wave, and return what is stored there.
 
+    ready makes the rows that are scored (strategies, prompts) of those of df when a wave is read, so that only df is
+    stored for the waves.
+
     A row's wave follows from its keys. A wave is written as a whole and then logged; a wave that was written but not
     logged is written anew. Called again with the same path, e.g. after the driver was lost, waves in the log are read
     and not scored; inside a wave Spark repeats only the tasks of a lost executor.
@@ -250,7 +261,8 @@ def score_stored(df: DataFrame, path: str, factory: Callable[[], object], waves:
         for k in range(waves):
             if k not in done:
                 folder = f"{path}/wave-{k}"
-                score(rows.where(F.col("_wave") == k).drop("_wave"), factory, **options).write.mode("overwrite").parquet(folder)
+                part = rows.where(F.col("_wave") == k).drop("_wave")
+                score(ready(part) if ready else part, factory, **options).write.mode("overwrite").parquet(folder)
                 told = spark.read.parquet(folder).agg(
                     F.lit(k).alias("wave"), F.lit(waves).alias("waves"), F.count(F.lit(1)).alias("n_rows"),
                     F.count_if(~F.col("success")).alias("n_failed"))
@@ -272,11 +284,19 @@ def adaptive_limit(strategy: Column) -> Column:
     return out
 
 
+def as_strategies(df: DataFrame, strategies: list[str] | None = None) -> DataFrame:
+    """Each row once per strategy."""
+    return df.withColumn("strategy", F.explode(F.array(*[F.lit(s) for s in (strategies or domain.BASE_STRATEGIES)])))
+
+
+def with_request(df: DataFrame, limit=study_limit) -> DataFrame:
+    """Prompt and response limit of each row's strategy."""
+    return P.with_prompt(df).withColumn("max_tokens", limit(F.col("strategy")))
+
+
 def for_strategies(df: DataFrame, strategies: list[str] | None = None, limit=study_limit) -> DataFrame:
     """Each row once per strategy with its prompt and response limit, ready for one scoring pass."""
-    names = F.array(*[F.lit(s) for s in (strategies or domain.BASE_STRATEGIES)])
-    rows = df.withColumn("strategy", F.explode(names))
-    return P.with_prompt(rows).withColumn("max_tokens", limit(F.col("strategy")))
+    return with_request(as_strategies(df, strategies), limit)
 
 
 def for_routed(df: DataFrame, routed: str = "routed_strategy") -> DataFrame:
@@ -290,6 +310,20 @@ def unscored(wanted: DataFrame, stored: DataFrame, keys: tuple[str, ...] = ("pai
     return wanted.join(stored.select(*keys), list(keys), "left_anti")
 
 
+def missing_strategies(df: DataFrame, stored: DataFrame, strategies: list[str], output: str = "missing",
+                       key: str = "pairID") -> DataFrame:
+    """Rows that lack a stored prediction of some strategy, with an array of those they lack.
+
+    A row meets its stored strategies as one row of flags, so its texts are shuffled once and not once per strategy.
+    """
+    has = {s: f"_has {i}" for i, s in enumerate(strategies)}
+    done = stored.groupBy(key).agg(*[F.max(F.col("strategy") == s).alias(c) for s, c in has.items()])
+    lacking = F.filter(F.array(*[F.when(~F.coalesce(F.col(f"`{c}`"), F.lit(False)), F.lit(s)) for s, c in has.items()]),
+                       lambda s: s.isNotNull())
+    rows = df.join(done, key, "left").select(*df.columns, lacking.alias(output))
+    return rows.where(F.size(output) > 0)
+
+
 def resume(wanted: DataFrame, stored: DataFrame, scorer_pass: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Stored predictions plus freshly scored ones for what is missing."""
     return stored.unionByName(scorer_pass(unscored(wanted, stored)), allowMissingColumns=True)

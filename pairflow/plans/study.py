@@ -11,12 +11,13 @@ from pairflow.operators import cost, difficulty, metrics, routing, scoring
 
 
 def run_strategies(pairs: DataFrame, factory: Callable[[], object], strategies: list[str] | None = None,
-                   stored: DataFrame | None = None, limits: scoring.Limits = scoring.Limits()) -> DataFrame:
-    """All strategies in one pass; rows with a stored prediction are not scored again."""
-    rows = scoring.for_strategies(pairs, strategies)
+                   stored: DataFrame | None = None, limits: scoring.Limits = scoring.Limits(),
+                   keep: tuple[str, ...] | None = None) -> DataFrame:
+    """All strategies in one pass; rows with a stored prediction are not scored again. keep: as in scoring.score."""
+    rows = scoring.as_strategies(pairs, strategies)
 
     def score(todo: DataFrame) -> DataFrame:
-        return scoring.score(todo, factory, limits=limits)
+        return scoring.score(scoring.with_request(todo), factory, limits=limits, keep=keep)
 
     return score(rows) if stored is None else scoring.resume(rows, stored, score)
 

@@ -6,6 +6,7 @@ judged, one of a single word is not decided.
 
 from __future__ import annotations
 
+import re
 import sys
 
 import pandas as pd
@@ -19,6 +20,12 @@ from pairflow.sources.fixtures import THRESHOLDS
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WORD = regex.compile(r"[\p{L}\p{N}_]+")
+ASCII_WORD = re.compile(r"[a-z0-9_]+")
+
+
+def word_set(text: str) -> frozenset[str]:
+    lowered = text.lower()
+    return frozenset((ASCII_WORD if lowered.isascii() else WORD).findall(lowered))
 
 
 class RuleScorer:
@@ -26,11 +33,15 @@ class RuleScorer:
         self.thresholds = thresholds
 
     def answer(self, batch: pd.DataFrame) -> list[Answer]:
-        return [self._one(*row) for row in zip(batch["strategy"], batch["premise"], batch["hypothesis"], batch["prompt"])]
+        # A sentence is the hypothesis of one pair and the premise of the next, for every strategy.
+        texts = set(batch["premise"])
+        texts.update(batch["hypothesis"])
+        words = {text: word_set(text) for text in texts}
+        return [self._one(s, words[p], words[h], prompt) for s, p, h, prompt in zip(
+            batch["strategy"], batch["premise"], batch["hypothesis"], batch["prompt"])]
 
-    def _one(self, strategy: str, premise: str, hypothesis: str, prompt: str) -> Answer:
+    def _one(self, strategy: str, have: frozenset[str], wanted: frozenset[str], prompt: str) -> Answer:
         tokens = len(prompt) // 4 + 1
-        have, wanted = set(WORD.findall(premise.lower())), set(WORD.findall(hypothesis.lower()))
         if not wanted:
             return Answer("", tokens, 0, success=False, error="Nothing to judge")
         low, high = self.thresholds[strategy]

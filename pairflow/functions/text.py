@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,13 +54,30 @@ FULL_STEPS: dict[str, list[tuple[str, str]]] = {
 }
 
 
+# Most texts hold no quote, apostrophe, period, dash pair or KEPT; the rules that look for one can't match there.
+_RARE = r"[.`'\"«»“”‘’„\x01]|--"
+_RARE_PARTS = (r"\.", "`", r"\'", '"', "»", "--", KEPT)
+PLAIN_RULES = [r for rules in FULL_STEPS.values() for r in rules if not any(p in r[0] for p in _RARE_PARTS)]
+_CONTRACTED = ("cannot", "gimme", "lemme", "gonna", "wanna", "gotta")
+# Without those words too, PLAIN_RULES come to this: the single marks are different characters, and runs of white space
+# make no tokens.
+_MARKED = r"[:,;@#$%&?!*\]\[(){}<>]"
+MARK_RULES = [(r"([:,])([^0-9]|$)", " $1 $2"), (r"([;@#$%&?!*\]\[(){}<>])", " $1 ")]
+
+
+def _rewritten(text: Column, rules: list[tuple[str, str]]) -> Column:
+    for pattern, replacement in rules:
+        text = F.regexp_replace(text, pattern, replacement)
+    return text
+
+
 def full_tokens(text: Column | str) -> Column:
     """Second tokeniser, by the conventions of the Penn Treebank: punctuation as tokens, clitics split off, quotes by
-    their side."""
-    spaced = F.lower(_c(text))
-    for rules in FULL_STEPS.values():
-        for pattern, replacement in rules:
-            spaced = F.regexp_replace(spaced, pattern, replacement)
+    their side. A text meets the rules that can match in it."""
+    lowered = F.lower(_c(text))
+    spaced = (F.when(lowered.rlike(_RARE), _rewritten(lowered, [r for rules in FULL_STEPS.values() for r in rules]))
+              .when(reduce(Column.__or__, [lowered.contains(w) for w in _CONTRACTED]), _rewritten(lowered, PLAIN_RULES))
+              .when(lowered.rlike(_MARKED), _rewritten(lowered, MARK_RULES)).otherwise(lowered))
     return F.regexp_extract_all(spaced, F.lit(r"(\S+)"), F.lit(1))
 
 
@@ -71,7 +90,9 @@ def tokens(text: Column | str, mode: str = "simple") -> Column:
 
 
 def drop_stopwords(token_set: Column | str, stopwords: list[str] | None = None) -> Column:
-    return F.array_except(_c(token_set), any_of(stopwords or domain.STOPWORDS))
+    # A list of constants is hashed once; array_except would hash it again for every row.
+    words = list(stopwords or domain.STOPWORDS)
+    return F.filter(F.array_distinct(_c(token_set)), lambda w: ~F.coalesce(w.isin(words), F.lit(False)))
 
 
 def negation_count(token_set: Column | str) -> Column:

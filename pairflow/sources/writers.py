@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import contextlib
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,16 +47,38 @@ def many_lines(df: DataFrame) -> DataFrame:
     return df.select(*[plain(f.name) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`") for f in df.schema.fields])
 
 
+# Text files are compressed, which no two tasks can share; so they end after this many rows.
+FILE_ROWS = 1_000_000
+TEXT_OPTIONS = {"compression": "gzip", "maxRecordsPerFile": str(FILE_ROWS)}
+# A task keeps a file open for each of so many partition values; Spark sorts only the rows of any beyond.
+_OPEN_FILES = {"spark.sql.maxConcurrentOutputFileWriters": "16", "spark.sql.optimizer.plannedWrite.enabled": "false"}
+
+
+@contextlib.contextmanager
+def unsorted_partitions(spark: SparkSession) -> Iterator[None]:
+    """Writes inside do not sort whole rows by their partition value first, which spills them once more."""
+    before = {k: spark.conf.get(k, None) for k in _OPEN_FILES}
+    try:
+        for k, v in _OPEN_FILES.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def write_csv(df: DataFrame, path: str, *partition_by: str) -> None:
-    """CSV with one line per row (see one_line)."""
-    writer = one_line(df).write.mode("overwrite").options(**CSV_OPTIONS)
-    (writer.partitionBy(*partition_by) if partition_by else writer).csv(path)
+    """Compressed CSV with one line per row (see one_line)."""
+    writer = one_line(df).write.mode("overwrite").options(**CSV_OPTIONS, **TEXT_OPTIONS)
+    with unsorted_partitions(df.sparkSession):
+        (writer.partitionBy(*partition_by) if partition_by else writer).csv(path)
 
 
 def write_json(df: DataFrame, path: str, *partition_by: str) -> None:
-    """JSON lines."""
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).json(path)
+    """Compressed JSON lines."""
+    writer = df.write.mode("overwrite").options(**TEXT_OPTIONS)
+    with unsorted_partitions(df.sparkSession):
+        (writer.partitionBy(*partition_by) if partition_by else writer).json(path)
 
 
 def write_predictions(df: DataFrame, path: str) -> None:

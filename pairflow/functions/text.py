@@ -136,7 +136,8 @@ def parse_label(text: Column | str, mode: str = "priority") -> Column:
     "priority": the first label of PARSE_ORDER found anywhere, then the stems.
     "last_mention": the label mentioned last, then the stems.
     """
-    t = normalise_label(text)
+    # No label begins or ends with a blank, so the text needs no trimming to be searched.
+    t = normalise_label(text, strip=False)
     labels = domain.PARSE_ORDER
     if mode == "priority":
         out = F.when(t.contains(labels[0]), F.lit(labels[0]))
@@ -144,8 +145,8 @@ def parse_label(text: Column | str, mode: str = "priority") -> Column:
             out = out.when(t.contains(label), F.lit(label))
     elif mode == "last_mention":
         mentions = F.regexp_extract_all(t, F.lit("(" + "|".join(labels) + ")"), F.lit(1))
-        last = F.try_element_at(mentions, F.lit(-1))
-        out = F.when(last.isNotNull(), last)
+        named = reduce(Column.__or__, [t.contains(label) for label in labels])
+        out = F.when(named, F.try_element_at(mentions, F.lit(-1)))
     else:
         raise ValueError(f"unknown parse mode: {mode}")
     for stem, label in domain.PARSE_STEMS.items():

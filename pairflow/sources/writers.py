@@ -47,7 +47,7 @@ def many_lines(df: DataFrame) -> DataFrame:
     return df.select(*[plain(f.name) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`") for f in df.schema.fields])
 
 
-# Text files are compressed, which no two tasks can share; so they end after this many rows.
+# JSON files are compressed, which no two tasks can share; so they end after this many rows.
 FILE_ROWS = 1_000_000
 TEXT_OPTIONS = {"compression": "gzip", "maxRecordsPerFile": str(FILE_ROWS)}
 # A task keeps a file open for each of so many partition values; Spark sorts only the rows of any beyond.
@@ -68,8 +68,8 @@ def unsorted_partitions(spark: SparkSession) -> Iterator[None]:
 
 
 def write_csv(df: DataFrame, path: str, *partition_by: str) -> None:
-    """Compressed CSV with one line per row (see one_line)."""
-    writer = one_line(df).write.mode("overwrite").options(**CSV_OPTIONS, **TEXT_OPTIONS)
+    """CSV with one line per row (see one_line); not compressed, so that tasks can share a file."""
+    writer = one_line(df).write.mode("overwrite").options(**CSV_OPTIONS)
     with unsorted_partitions(df.sparkSession):
         (writer.partitionBy(*partition_by) if partition_by else writer).csv(path)
 

@@ -551,9 +551,11 @@ def inf8_resume(spark, d):
 
 @query
 def inf9_score_routed(spark, d):
-    out = scoring.score(scoring.for_routed(rule_routed(spark, d)), rule_factory(), NO_DELAY, empty_error=True,
-                        keep=("pairID", "strategy", "max_tokens"))
-    return writers.in_display_order(out.select("pairID", "strategy", "max_tokens", "predicted_label", "prompt_tokens", "error"))
+    rows = scoring.for_routed(rule_routed(spark, d)).select("pairID", "premise", "hypothesis", "strategy", "prompt", "max_tokens")
+    out = scoring.score(rows, rule_factory(), NO_DELAY, empty_error=True, keep=("pairID", "strategy", "max_tokens"))
+    # A sort reads its input twice, first for the bounds of its ranges: answers are stored, so that no pair is scored twice.
+    stored = materialize(out.select("pairID", "strategy", "max_tokens", "predicted_label", "prompt_tokens", "error"), "answers")
+    return writers.in_display_order(stored)
 
 
 # --- metrics -------------------------------------------------------------------------------------------

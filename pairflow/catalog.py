@@ -1014,6 +1014,11 @@ def _training(spark, d):
     return difficulty.training_rows(clean_features(spark, d), preds(spark, d))
 
 
+def _training_table(spark, d):
+    """The training rows without their texts, stored: they are fitted and then scored."""
+    return materialize(_training(spark, d).select("pairID", "genre", "target", *domain.MODEL_FEATURES), "training")
+
+
 @query
 def ml1_hard_target(spark, d):
     return _training(spark, d).select("pairID", "target")
@@ -1053,14 +1058,14 @@ def ml7_top_importance(spark, d):
 
 @query
 def ml8_predict(spark, d):
-    rows = _training(spark, d)
+    rows = _training_table(spark, d)
     return rounded(difficulty.fit(rows).score(rows).select(
         "pairID", "predicted_difficulty", "p_easy", "p_hard", "difficulty_score"), 4)
 
 
 @query
 def ml9_difficulty_by_genre(spark, d):
-    rows = _training(spark, d)
+    rows = _training_table(spark, d)
     return difficulty.difficulty_by_genre(difficulty.fit(rows).score(rows))
 
 

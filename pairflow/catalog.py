@@ -151,7 +151,7 @@ def snk4_write_summary(spark, d):
 @query
 def snk5_model_round_trip(spark, d):
     path = scratch_path(spark, "model")
-    f = clean_features(spark, d)
+    f = materialize(clean_features(spark, d).select("pairID", "genre", *domain.MODEL_FEATURES), "features")
     rows = materialize(difficulty.training_rows(f, preds(spark, d)), "training")
     difficulty.fit(rows).save(spark, path, difficulty.cv_report(difficulty.out_of_fold(rows)))
     loaded = difficulty.DifficultyModel.load(spark, path)

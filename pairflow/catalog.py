@@ -1080,7 +1080,7 @@ def ml9_score_spread_by_genre(spark, d):
 @query
 def ml10_train_and_route(spark, d):
     split = sampling.train_test_split(cleaned(spark, d))
-    features = FT.with_features(split)
+    features = materialize(FT.with_features(split).select("pairID", "split", *domain.MODEL_FEATURES), "features")
     model = study.train_router(features.where("split = 'train'"), preds(spark, d))
     model.save(spark, scratch_path(spark, "router"))
     return rounded(routing.routing_savings(study.apply_router(model, features.where("split = 'test'"))))

@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_STEPS = 100
-TOLERANCE = 1e-10
+# Of the last step that is taken. A Newton step squares the error, so another pass would change no digit that is reported.
+TOLERANCE = 1e-7
 
 
 @dataclass

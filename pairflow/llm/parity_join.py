@@ -11,11 +11,13 @@ The order is that of rarity: chunk values are counted, and a set looks for partn
 half as many chunks again as needed or so, so a set whose greater part is found nowhere else sends nothing, and a passage
 that very many otherwise different texts share makes no candidates.
 
-Pairs are searched in two steps. First every chunk value links its sets to two of them (smallest and largest
-key), which is linear; what is left are sets of different components that share a chunk value, and these are
-compared all with all under the Hamming test of a folded 512-bit parity sketch. No link that joins two
-components is lost; links inside a component need no second witness. Every pair that passes is verified on
-the shingle sets. Shingles are compared by 64-bit hash.
+Pairs are searched in two steps. First every chunk value links its sets to two of them (the hub, which looks under
+most values and so has least of its own, and the largest key), which is linear; what is left are sets of different
+components that share a chunk value, and these are compared all with all under the Hamming test of parity sketches.
+A group of near copies shares very many chunk values, but they have few pairs of hub and largest key: sets meet once
+under such a pair and not once under each value. No link that joins two components is lost; links inside a
+component need no second witness. Every pair that passes is verified on the shingle sets. Shingles are compared by
+64-bit hash.
 
 Results for odd input: null or blank texts and texts without words have size 0 and no links; texts of 1 to 4
 words have one shingle; rows with the same shingle set form one class, so repeated rows share a component; a
@@ -46,8 +48,9 @@ FOLDS = 8
 FOLD_NAMES = [f"f{i}" for i in range(FOLDS)]
 # Keys that may be sent to every task (8 MB); more are matched by a shuffle join.
 BROADCAST_KEYS = 1_000_000
-# Sets of this size on also have a sketch of 4096 bits, as 512 are too few to tell long texts apart.
-WIDE_FROM, WIDE_BITS = 512, 4096
+# Sets of this size on also have a sketch of 4096 bits, as 512 are too few to tell long texts apart: at 400 shingles they
+# let similarities from 0.76 on pass for 0.8.
+WIDE_FROM, WIDE_BITS = 256, 4096
 PROFILE = "doc_id long, n_shingles long, node long, sigs array<long>, sizes array<long>, needs array<long>, wide array<long>, " + ", ".join(f"{f} long" for f in FOLD_NAMES)
 
 
@@ -192,17 +195,22 @@ def _near(a: str, b: str, percent: int):
     return sizes & ((100 + percent) * hamming <= (100 - percent) * (na + nb))
 
 
+def _near_long(a: str, b: str, percent: int):
+    """Sketches of long texts, in columns prefixed a and b, allow a link; always true of shorter ones."""
+    hamming = F.aggregate(F.zip_with(f"{a}_w", f"{b}_w", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    apart = (100 + percent) * hamming > (100 - percent) * (F.col(f"{a}_n") + F.col(f"{b}_n"))
+    return ~F.coalesce(apart, F.lit(False))
+
+
 def _near_wide(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs that the sketches of long texts allow as well."""
     side = lambda p: classes.select(F.col("node").alias(p), F.col("n_shingles").alias(f"{p}_n"), F.col("wide").alias(f"{p}_w"))
-    hamming = F.aggregate(F.zip_with("a_w", "b_w", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    apart = (100 + percent) * hamming > (100 - percent) * (F.col("a_n") + F.col("b_n"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").filter(~F.coalesce(apart, F.lit(False))).select("a", "b")
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(_near_long("a", "b", percent)).select("a", "b")
 
 
-def _prefixed(classes: DataFrame, p: str) -> DataFrame:
+def _prefixed(classes: DataFrame, p: str, *more) -> DataFrame:
     return classes.select(F.col("node").alias(p), F.col("n_shingles").alias(f"{p}_n"),
-                          *[F.col(f).alias(f"{p}_{f}") for f in FOLD_NAMES])
+                          *[F.col(f).alias(f"{p}_{f}") for f in FOLD_NAMES], *more)
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -250,13 +258,15 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFr
     # A set's shared values, rarest first, without as many of the commonest as it can spare.
     looked = (found_in.join(counts, "sig").groupBy("node", "list").agg(
         F.sort_array(F.collect_set(F.struct("n", "sig"))).alias("s"), F.first("spare").alias("spare"))
-        .filter(F.size("s") > F.col("spare"))
-        .select("node", F.explode(F.slice("s", F.lit(1), (F.size("s") - F.col("spare")).cast("int"))).alias("s"))
-        .select("node", "s.sig").distinct())
+        .withColumn("k", (F.size("s") - F.col("spare")).cast("int")).filter("k > 0")
+        .select("node", "k", F.explode(F.slice("s", F.lit(1), F.col("k"))).alias("s"))
+        .groupBy("node", "s.sig").agg(F.max("k").alias("k")))
     looked = materialize(looked, "looked")
-    hubs = looked.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
-    shared = materialize(looked.join(hubs, "sig"), "shared")
-    stars = shared.select("node", F.explode(F.array("low", "high")).alias("hub")).filter("node <> hub").select(
+    hubs = looked.groupBy("sig").agg(
+        F.min(F.struct(-F.col("k"), "node"))["node"].alias("hub"), F.min("node").alias("low"), F.max("node").alias("high")).filter(
+        "low <> high").select("sig", "hub", F.when(F.col("high") == F.col("hub"), F.col("low")).otherwise(F.col("high")).alias("far"))
+    shared = materialize(looked.select("node", "sig").join(hubs, "sig"), "shared")
+    stars = shared.select("node", F.explode(F.array("hub", "far")).alias("hub")).filter("node <> hub").select(
         F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     near = (stars.join(_prefixed(classes, "a"), "a").join(_prefixed(classes, "b"), "b")
             .filter(_near("a", "b", percent)).select("a", "b"))
@@ -264,18 +274,22 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFr
     links = materialize(_verified(texts, candidates, percent), "verified")
     found = components(links)
 
-    # Sets of different components that share a chunk value: all of them, under the sketch test.
-    with_component = (shared.select("sig", "node").distinct().join(found, "node", "left")
-                      .select("sig", "node", F.coalesce("component", "node").alias("component")))
+    # Sets of different components that share a chunk value: all of them, under the sketch test. A value's hub and far
+    # set stand for it, so those that share many values meet once or a few times.
+    with_component = (shared.join(found, "node", "left")
+                      .select("sig", "hub", "far", "node", F.coalesce("component", "node").alias("component")))
     mixed = with_component.groupBy("sig").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("sig")
-    open_rows = materialize(with_component.join(mixed, "sig", "left_semi"), "open")
+    open_rows = materialize(
+        with_component.join(mixed, "sig", "left_semi").select("hub", "far", "node", "component").distinct(), "open")
     side = {p: open_rows.withColumnRenamed("component", f"{p}_c").join(
-        _prefixed(classes, p).withColumnRenamed(p, "node"), "node").withColumnRenamed("node", p) for p in "ab"}
-    rest = (side["a"].join(side["b"], (side["a"].sig == side["b"].sig) & (F.col("a") < F.col("b"))
-                           & (F.col("a_c") != F.col("b_c")) & _near("a", "b", percent))
+        _prefixed(classes, p, F.col("wide").alias(f"{p}_w")).withColumnRenamed(p, "node"), "node").withColumnRenamed("node", p)
+        for p in "ab"}
+    rest = (side["a"].join(side["b"], (side["a"].hub == side["b"].hub) & (side["a"].far == side["b"].far)
+                           & (F.col("a") < F.col("b")) & (F.col("a_c") != F.col("b_c"))
+                           & _near("a", "b", percent) & _near_long("a", "b", percent))
             .select("a", "b").distinct())
-    more = materialize(_near_wide(rest, classes, percent).join(candidates, ["a", "b"], "left_anti"), "rest")
+    more = materialize(rest.join(candidates, ["a", "b"], "left_anti"), "rest")
     links = links.unionByName(_verified(texts, more, percent))
     found = components(links)
 

@@ -124,6 +124,30 @@ def test_a_passage_in_many_different_texts_makes_no_candidates(spark, monkeypatc
     assert got == want and sum(seen) < 400
 
 
+def test_a_group_of_near_copies_meets_once(spark, monkeypatch):
+    """Copies at all distances around the threshold from their original: sets meet under few buckets, and the second
+    step leaves few pairs to verify."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghijkl") for _ in range(6))
+    base, rows = [word() for _ in range(400)], []
+    for i in range(150):
+        words = list(base)
+        for at in r.sample(range(400), r.randint(4, 24)):
+            words[at] = word()
+        rows.append((i, " ".join(words)))
+    stored, materialize = {}, parity_join.materialize
+
+    def counted(df, name):
+        out = materialize(df, name)
+        stored.setdefault(name, []).append(out.count())
+        return out
+    monkeypatch.setattr(parity_join, "materialize", counted)
+    got = {x.doc_id: x.component_id for x in parity_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want, _ = components_of(rows)
+    assert got == {i: c for (i, _), c in zip(rows, want)}
+    assert stored["open"][0] < 30 * len(rows) and stored["rest"][0] < len(rows) // 10
+
+
 def test_join_of_odd_rows(odd_docs, odd_rows, empty_docs):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in parity_join.join(odd_docs).collect()), key=str)
     rows = [(r[0], r[1]) for r in odd_rows]

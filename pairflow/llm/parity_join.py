@@ -51,6 +51,9 @@ BROADCAST_KEYS = 1_000_000
 # Sets of this size on also have a sketch of 4096 bits, as 512 are too few to tell long texts apart: at 400 shingles they
 # let similarities from 0.76 on pass for 0.8.
 WIDE_FROM, WIDE_BITS = 256, 4096
+# Most chunk values belong to one set, so the counts of a task hold nearly every value it reads: a task reads so many
+# bytes of profiles (half a million values), and profiles are stored in row groups of as many.
+COUNTED_BYTES = 4 << 20
 PROFILE = "doc_id long, n_shingles long, node long, sigs array<long>, sizes array<long>, needs array<long>, wide array<long>, " + ", ".join(f"{f} long" for f in FOLD_NAMES)
 
 
@@ -241,16 +244,18 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
 def _joined(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    profiles = materialize(
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        .mapInArrow(_profiles(percent), PROFILE), "profiles")
+    with worker.row_groups_of(spark, COUNTED_BYTES):
+        profiles = materialize(
+            docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+            .mapInArrow(_profiles(percent), PROFILE), "profiles")
     classes = materialize(profiles.filter("node IS NOT NULL").groupBy("node").agg(
         F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("wide").alias("wide"),
         *[F.first(f).alias(f) for f in FOLD_NAMES]), "classes")
 
     # Counts combine before the shuffle, so a chunk value that a third of the sets have is a row per task.
-    counts = materialize(profiles.filter("sigs IS NOT NULL").select(F.explode("sigs").alias("sig")).groupBy("sig").agg(
-        F.count(F.lit(1)).alias("n")).filter("n > 1"), "counts")
+    with worker.tasks_of(spark, COUNTED_BYTES):
+        counts = materialize(profiles.filter("sigs IS NOT NULL").select(F.explode("sigs").alias("sig")).groupBy("sig").agg(
+            F.count(F.lit(1)).alias("n")).filter("n > 1"), "counts")
     # Most chunk values belong to one set; a filter of the others keeps them out of the next shuffle.
     held = spark.sparkContext.broadcast(bloom.build(counts, "sig", bloom.bits_for(counts.count())))
     found_in = (profiles.filter("sigs IS NOT NULL").select("node", "sigs", "sizes", "needs")

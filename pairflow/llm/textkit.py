@@ -2,7 +2,7 @@
 
 Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased. A word's hash is a polynomial over random byte values,
 taken from prefix sums, so a whole block of texts is hashed without a loop over words. Memory stays near
-100 bytes per input byte of a block (1 MB) plus 16 bytes per word of a batch, whatever a text's length.
+100 bytes per input byte of a block (256 KB) plus 16 bytes per word of a batch, whatever a text's length.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WIDTH = 5
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 SLICE_BYTES = 4 << 20
 
 _SEPARATOR = np.zeros(256, dtype=bool)

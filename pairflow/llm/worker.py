@@ -46,10 +46,33 @@ def trim() -> None:
 @contextlib.contextmanager
 def batches_of(spark: SparkSession, rows: int = 1024) -> Iterator[None]:
     """Jobs run inside hand texts to Python in batches of so many rows, which bounds the buffers on both sides."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    before = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    with _set(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(min(rows, before) if before > 0 else rows)):
+        yield
+
+
+@contextlib.contextmanager
+def tasks_of(spark: SparkSession, size: int) -> Iterator[None]:
+    """Jobs run inside read files in tasks of so many bytes."""
+    with _set(spark, "spark.sql.files.maxPartitionBytes", str(size)):
+        yield
+
+
+@contextlib.contextmanager
+def row_groups_of(spark: SparkSession, size: int) -> Iterator[None]:
+    """Jobs run inside write Parquet in row groups of so many bytes."""
+    with _set(spark, "parquet.block.size", str(size)):
+        yield
+
+
+@contextlib.contextmanager
+def _set(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)

@@ -201,3 +201,29 @@ def test_bloom_filter_has_no_false_negatives(spark):
     words = bloom.build(spark.createDataFrame([(int(k),) for k in keys], "h long"), "h", bloom.bits_for(3000))
     assert bloom.contains(words, keys.view(np.uint64)).all()
     assert bloom.contains(words, (keys + 1).view(np.uint64)).mean() < 0.1
+
+
+def test_tasks_that_count_chunk_values_are_bounded(spark, monkeypatch):
+    """One task counted all the chunk values of a file, nearly all of them distinct."""
+    from collections import Counter
+
+    import pyarrow.parquet as pq
+
+    from pairflow.llm import parity_join as PJ
+    docs = spark.range(3000).selectExpr("id AS doc_id", "array_join(transform(sequence(0, 40), i -> concat('w', xxhash64(id div 2, i))), ' ') AS text")
+    before, stored, seen = spark.conf.get("spark.sql.files.maxPartitionBytes"), {}, {}
+    real = PJ.materialize
+
+    def watched(df, name="table"):
+        if name == "counts":
+            tasks = stored["profiles"].select("sigs").rdd.getNumPartitions()
+            seen.update(tasks=tasks, groups=sum(pq.ParquetFile(f.removeprefix("file:")).num_row_groups for f in stored["profiles"].inputFiles()))
+        out = real(df, name)
+        return stored.setdefault(name, out) if name == "profiles" else out
+
+    monkeypatch.setattr(PJ, "materialize", watched)
+    monkeypatch.setattr(PJ, "COUNTED_BYTES", 64 << 10)
+    rows = PJ.join(docs.coalesce(1)).collect()
+    assert seen["groups"] >= 5 and seen["tasks"] >= 5
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+    assert set(Counter(r.component_id for r in rows).values()) == {2}

@@ -488,8 +488,7 @@ SCORED_COLUMNS = ["pairID", "strategy", "raw_response", "predicted_label", "prom
 
 
 def _scored(spark, d, strategies=None, **options):
-    rows = scoring.for_strategies(pairs(spark, d), strategies)
-    return scoring.score(rows, rule_factory(), NO_DELAY, keep=("pairID", "strategy"), **options)
+    return scoring.score(pairs(spark, d), rule_factory(), NO_DELAY, keep=("pairID", "strategy"), strategies=strategies, **options)
 
 
 @query

@@ -80,14 +80,20 @@ def with_prompt(df: DataFrame, strategy: str = "strategy", output: str = "prompt
     return df.withColumn(output, prompt(strategy, examples=examples, allowed=allowed))
 
 
-def fixed_chars(strategy: str) -> int:
-    """Characters of a strategy's prompt besides the pair's two texts."""
+def text_pieces(strategy: str) -> list[str]:
+    """A strategy's prompt with the built-in examples as fixed texts (at even places) and names of a pair's columns."""
     examples = domain.FEW_SHOT_EXAMPLES[:6 if strategy == "6-shot" else domain.FEW_SHOT_DEFAULT_COUNT]
     block = "".join(domain.FEW_SHOT_EXAMPLE.format(premise=p, hypothesis=h, label=l) for p, h, l in examples)
-    several = domain.FEW_SHOT_HEADER + block + domain.FEW_SHOT_FOOTER
-    template = {"zero-shot": domain.ZERO_SHOT_TEXT, "one-shot": domain.ONE_SHOT_TEXT, "few-shot": several, "6-shot": several,
-                "6-shot-cot": domain.SIX_SHOT_COT_TEXT, "cot": domain.COT_WITH_EXAMPLE_TEXT}[strategy]
-    return len(re.sub(r"\{(premise|hypothesis)\}", "", _with_instruction(template)))
+    several = _with_instruction(domain.FEW_SHOT_HEADER) + block
+    template = {"zero-shot": domain.ZERO_SHOT_TEXT, "one-shot": domain.ONE_SHOT_TEXT, "few-shot": domain.FEW_SHOT_FOOTER,
+                "6-shot": domain.FEW_SHOT_FOOTER, "6-shot-cot": domain.SIX_SHOT_COT_TEXT, "cot": domain.COT_WITH_EXAMPLE_TEXT}[strategy]
+    first, *rest = re.split(r"\{(premise|hypothesis)\}", _with_instruction(template))
+    return [(several if strategy in ("few-shot", "6-shot") else "") + first, *rest]
+
+
+def fixed_chars(strategy: str) -> int:
+    """Characters of a strategy's prompt besides the pair's two texts."""
+    return sum(map(len, text_pieces(strategy)[::2]))
 
 
 def managed_prompt(strategy: Column | str, premise: str = "premise", hypothesis: str = "hypothesis",

@@ -22,6 +22,7 @@ import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -57,8 +58,10 @@ class RetryPolicy:
     retryable: tuple[str, ...] = tuple(domain.RETRYABLE_ERRORS)
 
     def should_retry(self, answer: Answer) -> bool:
+        if answer.success:
+            return False
         message = (answer.error or "").lower()
-        return not answer.success and any(r in message for r in self.retryable)
+        return any(r in message for r in self.retryable)
 
 
 @dataclass(frozen=True)
@@ -126,6 +129,39 @@ RESULT_FIELDS = [
 ]
 
 
+STRATEGY_FIELDS = [T.StructField("strategy", T.StringType()), T.StructField("max_tokens", T.IntegerType())]
+# Rows whose prompts a task holds at one time.
+ROWS_AT_ONCE = 10_000
+
+
+def _as_pandas(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pd.DataFrame]]:
+    for batch in batches:
+        yield batch, batch.to_pandas(date_as_object=True)
+
+
+def _requests(batches: Iterator[pa.RecordBatch], requested: list[tuple[str, list[str], int]]) -> Iterator[tuple[pa.RecordBatch, pd.DataFrame]]:
+    """Pairs, each once per strategy, with their prompts and limits."""
+    n = len(requested)
+    if not n:
+        return
+    step = max(1, ROWS_AT_ONCE // n)
+    for whole in batches:
+        for start in range(0, whole.num_rows, step):
+            pairs = whole.slice(start, step)
+            again = np.repeat(np.arange(pairs.num_rows), n)
+            rows = pairs.to_pandas(date_as_object=True)
+            prompts = np.empty((len(rows), n), object)
+            for i, (_, pieces, _) in enumerate(requested):
+                texts = [rows[name] for name in pieces[1::2]]
+                prompts[:, i] = [
+                    None if None in own else "".join([*[x for pair in zip(pieces[::2], own) for x in pair], pieces[-1]]) for own in zip(*texts)]
+            rows = rows.take(again).reset_index(drop=True)
+            rows["strategy"] = np.tile(np.array([s for s, _, _ in requested], object), len(pairs))
+            rows["prompt"] = prompts.ravel()
+            rows["max_tokens"] = np.tile(np.array([m for _, _, m in requested], np.int32), len(pairs))
+            yield pairs.take(pa.array(again)), rows
+
+
 def _one_each(answers: list[Answer], batch: pd.DataFrame) -> list[Answer]:
     answers = list(answers)
     if len(answers) != len(batch):
@@ -172,14 +208,21 @@ def _few_tasks(spark: SparkSession, slots: int, in_flight: int):
 
 def score(df: DataFrame, factory: Callable[[], object], policy: RetryPolicy = RetryPolicy(),
           limits: Limits = Limits(), empty_error: bool = False, keep_prompt: bool = False, profile=None,
-          keep: tuple[str, ...] | None = None) -> DataFrame:
+          keep: tuple[str, ...] | None = None, strategies: list[str] | None = None) -> DataFrame:
     """Add the result columns to a table that has prompt (and optionally max_tokens).
 
     Each task slot gets its share of limits: a token bucket for the rate, and chunks of rows for what is in flight. If
     less may be in flight than there are slots, a resource profile widens the tasks; a local session, which has none,
     lets its tasks take turns. The table keeps its partitions. empty_error reports "" instead of null for a success.
     keep: the columns besides the answers that come back from the scorer; all but the prompt if not given.
+    strategies: df holds pairs without strategies, prompts or limits, as for_strategies takes them. A pair goes to its task
+    once and its prompts, many times as long and mostly fixed text, are put together there.
     """
+    if strategies is not None:
+        unknown = set(strategies) - set(domain.STRATEGIES)
+        if unknown or keep_prompt:
+            raise ValueError(f"unknown strategies {sorted(unknown)}" if unknown else "prompts made in the task are not kept")
+        df = df.drop("strategy", "prompt", "max_tokens")
     spark = df.sparkSession
     slots = max(1, spark.sparkContext.defaultParallelism)
     share, turns = limits.share(slots), None
@@ -192,15 +235,17 @@ def score(df: DataFrame, factory: Callable[[], object], policy: RetryPolicy = Re
     names = [f.name for f in RESULT_FIELDS]
     kept = [f for f in df.schema.fields if f.name not in names and (keep is None or f.name in keep)
             and (keep_prompt or f.name != "prompt")]
-    schema = T.StructType(kept + RESULT_FIELDS)
     inputs = [f.name for f in kept]
-    types = to_arrow_schema(T.StructType(RESULT_FIELDS))
+    if strategies is not None:
+        kept += [f for f in STRATEGY_FIELDS if keep is None or f.name in keep]
+    requested = [(s, P.text_pieces(s), study_tokens(s)) for s in strategies or []]
+    schema = T.StructType(kept + RESULT_FIELDS)
+    types, more = (to_arrow_schema(T.StructType(fields)) for fields in (RESULT_FIELDS, kept[len(inputs):]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = factory()
         bucket = TokenBucket(share.per_second) if share.per_second else None
-        for batch in batches:
-            rows = batch.to_pandas(date_as_object=True)
+        for batch, rows in _requests(batches, requested) if strategies is not None else _as_pandas(batches):
             size = share.in_flight or len(rows)
             answers, attempts = [], []
             for start in range(0, len(rows), max(1, size)):
@@ -212,8 +257,8 @@ def score(df: DataFrame, factory: Callable[[], object], policy: RetryPolicy = Re
             results = [[a.text for a in answers], [a.prompt_tokens for a in answers], [a.response_tokens for a in answers],
                        [a.latency_ms for a in answers], [a.success for a in answers], [a.error for a in answers], attempts]
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(batch.schema.get_field_index(c)) for c in inputs],
-                 *[pa.array(values, f.type) for values, f in zip(results, types)]], names=[*inputs, *names])
+                [*[batch.column(batch.schema.get_field_index(c)) for c in inputs], *[pa.array(rows[f.name], f.type) for f in more],
+                 *[pa.array(values, f.type) for values, f in zip(results, types)]], names=[*inputs, *more.names, *names])
 
     result = df.mapInArrow(run, schema, profile=profile).withColumn("predicted_label", parse_label("raw_response"))
     if empty_error:
@@ -277,6 +322,11 @@ def study_limit(strategy: Column) -> Column:
     return F.when(strategy.contains("cot"), F.lit(domain.STUDY_LIMIT_COT)).otherwise(F.lit(domain.STUDY_LIMIT_PLAIN))
 
 
+def study_tokens(strategy: str) -> int:
+    """study_limit of one strategy."""
+    return domain.STUDY_LIMIT_COT if "cot" in strategy else domain.STUDY_LIMIT_PLAIN
+
+
 def adaptive_limit(strategy: Column) -> Column:
     out = F.lit(domain.ADAPTIVE_LIMIT_DEFAULT)
     for name, limit in domain.ADAPTIVE_LIMITS.items():

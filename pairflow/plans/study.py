@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairflow import domain
 from pairflow.operators import cost, difficulty, metrics, routing, scoring
 
 
@@ -14,12 +15,13 @@ def run_strategies(pairs: DataFrame, factory: Callable[[], object], strategies:
                    stored: DataFrame | None = None, limits: scoring.Limits = scoring.Limits(),
                    keep: tuple[str, ...] | None = None) -> DataFrame:
     """All strategies in one pass; rows with a stored prediction are not scored again. keep: as in scoring.score."""
-    rows = scoring.as_strategies(pairs, strategies)
+    if stored is None:
+        return scoring.score(pairs, factory, limits=limits, keep=keep, strategies=strategies or domain.BASE_STRATEGIES)
 
     def score(todo: DataFrame) -> DataFrame:
         return scoring.score(scoring.with_request(todo), factory, limits=limits, keep=keep)
 
-    return score(rows) if stored is None else scoring.resume(rows, stored, score)
+    return scoring.resume(scoring.as_strategies(pairs, strategies), stored, score)
 
 
 def compare(predictions: DataFrame) -> DataFrame:

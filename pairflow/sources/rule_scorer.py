@@ -37,21 +37,25 @@ class RuleScorer:
         texts = set(batch["premise"])
         texts.update(batch["hypothesis"])
         words = {text: word_set(text) for text in texts}
-        return [self._one(s, words[p], words[h], prompt) for s, p, h, prompt in zip(
-            batch["strategy"], batch["premise"], batch["hypothesis"], batch["prompt"])]
-
-    def _one(self, strategy: str, have: frozenset[str], wanted: frozenset[str], prompt: str) -> Answer:
+        answers, premise, hypothesis = [], None, None
+        for strategy, p, h, prompt in zip(*[batch[c].tolist() for c in ("strategy", "premise", "hypothesis", "prompt")]):
+            if p is not premise or h is not hypothesis:  # a pair's strategies follow one another
+                premise, hypothesis, wanted = p, h, len(words[h])
+                shared = len(words[p] & words[h])
+            answers.append(self._one(strategy, shared, wanted, prompt))
+        return answers
+
+    def _one(self, strategy: str, shared: int, wanted: int, prompt: str) -> Answer:
         tokens = len(prompt) // 4 + 1
         if not wanted:
             return Answer("", tokens, 0, success=False, error="Nothing to judge")
         low, high = self.thresholds[strategy]
-        shared = len(have & wanted)
-        overlap = shared / len(wanted)
+        overlap = shared / wanted
         word = "entailment" if overlap >= high else "contradiction" if overlap <= low else "neutral"
-        if len(wanted) == 1:
+        if wanted == 1:
             text = "cannot decide"
         elif strategy.endswith("cot"):
-            text = f"Shared words: {shared} of {len(wanted)}. Classification: {word}"
+            text = f"Shared words: {shared} of {wanted}. Classification: {word}"
         else:
             text = word
         return Answer(text, tokens, len(text) // 4 + 1)

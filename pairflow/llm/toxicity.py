@@ -17,8 +17,11 @@ text has shared mass alone, so neither speaks for a class.
 A word's evidence is log p_toxic - log p_ordinary. It is a sum of what its own counts, the word before it and the
 bigram say, and each of these is the same constant wherever no class counts two texts, so the model is a table of key
 and value that holds every entry with something to say, whatever its size. The entries that the most texts hold, at
-most SENT of them, are sent to the tasks; text positions that may hold one of the others (a Bloom filter tells) meet
-them in a join and the values are added at their places.
+most SENT of them, are sent to the tasks; the others, the rare ones, are sent as Bloom filters. Positions that may hold
+one ask for its value in a join. Of a text that asks, only what the answers can change is kept meanwhile: the sum of its
+evidence, its largest window without an open position, and the sums of those windows with one that can still be the
+largest, given what rare entries add at most and at least. Neither texts nor evidence by position are stored. Texts ask
+in waves, and a wave's shuffle files go with it.
 
 Length-normalised comparisons describe a text: the mean evidence over all its words, and the mean over the WINDOWS
 consecutive words where it is largest, as a long text can be toxic in one place. A logistic function of them, fitted
@@ -46,8 +49,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairflow.llm import bloom, textkit, worker
-from pairflow.workspace import materialize
+from pairflow.llm import bloom, keys as key_joins, textkit, worker
+from pairflow.workspace import discard, materialize, scratch_path
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -57,6 +60,9 @@ CLASS_MASS = 0.1
 CONTEXT_MASS = 5.0
 WINDOWS = (1, 4)
 SENT = 6_000_000  # entries of 12 bytes
+CUTS = (-0.7, 0.0, 1.0, 2.5)  # values that part the filters of rare entries, of 32 MB each at most
+WAVE_ASKS = 4_000_000  # texts ask in waves of about so many questions, in WAVES at most, as each reads all rare entries
+WAVES = 8
 CALIBRATION_ROWS = 50_000
 BROADCAST_LABELS = 2_000_000
 SLICE = 1 << 20
@@ -75,11 +81,11 @@ class Model:
     base: float
     weights: np.ndarray    # bias, mean, windows
     rare: DataFrame | None = None
-    filter: np.ndarray | None = None  # of the rare keys
+    filters: list | None = None  # of the rare keys: bits, and the least and the most that one adds, by kind of key
 
     def sent(self) -> tuple:
         """What is sent to the tasks: plain arrays, which need no import there."""
-        return self.keys, self.values, self.base, self.filter
+        return self.keys, self.values, self.base, self.filters
 
 
 def words32(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -108,13 +114,66 @@ def position_keys(tokens: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
 
 def evidence(sent: tuple, keys: list[np.ndarray]) -> np.ndarray:
     """log p_toxic - log p_ordinary of every position, without what rare entries add."""
-    known, values, base, _ = sent
-    out = np.full(len(keys[0]), base)
-    if len(known):
-        for k in keys:
+    return _looked_up(sent, keys)[0]
+
+
+def _looked_up(sent: tuple, keys: list[np.ndarray]) -> tuple[np.ndarray, list[tuple]]:
+    """Evidence without what rare entries add, and for each of the keys the positions where it may be a rare entry's,
+    with the least and the most that this adds."""
+    known, values, base, filters = sent
+    out, asking, none = np.full(len(keys[0]), base), [], np.zeros(0, dtype=np.int64)
+    for kind, k in enumerate(keys):
+        missing = k > 0
+        if len(known):
             at = np.minimum(np.searchsorted(known, k), len(known) - 1)
-            hit = np.flatnonzero(known[at] == k)
+            found = known[at] == k
+            hit = np.flatnonzero(found)
             out[hit] += values[at[hit]]
+            missing &= ~found
+        places = np.flatnonzero(missing) if filters else none
+        asks, low, high = may_be_rare(filters or [], k[places], kind)
+        asking.append((places[asks], low[asks], high[asks]))
+    return out, asking
+
+
+def _hashes(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers of a key for its filter. A bigram's halves are words, so that as it stands it would find its bits set
+    wherever both words are in some rare bigram."""
+    return textkit.mix(keys), textkit.mix(keys ^ np.uint64(0x5851F42D4C957F2D))
+
+
+def may_be_rare(filters: list[tuple], keys: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mask of the keys that the filters may hold, and the least and the most value of such a key; 0 is always one."""
+    first, second = _hashes(keys)
+    out, low, high = np.zeros(len(keys), dtype=bool), np.zeros(len(keys)), np.zeros(len(keys))
+    for bits, least, most in filters:
+        own = np.flatnonzero(bloom.contains(bits, first))
+        own = own[bloom.contains(bits, second[own])]
+        out[own] = True
+        low[own], high[own] = np.minimum(low[own], least[kind]), np.maximum(high[own], most[kind])
+    return out, low, high
+
+
+def _filters(rare: DataFrame) -> list[tuple]:
+    """A filter for the keys of (key, value) of each part of the values, with the least and the most value of its word,
+    context and bigram entries."""
+    word, context = F.shiftrightunsigned("key", 32) == 0, F.col("key").bitwiseAND(F.lit(LOW)) == 0
+    kind = F.when(word, 0).when(context, 1).otherwise(2)
+    part = sum((F.col("value") > c).cast("int") for c in CUTS)
+    found = rare.groupBy(part.alias("part"), kind.alias("kind")).agg(
+        F.min("value").alias("low"), F.max("value").alias("high"), F.count(F.lit(1)).alias("n")).collect()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = _hashes(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(both).view(np.int64))], names=["hash"])
+
+    out = []
+    for p in sorted({r["part"] for r in found}):
+        kinds = {r["kind"]: r for r in found if r["part"] == p}
+        least, most = ([float(kinds[k][name]) if k in kinds else 0.0 for k in range(3)] for name in ("low", "high"))
+        hashed = rare.filter(part == p).select("key").mapInArrow(run, "hash long")
+        out.append((bloom.build(hashed, "hash", bloom.bits_for(sum(r["n"] for r in kinds.values()))), least, most))
     return out
 
 
@@ -216,18 +275,26 @@ def _entries(counted: DataFrame) -> tuple[DataFrame, float] | None:
 
     whole = F.log(p("t", 0, back_t)) - F.log(p("o", 1, back_o))
     for_bigrams = seen.select(F.col("bigram").alias("key"), (whole - of_context - of_word).alias("value"), both.alias("n"))
-    return for_words.unionByName(for_contexts).unionByName(for_bigrams), base
+    entries = for_words.unionByName(for_contexts).unionByName(for_bigrams)
+    entries = materialize(entries.select("key", F.col("value").cast("float").alias("value"), "n"), "entries")
+    discard(words, contexts)
+    return entries, base
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    rows = labelled(docs, labels, id_col, text_col, label_col)
+    with worker.shuffles_freed(docs.sparkSession):
+        return _fitted(labelled(docs, labels, id_col, text_col, label_col))
+
+
+def _fitted(rows: DataFrame) -> Model:
     counted = materialize(
         rows.filter(fold(F.col("_id")) != 4).select("text", "toxic").mapInArrow(_bigram_counts, "bigram long, t long, o long")
         .groupBy("bigram").agg(F.sum("t").cast("int").alias("t"), F.sum("o").cast("int").alias("o")), "bigrams")
     found = _entries(counted)
+    discard(counted)
     if found is None:
         return Model(np.zeros(0, np.uint64), np.zeros(0, np.float32), 0.0, np.array([-1000.0] + [0.0] * (1 + len(WINDOWS))))
-    entries, base = materialize(found[0].select("key", F.col("value").cast("float").alias("value"), "n"), "entries"), found[1]
+    entries, base = found
     level = F.floor(F.log2("n") * 8)  # at most some 500 values
     total, least = 0, math.inf
     for row in entries.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
@@ -237,65 +304,142 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     often = entries.filter(level >= F.lit(float(least))).select("key", "value").toArrow()
     keys = textkit.numbers(often.column("key")).view(np.uint64)
     order = np.argsort(keys)
-    rare = bits = None
+    rare = filters = None
     if math.isinf(least) or total < entries.count():
         rare = entries.filter(level < F.lit(float(least))).select("key", "value")
-        bits = bloom.build(rare, "key", bloom.bits_for(rare.count()))
-    model = Model(keys[order], textkit.numbers(often.column("value")).astype(np.float32)[order], base, np.zeros(0), rare, bits)
+        filters = _filters(rare)
+    model = Model(keys[order], textkit.numbers(often.column("value")).astype(np.float32)[order], base, np.zeros(0), rare, filters)
     return _calibrated(model, rows)
 
 
+def open_windows(values: np.ndarray, counts: np.ndarray, asking: list[tuple]
+                 ) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of texts with positions that may get more, asking holds (positions, least, most) of each kind of key: a text's
+    sum, for each width its largest window that asks nothing, and (text, start * len(WINDOWS) + width no., sum) of those
+    windows that ask and can still be the largest."""
+    ends = np.cumsum(counts)
+    begins, text, some = ends - counts, np.repeat(np.arange(len(counts)), counts), np.flatnonzero(counts)
+    least, most, asks = np.zeros(len(values)), np.zeros(len(values)), np.zeros(len(values), dtype=np.int64)
+    for places, low, high in asking:
+        least[places] += low
+        most[places] += high
+        asks[places] = 1
+    sums = [np.concatenate((np.zeros(1, x.dtype), np.cumsum(x))) for x in (values, least, most, asks)]
+    closed, left = np.full((len(counts), len(WINDOWS)), -np.inf), []
+    for i, w in enumerate(WINDOWS):
+        full = np.minimum(w, counts)
+        start = np.flatnonzero(np.arange(len(values)) <= (ends - full)[text])
+        owner = text[start]
+        own, under, over, n = (c[start + full[owner]] - c[start] for c in sums)
+        bar = np.full(len(counts), -np.inf)
+        if len(some):
+            first = np.searchsorted(owner, some)
+            bar[some] = np.maximum.reduceat(own + under, first)
+            closed[some, i] = np.maximum.reduceat(np.where(n > 0, -np.inf, own), first)
+        at = np.flatnonzero((n > 0) & (own + over >= bar[owner] - 1e-6))
+        left.append((owner[at], (start[at] - begins[owner[at]]) * len(WINDOWS) + i, own[at]))
+    owner, place, own = (np.concatenate(x) for x in zip(*left))
+    order = np.argsort(owner, kind="stable")
+    return sums[0][ends] - sums[0][begins], closed, (owner[order], place[order], own[order])
+
+
+def _lists(owner: np.ndarray, n: int, values: pa.Array) -> pa.Array:
+    """values as a list for each of n owners, which are in order."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)), values)
+
+
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+    """The reverse of _lists; null is an empty list."""
+    return np.repeat(np.arange(len(column)), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)), column.flatten()
+
+
+_FAR = 1 << 32  # more than a text has words
+
+
+def completed(n: np.ndarray, total: np.ndarray, closed: np.ndarray, windows: tuple, more: tuple) -> np.ndarray:
+    """described() of texts of n words, from open_windows() and more: (text, position, value) of what their rare entries add."""
+    owner, place, value = more
+    at = owner * _FAR + place
+    order = np.argsort(at)
+    at, sums = at[order], np.concatenate(([0.0], np.cumsum(value[order])))
+
+    def added(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return sums[np.searchsorted(at, stop)] - sums[np.searchsorted(at, start)]
+
+    texts = np.arange(len(n)) * _FAR
+    out = np.column_stack([(total + added(texts, texts + n)) / n, closed])
+    owner, place, own = windows
+    for i, w in enumerate(WINDOWS):
+        full, mine = np.minimum(w, n), np.flatnonzero(place % len(WINDOWS) == i)
+        start = texts[owner[mine]] + place[mine] // len(WINDOWS)
+        np.maximum.at(out[:, i + 1], owner[mine], own[mine] + added(start, start + full[owner[mine]]))
+        out[:, i + 1] /= w
+    return out
+
+
 def _features(rows: DataFrame, model: Model) -> DataFrame:
-    """row, features of rows of (row, text)."""
+    """(features, ...) of rows of (text, ...); the other columns pass through."""
     held = rows.sparkSession.sparkContext.broadcast(model.sent())
     width = pa.list_(pa.float64())
+    others = rows.columns[1:]
+    schema = ", ".join(["features array<double>", *(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent = held.value
-        places = pa.list_(pa.struct([("at", pa.int32()), ("key", pa.int64())]))
         for batch in batches:
-            texts = textkit.text_bytes(batch.column(1))
+            texts = textkit.text_bytes(batch.column(0))
             for a, b in textkit.slices([len(t) for t in texts], SLICE):
                 tokens, counts = words32(texts[a:b])
                 keys = position_keys(tokens, counts)
-                values = evidence(sent, keys)
-                ends = np.cumsum(counts).tolist()
-                features, open_values, open_at = [], [], []
-                maybe = None if sent[3] is None else [bloom.contains(sent[3], k) & (k > 0) for k in keys]
-                for n, e in zip(counts.tolist(), ends):
-                    asked = []
-                    if maybe is not None:
-                        for k, m in zip(keys, maybe):
-                            at = np.flatnonzero(m[e - n:e])
-                            asked += [{"at": int(i), "key": int(x)} for i, x in zip(at, k[e - n:e][at].view(np.int64))]
-                    features.append(None if asked else described(values[e - n:e]))
-                    open_values.append(values[e - n:e] if asked else None)
-                    open_at.append(asked or None)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(features, width), pa.array(open_values, width), pa.array(open_at, places)],
-                    names=["row", "features", "values", "asked"])
+                values, asking = _looked_up(sent, keys)
+                ends = np.cumsum(counts)
+                place = np.concatenate([x[0] for x in asking])
+                order = np.argsort(place, kind="stable")
+                place, key = place[order], np.concatenate([k[x[0]] for k, x in zip(keys, asking)])[order]
+                owner = np.searchsorted(ends, place, side="right")
+                asks = np.bincount(owner, minlength=b - a) > 0
+                features = [None if x else described(values[e - n:e]) for x, n, e in zip(asks.tolist(), counts.tolist(), ends.tolist())]
+                columns = [pa.array(features, width), *batch.slice(a, b - a).columns[1:]]
+                if sent[3] is not None:
+                    total, closed, (text, window, own) = open_windows(values, counts, asking)
+                    here = np.flatnonzero(asks[text])  # of the others all is known
+                    asked = pa.StructArray.from_arrays(
+                        [pa.array((place - (ends - counts)[owner]).astype(np.int32)), pa.array(key.view(np.int64))], names=["at", "key"])
+                    columns += [pa.array(counts.astype(np.int64)), pa.array(total), pa.array(closed.tolist(), width),
+                                _lists(text[here], b - a, pa.array(window[here])), _lists(text[here], b - a, pa.array(own[here])),
+                                _lists(owner, b - a, asked)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
         worker.trim()
 
-    found = rows.mapInArrow(run, "row long, features array<double>, values array<double>, asked array<struct<at: int, key: long>>")
     if model.rare is None:
-        return found.select("row", "features")
-
+        names = ["features", *others]
+        return rows.mapInArrow(run, schema)
+    names = ["features", *others, *(f"_{x}" for x in ("words", "total", "closed", "windows", "sums", "asked"))]
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            features = []
-            for values, more in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                own = np.array(values)
-                for x in more or []:
-                    own[x["at"]] += x["value"]
-                features.append(described(own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(features, width)], names=["row", "features"])
-
-    found = materialize(found, "evidence")
-    met = (found.select("row", F.inline("asked")).join(model.rare, "key").groupBy("row")
-           .agg(F.collect_list(F.struct("at", "value")).alias("more")))
-    rest = found.filter("features IS NULL").select("row", "values").join(met, "row", "left").select("row", "values", "more")
-    return found.filter("features IS NOT NULL").select("row", "features").unionByName(
-        rest.mapInArrow(add, "row long, features array<double>"))
+            n, total = (textkit.numbers(batch.column(c)) for c in ("_words", "_total"))
+            closed = textkit.numbers(batch.column("_closed").flatten()).reshape(len(batch), len(WINDOWS))
+            text, window = _flat(batch.column("_windows"))
+            owner, more = _flat(batch.column("_more"))
+            features = completed(n, total, closed, (text, textkit.numbers(window), textkit.numbers(batch.column("_sums").flatten())),
+                                 (owner, textkit.numbers(more.field("at")), textkit.numbers(more.field("value")).astype(float)))
+            yield pa.RecordBatch.from_arrays([pa.array(features.tolist(), width), *(batch.column(c) for c in others)], names=["features", *others])
+
+    spark = rows.sparkSession
+    with worker.shuffles_freed(spark):
+        found = materialize(rows.mapInArrow(
+            run, schema + ", _words long, _total double, _closed array<double>, _windows array<long>, _sums array<double>, "
+            "_asked array<struct<at: int, key: long>>").withColumn("_row", F.monotonically_increasing_id()), "evidence")
+        waves = min(WAVES, 1 + (found.agg(F.sum(F.size("_asked"))).first()[0] or 0) // WAVE_ASKS)
+        path = scratch_path(spark, "features")
+        for i in range(waves):
+            wave = found.filter(F.pmod(F.xxhash64("_row"), F.lit(waves)) == i)
+            met = (wave.select("_row", F.inline("_asked")).join(model.rare, "key").groupBy("_row")
+                   .agg(F.collect_list(F.struct("at", "value")).alias("_more")))
+            rest = wave.filter("features IS NULL").join(met, "_row", "left").drop("features", "_asked", "_row")
+            wave.filter("features IS NOT NULL").select("features", *others).unionByName(rest.mapInArrow(add, schema)).write.mode("append").parquet(path)
+    discard(found)
+    return spark.read.schema(schema).parquet(path)
 
 
 def _score(weights: np.ndarray) -> Column:
@@ -304,15 +448,16 @@ def _score(weights: np.ndarray) -> Column:
 
 
 def _calibrated(model: Model, rows: DataFrame) -> Model:
-    own = rows.filter(fold(F.col("_id")) == 4).select(F.monotonically_increasing_id().alias("row"), "text", "_id", "toxic")
-    own = materialize(own.orderBy(F.xxhash64("_id"), "text").limit(CALIBRATION_ROWS), "calibration")
-    sample = _features(own.select("row", "text"), model).join(own.select("row", "toxic"), "row").toArrow()
+    own = rows.filter(fold(F.col("_id")) == 4).select("text", "toxic", "_id").orderBy(F.xxhash64("_id"), "text")
+    own = materialize(own.limit(CALIBRATION_ROWS), "calibration")
+    sample = _features(own.select("text", "toxic"), model).toArrow()
     y = textkit.numbers(sample.column("toxic")).astype(float)
     if len(y) and 0 < y.sum() < len(y):
         x = np.column_stack([np.ones(len(y)), np.array(sample.column("features").to_pylist())])
         model.weights = logistic(x, y)
     else:
         model.weights = np.array([-5.0] + [2.0] * (1 + len(WINDOWS)))
+    discard(own)
     return model
 
 
@@ -335,14 +480,10 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 60)
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
-    doc_id = docs[id_col].cast("long")
-    rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), doc_id.alias("doc_id"),
-                                   docs[text_col].cast("string").alias("text")), "texts") if model.rare is not None else None
-    if rows is None:  # nothing meets in a join: ids pass through
-        return _scored_in_place(docs.select(doc_id.alias("doc_id"), docs[text_col].cast("string").alias("text")), model).select(
-            "doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(True)).alias("held_out"), "score", _called(F.col("score")))
-    scored = _features(rows.select("row", "text"), model).select("row", _score(model.weights).alias("score"))
-    return rows.select("row", "doc_id").join(scored, "row").select(
+    rows = docs.select(docs[text_col].cast("string").alias("text"), docs[id_col].cast("long").alias("doc_id"))
+    if model.rare is not None:
+        rows = materialize(rows, "texts")
+    return _features(rows, model).select("doc_id", _score(model.weights).alias("score")).select(
         "doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(True)).alias("held_out"), "score", _called(F.col("score")))
 
 
@@ -350,19 +491,15 @@ def _called(score: Column) -> Column:
     return (score >= 0.5).cast("int").alias("predicted")
 
 
-def _scored_in_place(rows: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score of (doc_id, text): _features() carries any long through, null too."""
-    return _features(rows.select(F.col("doc_id").alias("row"), "text"), model).select(
-        F.col("row").alias("doc_id"), _score(model.weights).alias("score"))
-
-
 def keep_ordinary(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs without the rows that the model predicts to be toxic; all columns stay as they are."""
     if model.rare is not None:
-        rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "texts")
-        kept = _features(rows.select(F.col("_row").alias("row"), F.col(text_col).cast("string").alias("text")), model).filter(
-            _score(model.weights) < 0.5).select(F.col("row").alias("_row"))
-        return rows.join(kept, "_row", "left_semi").select(docs.columns)
+        # The verdict is the text's: rows meet it by its digest, whatever copies of them there are.
+        text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+        toxic = _features(docs.select(text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("_toxic_text")), model).filter(
+            _score(model.weights) >= 0.5).select("_toxic_text").distinct()
+        toxic = key_joins.sized(toxic, "toxic")
+        return docs.join(toxic, F.unhex(F.md5(text.cast("binary"))) == toxic["_toxic_text"], "left_anti")
     held = docs.sparkSession.sparkContext.broadcast((model.sent(), model.weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

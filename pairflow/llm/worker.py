@@ -65,6 +65,14 @@ def row_groups_of(spark: SparkSession, size: int) -> Iterator[None]:
         yield
 
 
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Jobs run inside delete their shuffle files as they end, not when the driver collects its garbage: for steps that
+    store their result and are not run again."""
+    with _set(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        yield
+
+
 @contextlib.contextmanager
 def _set(spark: SparkSession, name: str, value: str) -> Iterator[None]:
     before = spark.conf.get(name, None)

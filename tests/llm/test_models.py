@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from pairflow.llm import toxicity, vector_graph
 
@@ -96,6 +97,87 @@ def test_entries_that_are_not_sent_meet_the_rows_in_a_join(spark, monkeypatch):
         assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.predicted}
 
 
+def stored_bytes(monkeypatch):
+    """Bytes of every table that the toxicity operator stores, by name, as they are written."""
+    from pathlib import Path
+
+    from pairflow import workspace
+    sizes = {}
+
+    def materialize(df, name="table"):
+        out = workspace.materialize(df, name)
+        sizes[name] = sum(Path(p.removeprefix("file:").replace("///", "/")).stat().st_size for p in out.inputFiles())
+        return out
+    monkeypatch.setattr(toxicity, "materialize", materialize)
+    return sizes
+
+
+def common_words(n=600):
+    """Texts of common words, most of whose bigrams are too rare to be sent."""
+    r = random.Random(8)
+    docs = [(i, " ".join(f"w{r.randrange(300)}" for _ in range(200))) for i in range(n)]
+    return docs, [(i, 1, int(i % 7 == 0)) for i in range(n)]
+
+
+def test_stored_evidence_stays_below_the_texts(spark, monkeypatch):
+    """Every position asked for its three keys and kept its evidence in full: many times the texts' size."""
+    docs, labels = common_words()
+    d, y = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(toxicity, "SENT", 700)
+    model = toxicity.fit(d, y)
+    assert model.rare is not None
+    sizes = stored_bytes(monkeypatch)
+    unseen = spark.createDataFrame([(i, " ".join(f"w{j}" for j in random.Random(i).sample(range(300), 200))) for i in range(5000, 5600)], "doc_id long, text string")
+    assert toxicity.keep_ordinary(unseen, model).count() > 0
+    assert "texts" not in sizes and sizes["evidence"] < 1.5 * sum(len(t) for _, t in docs)
+
+
+def test_rare_keys_do_not_pass_for_others(spark, monkeypatch):
+    """A bigram whose two words are both in rare bigrams is not one itself."""
+    rare = [(a << 32 | b, 0.5) for a in range(1, 301) for b in range(1, 301) if (a * 7 + b) % 10 == 0]
+    filters = toxicity._filters(spark.createDataFrame(rare, "key long, value float"))
+    held, others = np.array([k for k, _ in rare], np.uint64), np.array([a << 32 | b for a in range(1, 301) for b in range(1, 301) if (a * 7 + b) % 10], np.uint64)
+    assert toxicity.may_be_rare(filters, held, 2)[0].all()
+    assert toxicity.may_be_rare(filters, others, 2)[0].mean() < 0.01
+
+
+def test_open_windows_and_answers_give_the_whole_description():
+    """Sums, closed windows and the windows kept, with the answers, against all values at once."""
+    r = np.random.default_rng(3)
+    for _ in range(300):
+        counts = r.integers(0, 9, 6)
+        values, asking, answers = r.normal(size=counts.sum()), [], []
+        for _ in range(3):
+            at = np.flatnonzero(r.random(counts.sum()) < 0.3)
+            low, high = -r.random(len(at)), r.random(len(at))
+            asking.append((at, low, high))
+            answers.append(np.where(r.random(len(at)) < 0.3, 0, r.uniform(low, high)))
+        total, closed, windows = toxicity.open_windows(values, counts, asking)
+        place, value = np.concatenate([x[0] for x in asking]), np.concatenate(answers)
+        ends = np.cumsum(counts)
+        owner = np.searchsorted(ends, place, side="right")
+        got = toxicity.completed(np.maximum(counts, 1), total, closed, windows, (owner, place - (ends - counts)[owner], value))
+        np.add.at(values, place, value)
+        for n, e, row in zip(counts, ends, got):
+            assert not n or np.allclose(row, toxicity.described(values[e - n:e]))
+
+
+def test_waves_copies_and_odd_rows_keep_the_verdict(spark, monkeypatch, odd_docs):
+    docs, labels = labelled(5, 500)
+    d, y = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    whole = toxicity.fit(d, y)
+    monkeypatch.setattr(toxicity, "SENT", 60)
+    model = toxicity.fit(d, y)
+    assert model.rare is not None
+    monkeypatch.setattr(toxicity, "WAVE_ASKS", 1000)
+    twice = d.select("doc_id", "text").unionByName(d.select(F.lit(None).cast("long").alias("doc_id"), "text"))
+    for rows in (twice, odd_docs):
+        key = lambda r: (r.doc_id is None, r.doc_id or 0, r.text or "")
+        want, got = (sorted(toxicity.keep_ordinary(rows, m).collect(), key=key) for m in (whole, model))
+        assert got == want and rows.columns == toxicity.keep_ordinary(rows, model).columns
+    assert 0 < toxicity.keep_ordinary(twice, model).count() < twice.count()
+
+
 def test_a_bigram_of_two_toxic_texts_is_evidence(spark):
     docs, labels = labelled(6, 400)
     counted = [i for i, _ in docs if zlib.crc32(str(i).encode()) % 5 in (1, 2, 3)]

@@ -481,8 +481,6 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 60)
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
     rows = docs.select(docs[text_col].cast("string").alias("text"), docs[id_col].cast("long").alias("doc_id"))
-    if model.rare is not None:
-        rows = materialize(rows, "texts")
     return _features(rows, model).select("doc_id", _score(model.weights).alias("score")).select(
         "doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(True)).alias("held_out"), "score", _called(F.col("score")))
 

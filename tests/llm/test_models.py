@@ -178,6 +178,23 @@ def test_waves_copies_and_odd_rows_keep_the_verdict(spark, monkeypatch, odd_docs
     assert 0 < toxicity.keep_ordinary(twice, model).count() < twice.count()
 
 
+def test_scoring_stores_no_texts_and_leaves_what_it_reads(spark, monkeypatch):
+    """Scoring kept a copy of the texts, and every table of the fit, beside the evidence."""
+    from pathlib import Path
+
+    from pairflow import workspace
+    folder = Path(workspace.scratch_path(spark, "x")).parent
+    folder = Path(str(folder).removeprefix("file:"))
+    before = set(folder.iterdir()) if folder.exists() else set()
+    docs, labels = common_words(300)
+    d, y = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(toxicity, "SENT", 700)
+    scored = toxicity.score(d, toxicity.fit(d, y))
+    left = {p.name.split("-")[0] for p in set(folder.iterdir()) - before}
+    assert "entries" in left and not left & {"texts", "evidence", "bigrams", "words", "contexts", "calibration"}
+    assert scored.count() == 300
+
+
 def test_a_bigram_of_two_toxic_texts_is_evidence(spark):
     docs, labels = labelled(6, 400)
     counted = [i for i, _ in docs if zlib.crc32(str(i).encode()) % 5 in (1, 2, 3)]

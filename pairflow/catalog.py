@@ -101,7 +101,7 @@ def src4_validation_combined(spark, d):
 def src5_read_predictions_csv(spark, d):
     path = scratch_path(spark, "predictions-csv")
     stored = FX.predictions(spark, d, ["zero-shot", "few-shot", "cot"])
-    writers.write_csv(stored.select("strategy", *readers.PREDICTION_SCHEMA.names), path, "strategy")
+    writers.write_csv(stored.select("strategy", *readers.PREDICTION_SCHEMA.names), path, "strategy", compressed=True)
     return readers.read_predictions_csv(spark, path, domain.BASE_STRATEGIES)
 
 

@@ -78,15 +78,15 @@ def combine_validation(matched: DataFrame, mismatched: DataFrame) -> DataFrame:
 
 
 def read_pairs_csv(spark: SparkSession, path: str, schema: T.StructType = PAIR_SCHEMA, foreign: bool = False) -> DataFrame:
-    """Pairs of write_csv, whose files any number of tasks can share. foreign: files with line breaks inside
-    values, which are one task each."""
+    """Pairs of write_csv, whose files any number of tasks can share if they aren't compressed. foreign: files with line
+    breaks inside values, which are one task each."""
     rows = spark.read.schema(schema).options(**CSV_OPTIONS, multiLine=foreign).csv(path)
     return rows if foreign else many_lines(rows)
 
 
 def read_predictions_csv(spark: SparkSession, root: str, strategies: list[str] | None = None,
                          schema: T.StructType = PREDICTION_SCHEMA, foreign: bool = False) -> DataFrame:
-    """Predictions stored as <root>/strategy=<name>/*.csv; a strategy without files yields no rows.
+    """Predictions stored as <root>/strategy=<name>/*.csv or *.csv.gz; a strategy without files yields no rows.
 
     The strategy comes from the folder, so choosing strategies prunes files before any is opened.
     """

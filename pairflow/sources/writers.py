@@ -42,14 +42,18 @@ def many_lines(df: DataFrame) -> DataFrame:
         return text
 
     def plain(c: str) -> Column:
-        # Between doubled backslashes, taken from the left, any other backslash belongs to the letter behind it.
-        return F.array_join(F.transform(F.split(F.col(f"`{c}`"), r"\\\\", -1), part), "\\").alias(c)
+        # Between doubled backslashes, taken from the left, any other backslash belongs to the letter behind it. Most texts have none.
+        text = F.col(f"`{c}`")
+        whole = F.array_join(F.transform(F.split(text, r"\\\\", -1), part), "\\")
+        return F.when(text.contains("\\"), whole).otherwise(text).alias(c)
     return df.select(*[plain(f.name) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`") for f in df.schema.fields])
 
 
 # JSON files are compressed, which no two tasks can share; so they end after this many rows.
 FILE_ROWS = 1_000_000
 TEXT_OPTIONS = {"compression": "gzip", "maxRecordsPerFile": str(FILE_ROWS)}
+# As FILE_ROWS, for CSV, whose rows hold whole texts.
+CSV_FILE_ROWS = 250_000
 # A task keeps a file open for each of so many partition values; Spark sorts only the rows of any beyond.
 _OPEN_FILES = {"spark.sql.maxConcurrentOutputFileWriters": "16", "spark.sql.optimizer.plannedWrite.enabled": "false"}
 
@@ -67,9 +71,12 @@ def unsorted_partitions(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def write_csv(df: DataFrame, path: str, *partition_by: str) -> None:
-    """CSV with one line per row (see one_line); not compressed, so that tasks can share a file."""
+def write_csv(df: DataFrame, path: str, *partition_by: str, compressed: bool = False) -> None:
+    """CSV with one line per row (see one_line). Tasks can share a file; a compressed one they can't, so that it ends
+    after CSV_FILE_ROWS rows."""
     writer = one_line(df).write.mode("overwrite").options(**CSV_OPTIONS)
+    if compressed:
+        writer = writer.options(compression="gzip", maxRecordsPerFile=str(CSV_FILE_ROWS))
     with unsorted_partitions(df.sparkSession):
         (writer.partitionBy(*partition_by) if partition_by else writer).csv(path)
 
